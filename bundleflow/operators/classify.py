@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import strip
+from ..functions.plan import fence
 from ..functions.rulepacks import (
     BUNDLE_RULES,
     BUNDLE_TYPE_RULES,
@@ -88,7 +89,8 @@ def classify_text(
         F.col("_win.confidence").alias("confidence"),
         signal_array(F.col("_lowered"), category, rules).alias("signals"),
     )
-    return won.select(*df.columns, F.when(F.col("_win").isNotNull(), detail).alias(out))
+    fenced = fence(won, **{out: F.when(F.col("_win").isNotNull(), detail)})
+    return fenced.select(*df.columns, out)
 
 
 def _result(
@@ -202,9 +204,9 @@ def classify_documents(
     )
     unsure = F.coalesce(F.when(r.isNotNull(), weak), default_other())
     if fallback is None:
-        return ruled.select(*df.columns, F.coalesce(sure, unsure).alias(out))
+        return fence(ruled, **{out: F.coalesce(sure, unsure)}).select(*df.columns, out)
 
-    staged = ruled.select(*df.columns, sure.alias("_sure"), unsure.alias("_unsure"))
+    staged = fence(ruled, _sure=sure, _unsure=unsure).select(*df.columns, "_sure", "_unsure")
     settled = staged.filter(F.col("_sure").isNotNull()).select(*df.columns, F.col("_sure").alias(out))
     # A Python UDF inside coalesce would run on every row: split first, then union.
     asked = fallback(staged.filter(F.col("_sure").isNull()).drop("_sure"))

@@ -24,8 +24,16 @@ DOCUMENT_STATUS_RANK = {"received": 0, "processing": 1, "processed": 2, "failed"
 MATCH_STATUS_RANK = {"pending": 0, "manual_review": 0, "matched": 1, "unmatched": 1, "not_applicable": 1}
 
 
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """``name type, …`` to a schema; unlike DDL parsing it needs no running session."""
+    pairs = [field.split() for field in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 REGISTRY_DATA = _struct(
@@ -65,12 +73,16 @@ PAGES = _struct(
     "ocr_status string, created_at timestamp, updated_at timestamp"
 )
 # Union of the two manifest forms in circulation; every optional field is nullable.
-MANIFEST = _struct(
-    "schema_version int, document_id string, original_name string, original_sha256 string, "
-    "s3_key_original string, original_s3_key string, document_category string, qr_content string, "
-    "page_count int, pages array<struct<page_num int, s3_key string, width int, height int, "
-    "sha256 string, page_type string, language_hint string>>, "
-    "preprocessed_at timestamp, nas_host string, preprocess_version string"
+MANIFEST_PAGE = _struct(
+    "page_num int, s3_key string, width int, height int, sha256 string, page_type string, language_hint string"
+)
+MANIFEST = T.StructType(
+    _struct(
+        "schema_version int, document_id string, original_name string, original_sha256 string, "
+        "s3_key_original string, original_s3_key string, document_category string, qr_content string, page_count int"
+    ).fields
+    + [T.StructField("pages", T.ArrayType(MANIFEST_PAGE))]
+    + _struct("preprocessed_at timestamp, nas_host string, preprocess_version string").fields
 )
 EXPECTED_COLUMNS = {
     "registry": tuple(REGISTRY.fieldNames()),

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import upsert_registry
-from ..operators.registry import clean_registry
 
 DEFAULT_CHUNK = 1000
 
@@ -44,8 +43,3 @@ def write_jdbc(df: DataFrame, url: str, table: str, chunk: int = DEFAULT_CHUNK,
     """Append to a database table in batches of ``chunk`` rows, in parallel per partition."""
     flat = df.select(*[F.to_json(c).alias(c) if df.schema[c].dataType.typeName() == "struct" else F.col(c) for c in df.columns])
     flat.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(chunk), **options).mode("append").save()
-
-
-def load_registry(sheet: DataFrame, target: DataFrame, run_ts: datetime | Column, dry_run: bool = False) -> SinkResult:
-    """Sheet to merged registry: clean, then upsert."""
-    return registry_sink(target, clean_registry(sheet), run_ts, dry_run)

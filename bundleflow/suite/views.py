@@ -123,6 +123,18 @@ VIEWS: dict[str, str] = {
                  || ' phone 98' || lpad(cast(o_custkey AS string), 8, '0')
                  || CASE WHEN o_orderkey % 5 = 0 THEN ' and 31/02/2020, again I-' || lpad(cast(o_custkey AS string), 5, '0') ELSE '' END AS raw_text
         FROM orders""",
+    # document rows with some values outside their enumerations and ranges
+    "document_states": """
+        SELECT cast(o_orderkey AS string) AS document_id,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'practitioner' WHEN '2-HIGH' THEN 'letter' WHEN '3-MEDIUM' THEN 'receipt'
+                 WHEN '4-NOT SPECIFIED' THEN 'bogus_category' ELSE 'other' END AS document_category,
+               CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'O' THEN 'received' ELSE 'in_flight' END AS status,
+               CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'pending' WHEN 2 THEN 'matched' WHEN 3 THEN 'lost' ELSE 'unmatched' END AS match_status,
+               cast(o_orderkey % 6 - 1 AS bigint) AS page_count, (o_orderkey % 13) / 10.0 AS confidence,
+               CASE WHEN o_orderkey % 5 = 2 THEN cast(o_custkey AS bigint) END AS reference_data_id,
+               CASE o_orderpriority WHEN '2-HIGH' THEN '{"sender_org":"Office ' || cast(o_custkey % 40 AS string) || '","referenced_registration_nos":["' || cast(o_custkey AS string) || '","' || cast(o_custkey + 1 AS string) || '"]}'
+                 WHEN '3-MEDIUM' THEN '{"vendor_name":"Vendor ' || cast(o_custkey % 60 AS string) || '","amount":12500.0}' ELSE '{}' END AS metadata
+        FROM orders""",
     "component_measurements": """
         SELECT cast(l_orderkey % 500 AS string) AS page_id, 400 AS page_h, cast(l_quantity AS bigint) AS height,
                cast(l_linenumber * 3 AS bigint) AS area, l_tax * 50 + 0.5 AS stroke
@@ -146,6 +158,7 @@ def _mentions(text: str, name: str) -> bool:
 
 
 def _templated(text: str, needed: dict[str, DataFrame]) -> str:
+    text = text.replace("{", "{{").replace("}", "}}")
     for name in needed:
         text = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
     return text
