@@ -16,7 +16,8 @@ from .match import best_edit_match
 # --- Fixed values --------------------------------------------------------------------
 TOKEN_THRESHOLD = 70.0
 DATE_PATTERN = r"\b(\d{2}/\d{2}/\d{4})\b"
-ID_PATTERNS = {"registration_no": r"\b([A-Z]-\d{5,})\b", "application_no": r"\b(AMR-MCH-26-A-\d{5})\b"}
+# a registration number stands alone: the tail of an application number is not one
+ID_PATTERNS = {"registration_no": r"(?<![\w-])([A-Z]-\d{5,})\b", "application_no": r"\b(AMR-MCH-26-A-\d{5})\b"}
 # -------------------------------------------------------------------------------------
 PHONE_PATTERN = r"(?<![\w-])(\d{10})(?![\w-])"  # ours: ten digits standing alone
 

@@ -194,8 +194,8 @@ Detector = Callable[[pd.DataFrame], pd.DataFrame]
 def detect_content_type(pages: DataFrame, detector: Detector, columns: Sequence[str], strict: bool = False) -> DataFrame:
     """Pluggable detector over page rows, Arrow batch by batch.
 
-    ``detector`` maps a batch with ``columns`` to a frame (content_type, confidence).  If a
-    batch fails it is retried row by row, so only the failing pages become unknown / 0.0;
+    ``detector`` maps a batch with ``columns`` to a frame (content_type, confidence).  A batch
+    that fails is halved until the failing pages stand alone; only those become unknown / 0.0.
     ``strict`` lets the error end the job.
     """
     keep = list(dict.fromkeys(["page_id", *columns]))
@@ -208,21 +208,22 @@ def detect_content_type(pages: DataFrame, detector: Detector, columns: Sequence[
              "confidence": found["confidence"].to_numpy(dtype="float64")}
         )
 
+    def tolerant(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield one(rows)
+        except Exception:  # noqa: BLE001 - a detector may fail in any way; the page degrades
+            if strict:
+                raise
+            if len(rows) == 1:
+                yield pd.DataFrame({"page_id": rows["page_id"].to_numpy(), "content_type": ["unknown"], "confidence": [0.0]})
+                return
+            half = len(rows) // 2
+            yield from tolerant(rows.iloc[:half])
+            yield from tolerant(rows.iloc[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if strict:
-                yield one(rows)
-                continue
-            try:
-                yield one(rows)
-            except Exception:  # noqa: BLE001 - a detector may fail in any way; the page degrades
-                for i in range(len(rows)):
-                    row = rows.iloc[i : i + 1]
-                    try:
-                        yield one(row)
-                    except Exception:  # noqa: BLE001
-                        yield pd.DataFrame(
-                            {"page_id": row["page_id"].to_numpy(), "content_type": ["unknown"], "confidence": [0.0]}
-                        )
+            if len(rows):
+                yield from tolerant(rows)
 
     return pages.select(*keep).mapInPandas(run, schema)

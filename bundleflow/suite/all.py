@@ -1,6 +1,17 @@
 """Importing this module registers every query."""
 
-from . import q_clean, q_sources, q_validate, q_classify  # noqa: F401
+from . import (  # noqa: F401
+    q_classify,
+    q_clean,
+    q_entities,
+    q_graph,
+    q_joins,
+    q_merge,
+    q_sources,
+    q_stats,
+    q_stream,
+    q_validate,
+)
 from .registry import CASES, Tables
 
 FLAGSHIP = "retrieve"
