@@ -15,3 +15,22 @@ def fence(df: DataFrame, **columns: Column) -> DataFrame:
     columns go through a one-element ``inline``.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work on a few-file table as many tasks as the session has slots.
+
+    Call it on a plain scan.  A large table already arrives in more pieces than that and is
+    returned unchanged, so no shuffle is added where one would cost.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
+
+
+def before_fan_out(df: DataFrame) -> DataFrame:
+    """Spread rows evenly ahead of an explode that multiplies them by a hundred or more.
+
+    Adaptive execution sizes partitions by the bytes before the explode; a fixed partition
+    count keeps the work after it parallel.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -7,6 +7,7 @@ projection: no rule table, no join, no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -121,8 +122,15 @@ PAGE_RULES = (
     Rule("invoice_lines", r"\binvoice\b", 2.0),
 )
 
-# Case-insensitive, multi-line, '\n' as the only line end, Unicode classes and case folding.
-JAVA_FLAGS = "(?imduU)"
+# Multi-line, '\n' as the only line end, Unicode classes.  Case is settled before matching:
+# patterns are lower case and so is the text they see (see ``fold``).
+JAVA_FLAGS = "(?mdU)"
+
+
+def fold(text: Column) -> Column:
+    """Text as the rules see it: lower case, with the two letters that match i and s without
+    regard to case but survive lower-casing (dotless i, long s) written as i and s."""
+    return F.translate(F.lower(text), "ıſ", "is")
 
 
 def categories_of(rules: Sequence[Rule]) -> tuple[str, ...]:
@@ -134,8 +142,43 @@ def java_pattern(pattern: str) -> str:
     return JAVA_FLAGS + pattern
 
 
+_OPTIONAL_GROUP = re.compile(r"\((?:[^()\\]|\\.)*\)[?*+]?|\[[^\]]*\](?:[?*+]|\{\d+,?\d*\})?")
+_ESCAPE = re.compile(r"\\([a-zA-Z])(?:[?*+]|\{\d+,?\d*\})?|\\(.)")
+_MAYBE_ABSENT = re.compile(r".(?:[?*]|\{\d*,?\d*\})")
+
+
+def needed_text(pattern: str) -> tuple[str, ...]:
+    """Literals of which at least one occurs in any match, one per top-level alternative.
+
+    Empty when some alternative has no literal of two characters or a non-ASCII one; then the
+    pattern itself has to decide.
+    """
+    flat = _OPTIONAL_GROUP.sub("\0", pattern)
+    while "(" in flat and _OPTIONAL_GROUP.search(flat):
+        flat = _OPTIONAL_GROUP.sub("\0", flat)
+    found = []
+    for alternative in flat.split("|"):
+        plain = _ESCAPE.sub(lambda m: "\0" if m.group(1) else m.group(2), alternative)
+        plain = _MAYBE_ABSENT.sub("\0", plain)
+        runs = re.findall(r"[a-z0-9₹]+", plain)
+        best = max(runs, key=len, default="")
+        if len(best) < 2 and best != "₹":
+            return ()
+        found.append(best)
+    return tuple(found)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(java_pattern(pattern))
+    """Does the pattern occur?  A plain substring test goes first: it settles most rules on most
+    texts far cheaper than a regular expression, and cannot change the answer."""
+    test = text.rlike(java_pattern(pattern))
+    literals = needed_text(pattern)
+    if not literals:
+        return test
+    cheap = F.contains(text, F.lit(literals[0]))
+    for literal in literals[1:]:
+        cheap = cheap | F.contains(text, F.lit(literal))
+    return cheap & test
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -143,7 +186,7 @@ def first_match(text: Column, pattern: str) -> Column:
 
 
 def score_columns(text: Column, rules: Sequence[Rule]) -> dict[str, Column]:
-    """Per category: sum of the weights of rules that match at least once."""
+    """Per category: sum of the weights of rules that match at least once.  ``text`` is folded."""
     out: dict[str, Column] = {}
     for category in categories_of(rules):
         total = F.lit(0.0)

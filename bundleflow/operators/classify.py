@@ -17,6 +17,7 @@ from ..functions.rulepacks import (
     TypeRule,
     categories_of,
     first_type,
+    fold,
     score_columns,
     signal_array,
 )
@@ -44,7 +45,7 @@ def _score_name(category: str) -> str:
 
 def score_text(df: DataFrame, text: str, rules: Sequence[Rule] = BUNDLE_RULES, prefix: str = "score_") -> DataFrame:
     """One score column per category; 0.0 where nothing fires."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    lowered = fold(F.coalesce(F.col(text), F.lit("")))
     staged = df.withColumn("_lowered", lowered)
     return staged.select(
         *df.columns, *[c.alias(prefix + name) for name, c in score_columns(F.col("_lowered"), rules).items()]
@@ -75,7 +76,7 @@ def classify_text(
     winner only.  Keeping them apart bounds the size of each generated method.
     """
     names = categories_of(rules)
-    lowered = df.withColumn("_lowered", F.lower(F.col(text)))
+    lowered = df.withColumn("_lowered", fold(F.col(text)))
     scored = lowered.select(
         "*", *[c.alias(_score_name(n)) for n, c in score_columns(F.col("_lowered"), rules).items()]
     )

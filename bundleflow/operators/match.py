@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import devanagari_digits
+from ..functions.plan import before_fan_out
 from .joins import left_join_spread_nulls
 
 DEFAULT_SCORE = 85.0  # ours: the accept threshold is left open by the design
@@ -71,7 +72,7 @@ def best_edit_match(left: DataFrame, right: DataFrame, max_edits: int, score: fl
     exact = left.join(targets, ["block", "text"], "left")
 
     def keyed(df: DataFrame) -> DataFrame:
-        variants = df.withColumn("_v", F.explode(delete_variants(F.col("text"), max_edits)))
+        variants = before_fan_out(df).withColumn("_v", F.explode(delete_variants(F.col("text"), max_edits)))
         return variants.withColumn("_k", F.xxhash64("block", "_v")).drop("_v")
 
     l_side = keyed(exact.filter(F.col("payload").isNull()).drop("payload"))

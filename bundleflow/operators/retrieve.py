@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_prenormed, norm
+from ..session import cut_lineage
 from .vectors import DEFAULT_K, top_per_group
 
 NAME_PATTERN = r"(?i)\bdocuments\s+of\s+(.+?)\s*(?:,|$)"
@@ -27,27 +30,49 @@ def candidates(parsed: DataFrame, persons: DataFrame, belongs_to: DataFrame) ->
 
 
 def score_pages(found: DataFrame, query_vectors: DataFrame, page_vectors: DataFrame) -> DataFrame:
-    """(query_id, document_id, page_num, score) for the pages of candidate documents only.
-
-    Norms are taken once per query and once per page vector, not per pair.
-    """
+    """(query_id, document_id, page_num, score) for the pages of candidate documents only."""
     q = query_vectors.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"))
-    v = page_vectors.select("document_id", "page_num", "embedding", norm(F.col("embedding")).alias("_vn"))
+    v = page_vectors.select("document_id", "page_num", "embedding")
     pairs = found.join(v, "document_id").join(q, "query_id")
-    score = cosine_prenormed(F.col("embedding"), F.col("_vn"), F.col("query_vector"), F.col("_qn"))
+    score = cosine_prenormed(F.col("embedding"), norm(F.col("embedding")), F.col("query_vector"), F.col("_qn"))
     return pairs.select("query_id", "document_id", "page_num", F.round(score, 6).alias("score")).filter(F.col("score").isNotNull())
 
 
-def rank_documents(scored: DataFrame) -> DataFrame:
+def best_pages(scored: DataFrame) -> DataFrame:
+    """(query_id, document_id, score, page_num): the best page per document, as an aggregate."""
+    return scored.groupBy("query_id", "document_id").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "page_num")).alias("b")
+    ).select("query_id", "document_id", (-F.col("b.s")).alias("score"), F.col("b.page_num").alias("page_num"))
+
+
+def rank_documents(scored: DataFrame, bounded: bool = False) -> DataFrame:
     """Documents by best page: (query_id, document_id, score, page_num, doc_rank).
 
-    The best page per document is an aggregate; only then are documents ranked.
+    ``bounded`` promises a few rows per query (after a top-k); otherwise one query may own a
+    large share of all rows and is ranked in pieces.
     """
-    best = scored.groupBy("query_id", "document_id").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "page_num")).alias("b")
-    ).select("query_id", "document_id", (-F.col("b.s")).alias("score"), F.col("b.page_num").alias("page_num"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
-    return best.withColumn("doc_rank", F.row_number().over(w).cast("bigint"))
+    best = best_pages(scored)
+    order = [F.desc("score"), F.asc("document_id")]
+    if bounded:
+        w = Window.partitionBy("query_id").orderBy(*order)
+        return best.withColumn("doc_rank", F.row_number().over(w).cast("bigint"))
+    return split_rank(best, "query_id", order, "doc_rank")
+
+
+def split_rank(df: DataFrame, group: str, order: Sequence[Column], out: str) -> DataFrame:
+    """row_number per group for groups of any size.
+
+    Rows are range-partitioned by group and order, which cuts a large group over many
+    partitions; each partition is numbered on its own and shifted by what comes before it.
+    The placement is checkpointed, so both uses of the partition number see the same one.
+    """
+    placed = cut_lineage(df.repartitionByRange(F.asc(group), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(group, "_part").orderBy(*order)
+    numbered = placed.withColumn("_pos", F.row_number().over(inside)).join(shifts, [group, "_part"])
+    return numbered.withColumn(out, (F.col("_pos") + F.col("_shift")).cast("bigint")).select(*df.columns, out)
 
 
 def hydrate(ranked: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -70,9 +95,19 @@ def retrieve(
     page_vectors: DataFrame, documents: DataFrame, pages: DataFrame, k: int = DEFAULT_K,
 ) -> DataFrame:
     """The whole flow for a table of queries: top-k pages within each query's documents, ranked
-    by document and joined back to document and page rows."""
-    parsed = parse_person_query(queries)
-    found = candidates(parsed, persons, belongs_to)
-    scored = score_pages(found, query_vectors, page_vectors)
+    by document and joined back to document and page rows.
+
+    Queries that ask the same thing with the same vector are answered once: popular questions
+    would otherwise multiply with the pages of popular persons.
+    """
+    asked = parse_person_query(queries).join(query_vectors.select("query_id", "query_vector"), "query_id")
+    asked = asked.filter(F.col("name").isNotNull() & F.col("dob").isNotNull())
+    same = ["name", "dob", "query_vector"]
+    questions = asked.groupBy(*same).agg(F.min("query_id").alias("_lead"))
+    leads = asked.select("query_id", *same).join(questions, same).select("query_id", "_lead")
+
+    lead = questions.withColumnRenamed("_lead", "query_id")
+    scored = score_pages(candidates(lead, persons, belongs_to), lead, page_vectors)
     top = top_per_group(scored, ["query_id"], k, [F.desc("score"), F.asc("document_id"), F.asc("page_num")]).drop("rank")
-    return hydrate(rank_documents(top), documents, pages)
+    ranked = hydrate(rank_documents(top, bounded=True), documents, pages)
+    return ranked.withColumnRenamed("query_id", "_lead").join(leads, "_lead").drop("_lead")

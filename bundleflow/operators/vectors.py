@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 
 DEFAULT_K = 10  # ours: the number of hits is left open by the design
-QUERY_SLICE = 4096  # queries held by one task; more are worked off slice by slice
-VECTOR_SLICES = 256  # ways a slice's vectors are spread
+BROADCAST_QUERIES = 4096  # up to here (and BROADCAST_BYTES) queries travel to every task
+BROADCAST_BYTES = 64 * 1024 * 1024
+QUERY_SLICE = 4096  # beyond: queries and vectors meet in blocks of at most these sizes
+VECTOR_SLICE = 50_000
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -23,59 +25,103 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K,
     return scored.orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
 
-def _block_topk(k: int):
-    """Per-task scorer: one block of vectors against one block of queries, k best per query."""
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length; a zero row becomes nan and is never a hit."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores of one query, ties by id."""
+    usable = np.flatnonzero(~np.isnan(scores))
+    if len(usable) > 4 * k:  # cut to everything at or above the k-th score, then order exactly
+        kth = np.partition(scores[usable], len(usable) - k)[len(usable) - k]
+        usable = usable[scores[usable] >= kth]
+    return usable[np.lexsort((ids[usable], -scores[usable]))[:k]]
+
+
+def _block_hits(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """k best of one block of vectors for each query of one block, by one matrix product."""
+    scores = np.round(_unit(q) @ _unit(v).T, 6)
+    picks = [_best(row, ids, k) for row in scores]
+    return pd.DataFrame(
+        {
+            "query_id": np.repeat(query_ids, [len(p) for p in picks]).astype("int64"),
+            "vec_id": np.concatenate([ids[p] for p in picks]).astype("int64"),
+            "score": np.concatenate([row[p] for row, p in zip(scores, picks)]).astype("float64"),
+        }
+    )
 
-    def score(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        q = np.stack(queries["q"].to_numpy()).astype("float64")
-        v = np.stack(vectors["v"].to_numpy()).astype("float64")
-        qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.round((q @ v.T) / (qn[:, None] * vn[None, :]), 6)
-        ids = vectors["vec_id"].to_numpy()
-        out_q, out_v, out_s = [], [], []
-        for i, query_id in enumerate(queries["query_id"].to_numpy()):
-            row = np.where(np.isnan(s[i]), -np.inf, s[i])
-            order = np.lexsort((ids, -row))[:k]
-            order = order[np.isfinite(row[order])]
-            out_q.append(np.full(len(order), query_id))
-            out_v.append(ids[order])
-            out_s.append(row[order])
-        return pd.DataFrame(
-            {"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}
-        )
 
-    return score
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype("float64")
 
 
 _HITS = "query_id bigint, vec_id bigint, score double"
 
 
+def _scan_with_queries(v: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """Few queries: every task streams its own vectors past all of them; nothing is shuffled
+    but k rows per query and task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            hits = _block_hits(query_ids, q, batch["vec_id"].to_numpy(), _matrix(batch["v"]), k)
+            both = hits if kept is None else pd.concat([kept, hits])
+            both = both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            kept = both.groupby("query_id", sort=False).head(k)
+        if kept is not None:
+            yield kept
+
+    return v.select("vec_id", "v").mapInPandas(run, _HITS)
+
+
+def _grid(v: DataFrame, q: DataFrame, n_vectors: int, n_queries: int, k: int) -> DataFrame:
+    """Many queries: blocks of vectors meet blocks of queries, each block bounded."""
+    q_slices, v_slices = -(-n_queries // QUERY_SLICE), max(1, -(-n_vectors // VECTOR_SLICE))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_slices)).cast("int")).withColumn(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_slices - 1)))
+    )
+    right = v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(v_slices)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1)))
+    )
+
+    def score(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(vectors):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return _block_hits(
+            queries["query_id"].to_numpy(), _matrix(queries["q"]), vectors["vec_id"].to_numpy(), _matrix(vectors["v"]), k
+        )
+
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(score, _HITS)
+
+
 def vector_topk_per_query(
-    vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_slice: int = QUERY_SLICE, vector_slices: int = VECTOR_SLICES
+    vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, broadcast_queries: int = BROADCAST_QUERIES
 ) -> DataFrame:
     """(query_id, vec_id, score, rank): exact k nearest per query.
 
-    vectors: (vec_id, embedding); queries: (query_id, query_vector).  The grid of (query slice,
-    vector slice) blocks is scored by matrix products; each block hands on at most k rows per
-    query, so no list of all pairs ever exists.  Each block is bounded whatever the tables
-    hold: vectors are cut into slices by hash, queries into slices of ``query_slice``.
+    vectors: (vec_id, embedding); queries: (query_id, query_vector).  Vectors are scored block
+    by block with matrix products and each block hands on at most k rows per query, so no list
+    of all pairs ever exists.  The number and size of the queries decide the plan: a small
+    batch travels to the vectors, a large one meets them in bounded blocks.
     """
-    counts = queries.agg(F.count("*").alias("n")).first()
-    q_slices = max(1, -(-int(counts["n"]) // query_slice))
-    q = queries.select(
-        F.col("query_id").cast("bigint").alias("query_id"), F.col("query_vector").alias("q"),
-        F.pmod(F.xxhash64("query_id"), F.lit(q_slices)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(vector_slices - 1))).alias("vb"),
-    )
-    v = vectors.select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(vector_slices)).cast("int").alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))).alias("qb"),
-    )
-    hits = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(_block_topk(k), _HITS)
+    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query_vector").alias("q"))
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v")).filter("v IS NOT NULL")
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dim")).first()
+    if size["n"] <= broadcast_queries and size["n"] * size["dim"] * 8 <= BROADCAST_BYTES:
+        rows = q.collect()
+        if not rows:
+            hits = q.sparkSession.createDataFrame([], _HITS)
+        else:
+            hits = _scan_with_queries(
+                v, np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], dtype="float64"), k
+            )
+    else:
+        hits = _grid(v, q, v.count(), int(size["n"]), k)
     return top_per_group(hits, ["query_id"], k, [F.desc("score"), F.asc("vec_id")])
 
 

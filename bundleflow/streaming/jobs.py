@@ -57,7 +57,8 @@ def stream_ingest(
 
 def stream_dedup(messages: DataFrame, ids: list[str], ts: str = "ts", window: str = DEDUP_WINDOW) -> DataFrame:
     """Messages with a repeated id inside the window dropped; a later repeat counts as new."""
-    return messages.withWatermark(ts, window).dropDuplicatesWithinWatermark(ids)
+    timed = messages.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, window).dropDuplicatesWithinWatermark(ids)
 
 
 def stream_registry_match(documents: DataFrame, registry: DataFrame) -> DataFrame:
@@ -94,6 +95,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """A Parquet folder or file as a stream, with its own schema."""
+    """A Parquet folder, or a glob of files, as a stream with the schema of what is there now."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

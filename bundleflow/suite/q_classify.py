@@ -31,7 +31,7 @@ _RULED = ruled_cte("bundles", "cover_text")
 
 @case("score_text", f"WITH {_SCORED} SELECT document_id, {', '.join(f's_{c} AS score_{c}' for c in CATEGORIES)} FROM scored", "bundles")
 def _(t):
-    return K.score_text(t("bundles").select("document_id", "cover_text"), "cover_text").drop("cover_text")
+    return K.score_text(t.wide("bundles").select("document_id", "cover_text"), "cover_text").drop("cover_text")
 
 
 _RULE_VALUES = ", ".join(
@@ -42,13 +42,13 @@ _RULE_VALUES = ", ".join(
 @case("rules_join", f"""SELECT document_id, cast(i AS bigint) AS rule_ord, category, cast(w AS double) AS weight
     FROM bundles, (VALUES {_RULE_VALUES}) r(i, category, w, p) WHERE regexp_matches(lower(cover_text), p)""", "bundles")
 def _(t):
-    lowered = t("bundles").select("document_id", F.lower("cover_text").alias("low"))
+    lowered = t.wide("bundles").select("document_id", F.lower("cover_text").alias("low"))
     return fired_rules(lowered, "low", ["document_id"], BUNDLE_RULES)
 
 
 @case("signals", f"WITH {_RULED} SELECT document_id, r_category AS category, r_signals AS signals FROM ruled WHERE r_category IS NOT NULL", "bundles")
 def _(t):
-    scored = K.score_text(t("bundles").select("document_id", "cover_text", F.lower("cover_text").alias("low")), "cover_text")
+    scored = K.score_text(t.wide("bundles").select("document_id", "cover_text", F.lower("cover_text").alias("low")), "cover_text")
     won = fence(scored, category=K.winner({c: F.col(f"score_{c}") for c in CATEGORIES})["category"])
     labels = F.array_join(signal_array(F.col("low"), F.col("category"), BUNDLE_RULES), " | ")
     return fence(won, signals=labels).filter("category IS NOT NULL").select("document_id", "category", "signals")
@@ -56,14 +56,14 @@ def _(t):
 
 @case("top_category", f"WITH {_RULED} SELECT document_id, r_category AS category, round(r_confidence, 6) AS confidence FROM ruled", "bundles")
 def _(t):
-    scored = K.score_text(t("bundles").select("document_id", "cover_text"), "cover_text")
+    scored = K.score_text(t.wide("bundles").select("document_id", "cover_text"), "cover_text")
     w = K.winner({c: F.col(f"score_{c}") for c in CATEGORIES})
     return scored.select("document_id", w["category"].alias("category"), F.round(w["confidence"], 6).alias("confidence"))
 
 
 @case("first_matching_subtype", f"WITH {_RULED} SELECT document_id, r_type AS document_type FROM ruled", "bundles")
 def _(t):
-    scored = K.score_text(t("bundles").select("document_id", "cover_text", F.lower("cover_text").alias("low")), "cover_text")
+    scored = K.score_text(t.wide("bundles").select("document_id", "cover_text", F.lower("cover_text").alias("low")), "cover_text")
     won = scored.withColumn("category", K.winner({c: F.col(f"score_{c}") for c in CATEGORIES})["category"])
     return won.select("document_id", first_type(F.col("low"), F.col("category"), BUNDLE_TYPE_RULES).alias("document_type"))
 
@@ -72,7 +72,7 @@ def _(t):
     coalesce(r_signals, '') AS signals FROM ruled""", "bundles")
 def _(t):
     r = F.col("rules_result")
-    return K.classify_text(t("bundles").select("document_id", "cover_text"), "cover_text").select(
+    return K.classify_text(t.wide("bundles").select("document_id", "cover_text"), "cover_text").select(
         "document_id", r["category"].alias("category"), r["document_type"].alias("document_type"),
         F.round(r["confidence"], 6).alias("confidence"), F.coalesce(F.array_join(r["signals"], " | "), F.lit("")).alias("signals"),
     )
@@ -83,7 +83,7 @@ def _(t):
     CASE WHEN document_category <> 'other' THEN 'manifest.document_category=''' || document_category || '''' END AS signals FROM bundles""", "bundles")
 def _(t):
     h = K.manifest_hint(F.col("document_category"))
-    return t("bundles").select(
+    return t.wide("bundles").select(
         "document_id", h["document_category"].alias("category"), h["confidence"].alias("confidence"),
         F.array_join(h["signals"], " | ").alias("signals"),
     )
@@ -110,7 +110,7 @@ def _(t):
       || CASE WHEN b.qr_content IS NOT NULL THEN chr(10) || 'QR:' || b.qr_content ELSE '' END AS cover_text
     FROM bundles b LEFT JOIN first3 f ON b.document_id = f.document_id LEFT JOIN cover c ON b.document_id = c.document_id""", ("page_texts", "bundles"))
 def _(t):
-    return K.cover_text(t("page_texts"), t("bundles").select("document_id", "qr_content")).drop("qr_content")
+    return K.cover_text(t("page_texts"), t.wide("bundles").select("document_id", "qr_content")).drop("qr_content")
 
 
 @case("classify_documents", f"""WITH {DECIDED} SELECT document_id, document_category, document_type, round(confidence, 6) AS confidence, method, signals,
@@ -138,7 +138,7 @@ def _second_opinion(df):
     CASE WHEN open AND cover_text LIKE '%sticker%' THEN 'llm_fallback' ELSE signals END AS signals
     FROM (SELECT *, method = 'rules' AND trim(cover_text, chr(10) || ' ') <> '' AND coalesce(r_confidence, 0) < 0.55 AS open FROM decided)""", "bundles")
 def _(t):
-    b = t("bundles").withColumn("cover_text", K.with_qr(F.col("cover_text"), F.col("qr_content")))
+    b = t.wide("bundles").withColumn("cover_text", K.with_qr(F.col("cover_text"), F.col("qr_content")))
     out = K.flatten_result(K.classify_documents(b, fallback=_second_opinion))
     return out.select("document_id", "document_category", "method", F.array_join("signals", " | ").alias("signals"))
 
@@ -187,7 +187,7 @@ def table_summary(documents, pages):
 def _(t):
     """Two runs of the same batch, the second on the tables of the first."""
     _, documents, pages = empty_tables(t.spark)
-    texts = t("bundles").select("document_id", "cover_text")
+    texts = t.wide("bundles").select("document_id", "cover_text")
     first = ingest_manifests(manifests(t), texts, documents, pages, RUN_TS)
     again = ingest_manifests(manifests(t), texts, first.documents, first.pages, RUN_TS)
     return table_summary(again.documents, again.pages)
@@ -206,4 +206,4 @@ def _(t):
         t.spark.createDataFrame([(c, p, w, i) for i, (c, p, w) in enumerate(pack)], "category string, pattern string, weight double, ord int")
     )
     assert all(isinstance(r, Rule) for r in rules)
-    return K.score_text(t("documents").select("doc_id", "text"), "text", rules).drop("text")
+    return K.score_text(t.wide("documents").select("doc_id", "text"), "text", rules).drop("text")

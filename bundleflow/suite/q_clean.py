@@ -143,7 +143,7 @@ def _(t):
       strftime({_TS.format(c='cr_dt')}, '%Y-%m-%d %H:%M:%S.%f') AS cr_dt, {_NUM.format(c='exam_year')} AS exam_year, district,
       {_FULL} AS full_name FROM registry_raw WHERE {_int4('registration_no')} IS NOT NULL""", "registry_raw")
 def _(t):
-    return clean_registry(t("registry_raw")).select(
+    return clean_registry(t.wide("registry_raw")).select(
         "app_no", F.col("registration_no").cast("bigint").alias("registration_no"), "f_name", "m_name", "l_name", "date_of_birth",
         F.date_format("cr_dt", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("cr_dt"), F.col("exam_year").cast("double").alias("exam_year"),
         "district", F.col("fields_norm.full_name").alias("full_name"),
@@ -186,9 +186,9 @@ def _(t):
 
 @case("content_id", "SELECT doc_id, sha256(text) AS content_id FROM documents")
 def _(t):
-    return t("documents").select("doc_id", content_id(F.col("text")).alias("content_id"))
+    return t.wide("documents").select("doc_id", content_id(F.col("text")).alias("content_id"))
 
 
 @case("content_dedup", "SELECT sha256(text) AS content_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def _(t):
-    return content_dedup(t("documents"), "text", "doc_id")
+    return content_dedup(t.wide("documents"), "text", "doc_id")

@@ -63,12 +63,12 @@ def _(t):
 def _(t):
     # the same text with Devanagari digits gives the same dates
     shown = F.translate("raw_text", "0123456789", DEVANAGARI_DIGITS)
-    return t("entity_texts").select("document_id", F.explode(E.iso_dates(shown)).alias("value"))
+    return t.wide("entity_texts").select("document_id", F.explode(E.iso_dates(shown)).alias("value"))
 
 
 @case("extract_phones", f"WITH {ENTITIES} SELECT document_id, value FROM found WHERE type = 'phone'", "entity_texts")
 def _(t):
-    return t("entity_texts").select("document_id", F.explode(E.phones(F.col("raw_text"))).alias("value"))
+    return t.wide("entity_texts").select("document_id", F.explode(E.phones(F.col("raw_text"))).alias("value"))
 
 
 @case("extract_ids", f"WITH {ENTITIES} SELECT document_id, type, value FROM found WHERE type LIKE '%_no'", "entity_texts")
@@ -76,12 +76,12 @@ def _(t):
     def tagged(kind: str):
         return F.transform(E.ids(F.col("raw_text"), kind), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
 
-    return t("entity_texts").select("document_id", F.inline(F.concat(*[tagged(kind) for kind in E.ID_PATTERNS])))
+    return t.wide("entity_texts").select("document_id", F.inline(F.concat(*[tagged(kind) for kind in E.ID_PATTERNS])))
 
 
 @case("entity_table", f"WITH {ENTITIES} SELECT *, cast(1.0 AS double) AS confidence, 'ocr' AS source FROM entities", "entity_texts")
 def _(t):
-    return E.entity_table(t("entity_texts"))
+    return E.entity_table(t.wide("entity_texts"))
 
 
 @case("structured_json", f"""WITH {ENTITIES} SELECT t.document_id, t.page_num, t.raw_text, count(e.value) AS entities
@@ -89,13 +89,13 @@ def _(t):
 def _(t):
     """The JSON read back: text kept whole, every entity nested."""
     schema = "raw_text string, entities array<struct<type string, value string>>"
-    back = E.structured_json(t("entity_texts")).withColumn("j", F.from_json("structured_json", schema))
+    back = E.structured_json(t.wide("entity_texts")).withColumn("j", F.from_json("structured_json", schema))
     return back.select("document_id", "page_num", "j.raw_text", F.size("j.entities").cast("bigint").alias("entities"))
 
 
 @case("entity_types_payload", f"WITH {ENTITIES} SELECT document_id, page_num, string_agg(DISTINCT type, ',' ORDER BY type) AS entity_types FROM entities GROUP BY 1, 2", "entity_texts")
 def _(t):
-    return E.entity_types_payload(E.entity_table(t("entity_texts")))
+    return E.entity_types_payload(E.entity_table(t.wide("entity_texts")))
 
 
 _PAGE_CATS = categories_of(PAGE_RULES)
@@ -105,7 +105,7 @@ _PAGE_BEST = "greatest(" + ", ".join(f"s_{c}" for c in _PAGE_CATS) + ")"
 @case("page_type_rules", f"""WITH {scored_cte('bundles', 'cover_text', PAGE_RULES)} SELECT document_id, CASE WHEN {_PAGE_BEST} < 1.0 THEN 'other' """
       + " ".join(f"WHEN s_{c} = {_PAGE_BEST} THEN '{c}'" for c in _PAGE_CATS) + " END AS detected_type FROM scored", "bundles")
 def _(t):
-    return E.page_type_rules(t("bundles").select("document_id", "cover_text"), "cover_text").select("document_id", "detected_type")
+    return E.page_type_rules(t.wide("bundles").select("document_id", "cover_text"), "cover_text").select("document_id", "detected_type")
 
 
 _LETTERS = "length(regexp_replace({c}, '[^\\p{{Latin}}]', '', 'g'))", "length(regexp_replace({c}, '[^\\p{{Devanagari}}]', '', 'g'))"
@@ -119,7 +119,7 @@ def _shown(t):
     deva = F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय")
     mixed = F.translate(F.lower(text), "aeiou", "अएइओउ")
     third = F.pmod("doc_id", F.lit(3))
-    return t("documents").withColumn("shown", F.when(third == 0, text).when(third == 1, deva).otherwise(mixed))
+    return t.wide("documents").withColumn("shown", F.when(third == 0, text).when(third == 1, deva).otherwise(mixed))
 
 
 @case("detect_script", f"SELECT doc_id, {_SCRIPT} AS script FROM (SELECT doc_id, {_LETTERS[0].format(c='s')} AS la, {_LETTERS[1].format(c='s')} AS de FROM (SELECT doc_id, {_SHOWN} AS s FROM documents))")
@@ -139,10 +139,10 @@ def _(t):
     FROM (SELECT document_id, page_num, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no
       FROM (SELECT document_id, cast(1 AS bigint) AS page_num, list_filter(string_split(cover_text, chr(10)), lambda s: trim(s) <> '') AS lines FROM bundles))""", "bundles")
 def _(t):
-    return E.layout_blocks(t("bundles").select("document_id", F.lit(1).cast("bigint").alias("page_num"), "cover_text"), "cover_text")
+    return E.layout_blocks(t.wide("bundles").select("document_id", F.lit(1).cast("bigint").alias("page_num"), "cover_text"), "cover_text")
 
 
 @case("devanagari_digits", f"SELECT document_id, raw_text AS text FROM entity_texts", "entity_texts")
 def _(t):
     shown = F.translate("raw_text", "0123456789", DEVANAGARI_DIGITS)
-    return t("entity_texts").select("document_id", devanagari_digits(shown).alias("text"))
+    return t.wide("entity_texts").select("document_id", devanagari_digits(shown).alias("text"))

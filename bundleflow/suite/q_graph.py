@@ -16,7 +16,7 @@ from .registry import case
 
 
 def _entities(t):
-    return entity_table(t("entity_texts"))
+    return entity_table(t.wide("entity_texts"))
 
 
 def nodes(t):
@@ -132,7 +132,7 @@ def _(t):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def _(t):
     heads = t("embeddings").groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query_vector"))
-    return V.vector_topk_per_query(t("embeddings"), heads, vector_slices=8)
+    return V.vector_topk_per_query(t("embeddings"), heads)
 
 
 @case("cosine_search", f"""SELECT page_id, score FROM (SELECT a.document_id || ':' || cast(a.page_num AS string) AS page_id, {_COS} AS score
@@ -192,7 +192,7 @@ def _(t):
     top = V.top_per_group(scored, ["query_id"], 10, [F.desc("score"), F.asc("document_id"), F.asc("page_num")]).drop("rank")
     # names are numbers in these tables; add the short form an entity value carries
     asked = parsed.withColumn("name", F.concat("name", F.lit(" 0"), F.substring("name", 14, 5)))
-    return R.highlights(R.rank_documents(top), asked, _entities(t))
+    return R.highlights(R.rank_documents(top, bounded=True), asked, _entities(t))
 
 
 @case("payload_snippet", f"""WITH {ENTITIES}, types AS (SELECT document_id, page_num, string_agg(DISTINCT type, ',' ORDER BY type) AS entity_types FROM entities GROUP BY 1, 2)
@@ -201,5 +201,5 @@ def _(t):
     LEFT JOIN types y ON y.document_id = t.document_id AND y.page_num = t.page_num""", ("entity_texts", "belongs_to", "bundle_pages"))
 def _(t):
     kinds = t("bundle_pages").select("document_id", "page_num", "page_type")
-    pages = t("entity_texts").join(t("belongs_to"), "document_id").join(kinds, ["document_id", "page_num"], "left")
+    pages = t.wide("entity_texts").join(t("belongs_to"), "document_id").join(kinds, ["document_id", "page_num"], "left")
     return V.payload_snippet(pages, entity_types_payload(_entities(t)), 40)

@@ -34,18 +34,18 @@ FUZZY = f"""contexts AS (SELECT DISTINCT {_SORTED.format(c='applicant_name_raw')
 
 
 def registry(t):
-    return t("person").select("registration_no", "full_name", "dob", F.col("registration_no").alias("reference_data_id"))
+    return t.wide("person").select("registration_no", "full_name", "dob", F.col("registration_no").alias("reference_data_id"))
 
 
 @case("match_registry_exact", f"WITH {EXACT} SELECT document_id, reference_data_id, match_status FROM exact", ("applicants", "person"))
 def _(t):
-    return M.match_registry_exact(t("applicants"), registry(t)).select("document_id", "reference_data_id", "match_status")
+    return M.match_registry_exact(t.wide("applicants"), registry(t)).select("document_id", "reference_data_id", "match_status")
 
 
 @case("match_registry_fuzzy", f"WITH open_docs AS (SELECT * FROM applicants), {FUZZY} SELECT name, dob, registration_no AS reference_data_id, round(score, 6) AS score FROM best",
       ("applicants", "person"))
 def _(t):
-    found = M.match_registry_fuzzy(t("applicants"), registry(t))
+    found = M.match_registry_fuzzy(t.wide("applicants"), registry(t))
     return found.select(F.col("_name").alias("name"), F.col("_dob").alias("dob"), "reference_data_id", F.round("score", 6).alias("score"))
 
 
@@ -56,7 +56,7 @@ def _(t):
     FROM exact e LEFT JOIN best b ON e.match_status = 'unmatched' AND {_SORTED.format(c='e.applicant_name_raw')} = b.name AND strftime(e.dob, '%Y%m%d') = b.dob""",
       ("applicants", "person"))
 def _(t):
-    return M.match_registry(t("applicants"), registry(t)).select("document_id", "reference_data_id", "match_status", "match_method")
+    return M.match_registry(t.wide("applicants"), registry(t)).select("document_id", "reference_data_id", "match_status", "match_method")
 
 
 @case("token_sort_similarity", f"""SELECT document_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 100.0
@@ -65,7 +65,7 @@ def _(t):
           FROM applicants a JOIN belongs_to b ON a.document_id = b.document_id JOIN person p ON b.registration_no = p.registration_no)""",
       ("applicants", "belongs_to", "person"))
 def _(t):
-    pairs = t("applicants").join(t("belongs_to"), "document_id").join(t("person").select("registration_no", "full_name"), "registration_no")
+    pairs = t.wide("applicants").join(t("belongs_to"), "document_id").join(t("person").select("registration_no", "full_name"), "registration_no")
     s = M.token_sort_similarity(F.col("applicant_name_raw"), F.col("full_name"))
     return pairs.select("document_id", F.round(s, 6).alias("similarity"))
 
@@ -81,7 +81,7 @@ def _(t):
     FROM person p JOIN belongs_to b ON p.registration_no = b.registration_no JOIN bundle_pages g ON g.document_id = b.document_id
     JOIN entities e ON e.document_id = g.document_id AND e.page_num = g.page_num""", ("person", "belongs_to", "bundle_pages", "entity_texts"))
 def _(t):
-    walk = graph_walk(t("person"), t("belongs_to"), t("bundle_pages"), entity_table(t("entity_texts")))
+    walk = graph_walk(t("person"), t("belongs_to"), t("bundle_pages"), entity_table(t.wide("entity_texts")))
     return walk.select("registration_no", "full_name", "document_id", "page_num", "type", "value")
 
 
@@ -129,6 +129,6 @@ def _(t):
 @case("pages_any", """SELECT p.page_id FROM bundle_pages p WHERE EXISTS (SELECT 1 FROM entity_texts e WHERE e.document_id = p.document_id AND e.page_num = p.page_num)""",
       ("bundle_pages", "entity_texts"))
 def _(t):
-    return pages_any(t("bundle_pages"), t("entity_texts")).select("page_id")
+    return pages_any(t("bundle_pages"), t.wide("entity_texts")).select("page_id")
 
 

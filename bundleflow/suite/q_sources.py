@@ -55,7 +55,7 @@ def manifests(t: Tables) -> DataFrame:
     )
     empty = F.filter(F.transform(F.array(F.lit(1)), page), lambda _: F.lit(False))
     pages = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), page)).otherwise(empty)
-    return t("bundles").select(
+    return t.wide("bundles").select(
         F.when(F.pmod(number, F.lit(23)) == 0, 2).otherwise(1).alias("schema_version"),
         "document_id", F.lit("original.pdf").alias("original_name"),
         F.sha2("document_id", 256).alias("original_sha256"),
@@ -128,7 +128,7 @@ def _(t):
 
 
 def classified(t: Tables) -> DataFrame:
-    b = t("bundles").withColumn("cover_text", with_qr(F.col("cover_text"), F.col("qr_content")))
+    b = t.wide("bundles").withColumn("cover_text", with_qr(F.col("cover_text"), F.col("qr_content")))
     return flatten_result(classify_documents(b))
 
 

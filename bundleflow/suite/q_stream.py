@@ -32,7 +32,7 @@ def _(t):
 @case("stream_dedup")
 def _(t):
     root = scratch_dir(t.spark, "stream_dedup")
-    events = J.stream_files(t.spark, f"{t.sf_dir}/events.parquet")
+    events = J.stream_files(t.spark, f"{t.sf_dir}/events*.parquet")
     J.run_to_table(J.stream_dedup(events, ["user_id", "event_type"]), f"{root}/data", f"{root}/ck")
     return t.spark.read.parquet(f"{root}/data").select("user_id", "event_type")
 

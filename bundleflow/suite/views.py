@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.plan import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -145,11 +147,12 @@ VIEWS: dict[str, str] = {
 _USES = {"page_texts": ("bundle_pages",), "page_vectors": ("bundle_pages",)}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a derived view as a DataFrame, without touching the catalog's other views."""
+def view(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A driver table or a derived view as a DataFrame; ``wide`` spreads few-file tables."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    needed = {n: view(spark, sf_dir, n) for n in (*TABLES, *_USES.get(name, ())) if _mentions(VIEWS[name], n)}
+        scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(scan) if wide else scan
+    needed = {n: view(spark, sf_dir, n, wide) for n in (*TABLES, *_USES.get(name, ())) if _mentions(VIEWS[name], n)}
     return spark.sql(_templated(VIEWS[name], needed), **needed)
 
 
