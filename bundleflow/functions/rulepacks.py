@@ -168,90 +168,81 @@ def needed_text(pattern: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Does the pattern occur?  A plain substring test goes first: it settles most rules on most
-    texts far cheaper than a regular expression, and cannot change the answer."""
-    test = text.rlike(java_pattern(pattern))
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+# Packs compile to SQL text, not to nested Column calls: one call into the JVM per expression
+# instead of several per rule.
+
+def match_sql(text: str, pattern: str) -> str:
+    """Does the pattern occur in column ``text``?  A plain substring test goes first: it settles
+    most rules on most texts far cheaper than a regular expression, and cannot change the answer."""
+    test = f"rlike({text}, {_text(java_pattern(pattern))})"
     literals = needed_text(pattern)
     if not literals:
         return test
-    cheap = F.contains(text, F.lit(literals[0]))
-    for literal in literals[1:]:
-        cheap = cheap | F.contains(text, F.lit(literal))
-    return cheap & test
+    return "(" + " OR ".join(f"contains({text}, {_text(w)})" for w in literals) + f") AND {test}"
 
 
-def first_match(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, java_pattern(pattern), 0)
+def matches(text: str, pattern: str) -> Column:
+    return F.expr(match_sql(text, pattern))
 
 
-def score_columns(text: Column, rules: Sequence[Rule]) -> dict[str, Column]:
-    """Per category: sum of the weights of rules that match at least once.  ``text`` is folded."""
+def score_columns(text: str, rules: Sequence[Rule]) -> dict[str, Column]:
+    """Per category: sum of the weights of rules that match at least once.  ``text`` names a
+    folded column."""
     out: dict[str, Column] = {}
     for category in categories_of(rules):
-        total = F.lit(0.0)
-        for rule in rules:
-            if rule.category == category:
-                total = total + F.when(matches(text, rule.pattern), F.lit(rule.weight)).otherwise(F.lit(0.0))
-        out[category] = total
+        terms = [
+            f"CASE WHEN {match_sql(text, r.pattern)} THEN {r.weight}D ELSE 0D END" for r in rules if r.category == category
+        ]
+        out[category] = F.expr(" + ".join(terms))
     return out
 
 
-def quoted(match: Column) -> Column:
-    """The match as a quoted, escaped label (control characters and no-break space spelled out)."""
-    escaped = F.replace(match, F.lit("\\"), F.lit("\\\\"))
+def _label_sql(text: str, rule: Rule) -> str:
+    """``'<first match>' (+<weight>)``, or null; control characters and no-break space spelled out."""
+    label = f"regexp_extract({text}, {_text(java_pattern(rule.pattern))}, 0)"
     for raw, shown in (
-        ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x0b", "\\x0b"), ("\x0c", "\\x0c"), ("\xa0", "\\xa0"),
+        ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x0b", "\\x0b"), ("\x0c", "\\x0c"), ("\xa0", "\\xa0"),
     ):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
-    return F.concat(F.lit("'"), escaped, F.lit("'"))
+        label = f"replace({label}, {_text(raw)}, {_text(shown)})"
+    return f"CASE WHEN {match_sql(text, rule.pattern)} THEN concat('\\'', {label}, {_text(f"' (+{rule.weight})")}) END"
+
 
+_BETWEEN = "\x1e"  # cannot occur in a match: no rule matches it
 
-def signal_array(text: Column, category: Column, rules: Sequence[Rule]) -> Column:
-    """Labels ``'<first match>' (+<weight>)`` of the winning category, in rule order.
 
-    One branch per category, so the other categories' patterns are not evaluated.
+def signal_array(text: str, category: str, rules: Sequence[Rule]) -> Column:
+    """Labels of the winning category's rules that fired, in rule order.
+
+    One branch per category, so the other categories' patterns are not evaluated.  Labels are
+    joined and split again, which stays in generated code where an array filter would not.
     """
-    result: Column | None = None
-    for name in categories_of(rules):
-        labels = F.array(
-            *[
-                F.when(
-                    matches(text, r.pattern),
-                    F.concat(quoted(first_match(text, r.pattern)), F.lit(f" (+{r.weight})")),
-                )
-                for r in rules
-                if r.category == name
-            ]
-        )
-        fired = F.filter(labels, lambda x: x.isNotNull())
-        result = F.when(category == name, fired) if result is None else result.when(category == name, fired)
-    return result
-
-
-def first_type(text: Column, category: Column, rules: Sequence[TypeRule]) -> Column:
+    branches = [
+        f"WHEN {_text(name)} THEN concat_ws({_text(_BETWEEN)}, "
+        + ", ".join(_label_sql(text, r) for r in rules if r.category == name)
+        + ")"
+        for name in categories_of(rules)
+    ]
+    return F.split(F.expr(f"CASE {category} {' '.join(branches)} END"), _BETWEEN)
+
+
+def first_type(text: str, category: str, rules: Sequence[TypeRule]) -> Column:
     """First type rule, in list order, that matches within the winning category."""
-    return F.coalesce(
-        *[F.when((category == r.category) & matches(text, r.pattern), F.lit(r.type_name)) for r in rules]
-    )
+    whens = [f"WHEN {category} = {_text(r.category)} AND {match_sql(text, r.pattern)} THEN {_text(r.type_name)}" for r in rules]
+    return F.expr(f"CASE {' '.join(whens)} END")
 
 
 def fired_rules(df: DataFrame, text: str, keys: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
     """Long form: one row per (text row, rule that matches), still without a join."""
-    tests = F.array(
-        *[
-            F.when(
-                matches(F.col(text), r.pattern),
-                F.struct(
-                    F.lit(i).cast("bigint").alias("rule_ord"),
-                    F.lit(r.category).alias("category"),
-                    F.lit(r.weight).alias("weight"),
-                ),
-            )
-            for i, r in enumerate(rules)
-        ]
+    tests = ", ".join(
+        f"CASE WHEN {match_sql(text, r.pattern)} THEN named_struct('rule_ord', {i}L, 'category', {_text(r.category)}, 'weight', {r.weight}D) END"
+        for i, r in enumerate(rules)
     )
-    hits = df.select(*keys, F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("hit"))
+    hits = df.select(*keys, F.explode(F.expr(f"array({tests})")).alias("hit")).filter("hit IS NOT NULL")
     return hits.select(*keys, "hit.rule_ord", "hit.category", "hit.weight")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,18 +48,24 @@ def score_text(df: DataFrame, text: str, rules: Sequence[Rule] = BUNDLE_RULES, p
     lowered = fold(F.coalesce(F.col(text), F.lit("")))
     staged = df.withColumn("_lowered", lowered)
     return staged.select(
-        *df.columns, *[c.alias(prefix + name) for name, c in score_columns(F.col("_lowered"), rules).items()]
+        *df.columns, *[c.alias(prefix + name) for name, c in score_columns("_lowered", rules).items()]
     )
 
 
-def winner(scores: dict[str, Column], floor: float = MIN_SCORE) -> Column:
-    """Struct (category, confidence): best score, ties by category order, null below ``floor``."""
-    ranked = F.sort_array(F.array(*scores.values()), asc=False)
-    best = F.element_at(ranked, 1)
-    runner_up = F.element_at(ranked, 2) if len(scores) > 1 else F.lit(0.0)
-    name = F.coalesce(*[F.when(c == best, F.lit(n)) for n, c in scores.items()])
+def with_winner(df: DataFrame, scores: Mapping[str, str], floor: float = MIN_SCORE, out: str = "_win") -> DataFrame:
+    """Adds struct (category, confidence) from the score columns (category -> column).
+
+    Best score wins, ties go to the first category, and the struct is null below ``floor``.
+    Best and runner-up are columns of their own: inside a condition they would be sorted out
+    again at every mention.
+    """
+    ranked = F.sort_array(F.array(*scores.values()), asc=False) if len(scores) > 1 else F.array(*scores.values(), F.lit(0.0))
+    staged = df.withColumn("_ranked", ranked)
+    best, runner_up = F.col("_ranked")[0], F.col("_ranked")[1]
+    name = F.coalesce(*[F.when(F.col(c) == best, F.lit(n)) for n, c in scores.items()])
     confidence = F.least(best / (best + runner_up + F.lit(1.0)), F.lit(1.0))
-    return F.when(best >= floor, F.struct(name.alias("category"), confidence.alias("confidence")))
+    found = F.when(best >= floor, F.struct(name.alias("category"), confidence.alias("confidence")))
+    return staged.select(*df.columns, found.alias(out))
 
 
 def classify_text(
@@ -78,17 +84,17 @@ def classify_text(
     names = categories_of(rules)
     lowered = df.withColumn("_lowered", fold(F.col(text)))
     scored = lowered.select(
-        "*", *[c.alias(_score_name(n)) for n, c in score_columns(F.col("_lowered"), rules).items()]
+        "*", *[c.alias(_score_name(n)) for n, c in score_columns("_lowered", rules).items()]
     )
-    won = scored.withColumn("_win", winner({n: F.col(_score_name(n)) for n in names}, floor))
+    won = with_winner(scored, {n: _score_name(n) for n in names}, floor)
     category = F.col("_win.category")
     detail = F.struct(
         category.alias("category"),
-        (first_type(F.col("_lowered"), category, type_rules) if type_rules else F.lit(None).cast("string")).alias(
+        (first_type("_lowered", "_win.category", type_rules) if type_rules else F.lit(None).cast("string")).alias(
             "document_type"
         ),
         F.col("_win.confidence").alias("confidence"),
-        signal_array(F.col("_lowered"), category, rules).alias("signals"),
+        signal_array("_lowered", "_win.category", rules).alias("signals"),
     )
     fenced = fence(won, **{out: F.when(F.col("_win").isNotNull(), detail)})
     return fenced.select(*df.columns, out)

@@ -25,6 +25,7 @@ from .registry import case
 from .rulesql import hit, ruled_cte, scored_cte
 
 CATEGORIES = categories_of(BUNDLE_RULES)
+SCORES = {c: f"score_{c}" for c in CATEGORIES}
 _SCORED = scored_cte("bundles", "cover_text")
 _RULED = ruled_cte("bundles", "cover_text")
 
@@ -49,23 +50,23 @@ def _(t):
 @case("signals", f"WITH {_RULED} SELECT document_id, r_category AS category, r_signals AS signals FROM ruled WHERE r_category IS NOT NULL", "bundles")
 def _(t):
     scored = K.score_text(t.wide("bundles").select("document_id", "cover_text", F.lower("cover_text").alias("low")), "cover_text")
-    won = fence(scored, category=K.winner({c: F.col(f"score_{c}") for c in CATEGORIES})["category"])
-    labels = F.array_join(signal_array(F.col("low"), F.col("category"), BUNDLE_RULES), " | ")
+    won = fence(K.with_winner(scored, SCORES), category=F.col("_win.category"))
+    labels = F.array_join(signal_array("low", "category", BUNDLE_RULES), " | ")
     return fence(won, signals=labels).filter("category IS NOT NULL").select("document_id", "category", "signals")
 
 
 @case("top_category", f"WITH {_RULED} SELECT document_id, r_category AS category, round(r_confidence, 6) AS confidence FROM ruled", "bundles")
 def _(t):
     scored = K.score_text(t.wide("bundles").select("document_id", "cover_text"), "cover_text")
-    w = K.winner({c: F.col(f"score_{c}") for c in CATEGORIES})
-    return scored.select("document_id", w["category"].alias("category"), F.round(w["confidence"], 6).alias("confidence"))
+    won = K.with_winner(scored, SCORES)
+    return won.select("document_id", F.col("_win.category").alias("category"), F.round("_win.confidence", 6).alias("confidence"))
 
 
 @case("first_matching_subtype", f"WITH {_RULED} SELECT document_id, r_type AS document_type FROM ruled", "bundles")
 def _(t):
     scored = K.score_text(t.wide("bundles").select("document_id", "cover_text", F.lower("cover_text").alias("low")), "cover_text")
-    won = scored.withColumn("category", K.winner({c: F.col(f"score_{c}") for c in CATEGORIES})["category"])
-    return won.select("document_id", first_type(F.col("low"), F.col("category"), BUNDLE_TYPE_RULES).alias("document_type"))
+    won = K.with_winner(scored, SCORES).withColumn("category", F.col("_win.category"))
+    return won.select("document_id", first_type("low", "category", BUNDLE_TYPE_RULES).alias("document_type"))
 
 
 @case("classify_text", f"""WITH {_RULED} SELECT document_id, r_category AS category, r_type AS document_type, round(r_confidence, 6) AS confidence,
