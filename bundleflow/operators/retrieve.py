@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plan import fence
 from ..functions.vectors import cosine_prenormed, norm
 from ..session import cut_lineage
 from .vectors import DEFAULT_K, top_per_group
@@ -30,12 +31,19 @@ def candidates(parsed: DataFrame, persons: DataFrame, belongs_to: DataFrame) ->
 
 
 def score_pages(found: DataFrame, query_vectors: DataFrame, page_vectors: DataFrame) -> DataFrame:
-    """(query_id, document_id, page_num, score) for the pages of candidate documents only."""
+    """(query_id, document_id, page_num, score) for the pages of candidate documents only.
+
+    The query vector joins the small candidate table first; pages come last, on the document,
+    so a later top-k per query can cut each task's rows before they are shuffled by query.
+    """
     q = query_vectors.select("query_id", "query_vector", norm(F.col("query_vector")).alias("_qn"))
     v = page_vectors.select("document_id", "page_num", "embedding")
-    pairs = found.join(v, "document_id").join(q, "query_id")
-    score = cosine_prenormed(F.col("embedding"), norm(F.col("embedding")), F.col("query_vector"), F.col("_qn"))
-    return pairs.select("query_id", "document_id", "page_num", F.round(score, 6).alias("score")).filter(F.col("score").isNotNull())
+    pairs = found.join(q, "query_id").join(v, "document_id")
+    score = F.round(
+        cosine_prenormed(F.col("embedding"), norm(F.col("embedding")), F.col("query_vector"), F.col("_qn")), 6
+    )
+    scored = fence(pairs, score=score)
+    return scored.filter(F.col("score").isNotNull()).select("query_id", "document_id", "page_num", "score")
 
 
 def best_pages(scored: DataFrame) -> DataFrame:

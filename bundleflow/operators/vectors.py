@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plan import fence
 from ..functions.vectors import cosine
 
 DEFAULT_K = 10  # ours: the number of hits is left open by the design
@@ -21,8 +22,8 @@ VECTOR_SLICE = 50_000
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """The k nearest to one literal vector, ties by id: a per-task top-k and a merge."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(id_col, F.round(cosine(F.col(vec), q), 6).alias("score")).filter(F.col("score").isNotNull())
-    return scored.orderBy(F.desc("score"), F.col(id_col)).limit(k)
+    scored = fence(vectors.select(id_col, vec), score=F.round(cosine(F.col(vec), q), 6)).drop(vec)
+    return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
