@@ -1,14 +1,17 @@
-"""Streaming forms: the batch operators per micro-batch, and watermarked de-duplication."""
+"""Streaming forms: the batch operators per micro-batch, and stateful de-duplication."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.dedup import WINDOW_SECONDS
 from ..operators.match import match_registry_exact
 from ..operators.merge import upsert_pages
 from ..operators.validate import manifest_checks, quarantine
@@ -17,7 +20,7 @@ from ..schemas import DOCUMENTS, PAGES
 from ..sources.queue import page_work_queue
 from ..sources.tables import publish, read_latest
 
-DEDUP_WINDOW = "5 minutes"
+LATENESS = "1 hour"  # how far behind the newest message a straggler may be
 
 
 def stream_ingest(
@@ -55,10 +58,41 @@ def stream_ingest(
     return writer.start()
 
 
-def stream_dedup(messages: DataFrame, ids: list[str], ts: str = "ts", window: str = DEDUP_WINDOW) -> DataFrame:
-    """Messages with a repeated id inside the window dropped; a later repeat counts as new."""
-    timed = messages.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, window).dropDuplicatesWithinWatermark(ids)
+def stream_dedup(
+    messages: DataFrame, ids: list[str], ts: str = "ts", window_seconds: int = WINDOW_SECONDS, lateness: str = LATENESS
+) -> DataFrame:
+    """Messages with a repeated id inside the window dropped; a later repeat counts as new.
+
+    The state per id is the time of the message that last counted, compared exactly, so a
+    repeat beyond the window is never lost to state that has not been cleaned up yet.  Watermarked
+    state is dropped once no message of its window can arrive.  A group is read chunk by chunk,
+    whatever its size.
+    """
+    timed = messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    stamped = timed.withColumn("_us", F.unix_micros(F.col(ts)))
+    window = window_seconds * 1_000_000
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = int(state.get[0]) if state.exists else None
+        for chunk in chunks:
+            chunk = chunk.sort_values("_us", kind="stable")
+            keep = []
+            for us in chunk["_us"].tolist():
+                new = last is None or abs(us - last) >= window
+                keep.append(new)
+                if new and (last is None or us > last):
+                    last = us
+            yield chunk.loc[keep].drop(columns="_us")
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + window) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    return stamped.groupBy(*ids).applyInPandasWithState(
+        step, timed.schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def stream_registry_match(documents: DataFrame, registry: DataFrame) -> DataFrame:

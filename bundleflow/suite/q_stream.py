@@ -29,12 +29,15 @@ def _(t):
     )
 
 
-@case("stream_dedup")
+@case("stream_dedup", """WITH RECURSIVE seen AS (SELECT DISTINCT user_id AS u, event_type AS k, ts FROM events),
+    kept AS (SELECT u, k, min(ts) AS ts FROM seen GROUP BY u, k
+      UNION ALL SELECT s.u, s.k, min(s.ts) FROM kept q JOIN seen s ON s.u = q.u AND s.k = q.k AND s.ts >= q.ts + INTERVAL 5 MINUTE GROUP BY s.u, s.k)
+    SELECT u AS user_id, k AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM kept""")
 def _(t):
     root = scratch_dir(t.spark, "stream_dedup")
-    events = J.stream_files(t.spark, f"{t.sf_dir}/events*.parquet")
+    events = J.stream_files(t.spark, f"{t.sf_dir}/events*.parquet").select("user_id", "event_type", "ts")
     J.run_to_table(J.stream_dedup(events, ["user_id", "event_type"]), f"{root}/data", f"{root}/ck")
-    return t.spark.read.parquet(f"{root}/data").select("user_id", "event_type")
+    return t.spark.read.parquet(f"{root}/data").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @case("stream_registry_match", f"WITH {EXACT} SELECT document_id, reference_data_id, match_status FROM exact", ("applicants", "person"))
