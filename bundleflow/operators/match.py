@@ -35,28 +35,29 @@ def registration_key(text: Column) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("int")
 
 
-def delete_variants(c: Column, edits: int) -> Column:
-    """All strings left after deleting up to ``edits`` characters.
+def explode_deletions(df: DataFrame, text: str, edits: int, out: str = "_v") -> DataFrame:
+    """One row per string left after deleting up to ``edits`` characters of ``text``.
 
-    Two strings within ``edits`` Levenshtein edits always share one of them, and the number
-    of distinct strings behind one variant depends only on string length and alphabet, not
-    on how much data there is.
+    Two strings within ``edits`` Levenshtein edits always share one of them, and the number of
+    distinct strings behind one variant depends only on string length and alphabet, not on how
+    much data there is.  Positions ascend, so each set of positions comes up once; the strings
+    are cut by plain generated code.
     """
-    def shorter(s: Column) -> Column:
-        return F.when(
-            F.length(s) > 0,
-            F.transform(
-                F.sequence(F.lit(1), F.length(s)),
-                lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    level = F.array(c)
-    out = level
+    stop = F.lit(0)
+    rows = df.withColumn(out, F.col(text)).withColumn("_from", F.lit(1))
     for _ in range(edits):
-        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+        size = F.length(out)
+        places = F.when(F.col("_from") > size, F.array(stop)).otherwise(
+            F.concat(F.array(stop), F.sequence(F.col("_from"), F.greatest(size, F.col("_from"))))
+        )
+        rows = rows.withColumn("_at", F.explode(places))
+        shorter = F.concat(F.substring(out, F.lit(1), F.col("_at") - 1), F.substring(out, F.col("_at") + 1, size))
+        rows = rows.select(
+            *df.columns,
+            F.when(F.col("_at") == stop, F.col(out)).otherwise(shorter).alias(out),
+            F.when(F.col("_at") == stop, F.lit(2**30)).otherwise(F.col("_at")).alias("_from"),
+        )
+    return rows.drop("_from")
 
 
 def best_edit_match(left: DataFrame, right: DataFrame, max_edits: int, score: float) -> DataFrame:
@@ -72,7 +73,7 @@ def best_edit_match(left: DataFrame, right: DataFrame, max_edits: int, score: fl
     exact = left.join(targets, ["block", "text"], "left")
 
     def keyed(df: DataFrame) -> DataFrame:
-        variants = before_fan_out(df).withColumn("_v", F.explode(delete_variants(F.col("text"), max_edits)))
+        variants = explode_deletions(before_fan_out(df), "text", max_edits)
         return variants.withColumn("_k", F.xxhash64("block", "_v")).drop("_v")
 
     l_side = keyed(exact.filter(F.col("payload").isNull()).drop("payload"))
@@ -82,7 +83,8 @@ def best_edit_match(left: DataFrame, right: DataFrame, max_edits: int, score: fl
     l_exact = exact.filter(F.col("payload").isNotNull()).select(
         "block", "text", "payload", F.lit(0).alias("edits"), F.lit(100.0).alias("score")
     )
-    pairs = l_side.join(r_side, "_k").filter(F.col("block") == F.col("_rblock"))
+    # size estimates do not see the fan-out, so broadcasting either side is ruled out
+    pairs = l_side.join(r_side.hint("merge"), "_k").filter(F.col("block") == F.col("_rblock"))
     edits = F.levenshtein(F.col("text"), F.col("_rtext"))
     longest = F.greatest(F.length("text"), F.length("_rtext"))
     scored = pairs.select(

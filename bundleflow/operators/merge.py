@@ -25,7 +25,7 @@ from ..schemas import (
     REGISTRY,
 )
 from .joins import left_join_spread_nulls
-from .validate import require_unique, update_whitelist
+from .validate import enforce, require_unique, update_whitelist
 
 AUDIT = ("created_at", "updated_at")
 MODES = ("overwrite", "forward_only")
@@ -115,14 +115,15 @@ def upsert(
 def upsert_documents(
     target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only"
 ) -> DataFrame:
-    return upsert(target, changes, ["document_id"], run_ts, mode, {"status": DOCUMENT_STATUS_RANK, "match_status": MATCH_STATUS_RANK})
+    checked = enforce(changes, partial=True)
+    return upsert(target, checked, ["document_id"], run_ts, mode, {"status": DOCUMENT_STATUS_RANK, "match_status": MATCH_STATUS_RANK})
 
 
 def upsert_pages(
     target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only"
 ) -> DataFrame:
     keyed = changes if "page_id" in changes.columns else changes.withColumn("page_id", page_id(F.col("document_id"), F.col("page_num")))
-    return upsert(target, keyed, ["page_id"], run_ts, mode, {"ocr_status": OCR_STATUS_RANK})
+    return upsert(target, enforce(keyed, partial=True), ["page_id"], run_ts, mode, {"ocr_status": OCR_STATUS_RANK})
 
 
 def bulk_upsert_pages(target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "overwrite") -> DataFrame:
@@ -196,7 +197,7 @@ def _keep_on_null(
     if strict:
         _known(results, target, ["document_id", "page_num"])
     names = [c for c in (*columns, *always) if c in results.columns]
-    c = results.select("document_id", "page_num", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_new_{n}") for n in names])
+    c = enforce(results, partial=True).select("document_id", "page_num", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_new_{n}") for n in names])
     joined = target.join(c, ["document_id", "page_num"], "left")
     hit = F.col("_hit").isNotNull()
     values = {n: F.coalesce(F.col(f"_new_{n}"), F.col(n)) for n in columns if n in names}

@@ -78,15 +78,21 @@ def check_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return violations(df, range_rules(df.columns), keys)
 
 
-def enforce(df: DataFrame) -> DataFrame:
-    """Raise mode: the job fails on the first row that breaks an enum or a range."""
+def enforce(df: DataFrame, partial: bool = False) -> DataFrame:
+    """Raise mode: the job fails on the first row that breaks an enum or a range.
+
+    ``partial`` rows are changes, where null means "not supplied" and passes.
+    """
     checks = {n: enum_violation(n) for n in ENUMS if n in df.columns} | range_rules(df.columns)
-    guarded = df
-    for name, bad in checks.items():
-        value = F.col(name)
+
+    def guarded(name: str) -> Column:
+        value, bad = F.col(name), checks[name]
+        if partial:
+            bad = value.isNotNull() & bad
         message = F.concat(F.lit(f"invalid {name}: "), F.coalesce(value.cast("string"), F.lit("null")))
-        guarded = guarded.withColumn(name, F.when(bad, F.raise_error(message).cast(df.schema[name].dataType)).otherwise(value))
-    return guarded
+        return F.when(bad, F.raise_error(message).cast(df.schema[name].dataType)).otherwise(value).alias(name)
+
+    return df.select(*[guarded(c) if c in checks else F.col(c) for c in df.columns])
 
 
 def manifest_checks() -> dict[str, Column]:

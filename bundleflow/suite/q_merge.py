@@ -97,7 +97,7 @@ def _(t):
     return _shown(M.upsert_pages(stored_pages(t), page_changes(t), RUN_TS, "overwrite"))
 
 
-@case("bulk_upsert_pages", f"""WITH {_STORED_PAGES}, changes AS (SELECT document_id || ':' || cast(page_num AS string) AS page_id, document_id, page_num, arg_max(payload, seq) AS payload
+@case("bulk_upsert_pages", f"""WITH {_STORED_PAGES}, changes AS (SELECT document_id || ':' || cast(page_num AS string) AS page_id, document_id, page_num, arg_max(payload, seq) / 2000.0 AS payload
         FROM bundle_pages_raw GROUP BY 1, 2, 3)
     SELECT {_PAGE_KEYS.replace('a.confidence_score', 'coalesce(b.payload, a.confidence_score) AS confidence_score')}, a.page_type, coalesce(a.ocr_status, 'pending') AS ocr_status, {_PS}
     FROM stored a FULL JOIN (SELECT * FROM changes) b ON a.page_id = b.page_id""", ("bundle_pages", "bundle_pages_raw"))
@@ -107,7 +107,7 @@ def _(t):
         M.bulk_upsert_pages(stored_pages(t), raw, RUN_TS)
     except ValueError:
         batch = M.last_write_wins(raw, ["document_id", "page_num"], "seq")
-        rows = batch.select("document_id", "page_num", F.col("payload").alias("confidence_score"), F.lit("pending").alias("ocr_status"))
+        rows = batch.select("document_id", "page_num", (F.col("payload") / 2000.0).alias("confidence_score"), F.lit("pending").alias("ocr_status"))
         return _shown(M.bulk_upsert_pages(stored_pages(t), rows, RUN_TS, "forward_only"))
     raise AssertionError("a batch with a repeated page was accepted")
 

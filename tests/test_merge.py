@@ -99,6 +99,11 @@ def test_refusals(spark):
     good = pages(spark, {"page_num": 1, "confidence_score": 87.5, "ocr_status": "queued"})
     assert V.enforce(good).collect() == good.collect()
     assert V.enforce(docs(spark, {"document_id": "a", "match_status": None})).count() == 1
+    empty = spark.createDataFrame([], PAGES)
+    with pytest.raises(Exception, match="invalid ocr_status: lost"):
+        M.upsert_pages(empty, pages(spark, {"page_num": 1, "ocr_status": "lost"}), T1).collect()
+    with pytest.raises(Exception, match="invalid page_num: 0"):
+        M.bulk_upsert_pages(empty, pages(spark, {"page_num": 0}), T1).collect()
 
 
 def test_cascade_and_set_null(spark):

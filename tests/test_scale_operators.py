@@ -99,10 +99,13 @@ def test_edit_match_finds_every_best_partner(spark, edits):
     assert got == want
 
 
-def test_delete_variants(spark):
-    df = spark.createDataFrame([("abc",), ("",), ("aa",)], "s string")
-    got = [set(r["v"]) for r in df.select(match.delete_variants(F.col("s"), 2).alias("v")).collect()]
-    assert got == [{"abc", "bc", "ac", "ab", "a", "b", "c"}, {""}, {"aa", "a", ""}]
+def test_deletions(spark):
+    df = spark.createDataFrame([("abc",), ("",), ("aa",), ("é०x",)], "s string")
+    got = {}
+    for r in match.explode_deletions(df, "s", 2).collect():
+        got.setdefault(r["s"], []).append(r["_v"])
+    assert sorted(got["abc"]) == sorted(["abc", "bc", "ac", "ab", "a", "b", "c"])
+    assert got[""] == [""] and set(got["aa"]) == {"aa", "a", ""} and "०" in got["é०x"]
 
 
 def test_match_registry_methods(spark):
