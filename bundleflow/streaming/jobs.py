@@ -48,9 +48,13 @@ def stream_ingest(
             accepted, refused = quarantine(batch, manifest_checks())
             refused.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
         result = ingest_manifests(accepted, cover_texts, documents, pages, run_ts, fallback=fallback)
-        page_work_queue(result.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
-        publish(result.documents, f"{root}/documents", batch_id)
-        publish(result.pages, f"{root}/pages", batch_id)
+        classified = result.classified.persist()  # read by all three outputs
+        try:
+            page_work_queue(result.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
+            publish(result.documents, f"{root}/documents", batch_id)
+            publish(result.pages, f"{root}/pages", batch_id)
+        finally:
+            classified.unpersist()
 
     writer = manifests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
     if available_now:

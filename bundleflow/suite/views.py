@@ -78,7 +78,7 @@ VIEWS: dict[str, str] = {
     # the same keys unfolded: repeated (document_id, page_num) with an order to resolve them by
     "bundle_pages_raw": """
         SELECT cast(l_orderkey AS string) AS document_id, cast(l_linenumber AS bigint) AS page_num, l_extendedprice AS payload,
-               l_partkey * 1000000 + l_suppkey AS seq
+               l_partkey * 100000000 + cast(round(l_extendedprice * 100) AS bigint) AS seq
         FROM lineitem""",
     "page_texts": """
         SELECT document_id, page_num, s3_key, page_type,
