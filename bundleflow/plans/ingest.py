@@ -37,6 +37,7 @@ def ingest_manifests(
     run_ts: datetime | Column,
     mode: str = "forward_only",
     fallback: Callable[[DataFrame], DataFrame] | None = None,
+    materialize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingest:
     """Upsert, classify, route and final states for a batch.
 
@@ -44,6 +45,9 @@ def ingest_manifests(
     state of a row reach its table in one merge, so each table is shuffled once per batch.  In
     ``forward_only`` mode a page already queued or done is neither reset nor sent again, so a
     re-run of the same batch changes nothing.
+
+    All three outputs read the classification.  ``materialize`` may store it and hand back the
+    stored table, so it is computed once.
     """
     batch = latest_manifests(manifests)
     bundles = batch.select(
@@ -53,6 +57,8 @@ def ingest_manifests(
         "cover_text", with_qr(F.col("cover_text"), F.col("qr_content"))
     )
     classified = flatten_result(classify_documents(texts, fallback=fallback))
+    if materialize is not None:
+        classified = materialize(classified)
 
     states = document_states(classified)
     doc_changes = document_rows(batch).drop("document_category").join(states, "document_id")

@@ -47,14 +47,16 @@ def stream_ingest(
         if strict:
             accepted, refused = quarantine(batch, manifest_checks())
             refused.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
-        result = ingest_manifests(accepted, cover_texts, documents, pages, run_ts, fallback=fallback)
-        classified = result.classified.persist()  # read by all three outputs
-        try:
-            page_work_queue(result.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
-            publish(result.documents, f"{root}/documents", batch_id)
-            publish(result.pages, f"{root}/pages", batch_id)
-        finally:
-            classified.unpersist()
+
+        def store(classified: DataFrame) -> DataFrame:
+            path = f"{root}/classified/batch={batch_id}"
+            classified.write.mode("overwrite").parquet(path)
+            return spark.read.schema(classified.schema).parquet(path)
+
+        result = ingest_manifests(accepted, cover_texts, documents, pages, run_ts, fallback=fallback, materialize=store)
+        page_work_queue(result.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
+        publish(result.documents, f"{root}/documents", batch_id)
+        publish(result.pages, f"{root}/pages", batch_id)
 
     writer = manifests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
     if available_now:
