@@ -20,7 +20,7 @@ from ..operators import classify as K
 from ..operators import route as R
 from ..operators.merge import empty_tables
 from ..plans.ingest import ingest_manifests
-from .q_sources import DECIDED, MANIFEST_PAGES, MESSAGES, RUN_TS, classified, manifests
+from .q_sources import DECIDED, MANIFEST_PAGES, RUN_TS, classified, manifests
 from .registry import case
 from .rulesql import hit, ruled_cte, scored_cte
 
