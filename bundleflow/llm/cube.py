@@ -6,7 +6,8 @@ totals per source, tokens and documents, keep their expected values: three undec
 have a direction in which both totals stand still, and a step along it decides at least one of
 them.  Units are balanced in bounded blocks; what a block leaves open (two units at most) meets
 the rest of its source in the next round, so the number of open units falls by the block size
-each round and one small landing problem per source remains.
+each round.  The last round holds a dozen units back, spread over all sizes; with the one or two
+that stay open they form the landing problem, small enough to try every way.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, text_of
 
 BLOCK = 4096
+RESERVE = 12  # undecided units that the last round holds back for the landing
 MOST = 3  # a source is repeated so many times at most
 # Weights dealt to the sources in code point order, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -76,11 +78,17 @@ def _step(pi: list[float], size: list[float], draw: float) -> None:
         pi[i] = 0.0 if pi[i] < EDGE else 1.0 if pi[i] > 1 - EDGE else pi[i]
 
 
-def flight(pi: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
-    """Probabilities after the flight phase: two of them undecided at most."""
+def flight(pi: np.ndarray, size: np.ndarray, draws: np.random.Generator, reserve: int = 0) -> np.ndarray:
+    """Probabilities after the flight phase: two of them undecided at most, and the reserve.
+
+    The reserve is spread evenly over the order of the units and keeps its probabilities.
+    """
     pi = pi.astype(float).copy()
     undecided = np.flatnonzero((pi > EDGE) & (pi < 1 - EDGE)).tolist()
     pi[pi <= EDGE], pi[pi >= 1 - EDGE] = 0.0, 1.0
+    if reserve:
+        apart = set(np.linspace(0, len(undecided) - 1, min(reserve, len(undecided))).astype(int).tolist()) if undecided else set()
+        undecided = [at for i, at in enumerate(undecided) if i not in apart]
     held: list[int] = []
     uniform = iter(draws.random(len(undecided) + 3).tolist())
     sizes = size.astype(float)
@@ -95,23 +103,27 @@ def flight(pi: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.n
     return pi
 
 
-def landing(pi: np.ndarray, size: np.ndarray, want: float, taken: float) -> np.ndarray:
-    """Decide the last few units so that the tokens taken come nearest to what is wanted."""
-    pi = pi.copy()
-    for i in sorted(np.flatnonzero((pi > 0) & (pi < 1)).tolist(), key=lambda i: -size[i]):
-        pi[i] = float(abs(taken + size[i] - want) < abs(taken - want))
-        taken += size[i] * pi[i]
+def landing(pi: np.ndarray, size: np.ndarray, tokens: float) -> np.ndarray:
+    """Decide the last RESERVE + 2 units at most: of all ways, the one nearest to both totals.
+
+    tokens is what these units should bring; documents should bring the sum of pi and count less.
+    """
+    pi, at = pi.copy(), np.flatnonzero((pi > 0) & (pi < 1))
+    if len(at):
+        ways = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+        off = np.abs(ways @ size[at] - tokens) + 1e-3 * size[at].mean() * np.abs(ways.sum(axis=1) - pi[at].sum())
+        pi[at] = ways[np.argmin(off)]
     return pi
 
 
-def _fly(seed: int):
+def _fly(seed: int, reserve: int):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
         mixed = pd.util.hash_pandas_object(rows[["doc_id", "size"]].astype("float64"), index=False).to_numpy()
         # The longest go first, so that what stays open for the landing is short.
         rows = rows.iloc[np.lexsort((mixed, -rows["size"].to_numpy()))]
         first = int(mixed.min()) ^ (seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        rows["pi"] = flight(rows["pi"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(first))
+        rows["pi"] = flight(rows["pi"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(first), reserve)
         return rows.drop(columns="_b")
 
     return block
@@ -145,7 +157,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
         blocks = max(1, math.ceil(biggest / block))
         salt = F.pmod(F.xxhash64("doc_id", "size", F.lit(round_no)), F.lit(blocks))
         flown = undecided.select(*columns, salt.alias("_b")).groupBy("source", "_b").applyInPandas(
-            _fly(seed + round_no), UNIT
+            _fly(seed + round_no, RESERVE if blocks == 1 else 0), UNIT
         )
         flown = cut(flown, "mix-round")
         is_open = (F.col("pi") > 0) & (F.col("pi") < 1)
@@ -163,7 +175,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     def land(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
         sure = float((rows["size"] * np.floor(rows["ratio"])).sum())
-        rows["pi"] = landing(rows["pi"].to_numpy(), rows["size"].to_numpy(), float(rows["target"].iloc[0]), float(rows["_so_far"].fillna(0).iloc[0]) + sure)
+        tokens = float(rows["target"].iloc[0]) - float(rows["_so_far"].fillna(0).iloc[0]) - sure
+        rows["pi"] = landing(rows["pi"].to_numpy(), rows["size"].to_numpy(), tokens)
         return rows[columns]
 
     landed = last.groupBy("source").applyInPandas(land, UNIT)
