@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube, licenses
+from pyspark.sql import functions as F
+
+from . import bwt, cube, licenses
 from .common import read
 from .sql import LICENSE_SQL
 
@@ -13,9 +15,18 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def _digested(df: DataFrame, *fields: str) -> DataFrame:
+    """The digest columns of a substring deduplicator's result."""
+    return df.select("doc_id", *[F.col(f"repeats.{f}") for f in fields], F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op4_mix_sources)}
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(bwt.dedup(read(spark, sf_dir, "documents")), "n_bytes", "n_removed", "n_spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op4_mix_sources, op6_suffix_array_dedup)}
 CHECKS = {"op1_license_scans": LICENSE_SQL}
