@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bwt, cube, licenses
+from . import anchors, bwt, cube, licenses
 from .common import read
 from .sql import LICENSE_SQL
 
@@ -24,9 +24,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(anchors.dedup(read(spark, sf_dir, "documents")), "n_words", "n_removed")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(bwt.dedup(read(spark, sf_dir, "documents")), "n_bytes", "n_removed", "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op4_mix_sources, op6_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup)}
 CHECKS = {"op1_license_scans": LICENSE_SQL}
