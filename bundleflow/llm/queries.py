@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import anchors, bwt, cube, licenses
+from . import anchors, bwt, cube, jaccard, licenses
 from .common import read
 from .sql import LICENSE_SQL
 
@@ -32,5 +32,9 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(bwt.dedup(read(spark, sf_dir, "documents")), "n_bytes", "n_removed", "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup)}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op8_jaccard_join)}
 CHECKS = {"op1_license_scans": LICENSE_SQL}
