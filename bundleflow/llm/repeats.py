@@ -206,16 +206,28 @@ def in_field(field: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
     return found
 
 
+PART_BITS = 19
+
+
 def bit_field(names: DataFrame, bits: int) -> np.ndarray:
-    """Bits set for all names, or-ed by Spark; 2^bits / 64 words reach the driver at most."""
+    """Bits set for all names, put together in parts by Spark; 2^bits bits reach the driver."""
     places = F.array(*[F.shiftrightunsigned("name", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in SHIFTS])
-    words = (
-        names.select(F.explode(places).alias("_place"))
-        .groupBy(F.shiftright("_place", 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("mask"))
-    ).toPandas()
-    field = np.zeros(1 << max(0, bits - 6), np.uint64)
-    field[words["word"].to_numpy()] = words["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    width = 1 << PART_BITS
+    spread = names.select(F.explode(places).alias("place")).select((F.col("place") / width).cast("int").alias("part"), (F.col("place") % width).cast("int").alias("place"))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, rows in batch.groupby("part"):
+                place = rows["place"].to_numpy().astype(np.uint64)
+                field = parts.setdefault(part, np.zeros(width >> 6, np.uint64))
+                np.bitwise_or.at(field, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+        yield pd.DataFrame({"part": list(parts), "bits": [f.tobytes() for f in parts.values()]})
+
+    field = np.zeros(max(1 << bits, width) >> 6, np.uint64)
+    for row in spread.repartition("part").mapInPandas(build, "part int, bits binary").collect():
+        low = row.part * (width >> 6)
+        field[low : low + (width >> 6)] |= np.frombuffer(row.bits, np.uint64)
     return field
 
 
