@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import anchors, bwt, cube, jaccard, licenses, quality
+from . import anchors, bwt, cube, jaccard, licenses, quality, tiff
 from .common import read
 from .sql import LICENSE_SQL
 
@@ -21,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", "quality.*")
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_table(read(spark, sf_dir, "documents"))
+
+
 def _digested(df: DataFrame, *fields: str) -> DataFrame:
     """The digest columns of a substring deduplicator's result."""
     return df.select("doc_id", *[F.col(f"repeats.{f}") for f in fields], F.sha2("repeats.kept", 256).alias("kept_sha256"))
@@ -42,5 +46,5 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op8_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op8_jaccard_join)}
 CHECKS = {"op1_license_scans": LICENSE_SQL}
