@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import anchors, bwt, cube, jaccard, licenses, quality, tiff
+from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, winnow
 from .common import read
-from .sql import LICENSE_SQL
+from .sql import LEAK_SQL, LICENSE_SQL
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +46,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op8_jaccard_join)}
-CHECKS = {"op1_license_scans": LICENSE_SQL}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = winnow.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.encode(F.array_join("leaks.items", ","), "UTF-8"), 256)
+    return judged.select(
+        "doc_id", "leaks.n_words", "leaks.n_hit", F.size("leaks.items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("leaks.n_hit") > 0).alias("contaminated")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op8_jaccard_join, op9_benchmark_decontamination)}
+CHECKS = {"op1_license_scans": LICENSE_SQL, "op9_benchmark_decontamination": LEAK_SQL}

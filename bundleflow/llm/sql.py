@@ -31,3 +31,28 @@ FROM docs d LEFT JOIN hits h USING (r) LEFT JOIN known k ON k.digest = sha256(ar
 
 
 LICENSE_SQL = _license_sql()
+
+
+def _leak_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"list_filter(regexp_split_to_array({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+items AS (SELECT cast(item_id AS varchar) AS item, {words} AS words FROM benchmark),
+windows AS (
+  SELECT item, words[s : s + 9] AS win FROM (SELECT item, words, unnest(range(1, len(words) - 8)) AS s FROM items WHERE len(words) >= 10)
+  UNION SELECT item, words FROM items WHERE len(words) BETWEEN 1 AND 9),
+lengths AS (SELECT DISTINCT len(win) AS n FROM windows),
+seen AS (
+  SELECT r, s, n, words[s : s + n - 1] AS win
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM docs, lengths WHERE len(words) >= n)),
+hits AS (SELECT r, s, n, item FROM seen JOIN windows USING (win)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM hits)) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+
+LEAK_SQL = _leak_sql()
