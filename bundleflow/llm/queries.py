@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, winnow
+from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, warc, winnow
 from .common import read
-from .sql import LEAK_SQL, LICENSE_SQL
+from .sql import LEAK_SQL, LICENSE_SQL, WARC_SQL
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(bwt.dedup(read(spark, sf_dir, "documents")), "n_bytes", "n_removed", "n_spans")
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op8_jaccard_join, op9_benchmark_decontamination)}
-CHECKS = {"op1_license_scans": LICENSE_SQL, "op9_benchmark_decontamination": LEAK_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op7_warc_archives, op8_jaccard_join, op9_benchmark_decontamination)}
+CHECKS = {"op7_warc_archives": WARC_SQL, "op1_license_scans": LICENSE_SQL, "op9_benchmark_decontamination": LEAK_SQL}

@@ -56,3 +56,13 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 
 LEAK_SQL = _leak_sql()
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN kept IS DISTINCT FROM page_id AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
+FROM d LEFT JOIN k USING (payload_digest)
+"""
