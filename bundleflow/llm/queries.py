@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, warc, winnow
+from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, toolcalls, warc, winnow
 from .common import read
-from .sql import LEAK_SQL, LICENSE_SQL, WARC_SQL
+from .sql import LEAK_SQL, LICENSE_SQL, TOOL_SQL, WARC_SQL
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,28 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op7_warc_archives, op8_jaccard_join, op9_benchmark_decontamination)}
-CHECKS = {"op7_warc_archives": WARC_SQL, "op1_license_scans": LICENSE_SQL, "op9_benchmark_decontamination": LEAK_SQL}
+# The conversations hold no tool calls: every assistant turn becomes three calls, of which the
+# second waits for the third, and every other turn the results of the turn before.
+TOOL_SCHEMAS = (
+    ("search", "query", "string", True), ("search", "limit", "integer", False), ("count", "unit", "string", True), ("count", "source", "string", True),
+    ("fetch", "id", "integer", True), ("fetch", "deep", "boolean", False),
+)
+TOOL_CALLS = """array(
+  named_struct('id', concat('a', turn), 'name', 'search', 'arguments', concat('{"query": "', w, '", "limit": ', n % 50, '}'), 'after', cast(array() AS array<string>)),
+  named_struct('id', concat('b', turn), 'name', 'count', 'arguments', if(n % 5 = 0, '{"unit": 7}', concat('{ "unit" : "word" , "source": "c', turn, '" }')), 'after', array(concat('c', turn))),
+  named_struct('id', concat('c', turn), 'name', 'fetch', 'arguments', concat('{"id":', n, ',"deep":true}'), 'after', array(concat('a', turn))))"""
+TOOL_RESULTS = "explode(if(turn % 4 = 2, array('a', 'c'), array('a', 'b', 'c')))"
+
+
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    worded = turns.filter("role = 'assistant'").selectExpr("conv_id", "turn", "length(coalesce(text, '')) AS n", "regexp_extract(coalesce(text, ''), '[a-z]+', 0) AS w")
+    messages = worded.select("conv_id", "turn", F.expr(TOOL_CALLS).alias("calls"))
+    answers = turns.filter("role = 'user' AND turn >= 1").select("conv_id", "turn", "text", F.expr(TOOL_RESULTS).alias("kind"))
+    results = answers.selectExpr("conv_id", "turn", "concat(kind, turn - 1) AS call_id", "md5(encode(coalesce(text, ''), 'UTF-8')) AS content")
+    schemas = spark.createDataFrame(list(TOOL_SCHEMAS), "tool string, parameter string, type string, required boolean")
+    return toolcalls.link(messages, results, schemas)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op7_warc_archives, op8_jaccard_join, op9_benchmark_decontamination, op10_tool_call_linking)}
+CHECKS = {"op10_tool_call_linking": TOOL_SQL, "op7_warc_archives": WARC_SQL, "op1_license_scans": LICENSE_SQL, "op9_benchmark_decontamination": LEAK_SQL}

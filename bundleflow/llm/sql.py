@@ -66,3 +66,29 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
 FROM d LEFT JOIN k USING (payload_digest)
 """
+
+TOOL_SQL = """
+WITH a AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, length(coalesce(text, '')) AS n, regexp_extract(coalesce(text, ''), '[a-z]+') AS w
+  FROM conversations WHERE role = 'assistant'),
+calls AS (
+  SELECT conv_id, turn, 1 AS step, 'a' || turn AS call_id, 'search' AS name, '' AS errors, '{"limit":' || (n % 50) || ',"query":"' || w || '"}' AS args FROM a
+  UNION ALL
+  SELECT conv_id, turn, 2, 'c' || turn, 'fetch', '', '{"deep":true,"id":' || n || '}' FROM a
+  UNION ALL
+  SELECT conv_id, turn, 3, 'b' || turn, 'count', CASE WHEN n % 5 = 0 THEN 'missing:source,type:unit' ELSE '' END,
+    CASE WHEN n % 5 = 0 THEN '{"unit":7}' ELSE '{"source":"c' || turn || '","unit":"word"}' END FROM a),
+results AS (
+  SELECT conv_id, turn, kind || (turn - 1) AS call_id, md5(coalesce(text, '')) AS content
+  FROM conversations, (VALUES ('a'), ('b'), ('c')) AS k(kind) WHERE role = 'user' AND turn >= 1 AND (kind <> 'b' OR turn % 4 <> 2)),
+answers AS (SELECT conv_id, call_id, count(*) AS n_results, min(content) AS content FROM results GROUP BY 1, 2),
+repeated AS (SELECT conv_id, call_id, count(*) AS n_calls FROM calls GROUP BY 1, 2)
+SELECT conv_id, turn, step, call_id, name,
+  CASE WHEN n_calls > 1 THEN 'duplicate_call' WHEN errors <> '' THEN 'invalid_arguments' WHEN n_results IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+  errors, coalesce(n_results, 0) AS n_results,
+  '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce('"' || content || '"', 'null') || '}' AS canonical
+FROM calls LEFT JOIN answers USING (conv_id, call_id) LEFT JOIN repeated USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, turn, NULL, call_id, NULL, 'orphan_result', '', 1, '{"id":"' || call_id || '","result":"' || content || '"}'
+FROM results WHERE NOT EXISTS (SELECT 1 FROM calls WHERE calls.conv_id = results.conv_id AND calls.call_id = results.call_id)
+"""
