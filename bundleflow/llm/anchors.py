@@ -67,7 +67,7 @@ def repeated_windows(contexts: list[bytes], names: np.ndarray, docs: np.ndarray,
 
 def _keep(window: int):
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in repeats.whole_groups(batches):
+        for rows in repeats.distinct_contexts(batches):
             plain = repeats.alone(rows)
             doc, a, b = [], [], []
             single = rows[plain]

@@ -111,7 +111,7 @@ def first_windows(contexts: list[bytes], window: int) -> list[np.ndarray]:
 
 def _keep(window: int):
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in repeats.whole_groups(batches):
+        for rows in repeats.distinct_contexts(batches):
             plain = repeats.alone(rows) & ~rows["loop"].to_numpy()
             rows["start"] = [s[0] for s in rows["starts"]]
             size = rows["context"].str.len().to_numpy()

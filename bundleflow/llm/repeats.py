@@ -258,14 +258,15 @@ def screen(texts: DataFrame, kind: Kind, hot: int = HOT) -> Screen:
 
 
 def contexts(texts: DataFrame, kind: Kind, seen: Screen) -> DataFrame:
-    """One row per name and distinct context: the smallest doc with its starts in that doc.
+    """Rows of a name and a context: the smallest doc of a batch that has it, with its starts there.
 
     A context is a run's windows as text.  loop: the name's gram occurs in it more than once, so
-    one context may hold a window twice.
+    one context may hold a window twice.  whole_groups merges the batches.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: dict[tuple, tuple[int, list[int]]] = {}
             for ids, group in chunks(batch["doc"].tolist(), batch["text"].tolist()):
                 units = kind.units(group)
                 found = runs(units, kind)
@@ -288,20 +289,19 @@ def contexts(texts: DataFrame, kind: Kind, seen: Screen) -> DataFrame:
                     middle, last = at + kind.spread // 2, at + kind.spread - 1
                     name = np.where(split, mixed(mixed(grams[at]) + mixed(grams[middle] + _MIX) * np.uint64(3) + grams[last]), name[of])
                 starts = (at - units.begin[text]).tolist()
-                out: dict[tuple, list[int]] = {}
                 last_text, take = -1, None
-                for i, (t, s, n, key, twice) in enumerate(zip(text.tolist(), starts, length.tolist(), name.view(np.int64).tolist(), loop.tolist())):
+                for t, s, n, key, twice in zip(text.tolist(), starts, length.tolist(), name.view(np.int64).tolist(), loop.tolist()):
                     if t != last_text:
-                        last_text, take = t, kind.cut_out(group[t])
-                    out.setdefault((key, take(s, s + n + kind.window - 1), ids[t], twice), []).append(s)
-                yield pd.DataFrame([(k, c, d, v, w) for (k, c, d, w), v in out.items()], columns=["name", "context", "doc", "starts", "loop"])
+                        last_text, take, doc = t, kind.cut_out(group[t]), ids[t]
+                    key = (key, take(s, s + n + kind.window - 1), twice)
+                    known = out.get(key)
+                    if known is None or doc < known[0]:
+                        out[key] = (doc, [s])
+                    elif doc == known[0]:
+                        known[1].append(s)
+            yield pd.DataFrame([(k, c, d, v, w) for (k, c, w), (d, v) in out.items()], columns=["name", "context", "doc", "starts", "loop"])
 
-    return (
-        texts.mapInPandas(rows, CONTEXT)
-        .groupBy("name", "context", "loop")
-        .agg(F.min(F.struct("doc", "starts")).alias("first"))
-        .select("name", "context", "loop", "first.doc", "first.starts")
-    )
+    return texts.mapInPandas(rows, CONTEXT)
 
 
 def by_name(df: DataFrame) -> DataFrame:
@@ -321,6 +321,13 @@ def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
+def distinct_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole names, and of each context only the smallest doc."""
+    for rows in whole_groups(batches):
+        rows = rows.sort_values(["name", "doc"], kind="stable")
+        yield rows[~rows.duplicated(["name", "context"])].reset_index(drop=True)
+
+
 def alone(rows: pd.DataFrame) -> np.ndarray:
     """Rows that are the only context of their name."""
     name = rows["name"].to_numpy()
