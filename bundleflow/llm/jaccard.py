@@ -13,14 +13,15 @@ lost, and no list is written out as pairs of one component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import ascii_lower, cut, text_of
+from .common import cut, free_name, text_of
 
 SHINGLE = 3
 COUNTERS = 19  # 2^19 counters order the tokens, at any input size
@@ -34,7 +35,7 @@ _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of several texts, sorted within each, and where each text begins."""
-    joined = b"\n".join(texts)
+    joined = b"\n".join(texts).lower()  # of bytes: ASCII only
     first, _, words = repeats.word_hashes(joined)
     length = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     begin = np.searchsorted(first, np.append(np.cumsum(length) - length, length.sum()))
@@ -75,7 +76,7 @@ def token_counters(texts: DataFrame, shingle: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
         for _, grams, _ in _groups(batches, shingle):
-            total += np.bincount((grams >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=size)
+            np.add.at(total, (grams >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
         yield pd.DataFrame({"part": range(parts), "counts": [p.tobytes() for p in total.reshape(parts, -1)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,22 +97,35 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def _ordered(grams: np.ndarray, begin: np.ndarray, counters: np.ndarray, percent: int):
-    """For each set: tokens of its prefix, rare first.  Yields (set number, n, prefix tokens, mean count)."""
+class Ranked(NamedTuple):
+    """Tokens of several sets, rare first within each."""
+
+    tokens: np.ndarray
+    often: np.ndarray
+    owner: np.ndarray
+    rank: np.ndarray
+    prefix: np.ndarray  # flags of the tokens in their set's prefix
+
+
+def _ranked(grams: np.ndarray, begin: np.ndarray, counters: np.ndarray, percent: int) -> Ranked:
     n = np.diff(begin)
-    often = counters[(grams >> np.uint64(64 - COUNTERS)).astype(np.int64)]
     owner = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((grams, often, owner))
-    ranked, seen = grams[order], often[order]
-    sure = np.log1p(np.append(0, seen)).cumsum()
-    for i, (b, size, k) in enumerate(zip(begin[:-1].tolist(), n.tolist(), prefix_length(n, percent).tolist())):
-        yield i, size, ranked[b : b + k] if size else ranked[:0], (sure[b + size] - sure[b]) / max(1, size)
+    often = counters[(grams >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+    # One key: the counter, then the hash; equal keys stay in hash order.
+    key = (np.minimum(often, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (grams & np.uint64((1 << 44) - 1))
+    order = np.lexsort((key, owner))
+    rank = np.arange(len(grams)) - begin[:-1][owner]
+    return Ranked(grams[order], often[order], owner, rank, rank < prefix_length(n, percent)[owner])
+
 
+def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    total = np.append(np.zeros(1, values.dtype), np.cumsum(values))
+    return total[begin[1:]] - total[begin[:-1]]
 
-def _digest(values: np.ndarray, salt: int) -> int:
-    at = np.arange(1, len(values) + 1, dtype=np.uint64)
-    total = repeats.mixed(values + np.uint64(salt)) * repeats.mixed(at * _ODD + np.uint64(salt))
-    return int(repeats.mixed(np.array([total.sum(dtype=np.uint64) + np.uint64(len(values))]))[0].view(np.int64))
+
+def _digests(values: np.ndarray, place: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
+    spread = repeats.mixed(values + np.uint64(salt)) * repeats.mixed((place.astype(np.uint64) + np.uint64(1)) * _ODD + np.uint64(salt))
+    return repeats.mixed(_sums(spread, begin) + np.diff(begin).astype(np.uint64)).view(np.int64)
 
 
 def nodes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -121,21 +135,29 @@ def nodes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, grams, begin in _groups(batches, shingle):
-            found = [p for *_, p, _ in _ordered(grams, begin, counters.value, percent)]
-            yield pd.DataFrame({"name": np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)})
+            ranked = _ranked(grams, begin, counters.value, percent)
+            yield pd.DataFrame({"name": ranked.tokens[ranked.prefix].view(np.int64)})
 
     shared = texts.mapInPandas(prefixes, "name long").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
     field = share(repeats.bit_field(shared, repeats.SCREEN_BITS))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, grams, begin in _groups(batches, shingle):
-            out = []
-            for i, n, prefix, centre in _ordered(grams, begin, counters.value, percent):
-                own = grams[begin[i] : begin[i + 1]]
-                cells = np.minimum(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype(np.uint16)
-                places = np.flatnonzero(repeats.in_field(field.value, prefix, repeats.SCREEN_BITS))
-                out.append((ids[i], n, _digest(own, 1), _digest(own, 2), _digest(prefix, 3), cells.tobytes(), prefix[places].view(np.int64), places.astype(np.int32), centre))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE.split(", ")])
+            ranked = _ranked(grams, begin, counters.value, percent)
+            n, place = np.diff(begin), ranked.rank
+            tokens, owner, rank = (v[ranked.prefix] for v in (ranked.tokens, ranked.owner, ranked.rank))
+            edge = np.searchsorted(owner, np.arange(len(ids) + 1))
+            hit = repeats.in_field(field.value, tokens, repeats.SCREEN_BITS)
+            cut_at = np.searchsorted(owner[hit], np.arange(1, len(ids)))
+            cells = np.bincount(ranked.owner * CELLS + (ranked.tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(ids) * CELLS)
+            cells = np.minimum(cells, 65535).astype(np.uint16).reshape(-1, CELLS)
+            yield pd.DataFrame(
+                {
+                    "doc": ids, "n": n, "high": _digests(grams, place, begin, 1), "low": _digests(grams, place, begin, 2), "prefix": _digests(tokens, rank, edge, 3),
+                    "cells": [c.tobytes() for c in cells], "tokens": np.split(tokens[hit].view(np.int64), cut_at), "places": np.split(rank[hit].astype(np.int32), cut_at),
+                    "centre": _sums(np.log1p(ranked.often), begin) / np.maximum(n, 1),
+                }
+            )
 
     return cut(texts.mapInPandas(rows, NODE), "jaccard-nodes")
 
@@ -145,36 +167,83 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _cross_pairs(percent: int):
-    """Pairs of different components within each token's list, or cell of a long list, that pass the filters."""
+def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that may reach the threshold, by size, place in the prefix and counts per cell."""
+    n, place, cells = rows["n"], rows["place"], rows["cells"]
+    need = needed(n[i], n[j], percent)
+    good = np.minimum(np.minimum(n[i], n[j]), np.minimum(n[i] - place[i], n[j] - place[j])) >= need
+    good &= rows["comp"][i] != rows["comp"][j]
+    at = np.flatnonzero(good)
+    for part in np.array_split(at, len(at) // 8192 + 1):
+        x, y = cells[i[part]], cells[j[part]]
+        good[part] = (np.minimum(x, y).sum(axis=1) >= need[part]) | (x.max(axis=1) == 65535)
+    return good
+
+
+SHORT = 24  # lists of so many members are paired all at once
+
+
+def _list_pairs(percent: int, once: bool):
+    """Pairs within each token's list, or grid cell of a long list, that pass the filters.
+
+    once: a member that already has a partner is not compared again with the rest of its list; every
+    member with a partner is then in some pair, but not every pair is given.
+    """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in repeats.whole_groups(batches):
-            name, part = rows["name"].to_numpy(), rows["side"].to_numpy()
-            edges = np.append(np.flatnonzero(np.append(True, name[1:] != name[:-1])), len(name)).tolist()
-            cls, comp, n, place = (rows[c].to_numpy() for c in ("cls", "comp", "n", "place"))
-            cells = np.frombuffer(b"".join(rows["cells"]), np.uint16).reshape(-1, CELLS)
+        for frame in repeats.whole_groups(batches):
+            frame = frame.sort_values(["name", "n"], kind="stable")
+            name, side = frame["name"].to_numpy(), frame["side"].to_numpy()
+            rows = {c: frame[c].to_numpy() for c in ("cls", "comp", "n", "place")}
+            rows["cells"] = np.frombuffer(b"".join(frame["cells"]), np.uint16).reshape(-1, CELLS)
+            begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            size = np.diff(np.append(begin, len(name)))
             out = []
-            for a, b in zip(edges, edges[1:]):
-                order = a + np.argsort(n[a:b], kind="stable")
-                sizes = n[order]
-                left = order[part[order] <= 0]  # side -1: both sides, 0: first, 1: second
-                right = order[(part[order] != 0)]
-                right_sizes = n[right]
-                for x in left.tolist():
-                    low, high = np.searchsorted(right_sizes, [-(-n[x] * percent // 100), n[x] * 100 // percent + 1])
-                    y = right[low:high]
-                    y = y[comp[y] != comp[x]]
-                    if part[x] < 0:
-                        y = y[cls[y] > cls[x]]
-                    need = needed(n[x], n[y], percent)
-                    y, need = (v[np.minimum(n[x] - place[x], n[y] - place[y]) >= need] for v in (y, need))
-                    if len(y):
-                        common = np.minimum(cells[y], cells[x]).sum(axis=1)
-                        y = y[(common >= need) | (cells[y].max(axis=1) == 65535)]
-                        out += [(int(cls[x]), int(c)) for c in cls[y]]
-                del sizes
-            yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+
+            def add(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                good = _fits(rows, i, j, percent)
+                a, b = rows["cls"][i[good]], rows["cls"][j[good]]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                return good
+
+            for length in range(2, SHORT + 1):
+                lists = begin[size == length]
+                x, y = np.triu_indices(length, 1)
+                for some in np.array_split(lists, len(lists) * len(x) // 100_000 + 1):
+                    i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                    apart = (side[i] < 0) | (side[i] != side[j])
+                    add(i[apart], j[apart])
+            for a, length in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist()):
+                n, sides = rows["n"][a : a + length], side[a : a + length]
+                met = np.zeros(length, bool)
+                for k in range(length):
+                    if met[k]:
+                        continue
+                    low = 0 if once else k + 1
+                    low, high = max(low, int(np.searchsorted(n, -(-n[k] * percent // 100)))), int(np.searchsorted(n, n[k] * 100 // percent + 1))
+                    j = np.arange(low, high)
+                    j = j[(j != k) & ((sides[k] < 0) | (sides[j] != sides[k]))]
+                    good = add(np.full(len(j), a + k), a + j)
+                    if once and good.any():
+                        met[k] = True
+                        met[j[good]] = True
+            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+
+    return pairs
+
+
+def _centre_pairs(percent: int):
+    """Members of a list with its centre, as far as they pass the filters."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            size = len(frame)
+            rows = {c: np.concatenate([frame[c].to_numpy(), frame[f"centre_{c}"].to_numpy()]) for c in ("cls", "comp", "n", "place")}
+            rows["cells"] = np.frombuffer(b"".join([*frame["cells"], *frame["centre_cells"]]), np.uint16).reshape(-1, CELLS)
+            good = _fits(rows, np.arange(size), np.arange(size, 2 * size), percent)
+            a, b = rows["cls"][:size][good], rows["cls"][size:][good]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return pairs
 
@@ -233,8 +302,25 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: i
     share an id with equal texts are one document; ids are taken to be distinct otherwise.  Empty
     tables stay empty.
     """
+    named = labelled(docs, text, id_col, shingle, percent, rounds)
+    null_id = lambda c: F.when(F.col(c) <= repeats.NO_ID - UNNAMED, F.col(c))
+    return named.select(null_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null_id("comp").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = 90) -> DataFrame:
+    """The documents, with their columns, whose number is their component's; of equal rows one."""
+    kept = labelled(docs, text, id_col, shingle, percent).filter("doc = comp").select(F.col("doc").alias(key := free_name(docs, "_key"))).distinct()
+    return docs.withColumn(key, _number(text, id_col)).join(kept, key, "left_semi").dropDuplicates([key, text]).drop(key)
+
+
+def _number(text: str, id_col: str) -> Column:
     unnamed = F.lit(repeats.NO_ID) - F.pmod(F.xxhash64(text_of(text)), F.lit(UNNAMED))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc"), ascii_lower(text_of(text)).alias("text"))
+    return F.coalesce(F.col(id_col).cast("long"), unnamed)
+
+
+def labelled(docs: DataFrame, text: str, id_col: str, shingle: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, n, comp) of every row; see join.  Rows without an id are numbered by their text."""
+    texts = docs.select(_number(text, id_col).alias("doc"), text_of(text).alias("text"))
     found = nodes(texts, shingle, percent)
     key = ["high", "low", "n"]
     classes = cut(
@@ -247,36 +333,37 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: i
     lists = lists.select("cls", "grp", "n", "centre", "cells", F.col("t.tokens").alias("name"), F.col("t.places").alias("place"))
     useful = lists.groupBy("name").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high")).filter("_low < _high").select("name")
     lists = cut(lists.join(useful, "name"), "jaccard-lists")
-    wanted = lists.select(F.col("cls").alias("doc")).distinct()
+    # Only classes with a partner that passes the filters stay in the lists, and have their sets read.
+    dealt = _dealt(lists.withColumn("comp", F.col("cls")), BLOCK)
+    partners = repeats.by_name(dealt).mapInPandas(_list_pairs(percent, once=True), "a long, b long")
+    inside = members.filter("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
+    wanted = cut(partners.union(inside).select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
+    lists = cut(lists.join(wanted, lists["cls"] == wanted["doc"], "left_semi"), "jaccard-lists")
 
     def token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, grams, begin in _groups(batches, shingle):
             yield pd.DataFrame({"doc": ids, "tokens": [grams[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]})
 
     sets = cut(texts.join(wanted, "doc", "left_semi").mapInPandas(token_sets, "doc long, tokens binary").dropDuplicates(["doc"]), "jaccard-sets")
-    links, labels = None, None
+    labels = None
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))
     for turn in range(rounds):
         state = _labelled(lists, labels).withColumn("band", band)
         mixed = _mixed_lists(state)
-        ranked = mixed.groupBy("name", "band").agg(F.max(F.struct("centre", -F.col("cls"), "comp", "n", "place")).alias("c"))
-        centre = ranked.select("name", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), (-F.col("c.col2")).alias("centre_cls"), F.col("c.comp").alias("centre_comp"), F.col("c.n").alias("centre_n"), F.col("c.place").alias("centre_place"))
-        near = mixed.join(centre, ["name", "band"]).filter("comp <> centre_comp")
-        fits = F.least(F.col("n") - F.col("place"), F.col("centre_n") - F.col("centre_place")) * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
-        pairs = near.filter(fits).select(F.least("cls", "centre_cls").alias("a"), F.greatest("cls", "centre_cls").alias("b"))
+        ranked = mixed.groupBy("name", "band").agg(F.max(F.struct("centre", -F.col("cls"), "comp", "n", "place", "cells")).alias("c"))
+        centre = ranked.select(
+            "name", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), (-F.col("c.col2")).alias("centre_cls"),
+            *[F.col(f"c.{c}").alias(f"centre_{c}") for c in ("comp", "n", "place", "cells")],
+        )
+        pairs = mixed.join(centre, ["name", "band"]).filter("comp <> centre_comp").mapInPandas(_centre_pairs(percent), "a long, b long")
         if turn == 0:  # members of one group, with its first
-            inside = members.filter("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
-            pairs = pairs.union(inside.join(wanted, inside["b"] == wanted["doc"], "left_semi"))
-        links = _verify(pairs.distinct(), sets, percent)
-        labels = components(links, labels)
-    rest = _mixed_lists(_labelled(lists, labels))
-    dealt = _dealt(rest, BLOCK)
-    last = dealt.repartition("name").sortWithinPartitions("name").mapInPandas(_cross_pairs(percent), "a long, b long").distinct()
+            pairs = pairs.union(inside)
+        labels = components(_verify(pairs.distinct(), sets, percent), labels)
+    rest = _dealt(_mixed_lists(_labelled(lists, labels)), BLOCK)
+    last = repeats.by_name(rest).mapInPandas(_list_pairs(percent, once=False), "a long, b long").distinct()
     labels = components(_verify(last, sets, percent), labels)
     linked = classes.select(*key, "cls").join(labels, "cls", "left").select(*key, F.coalesce("comp", "cls").alias("comp"))
-    named = found.select("doc", *key).join(linked, key, "left")
-    null_id = lambda c: F.when(F.col(c) <= repeats.NO_ID - UNNAMED, F.col(c))
-    return named.select(null_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(null_id("comp"), null_id("doc")).alias("component_id"))
+    return found.select("doc", *key).join(linked, key, "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:

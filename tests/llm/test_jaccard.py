@@ -63,3 +63,12 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (2, "A b c d"), (7, "x y z")], "doc_id long, text string")
     assert sorted(tuple(r) for r in jaccard.join(df).collect()) == [(2, 2, 2), (4, 2, 2), (4, 2, 2), (7, 1, 7)]
     assert jaccard.join(df.limit(0)).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = corpus(7)
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs] + [(None, docs[0][1], 1), (None, "all alone here", 1), (docs[3][0], docs[3][1], 1)], "doc_id long, text string, _key int")
+    got = sorted((r.doc_id, r._key) for r in jaccard.first_of_groups(df).collect() if r.doc_id is not None)
+    want = brute(docs)
+    assert got == sorted((i, 1) for i, (_, c) in want.items() if c == i)
+    assert [r.text for r in jaccard.first_of_groups(df).collect() if r.doc_id is None] == ["all alone here"]
