@@ -51,6 +51,26 @@ def last_write_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def one_row_per_key(changes: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
+    """Changes reduced to one row per key, so that no merge can multiply rows.
+
+    With ``seq`` the last row wins and the column is dropped.  Without it a row given twice
+    counts once, and two different rows of one key fail the job: their order is not known.
+    """
+    if seq is not None:
+        return last_write_wins(changes, keys, seq).drop(seq)
+    rest = [c for c in changes.columns if c not in keys]
+    if not rest:
+        return changes.distinct()
+    content = F.xxhash64(*rest)
+    picked = changes.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row"), F.min(content).alias("_low"), F.max(content).alias("_high"))
+    message = F.concat(F.lit("duplicate key in one batch: "), F.to_json(F.struct(*keys)))
+    clash = F.col("_low") != F.col("_high")
+    row = F.when(clash, F.raise_error(message).cast(picked.schema["_row"].dataType)).otherwise(F.col("_row"))
+    picked = picked.withColumn("_row", row)
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in changes.columns])
+
+
 def rank_of(status: Column, ranks: Mapping[str, int]) -> Column:
     expr = F.lit(-1)
     for name, rank in ranks.items():
@@ -73,8 +93,9 @@ def upsert(
     mode: str = "overwrite",
     ranks: Mapping[str, Mapping[str, int]] | None = None,
     keep: Sequence[str] = (),
+    seq: str | None = None,
 ) -> DataFrame:
-    """Insert or update by unique key.
+    """Insert or update by unique key; ``seq`` orders changes of one key (see ``one_row_per_key``).
 
     ``overwrite``: every incoming non-key column replaces the old value, null included.
     ``forward_only``: null keeps the old value and columns in ``ranks`` never step back.
@@ -83,7 +104,8 @@ def upsert(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    incoming = [c for c in changes.columns if c not in AUDIT]
+    changes = one_row_per_key(changes.drop(*AUDIT), keys, seq)
+    incoming = changes.columns
     t = target.withColumn("_in_t", F.lit(True)).alias("t")
     c = changes.select(*incoming, F.lit(True).alias("_in_c")).alias("c")
     joined = t.join(c, [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys], "full_outer")
@@ -113,17 +135,18 @@ def upsert(
 
 
 def upsert_documents(
-    target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only"
+    target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only", seq: str | None = None
 ) -> DataFrame:
     checked = enforce(changes, partial=True)
-    return upsert(target, checked, ["document_id"], run_ts, mode, {"status": DOCUMENT_STATUS_RANK, "match_status": MATCH_STATUS_RANK})
+    ranks = {"status": DOCUMENT_STATUS_RANK, "match_status": MATCH_STATUS_RANK}
+    return upsert(target, checked, ["document_id"], run_ts, mode, ranks, seq=seq)
 
 
 def upsert_pages(
-    target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only"
+    target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only", seq: str | None = None
 ) -> DataFrame:
     keyed = changes if "page_id" in changes.columns else changes.withColumn("page_id", page_id(F.col("document_id"), F.col("page_num")))
-    return upsert(target, enforce(keyed, partial=True), ["page_id"], run_ts, mode, {"ocr_status": OCR_STATUS_RANK})
+    return upsert(target, enforce(keyed, partial=True), ["page_id"], run_ts, mode, {"ocr_status": OCR_STATUS_RANK}, seq=seq)
 
 
 def bulk_upsert_pages(target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "overwrite") -> DataFrame:
@@ -131,8 +154,10 @@ def bulk_upsert_pages(target: DataFrame, changes: DataFrame, run_ts: datetime |
     return upsert_pages(target, require_unique(changes, ["document_id", "page_num"]), run_ts, mode)
 
 
-def insert_if_absent(target: DataFrame, changes: DataFrame, keys: Sequence[str], run_ts: datetime | Column) -> DataFrame:
-    fresh = changes.join(target.select(*keys), list(keys), "left_anti")
+def insert_if_absent(
+    target: DataFrame, changes: DataFrame, keys: Sequence[str], run_ts: datetime | Column, seq: str | None = None
+) -> DataFrame:
+    fresh = one_row_per_key(changes, keys, seq).join(target.select(*keys), list(keys), "left_anti")
     audited = fresh.withColumn("created_at", _ts(run_ts)).withColumn("updated_at", _ts(run_ts))
     return target.unionByName(audited.select(*[c for c in target.columns if c in audited.columns]), allowMissingColumns=True)
 
@@ -142,48 +167,48 @@ def upsert_registry(target: DataFrame, changes: DataFrame, run_ts: datetime | Co
 
     ``seq`` orders repeated keys in the batch: the last one wins.
     """
-    if seq is not None:
-        changes = last_write_wins(changes, ["registration_no"], seq).drop(seq)
     with_id = changes.withColumn("id", surrogate_id(F.col("registration_no")))
-    return upsert(target, with_id, ["registration_no"], run_ts, "overwrite", keep=("id",))
+    return upsert(target, with_id, ["registration_no"], run_ts, "overwrite", keep=("id",), seq=seq)
 
 
-def _known(changes: DataFrame, target: DataFrame, keys: Sequence[str]) -> None:
-    lost = changes.join(target.select(*keys), list(keys), "left_anti").limit(1).collect()
-    if lost:
-        raise ValueError(f"row not found: {[lost[0][k] for k in keys]}")
+def _against(target: DataFrame, changes: DataFrame, keys: Sequence[str], strict: bool, seq: str | None = None) -> DataFrame:
+    """Target rows with their change; a change without a row stays only under ``strict``, to fail the job in ``_replace``."""
+    rows = target.withColumn("_in_t", F.lit(True))
+    return rows.join(one_row_per_key(changes, keys, seq), list(keys), "full_outer" if strict else "left")
 
 
 def update_status(
-    target: DataFrame, changes: DataFrame, run_ts: datetime | Column, strict: bool = True
+    target: DataFrame, changes: DataFrame, run_ts: datetime | Column, strict: bool = True, seq: str | None = None
 ) -> DataFrame:
     """changes: (document_id, status).  Unknown document is an error, an equal status a no-op."""
-    if strict:
-        _known(changes, target, ["document_id"])
-    c = changes.select("document_id", F.col("status").alias("_new"))
-    joined = target.join(c, "document_id", "left")
+    c = changes.select("document_id", F.col("status").alias("_new"), *_order(seq))
+    joined = _against(target, c, ["document_id"], strict, seq)
     bad = F.col("_new").isNotNull() & ~F.col("_new").isin(*DOCUMENT_STATUSES)
     new = F.when(bad, F.raise_error(F.concat(F.lit("invalid status: "), F.col("_new"))).cast("string")).otherwise(F.col("_new"))
     moves = F.col("_new").isNotNull() & (F.col("_new") != F.col("status"))
-    return _replace(joined, target, {"status": F.when(moves, new).otherwise(F.col("status"))}, moves, run_ts)
+    return _replace(joined, target, {"status": F.when(moves, new).otherwise(F.col("status"))}, moves, run_ts, ["document_id"])
 
 
-def update_fields(target: DataFrame, changes: DataFrame, run_ts: datetime | Column) -> DataFrame:
+def _order(seq: str | None) -> list[str]:
+    return [] if seq is None else [seq]
+
+
+def update_fields(target: DataFrame, changes: DataFrame, run_ts: datetime | Column, seq: str | None = None) -> DataFrame:
     """Patch the columns named in ``changes`` (null is written); only whitelisted ones."""
-    patched = [c for c in changes.columns if c != "document_id"]
+    patched = [c for c in changes.columns if c not in ("document_id", seq)]
     update_whitelist(patched)
     if not patched:
         return target
-    c = changes.select("document_id", F.lit(True).alias("_hit"), *[F.col(p).alias(f"_new_{p}") for p in patched])
-    joined = target.join(c, "document_id", "left")
+    c = changes.select("document_id", F.lit(True).alias("_hit"), *[F.col(p).alias(f"_new_{p}") for p in patched], *_order(seq))
+    joined = _against(target, c, ["document_id"], False, seq)
     hit = F.col("_hit").isNotNull()
     return _replace(joined, target, {p: F.when(hit, F.col(f"_new_{p}")).otherwise(F.col(p)) for p in patched}, hit, run_ts)
 
 
-def bulk_update_ocr_status(target: DataFrame, changes: DataFrame, run_ts: datetime | Column) -> DataFrame:
+def bulk_update_ocr_status(target: DataFrame, changes: DataFrame, run_ts: datetime | Column, seq: str | None = None) -> DataFrame:
     """changes: (document_id, page_num, ocr_status); pages not named are untouched."""
-    c = changes.select("document_id", "page_num", F.col("ocr_status").alias("_new"))
-    joined = target.join(c, ["document_id", "page_num"], "left")
+    c = changes.select("document_id", "page_num", F.col("ocr_status").alias("_new"), *_order(seq))
+    joined = _against(target, c, ["document_id", "page_num"], False, seq)
     hit = F.col("_new").isNotNull()
     bad = hit & ~F.col("_new").isin(*OCR_STATUSES)
     new = F.when(bad, F.raise_error(F.concat(F.lit("invalid ocr_status: "), F.col("_new"))).cast("string")).otherwise(F.col("_new"))
@@ -192,41 +217,48 @@ def bulk_update_ocr_status(target: DataFrame, changes: DataFrame, run_ts: dateti
 
 def _keep_on_null(
     target: DataFrame, results: DataFrame, columns: Sequence[str], run_ts: datetime | Column, strict: bool,
-    always: Mapping[str, str],
+    always: Mapping[str, str], seq: str | None = None,
 ) -> DataFrame:
-    if strict:
-        _known(results, target, ["document_id", "page_num"])
     names = [c for c in (*columns, *always) if c in results.columns]
-    c = enforce(results, partial=True).select("document_id", "page_num", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_new_{n}") for n in names])
-    joined = target.join(c, ["document_id", "page_num"], "left")
+    c = enforce(results, partial=True).select("document_id", "page_num", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_new_{n}") for n in names], *_order(seq))
+    joined = _against(target, c, ["document_id", "page_num"], strict, seq)
     hit = F.col("_hit").isNotNull()
     values = {n: F.coalesce(F.col(f"_new_{n}"), F.col(n)) for n in columns if n in names}
     for name, default in always.items():
         new = F.coalesce(F.col(f"_new_{name}"), F.lit(default)) if name in names else F.lit(default)
         values[name] = F.when(hit, new).otherwise(F.col(name))
-    return _replace(joined, target, values, hit, run_ts)
+    return _replace(joined, target, values, hit, run_ts, ["document_id", "page_num"])
 
 
-def update_ocr(target: DataFrame, results: DataFrame, run_ts: datetime | Column, strict: bool = True) -> DataFrame:
+def update_ocr(
+    target: DataFrame, results: DataFrame, run_ts: datetime | Column, strict: bool = True, seq: str | None = None
+) -> DataFrame:
     """OCR results: null keeps the old value, the status is always set (default done)."""
     return _keep_on_null(
-        target, results, ["raw_text", "confidence_score", "language_detected"], run_ts, strict, {"ocr_status": "done"}
+        target, results, ["raw_text", "confidence_score", "language_detected"], run_ts, strict, {"ocr_status": "done"}, seq
     )
 
 
-def update_structured(target: DataFrame, results: DataFrame, run_ts: datetime | Column, strict: bool = True) -> DataFrame:
-    return _keep_on_null(target, results, ["page_type", "structured_json"], run_ts, strict, {})
+def update_structured(
+    target: DataFrame, results: DataFrame, run_ts: datetime | Column, strict: bool = True, seq: str | None = None
+) -> DataFrame:
+    return _keep_on_null(target, results, ["page_type", "structured_json"], run_ts, strict, {}, seq)
 
 
 def _replace(
-    joined: DataFrame, target: DataFrame, values: Mapping[str, Column], touched: Column, run_ts: datetime | Column
+    joined: DataFrame, target: DataFrame, values: Mapping[str, Column], touched: Column, run_ts: datetime | Column,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    def value(name: str) -> Column:
-        if name == "updated_at":
-            return touch_updated_at(touched, F.col(name), run_ts)
-        return values.get(name, F.col(name))
-
-    return joined.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    """Target columns with new values.  ``keys``: a change without a target row fails the job, whichever columns are read."""
+    def value(field) -> Column:
+        new = touch_updated_at(touched, F.col(field.name), run_ts) if field.name == "updated_at" else values.get(field.name, F.col(field.name))
+        new = new.cast(field.dataType)
+        if keys:
+            lost = F.concat(F.lit("row not found: "), F.to_json(F.struct(*keys)))
+            new = F.when(F.col("_in_t").isNull(), F.raise_error(lost).cast(field.dataType)).otherwise(new)
+        return new.alias(field.name)
+
+    return joined.select(*[value(f) for f in target.schema.fields])
 
 
 def cascade_delete(documents: DataFrame, pages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

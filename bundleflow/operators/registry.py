@@ -86,14 +86,15 @@ def plan_headers(columns: Sequence[str]) -> HeaderPlan:
     return HeaderPlan(source_of, tuple(unmapped))
 
 
-def map_aliases(df: DataFrame) -> DataFrame:
-    """All 36 registry columns as strings, absent ones null."""
-    plan = plan_headers(df.columns)
+def map_aliases(df: DataFrame, order: str | None = None) -> DataFrame:
+    """All 36 registry columns as strings, absent ones null; ``order`` is carried along."""
+    plan = plan_headers([c for c in df.columns if c != order])
     return df.select(
         *[
             (F.col(f"`{plan.source_of[t]}`").cast("string") if t in plan.source_of else F.lit(None).cast("string")).alias(t)
             for t in REGISTRY_DATA.fieldNames()
-        ]
+        ],
+        *([] if order is None else [order]),
     )
 
 
@@ -129,10 +130,11 @@ def fields_norm() -> Column:
     return F.struct(*[values[n].alias(n) for n in FIELDS_NORM.fieldNames()])
 
 
-def typed_registry(df: DataFrame) -> DataFrame:
+def typed_registry(df: DataFrame, order: str | None = None) -> DataFrame:
     """Mapped and typed, rows without a key still present."""
-    mapped = map_aliases(df)
-    return mapped.select(*[_clean_cell(f, F.col(f.name)).alias(f.name) for f in REGISTRY_DATA.fields])
+    mapped = map_aliases(df, order)
+    cells = [_clean_cell(f, F.col(f.name)).alias(f.name) for f in REGISTRY_DATA.fields]
+    return mapped.select(*cells, *([] if order is None else [order]))
 
 
 def drop_missing_key(df: DataFrame, key: str = KEY, observe: Observation | None = None) -> DataFrame:
@@ -144,7 +146,7 @@ def drop_missing_key(df: DataFrame, key: str = KEY, observe: Observation | None
     return df.filter(F.col(key).isNotNull())
 
 
-def clean_registry(df: DataFrame, observe: Observation | None = None) -> DataFrame:
+def clean_registry(df: DataFrame, observe: Observation | None = None, order: str | None = None) -> DataFrame:
     """The whole load: 36 typed columns and ``fields_norm``.  No shuffle, no Python."""
-    typed = drop_missing_key(typed_registry(df), observe=observe)
+    typed = drop_missing_key(typed_registry(df, order), observe=observe)
     return typed.withColumn("fields_norm", fields_norm())

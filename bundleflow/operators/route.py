@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import default_fill
@@ -12,9 +12,14 @@ from ..functions.keys import filename_from_key, page_id
 from .validate import non_blank
 
 
+def last_pages(pages: Column) -> Column:
+    """The page list without entries that a later one of the same number replaces."""
+    return F.filter(pages, lambda p, i: ~F.exists(F.slice(pages, i + 2, F.size(pages)), lambda q: q["page_num"].eqNullSafe(p["page_num"])))
+
+
 def explode_pages(manifests: DataFrame) -> DataFrame:
-    """One row per page of each manifest, in the page table's vocabulary."""
-    pages = manifests.select("document_id", F.explode("pages").alias("p"))
+    """One row per page of each manifest, in the page table's vocabulary; of a repeated page the last entry."""
+    pages = manifests.select("document_id", F.explode(last_pages(F.col("pages"))).alias("p"))
     return pages.select(
         page_id(F.col("document_id"), F.col("p.page_num")).alias("page_id"),
         "document_id",

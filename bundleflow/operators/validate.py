@@ -107,6 +107,7 @@ def manifest_checks() -> dict[str, Column]:
         "page_count": ~F.coalesce(F.col("page_count") > 0, F.lit(False)),
         "schema_version": ~F.coalesce(F.col("schema_version").isin(*MANIFEST_VERSIONS), F.lit(False)),
         "page_num": F.coalesce(F.exists(pages, lambda p: ~F.coalesce(p["page_num"] >= 1, F.lit(False))), F.lit(True)),
+        "page_repeated": F.coalesce(F.size(F.array_distinct(F.transform(pages, lambda p: p["page_num"]))) < F.size(pages), F.lit(False)),
         "page_size": F.coalesce(
             F.exists(pages, lambda p: ~F.coalesce((p["width"] > 0) & (p["height"] > 0), F.lit(False))), F.lit(True)
         ),
@@ -133,11 +134,16 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Error if a key repeats, as a database does for one multi-row upsert."""
-    clash = check_unique(df, keys).limit(1).collect()
-    if clash:
-        raise ValueError(f"duplicate key in one batch: {clash[0].asDict()}")
-    return df
+    """The job fails if a key repeats, as a database does for one multi-row upsert."""
+    rest = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.first(F.struct(*rest) if rest else F.lit(True)).alias("_row"), F.count("*").alias("_n"))
+    message = F.concat(F.lit("duplicate key in one batch: "), F.to_json(F.struct(*keys)))
+
+    def guarded(c: str) -> Column:
+        value = F.col(c) if c in keys else F.col(f"_row.{c}")
+        return F.when(F.col("_n") > 1, F.raise_error(message).cast(df.schema[c].dataType)).otherwise(value).alias(c)
+
+    return counted.select(*[guarded(c) for c in df.columns])
 
 
 def check_foreign_key(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -17,11 +17,20 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
-def scan_registry(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """CSV or Parquet with a header, every column a string; types are never inferred."""
+def scan_registry(spark: SparkSession, path: str, fmt: str = "csv", order: str | None = None) -> DataFrame:
+    """CSV or Parquet with a header, every column a string; types are never inferred.
+
+    ``order`` names a column to add that sorts rows as the sheet does: file, part of the file, and
+    place in it.  It lets a later row of a registration number replace an earlier one.
+    """
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return as_text(spark.read.format(fmt).load(path))
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    else:
+        raw = spark.read.format(fmt).load(path)
+    if order is None:
+        return as_text(raw)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns], place.alias(order))
 
 
 class SinkResult(NamedTuple):

@@ -55,8 +55,14 @@ def blob_exists(keys: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 
 def put_if_absent(new: DataFrame, existing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(table after, outcome): only keys not stored are added; ``uploaded`` tells which."""
-    flagged = blob_exists(new, existing, key)
-    fresh = flagged.filter(~F.col("exists")).drop("exists")
-    outcome = flagged.select(key, (~F.col("exists")).alias("uploaded"))
-    return existing.unionByName(fresh.select(*existing.columns)), outcome
+    """(table after, outcome): only keys not stored are added; ``uploaded`` tells which.
+
+    Of several rows with one new key one is stored, the smallest, and the others are no-ops.
+    """
+    rest = [c for c in new.columns if c != key]
+    row = F.min(F.struct(*rest)) if rest else F.lit(True)
+    calls = new.groupBy(key).agg(row.alias("_row"), F.count("*").cast("int").alias("_calls"))
+    flagged = blob_exists(calls, existing, key)
+    stored = flagged.filter(~F.col("exists")).select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in existing.columns])
+    outcome = flagged.select(key, "exists", F.explode(F.sequence(F.lit(1), F.col("_calls"))).alias("_call"))
+    return existing.unionByName(stored), outcome.select(key, (~F.col("exists") & (F.col("_call") == 1)).alias("uploaded"))

@@ -102,14 +102,30 @@ def _(t):
     SELECT {_PAGE_KEYS.replace('a.confidence_score', 'coalesce(b.payload, a.confidence_score) AS confidence_score')}, a.page_type, coalesce(a.ocr_status, 'pending') AS ocr_status, {_PS}
     FROM stored a FULL JOIN (SELECT * FROM changes) b ON a.page_id = b.page_id""", ("bundle_pages", "bundle_pages_raw"))
 def _(t):
-    raw = t("bundle_pages_raw")
-    try:
-        M.bulk_upsert_pages(stored_pages(t), raw, RUN_TS)
-    except ValueError:
-        batch = M.last_write_wins(raw, ["document_id", "page_num"], "seq")
-        rows = batch.select("document_id", "page_num", (F.col("payload") / 2000.0).alias("confidence_score"), F.lit("pending").alias("ocr_status"))
-        return _shown(M.bulk_upsert_pages(stored_pages(t), rows, RUN_TS, "forward_only"))
-    raise AssertionError("a batch with a repeated page was accepted")
+    batch = M.last_write_wins(t("bundle_pages_raw"), ["document_id", "page_num"], "seq")
+    rows = batch.select("document_id", "page_num", (F.col("payload") / 2000.0).alias("confidence_score"), F.lit("pending").alias("ocr_status"))
+    return _shown(M.bulk_upsert_pages(stored_pages(t), rows, RUN_TS, "forward_only"))
+
+
+@case("upsert_pages_repeated", f"""WITH {_STORED_PAGES}, changes AS (SELECT document_id || ':' || cast(page_num AS string) AS page_id, document_id, page_num, arg_max(payload, seq) / 2000.0 AS payload
+        FROM bundle_pages_raw GROUP BY 1, 2, 3)
+    SELECT {_PAGE_KEYS.replace('a.confidence_score', 'coalesce(b.payload, a.confidence_score) AS confidence_score')}, a.page_type, coalesce(a.ocr_status, 'pending') AS ocr_status, {_PS}
+    FROM stored a FULL JOIN (SELECT * FROM changes) b ON a.page_id = b.page_id""", ("bundle_pages", "bundle_pages_raw"))
+def _(t):
+    raw = t("bundle_pages_raw").select("document_id", "page_num", (F.col("payload") / 2000.0).alias("confidence_score"), F.lit("pending").alias("ocr_status"), "seq")
+    after = M.upsert_pages(stored_pages(t), raw, RUN_TS, seq="seq")
+    for _ in range(2):  # a batch that comes again changes nothing
+        after = M.upsert_pages(after, raw, RUN_TS, seq="seq")
+    return _shown(after)
+
+
+@case("update_fields_repeated", f"""WITH {_STORED_PAGES.replace('stored AS', 'pages AS')}, {_STORED_DOCS}, last AS (SELECT document_id, arg_max(page_num, seq) AS n FROM bundle_pages_raw GROUP BY 1)
+    SELECT s.document_id, CASE WHEN l.n IS NULL THEN s.page_count ELSE l.n END AS page_count FROM stored s LEFT JOIN last l ON s.document_id = l.document_id""",
+      ("bundle_pages", "bundle_pages_raw", "document_states"))
+def _(t):
+    changes = t("bundle_pages_raw").select("document_id", F.col("page_num").alias("page_count"), "seq")
+    after = M.update_fields(stored_documents(t), changes, RUN_TS, seq="seq")
+    return M.update_fields(after, changes, RUN_TS, seq="seq").select("document_id", "page_count")
 
 
 @case("insert_if_absent", f"""WITH {_STORED_PAGES}, {_PAGE_CHANGES} SELECT page_id, document_id, page_num, confidence_score, page_type, ocr_status, {OLD} AS created_at, {OLD} AS updated_at FROM stored

@@ -55,8 +55,8 @@ def test_bulk_upsert(spark):
     again = pages(spark, *[{"page_num": n, "page_type": "app_cover" if n == 1 else "blank", "structured_json": "{}"} for n in range(1, 6)])
     got = by(M.bulk_upsert_pages(stored, again, T2), "page_num")
     assert len(got) == 5 and got[1]["page_type"] == "app_cover" and got[5]["page_type"] == "blank"
-    with pytest.raises(ValueError, match="duplicate"):
-        M.bulk_upsert_pages(stored, five.union(five), T2)
+    with pytest.raises(Exception, match="duplicate"):
+        M.bulk_upsert_pages(stored, five.union(five), T2).collect()
 
 
 def test_partial_updates_keep_the_rest(spark):
@@ -66,8 +66,8 @@ def test_partial_updates_keep_the_rest(spark):
     shape = spark.createDataFrame([("d", 1, "form", '{"a":1}')], "document_id string, page_num int, page_type string, structured_json string")
     row = M.update_structured(one, shape, T2).first()
     assert (row["raw_text"], row["ocr_status"], row["page_type"], row["structured_json"]) == ("text", "done", "form", '{"a":1}')
-    with pytest.raises(ValueError, match="not found"):
-        M.update_ocr(stored, results.withColumn("page_num", F.lit(9)), T1)
+    with pytest.raises(Exception, match="not found"):
+        M.update_ocr(stored, results.withColumn("page_num", F.lit(9)), T1).select("width").collect()
 
 
 def test_status_updates(spark):
@@ -75,8 +75,8 @@ def test_status_updates(spark):
     moves = spark.createDataFrame([("a", "processed"), ("b", "processed")], "document_id string, status string")
     got = by(M.update_status(stored, moves, T2), "document_id")
     assert got["a"]["updated_at"] == T2 and got["b"]["updated_at"] == T1  # equal status is no change
-    with pytest.raises(ValueError, match="not found"):
-        M.update_status(stored, moves.withColumn("document_id", F.lit("zz")), T2)
+    with pytest.raises(Exception, match="not found"):
+        M.update_status(stored, moves.withColumn("document_id", F.lit("zz")).limit(1), T2).collect()
     with pytest.raises(Exception, match="invalid status"):
         M.update_status(stored, moves.withColumn("status", F.lit("bogus")), T2).collect()
 
@@ -137,3 +137,24 @@ def test_versions(spark, tmp_path):
     publish(spark.range(7), root, 1)  # a repeated batch replaces its own version
     assert versions(spark, root) == [0, 1]
     assert read_latest(spark, root, schema).count() == 7 and read_latest(spark, root, schema, before=1).count() == 3
+
+
+def test_repeated_keys_never_multiply_rows(spark):
+    stored = docs(spark, {"document_id": "a"}, {"document_id": "b"})
+    twice = spark.createDataFrame([("a", "processing", 1), ("a", "processed", 2), ("a", "processed", 2)], "document_id string, status string, n int")
+    for change in (
+        lambda t: M.update_status(t, twice, T2, seq="n"), lambda t: M.upsert_documents(t, twice, T2, seq="n"),
+        lambda t: M.update_fields(t, twice, T2, seq="n"), lambda t: M.insert_if_absent(t, twice, ["document_id"], T2, seq="n"),
+    ):
+        table = stored
+        for _ in range(3):
+            table = change(table)
+        assert sorted(r.document_id for r in table.collect()) == ["a", "b"]
+    assert by(M.update_status(stored, twice, T2, seq="n"), "document_id")["a"]["status"] == "processed"
+    with pytest.raises(Exception, match="duplicate key"):
+        M.upsert_documents(stored, twice.drop("n"), T2).collect()
+    same = twice.drop("n").filter("status = 'processed'")
+    assert by(M.upsert_documents(stored, same, T2), "document_id")["a"]["status"] == "processed"
+    new = spark.createDataFrame([("k", "x"), ("k", "x"), ("l", "y")], "key string, body string")
+    table, outcome = put_if_absent(new, new.limit(0), "key")
+    assert table.count() == 2 and sorted(map(tuple, outcome.collect())) == [("k", False), ("k", True), ("l", True)]

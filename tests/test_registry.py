@@ -82,3 +82,12 @@ def test_load_csv_file_twice(spark, tmp_path):
     load_registry_file(spark, str(path), root, T2)
     table = read_latest(spark, root, REGISTRY)
     assert [(r["registration_no"], r["date_of_birth"], r["created_at"]) for r in table.collect()] == [(5, "1996-02-26", T1)]
+
+
+def test_repeated_numbers_in_a_sheet_keep_the_last_row(spark, tmp_path):
+    path, root = tmp_path / "sheet.csv", str(tmp_path / "table")
+    path.write_text("RegistrationNo,FName\n" + "".join(f"{n},row{i}\n" for i, n in enumerate([5, 6, 5, 7, 5, 6])))
+    for stamp in (T1, T2, T2):
+        load_registry_file(spark, str(path), root, stamp)
+        rows = {r.registration_no: r.f_name for r in read_latest(spark, root, REGISTRY).collect()}
+        assert rows == {5: "row4", 6: "row5", 7: "row3"} and read_latest(spark, root, REGISTRY).count() == 3
