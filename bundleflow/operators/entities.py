@@ -52,7 +52,7 @@ def confidence_route(tokens: DataFrame, threshold: float = TOKEN_THRESHOLD) -> D
 
 def augment_tokens(
     tokens: DataFrame, lexicon: DataFrame, value: str, threshold: float = TOKEN_THRESHOLD,
-    score: float = 85.0, max_edits: int = 1,
+    score: float = 85.0,
 ) -> DataFrame:
     """Replace low-confidence tokens by the nearest registry value, or flag them.
 
@@ -66,7 +66,7 @@ def augment_tokens(
     found = best_edit_match(
         spellings.select(F.lit("").alias("block"), F.col("_spelling").alias("text")),
         words.select(F.lit("").alias("block"), F.col("_word").alias("text"), F.col("_word").alias("payload")),
-        max_edits, score,
+        score,
     ).select(F.col("text").alias("_spelling"), F.col("payload").alias("_found"))
     keyed = tokens.withColumn("_spelling", F.when(low, F.lower("text")))
     joined = left_join_spread_nulls(keyed, found, ["_spelling"], "document_id")

@@ -1,4 +1,4 @@
-"""Matching documents against the registry, exactly and within a few edits."""
+"""Matching documents against the registry, exactly and by nearness of names and dates."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..functions.plan import before_fan_out
 from .joins import left_join_spread_nulls
 
 DEFAULT_SCORE = 85.0  # ours: the accept threshold is left open by the design
-DEFAULT_EDITS = 2
+DATE_LENGTH = 8
 
 
 def sorted_tokens(c: Column) -> Column:
@@ -29,75 +29,113 @@ def token_sort_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.levenshtein(x, y) / longest))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """0–100: one minus Levenshtein edits over the longer length, case and order kept; 100 for two empty texts."""
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    longest = F.greatest(F.length(x), F.length(y))
+    return F.when(longest == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.levenshtein(x, y) / longest))
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    """The best ratio of the shorter text with any stretch of its length in the longer; 0 if only one is empty."""
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    swap = F.length(x) > F.length(y)
+    short, long = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
+    size = F.length(short)
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.length(long) - size + 1), lambda i: 100.0 * (1 - F.levenshtein(short, F.substring(long, i, size)) / size)))
+    return F.when((size == 0) & (F.length(long) == 0), F.lit(100.0)).when(size == 0, F.lit(0.0)).otherwise(best)
+
+
+def weighted_ratio(a: Column, b: Column) -> Column:
+    """Best of ratio, 0.95 token sort, and 0.9 partial ratio where one text is 1.5 times as long, 0.6 beyond 8 times.
+
+    The factors are ours; each measure is as documented above.
+    """
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    low, high = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+    factor = F.when(high < 1.5 * low, F.lit(0.0)).when(high <= 8 * low, F.lit(0.9)).otherwise(F.lit(0.6))
+    return F.greatest(ratio(x, y), 0.95 * token_sort_similarity(x, y), factor * partial_ratio(x, y))
+
+
 def registration_key(text: Column) -> Column:
     """Digits of a registration text as int; null when there are none or too many."""
     digits = F.regexp_replace(devanagari_digits(text), r"[^0-9]", "")
     return F.nullif(digits, F.lit("")).try_cast("int")
 
 
-def explode_deletions(df: DataFrame, text: str, edits: int, out: str = "_v") -> DataFrame:
-    """One row per string left after deleting up to ``edits`` characters of ``text``.
+def _whole(value: Column) -> Column:
+    return F.floor(value + 1e-9).cast("int")
 
-    Two strings within ``edits`` Levenshtein edits always share one of them, and the number of
-    distinct strings behind one variant depends only on string length and alphabet, not on how
-    much data there is.  Positions ascend, so each set of positions comes up once; the strings
-    are cut by plain generated code.
-    """
-    stop = F.lit(0)
-    rows = df.withColumn(out, F.col(text)).withColumn("_from", F.lit(1))
-    for _ in range(edits):
-        size = F.length(out)
-        places = F.when(F.col("_from") > size, F.array(stop)).otherwise(
-            F.concat(F.array(stop), F.sequence(F.col("_from"), F.greatest(size, F.col("_from"))))
-        )
-        rows = rows.withColumn("_at", F.explode(places))
-        shorter = F.concat(F.substring(out, F.lit(1), F.col("_at") - 1), F.substring(out, F.col("_at") + 1, size))
-        rows = rows.select(
-            *df.columns,
-            F.when(F.col("_at") == stop, F.col(out)).otherwise(shorter).alias(out),
-            F.when(F.col("_at") == stop, F.lit(2**30)).otherwise(F.col("_at")).alias("_from"),
-        )
-    return rows.drop("_from")
-
-
-def best_edit_match(left: DataFrame, right: DataFrame, max_edits: int, score: float) -> DataFrame:
-    """Nearest right text for each left (block, text) within ``max_edits`` edits.
-
-    left: distinct (block, text).  right: (block, text, payload).  Result: (block, text,
-    payload, edits, score), one row per left text that has a partner scoring at least
-    ``score``; ties go to the smallest payload.  Exact within ``max_edits``: candidates come
-    from an equi-join on (block, delete variant), never from comparing everything in a block.
-    Texts that are equal are found by a plain join first and skip the variants.
-    """
-    targets = right.filter(F.col("text").isNotNull()).groupBy("block", "text").agg(F.min("payload").alias("payload"))
-    exact = left.join(targets, ["block", "text"], "left")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        variants = explode_deletions(before_fan_out(df), "text", max_edits)
-        return variants.withColumn("_k", F.xxhash64("block", "_v")).drop("_v")
+def _cuts(n: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Start and size of part i when n letters are cut into edits + 1 parts, the longer ones last."""
+    parts = edits + 1
+    base, short = F.floor(n / parts).cast("int"), parts - n % parts
+    return i * base + F.greatest(i - short, F.lit(0)), base + (i >= short).cast("int")
+
+
+def _up_to(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFrame:
+    """Nearest right text for each left (block, text), if it scores at least ``score``.
+
+    left: distinct (block, text).  right: (block, text, payload).  Either may have a column
+    ``weight``: the length that edits are weighed against, the same for a whole block; null or
+    absent means the longer of the two texts.  Result: (block, text, payload, edits, score), one
+    row per left text with a partner; ties go to the smallest payload.
+
+    The score alone decides.  It bounds the edits k of a pair by the right text's length, so the
+    right text is cut into k + 1 parts, of which one stands unchanged in any left text that near,
+    shifted by no more than the edits around it.  Candidates come from an equi-join on (block,
+    length, part number, part), and are then measured.  A text shorter than k + 1 letters can
+    lose every part; it is keyed by its length alone.
+    """
+    if not 0 < score <= 100:
+        raise ValueError("score must be above 0 and at most 100")
+    share = score / 100
+
+    def weighed(df: DataFrame) -> DataFrame:
+        return df if "weight" in df.columns else df.withColumn("weight", F.lit(None).cast("int"))
+
+    def allowed(n: Column) -> Column:
+        return F.when(F.col("weight").isNotNull(), _whole((1 - share) * F.col("weight"))).otherwise(_whole((1 - share) / share * n))
+
+    targets = weighed(right).filter(F.col("text").isNotNull()).groupBy("block", "text", "weight").agg(F.min("payload").alias("payload"))
+    n, k, i, m = F.col("_n"), F.col("_k"), F.col("_i"), F.col("_m")
+    no_parts = F.array(F.lit(-1))
+
+    def key(text: Column) -> Column:
+        return F.xxhash64("block", n, i, text)
+
+    r_rows = before_fan_out(targets).withColumn("_n", F.length("text")).withColumn("_k", allowed(n))
+    r_rows = r_rows.withColumn("_i", F.explode(F.when(k >= n, no_parts).otherwise(F.sequence(F.lit(0), k))))
+    start, size = _cuts(n, k, i)
+    part = F.when(i < 0, F.lit("")).otherwise(F.substring(F.col("text"), start + 1, size))
+    r_side = r_rows.select(key(part).alias("_key"), F.col("block").alias("_rblock"), F.col("text").alias("_rtext"), F.col("payload").alias("_rpayload"))
+
+    fixed = _whole((1 - share) * F.col("weight"))
+    low = F.when(F.col("weight").isNotNull(), F.greatest(m - fixed, F.lit(0))).otherwise(F.ceil(share * m - 1e-9).cast("int"))
+    high = F.when(F.col("weight").isNotNull(), m + fixed).otherwise(_whole(m / share))
+    l_rows = before_fan_out(weighed(left)).withColumn("_m", F.length("text")).withColumn("_n", F.explode(_up_to(low, high))).withColumn("_k", allowed(n))
+    l_rows = l_rows.withColumn("_i", F.explode(F.when(k >= n, no_parts).otherwise(F.sequence(F.lit(0), k))))
+    over = m - n
+    first = F.greatest(start + F.greatest(-i, over - (k - i)), F.lit(0))
+    last = F.least(start + F.least(i, over + (k - i)), m - size)
+    l_rows = l_rows.withColumn("_at", F.explode(F.when(i < 0, F.array(F.lit(0))).otherwise(_up_to(first, last))))
+    part = F.when(i < 0, F.lit("")).otherwise(F.substring(F.col("text"), F.col("_at") + 1, size))
+    l_side = l_rows.select("block", "text", "weight", key(part).alias("_key"))
 
-    l_side = keyed(exact.filter(F.col("payload").isNull()).drop("payload"))
-    r_side = keyed(targets).select(
-        "_k", F.col("block").alias("_rblock"), F.col("text").alias("_rtext"), F.col("payload").alias("_rpayload")
-    )
-    l_exact = exact.filter(F.col("payload").isNotNull()).select(
-        "block", "text", "payload", F.lit(0).alias("edits"), F.lit(100.0).alias("score")
-    )
     # size estimates do not see the fan-out, so broadcasting either side is ruled out
-    pairs = l_side.join(r_side.hint("merge"), "_k").filter(F.col("block") == F.col("_rblock"))
+    pairs = l_side.join(r_side.hint("merge"), "_key").filter(F.col("block") == F.col("_rblock"))
     edits = F.levenshtein(F.col("text"), F.col("_rtext"))
-    longest = F.greatest(F.length("text"), F.length("_rtext"))
-    scored = pairs.select(
-        "block", "text", F.col("_rpayload").alias("payload"), edits.alias("edits"), longest.alias("_len")
-    ).filter(F.col("edits") <= max_edits)
-    scored = scored.withColumn("score", 100.0 * (1 - F.col("edits") / F.col("_len"))).filter(F.col("score") >= score)
-    best = scored.groupBy("block", "text").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.col("payload"), F.col("edits"))).alias("b")
-    )
-    near = best.select(
-        "block", "text", F.col("b.payload").alias("payload"), F.col("b.edits").alias("edits"), (-F.col("b.s")).alias("score")
-    )
-    return l_exact.unionByName(near)
+    longest = F.coalesce(F.col("weight"), F.greatest(F.length("text"), F.length("_rtext")))
+    scored = pairs.select("block", "text", F.col("_rpayload").alias("payload"), edits.alias("edits"), longest.alias("_len"))
+    value = F.when(F.col("_len") == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.col("edits") / F.col("_len")))
+    scored = scored.withColumn("score", value).filter(F.col("score") >= score)
+    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("payload"), F.col("edits"))).alias("b"))
+    return best.select("block", "text", F.col("b.payload").alias("payload"), F.col("b.edits").alias("edits"), (-F.col("b.s")).alias("score"))
 
 
 def match_registry_exact(documents: DataFrame, registry: DataFrame) -> DataFrame:
@@ -121,49 +159,38 @@ def match_registry_exact(documents: DataFrame, registry: DataFrame) -> DataFrame
     )
 
 
-def match_registry_fuzzy(
-    documents: DataFrame, registry: DataFrame, score: float = DEFAULT_SCORE, max_edits: int = DEFAULT_EDITS
-) -> DataFrame:
+def match_registry_fuzzy(documents: DataFrame, registry: DataFrame, score: float = DEFAULT_SCORE) -> DataFrame:
     """(name, dob) of the documents to registry rows with a near name and the same birth date,
     or the same name and a near birth date.
 
     documents: (applicant_name_raw, dob, …); registry: (full_name, dob, reference_data_id).
-    Result: distinct (_name, dob, reference_data_id, score); names are word-sorted.  Work is
-    done on distinct contexts, so a context repeated in many documents costs one lookup.
+    Result: distinct (_name, dob, reference_data_id, score); names are word-sorted.  Edits in a
+    name are weighed against the longer name, edits in a birth date against the name they come
+    with (eight digits at least).  Work is done on distinct contexts, so a context repeated in
+    many documents costs one lookup; both kinds of nearness go through one candidate join.
     """
-    contexts = documents.select(
-        sorted_tokens(F.col("applicant_name_raw")).alias("_name"), F.date_format("dob", "yyyyMMdd").alias("_dob")
-    ).filter((F.col("_name") != "") & F.col("_dob").isNotNull()).distinct()
-    people = registry.select(
-        sorted_tokens(F.col("full_name")).alias("_name"), F.date_format("dob", "yyyyMMdd").alias("_dob"),
-        "reference_data_id",
-    )
-
-    def side(df: DataFrame, block: str, text: str, *more: Column) -> DataFrame:
-        return df.select(F.col(block).alias("block"), F.col(text).alias("text"), *more)
-
-    payload = F.col("reference_data_id").alias("payload")
-    by_dob = best_edit_match(side(contexts, "_dob", "_name"), side(people, "_dob", "_name", payload), max_edits, score)
-    # eight digits: the score floor would refuse any edit, so edits alone decide here
-    by_name = best_edit_match(side(contexts, "_name", "_dob"), side(people, "_name", "_dob", payload), max_edits, 0.0)
-    name_length = F.length("_name")
-    both = by_dob.select(
-        F.col("text").alias("_name"), F.col("block").alias("_dob"), F.col("payload").alias("reference_data_id"), "score"
-    ).unionByName(
-        by_name.select(F.col("block").alias("_name"), F.col("text").alias("_dob"), F.col("payload").alias("reference_data_id"), "edits")
-        .withColumn("score", 100.0 * (1 - F.col("edits") / F.greatest(name_length, F.lit(8))))
-        .filter(F.col("score") >= score)
-        .drop("edits")
-    )
-    best = both.groupBy("_name", "_dob").agg(F.min(F.struct((-F.col("score")).alias("s"), "reference_data_id")).alias("b"))
-    return best.select(
-        "_name", "_dob", F.col("b.reference_data_id").alias("reference_data_id"), (-F.col("b.s")).alias("score")
+    name, dob = F.col("_name"), F.col("_dob")
+    by_dob = F.struct(F.concat(F.lit("d"), dob).alias("block"), name.alias("text"), F.lit(None).cast("int").alias("weight"))
+    by_name = F.struct(F.concat(F.lit("n"), name).alias("block"), dob.alias("text"), F.greatest(F.length(name), F.lit(DATE_LENGTH)).alias("weight"))
+
+    def sides(df: DataFrame, *more: str) -> DataFrame:
+        return df.filter((name != "") & dob.isNotNull()).select(*more, F.inline(F.array(by_dob, by_name)))
+
+    def keyed(text: str) -> list[Column]:
+        return [sorted_tokens(F.col(text)).alias("_name"), F.date_format("dob", "yyyyMMdd").alias("_dob")]
+
+    contexts = documents.select(*keyed("applicant_name_raw")).distinct()
+    people = registry.select(*keyed("full_name"), F.col("reference_data_id").alias("payload"))
+    found = best_edit_match(sides(contexts), sides(people, "payload"), score)
+    rest, near_name = F.expr("substring(block, 2)"), F.col("block").startswith("d")
+    both = found.select(
+        F.when(near_name, F.col("text")).otherwise(rest).alias("_name"), F.when(near_name, rest).otherwise(F.col("text")).alias("_dob"), "payload", "score"
     )
+    best = both.groupBy("_name", "_dob").agg(F.min(F.struct((-F.col("score")).alias("s"), "payload")).alias("b"))
+    return best.select("_name", "_dob", F.col("b.payload").alias("reference_data_id"), (-F.col("b.s")).alias("score"))
 
 
-def match_registry(
-    documents: DataFrame, registry: DataFrame, score: float = DEFAULT_SCORE, max_edits: int = DEFAULT_EDITS
-) -> DataFrame:
+def match_registry(documents: DataFrame, registry: DataFrame, score: float = DEFAULT_SCORE) -> DataFrame:
     """Number first, then name and birth date; what stays open goes to manual review.
 
     registry: (registration_no, full_name, dob, reference_data_id).  Adds reference_data_id,
@@ -171,7 +198,7 @@ def match_registry(
     """
     exact = match_registry_exact(documents, registry)
     open_docs = exact.filter(F.col("match_status") == "unmatched")
-    found = match_registry_fuzzy(open_docs, registry, score, max_edits).select(
+    found = match_registry_fuzzy(open_docs, registry, score).select(
         "_name", "_dob", F.col("reference_data_id").alias("_fuzzy_id")
     )
     is_open = F.col("match_status") == "unmatched"

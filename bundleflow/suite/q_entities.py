@@ -50,7 +50,7 @@ def _(t):
 @case("augment_tokens", """WITH words AS (SELECT DISTINCT lower(p_name) AS word FROM part),
     low AS (SELECT DISTINCT lower(text) AS spelling FROM ocr_tokens WHERE conf < 70.0),
     near AS (SELECT spelling, word, 100.0 * (1 - cast(levenshtein(spelling, word) AS double) / greatest(length(spelling), length(word))) AS score
-      FROM low, words WHERE levenshtein(spelling, word) <= 1),
+      FROM low, words),
     best AS (SELECT spelling, word FROM (SELECT *, row_number() OVER (PARTITION BY spelling ORDER BY score DESC, word) AS rn FROM near WHERE score >= 85.0) WHERE rn = 1)
     SELECT document_id, page_num, token_id, CASE WHEN conf < 70.0 THEN coalesce(word, text) ELSE text END AS final_text,
       CASE WHEN conf >= 70.0 THEN 'ocr' WHEN word IS NOT NULL THEN 'augmented' ELSE 'manual_review' END AS source

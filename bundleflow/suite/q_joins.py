@@ -28,11 +28,42 @@ FUZZY = f"""contexts AS (SELECT DISTINCT {_SORTED.format(c='applicant_name_raw')
         FROM contexts c JOIN people p ON c.dob = p.dob
       UNION ALL SELECT c.name, c.dob, p.registration_no, levenshtein(c.dob, p.dob), greatest(length(c.name), 8)
         FROM contexts c JOIN people p ON c.name = p.name),
-    scored AS (SELECT *, 100.0 * (1 - cast(edits AS double) / len) AS score FROM pairs WHERE edits <= 2),
+    scored AS (SELECT *, 100.0 * (1 - cast(edits AS double) / len) AS score FROM pairs),
     best AS (SELECT name, dob, registration_no, score FROM (SELECT *, row_number() OVER (PARTITION BY name, dob ORDER BY score DESC, registration_no) AS rn
         FROM scored WHERE score >= 85.0) WHERE rn = 1)"""
 
 
+_LIKE = "100.0 * (1 - cast(levenshtein({a}, {b}) AS double) / greatest(length({a}), length({b})))"
+_SPELT = "spelt AS (SELECT document_id, lower(coalesce(applicant_name_raw, '')) AS a, lower(full_name) AS b FROM applicants JOIN belongs_to USING (document_id) JOIN person USING (registration_no))"
+_PARTIAL = """part AS (SELECT document_id, a, b, CASE WHEN length(a) > length(b) THEN b ELSE a END AS s, CASE WHEN length(a) > length(b) THEN a ELSE b END AS l FROM spelt),
+    partial AS (SELECT document_id, a, b, CASE WHEN s = '' AND l = '' THEN 100.0 WHEN s = '' THEN 0.0
+      ELSE list_max(list_transform(range(1, length(l) - length(s) + 2), lambda i: 100.0 * (1 - cast(levenshtein(s, substring(l, i, length(s))) AS double) / length(s)))) END AS p FROM part)"""
+_RATIO = "CASE WHEN greatest(length(a), length(b)) = 0 THEN 100.0 ELSE " + _LIKE.format(a="a", b="b") + " END"
+_TOKENS = "CASE WHEN greatest(length(a), length(b)) = 0 THEN 100.0 ELSE " + _LIKE.format(a=_SORTED.format(c="a"), b=_SORTED.format(c="b")) + " END"
+
+
+def _spelt(t):
+    pairs = t.wide("applicants").join(t("belongs_to"), "document_id").join(t("person"), "registration_no")
+    return pairs.select("document_id", F.lower(F.coalesce("applicant_name_raw", F.lit(""))).alias("a"), F.lower("full_name").alias("b"))
+
+
+@case("ratio", f"WITH {_SPELT} SELECT document_id, round({_RATIO}, 6) AS score FROM spelt", ("applicants", "belongs_to", "person"))
+def _(t):
+    return _spelt(t).select("document_id", F.round(M.ratio(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@case("partial_ratio", f"WITH {_SPELT}, {_PARTIAL} SELECT document_id, round(p, 6) AS score FROM partial", ("applicants", "belongs_to", "person"))
+def _(t):
+    return _spelt(t).select("document_id", F.round(M.partial_ratio(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@case("weighted_ratio", f"""WITH {_SPELT}, {_PARTIAL}, f AS (SELECT *, least(length(a), length(b)) AS lo, greatest(length(a), length(b)) AS hi FROM partial)
+    SELECT document_id, round(greatest({_RATIO}, 0.95 * {_TOKENS}, p * CASE WHEN hi < 1.5 * lo THEN 0.0 WHEN hi <= 8 * lo THEN 0.9 ELSE 0.6 END), 6) AS score FROM f""",
+      ("applicants", "belongs_to", "person"))
+def _(t):
+    return _spelt(t).select("document_id", F.round(M.weighted_ratio(F.col("a"), F.col("b")), 6).alias("score"))
+
+
 def registry(t):
     return t.wide("person").select("registration_no", "full_name", "dob", F.col("registration_no").alias("reference_data_id"))
 

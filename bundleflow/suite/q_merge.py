@@ -120,12 +120,13 @@ def _(t):
 
 
 @case("update_fields_repeated", f"""WITH {_STORED_PAGES.replace('stored AS', 'pages AS')}, {_STORED_DOCS}, last AS (SELECT document_id, arg_max(page_num, seq) AS n FROM bundle_pages_raw GROUP BY 1)
-    SELECT s.document_id, CASE WHEN l.n IS NULL THEN s.page_count ELSE l.n END AS page_count FROM stored s LEFT JOIN last l ON s.document_id = l.document_id""",
+    SELECT s.document_id, CASE WHEN l.n IS NULL THEN s.match_status WHEN l.n % 2 = 0 THEN 'matched' ELSE 'unmatched' END AS match_status FROM stored s LEFT JOIN last l ON s.document_id = l.document_id""",
       ("bundle_pages", "bundle_pages_raw", "document_states"))
 def _(t):
-    changes = t("bundle_pages_raw").select("document_id", F.col("page_num").alias("page_count"), "seq")
+    state = F.when(F.col("page_num") % 2 == 0, "matched").otherwise("unmatched").alias("match_status")
+    changes = t("bundle_pages_raw").select("document_id", state, "seq")
     after = M.update_fields(stored_documents(t), changes, RUN_TS, seq="seq")
-    return M.update_fields(after, changes, RUN_TS, seq="seq").select("document_id", "page_count")
+    return M.update_fields(after, changes, RUN_TS, seq="seq").select("document_id", "match_status")
 
 
 @case("insert_if_absent", f"""WITH {_STORED_PAGES}, {_PAGE_CHANGES} SELECT page_id, document_id, page_num, confidence_score, page_type, ocr_status, {OLD} AS created_at, {OLD} AS updated_at FROM stored

@@ -21,7 +21,9 @@ _DMY = "lpad(cast(day({d}) AS string),2,'0') || '/' || lpad(cast(month({d}) AS s
 _YMD = "cast(year({d}) AS string) || '-' || lpad(cast(month({d}) AS string),2,'0') || '-' || lpad(cast(day({d}) AS string),2,'0')"
 _DMY2 = _DMY.replace("'/'", "'-'")
 _BIRTH = "DATE '1960-01-01' + cast(c_custkey % 15000 AS int)"
-_NAME = "replace(lower(c_name), '#', ' ')"
+# one name in three is long enough for three edits and more
+_TAIL = "CASE c_custkey % 3 WHEN 0 THEN ' venkatasubramaniam' ELSE '' END"
+_NAME = f"replace(lower(c_name), '#', ' ') || {_TAIL}"
 
 VIEWS: dict[str, str] = {
     # all-string sheet: blanks, floats in text, several date shapes, both district spellings
@@ -99,8 +101,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_orderkey % 6 = 5 THEN 'letter' ELSE 'practitioner' END AS document_category,
                CASE o_orderkey % 5 WHEN 0 THEN 'I-' || lpad(cast(o_custkey AS string), 5, '0') WHEN 1 THEN cast(o_custkey AS string)
                  WHEN 2 THEN 'Reg. No 9' || lpad(cast(o_custkey AS string), 8, '0') WHEN 3 THEN NULL ELSE 'unreadable' END AS registration_no_raw,
-               CASE o_orderkey % 7 WHEN 0 THEN {_NAME} WHEN 1 THEN replace({_NAME}, 'customer', 'cust0mer')
-                 WHEN 2 THEN substring({_NAME}, 10) || ' customer' WHEN 3 THEN replace({_NAME}, 'customer', 'kustomr')
+               CASE o_orderkey % 7 WHEN 0 THEN {_NAME} WHEN 1 THEN replace(replace({_NAME}, 'customer', 'cust0mer'), 'subramaniam', 'zubramanian')
+                 WHEN 2 THEN substring({_NAME}, 10) || ' customer' WHEN 3 THEN replace(replace({_NAME}, 'customer', 'kustomr'), 'venkata', 'benkadha')
                  WHEN 4 THEN replace({_NAME}, 'customer', 'clistonner') WHEN 5 THEN upper({_NAME}) ELSE NULL END AS applicant_name_raw,
                CASE WHEN o_orderkey % 11 = 0 THEN DATE '1960-01-01' + cast((c_custkey + 1) % 15000 AS int)
                  WHEN o_orderkey % 13 = 0 THEN NULL ELSE {_BIRTH} END AS dob
@@ -114,9 +116,9 @@ VIEWS: dict[str, str] = {
              JOIN embeddings ON vec = vec_id""",
     "person_queries": f"""
         SELECT cast(c_custkey AS bigint) AS query_id, cast(c_custkey % 500 AS bigint) AS query_vec,
-               CASE c_custkey % 8 WHEN 6 THEN 'documents of ' || replace(c_name, '#', ' ')
+               CASE c_custkey % 8 WHEN 6 THEN 'documents of ' || replace(c_name, '#', ' ') || {_TAIL}
                  WHEN 7 THEN 'all receipts, DOB ' || cast(day(d) AS string) || ' ' || substring('{_MONTHS}', 3 * month(d) - 2, 3) || ' ' || cast(year(d) AS string)
-                 ELSE 'documents of ' || replace(c_name, '#', ' ') || ', DOB ' || cast(day(d) AS string) || ' ' || substring('{_MONTHS}', 3 * month(d) - 2, 3) || ' ' || cast(year(d) AS string) END AS query_text
+                 ELSE 'documents of ' || replace(c_name, '#', ' ') || {_TAIL} || ', DOB ' || cast(day(d) AS string) || ' ' || substring('{_MONTHS}', 3 * month(d) - 2, 3) || ' ' || cast(year(d) AS string) END AS query_text
         FROM (SELECT *, {_BIRTH} AS d FROM customer)""",
     "entity_texts": f"""
         SELECT cast(o_orderkey AS string) AS document_id, cast(1 + o_custkey % 7 AS bigint) AS page_num,

@@ -75,14 +75,23 @@ def lev(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_edit_match_finds_every_best_partner(spark, edits):
-    rng = random.Random(edits)
-    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))
+@pytest.mark.parametrize("score,longest,weight", [(60.0, 7, None), (85.0, 30, None), (85.0, 30, 24), (30.0, 5, None), (100.0, 3, None)])
+def test_edit_match_finds_every_best_partner(spark, score, longest, weight):
+    rng = random.Random(longest)
+    seeds = ["".join(rng.choice("abc") for _ in range(rng.randint(0, longest))) for _ in range(25)]
+
+    def word():
+        w = list(rng.choice(seeds))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "z"])
+        return "".join(w)
+
     left = {(rng.choice(["hot", "hot", "x"]), word()) for _ in range(150)}
     right = [(rng.choice(["hot", "x"]), word(), i) for i in range(200)]
     out = match.best_edit_match(
-        spark.createDataFrame(sorted(left), "block string, text string"), spark.createDataFrame(right, "block string, text string, payload int"), edits, 60.0
+        *[df.withColumn("weight", F.lit(weight).cast("int")) for df in (
+            spark.createDataFrame(sorted(left), "block string, text string"), spark.createDataFrame(right, "block string, text string, payload int"))], score
     )
     got = {(r["block"], r["text"]): (r["payload"], r["edits"]) for r in out.collect()}
     want = {}
@@ -90,24 +99,15 @@ def test_edit_match_finds_every_best_partner(spark, edits):
         best = None
         for rb, rt, payload in right:
             d = lev(t, rt) if rb == b else 99
-            size = max(len(t), len(rt))
-            s = 100.0 if d == 0 else 100.0 * (1 - d / size) if size else 0.0
-            if d <= edits and s >= 60.0 and (best is None or (-s, payload) < best[0]):
+            size = weight or max(len(t), len(rt))
+            s = 100.0 * (1 - d / size) if size else 100.0
+            if rb == b and s >= score and (best is None or (-s, payload) < best[0]):
                 best = ((-s, payload), d)
         if best:
             want[(b, t)] = (best[0][1], best[1])
     assert got == want
 
 
-def test_deletions(spark):
-    df = spark.createDataFrame([("abc",), ("",), ("aa",), ("é०x",)], "s string")
-    got = {}
-    for r in match.explode_deletions(df, "s", 2).collect():
-        got.setdefault(r["s"], []).append(r["_v"])
-    assert sorted(got["abc"]) == sorted(["abc", "bc", "ac", "ab", "a", "b", "c"])
-    assert got[""] == [""] and set(got["aa"]) == {"aa", "a", ""} and "०" in got["é०x"]
-
-
 def test_match_registry_methods(spark):
     docs = spark.createDataFrame(
         [("1", "practitioner", "I-00005", None, None), ("2", "practitioner", None, "Patil Ashish", "1996-02-26"), ("3", "practitioner", "x", "asish patil", "1996-02-26"),
