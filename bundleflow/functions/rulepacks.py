@@ -122,9 +122,10 @@ PAGE_RULES = (
     Rule("invoice_lines", r"\binvoice\b", 2.0),
 )
 
-# Multi-line, '\n' as the only line end, Unicode classes.  Case is settled before matching:
-# patterns are lower case and so is the text they see (see ``fold``).
+# Multi-line, '\n' as the only line end, Unicode classes.  The text that patterns see is lower case
+# (see ``fold``); patterns outside the plain lower-case grammar below also ignore case themselves.
 JAVA_FLAGS = "(?mdU)"
+JAVA_FLAGS_ANY_CASE = "(?imdU)"
 
 
 def fold(text: Column) -> Column:
@@ -138,8 +139,20 @@ def categories_of(rules: Sequence[Rule]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(r.category for r in rules))
 
 
+# Lower-case ASCII letters, digits, a few signs, plain escapes, simple classes, groups, quantifiers.
+_PLAIN = re.compile(
+    r"""(?:[a-z0-9 ₹_/#:,'"@%&=;!<>~-]|\\[bBsSdDwW.\-/()+*?|^$₹]|\[\^?(?:[a-z0-9 .:/#,_@+-]|\\[sdw.\-/])+\]"""
+    r"""|\((?:\?:)?|\)|\||[.?*+^$]|\{\d+,?\d*\})+"""
+)
+
+
+def is_plain(pattern: str) -> bool:
+    """In the grammar for which literals can be derived and case is settled by folding."""
+    return _PLAIN.fullmatch(pattern) is not None
+
+
 def java_pattern(pattern: str) -> str:
-    return JAVA_FLAGS + pattern
+    return (JAVA_FLAGS if is_plain(pattern) else JAVA_FLAGS_ANY_CASE) + pattern
 
 
 _OPTIONAL_GROUP = re.compile(r"\((?:[^()\\]|\\.)*\)[?*+]?|\[[^\]]*\](?:[?*+]|\{\d+,?\d*\})?")
@@ -150,9 +163,11 @@ _MAYBE_ABSENT = re.compile(r".(?:[?*]|\{\d*,?\d*\})")
 def needed_text(pattern: str) -> tuple[str, ...]:
     """Literals of which at least one occurs in any match, one per top-level alternative.
 
-    Empty when some alternative has no literal of two characters or a non-ASCII one; then the
-    pattern itself has to decide.
+    Empty when some alternative has no literal of two characters or a non-ASCII one, and for
+    every pattern outside the plain grammar; then the pattern itself has to decide.
     """
+    if not is_plain(pattern):
+        return ()
     flat = _OPTIONAL_GROUP.sub("\0", pattern)
     while "(" in flat and _OPTIONAL_GROUP.search(flat):
         flat = _OPTIONAL_GROUP.sub("\0", flat)
@@ -246,12 +261,13 @@ def fired_rules(df: DataFrame, text: str, keys: Sequence[str], rules: Sequence[R
     return hits.select(*keys, "hit.rule_ord", "hit.category", "hit.weight")
 
 
-def rules_from_table(rules: DataFrame, limit: int = 5000) -> tuple[Rule, ...]:
+def rules_from_table(rules: DataFrame, limit: int | None = None) -> tuple[Rule, ...]:
     """Rules kept in a table (category, pattern, weight, ord) become a pack at plan time.
 
-    A rule table is configuration; one larger than ``limit`` is refused, not truncated.
+    A rule table is configuration; with ``limit``, a larger one is refused, not truncated.
     """
-    rows = rules.select("category", "pattern", "weight", "ord").limit(limit + 1).collect()
-    if len(rows) > limit:
+    wanted = rules.select("category", "pattern", "weight", "ord")
+    rows = (wanted if limit is None else wanted.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"rule table has more than {limit} rows")
     return tuple(Rule(r.category, r.pattern, float(r.weight)) for r in sorted(rows, key=lambda r: r.ord))

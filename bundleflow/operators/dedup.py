@@ -39,7 +39,9 @@ def _entry_maps(window: int, length: int):
         current, opening, closed, paths = None, 0, False, deque()
 
         def flush() -> list[tuple]:
-            rows = [(*current, upto, last) for last, entries in paths for upto in entries]
+            exits = sorted((upto, last) for last, entries in paths for upto in entries)
+            # Of neighbouring entries with one exit the latest stands for them all.
+            rows = [(*current, *e) for e, after in zip(exits, [*exits[1:], (None, None)]) if e[1] != after[1]]
             if not closed:  # entered late enough, this chunk keeps nothing
                 rows.append((*current, END_OF_TIME, NOTHING_KEPT))
             return rows
@@ -142,3 +144,20 @@ def dedup_within(
         .mapInPandas(_keep(window), f"k {key_type}, us bigint")
     )
     return kept.select(F.col("k").alias(key), F.timestamp_micros("us").alias(ts))
+
+
+def dedup_messages(
+    df: DataFrame, key: str, ts: str, order: str, window_seconds: int = WINDOW_SECONDS, chunk_seconds: int = CHUNK_SECONDS
+) -> DataFrame:
+    """The messages that count, with all their columns.
+
+    Of messages with one key and time the one with the smallest ``order`` stays.  A message without
+    a key or a time cannot repeat anything and stays.
+    """
+    usable = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    kept = dedup_within(df, key, ts, window_seconds, chunk_seconds)
+    rest = [c for c in df.columns if c not in (key, ts)]
+    timed = df.filter(usable).withColumn(ts, F.col(ts).cast("timestamp"))
+    once = timed.groupBy(key, ts).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    counted = once.join(kept, [key, ts], "left_semi").select(*[F.col(c) if c in (key, ts) else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    return counted.unionByName(df.filter(~usable).withColumn(ts, F.col(ts).cast("timestamp")))

@@ -289,6 +289,14 @@ def merge_nodes(keys: Sequence[str], *candidates: DataFrame) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def union_categories(*parts: DataFrame) -> DataFrame:
+    """Documents of several categories as one table; a column that a category lacks is null."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def empty_tables(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Empty registry, documents and pages tables."""
     return (

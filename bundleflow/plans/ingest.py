@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import classify_documents, flatten_result, with_qr
 from ..operators.merge import upsert_documents, upsert_pages
+from ..session import cut_lineage
 from ..operators.route import document_rows, document_states, explode_pages, route_pages
 
 
@@ -24,7 +25,8 @@ class Ingest(NamedTuple):
 def latest_manifests(manifests: DataFrame) -> DataFrame:
     """One manifest per document: a re-delivered one counts once, the newest wins."""
     rest = [c for c in manifests.columns if c != "document_id"]
-    order = F.struct(F.coalesce(F.col("preprocessed_at"), F.lit("1970-01-01").cast("timestamp")), F.to_json(F.struct(*rest)))
+    # A hash settles equal times; rows with equal hashes are the same manifest.
+    order = F.struct(F.coalesce(F.col("preprocessed_at"), F.lit("1970-01-01").cast("timestamp")), F.xxhash64(*rest))
     picked = manifests.groupBy("document_id").agg(F.max_by(F.struct(*rest), order).alias("_m"))
     return picked.select("document_id", *[F.col(f"_m.{c}").alias(c) for c in rest])
 
@@ -37,7 +39,7 @@ def ingest_manifests(
     run_ts: datetime | Column,
     mode: str = "forward_only",
     fallback: Callable[[DataFrame], DataFrame] | None = None,
-    materialize: Callable[[DataFrame], DataFrame] | None = None,
+    materialize: Callable[[DataFrame], DataFrame] | None = cut_lineage,
 ) -> Ingest:
     """Upsert, classify, route and final states for a batch.
 
@@ -46,8 +48,8 @@ def ingest_manifests(
     ``forward_only`` mode a page already queued or done is neither reset nor sent again, so a
     re-run of the same batch changes nothing.
 
-    All three outputs read the classification.  ``materialize`` may store it and hand back the
-    stored table, so it is computed once.
+    All three outputs read the classification.  ``materialize`` stores it and hands back the
+    stored table, so it is computed once; None leaves it in the plan.
     """
     batch = latest_manifests(manifests)
     bundles = batch.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -67,37 +68,48 @@ def stream_ingest(
 def stream_dedup(
     messages: DataFrame, ids: list[str], ts: str = "ts", window_seconds: int = WINDOW_SECONDS, lateness: str = LATENESS
 ) -> DataFrame:
-    """Messages with a repeated id inside the window dropped; a later repeat counts as new.
-
-    The state per id is the time of the message that last counted, compared exactly, so a
-    repeat beyond the window is never lost to state that has not been cleaned up yet.  Watermarked
-    state is dropped once no message of its window can arrive.  A group is read chunk by chunk,
-    whatever its size.
+    """Messages that count: per id the first, then each one at least a window after the last that counted.
+
+    A message is decided once the watermark has passed it, when no earlier one can still arrive, so
+    neither the order of arrival nor the cut into micro-batches changes the outcome.  Until then
+    it waits in the state of its id, which holds no more than ``lateness`` worth of messages and the
+    time that last counted; an id is one group, so a very busy id is one task's work.  Messages
+    further behind the newest one than ``lateness`` are not taken in: set it to what the source may do.
+    The last messages of a stream wait for a later one, of any id, to move the watermark.
     """
     timed = messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     stamped = timed.withColumn("_us", F.unix_micros(F.col(ts)))
     window = window_seconds * 1_000_000
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = int(state.get[0]) if state.exists else None
-        for chunk in chunks:
-            chunk = chunk.sort_values("_us", kind="stable")
+        last, waiting = None, []
+        if state.exists:
+            last, held = state.get
+            waiting = [pickle.loads(held)] if held is not None else []
+        if not state.hasTimedOut:
+            waiting += list(chunks)
+        passed = state.getCurrentWatermarkMs() * 1000
+        rest = pd.concat(waiting, ignore_index=True) if waiting else None
+        if rest is not None and len(rest):
+            ready = rest[rest["_us"] <= passed].sort_values("_us", kind="stable")
+            rest = rest[rest["_us"] > passed]
             keep = []
-            for us in chunk["_us"].tolist():
-                new = last is None or abs(us - last) >= window
-                keep.append(new)
-                if new and (last is None or us > last):
-                    last = us
-            yield chunk.loc[keep].drop(columns="_us")
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + window) // 1000, state.getCurrentWatermarkMs() + 1))
+            for us in ready["_us"].tolist():
+                keep.append(last is None or us - last >= window)
+                last = us if keep[-1] else last
+            if any(keep):
+                yield ready.loc[keep].drop(columns="_us")
+        if rest is not None and len(rest):
+            state.update((last, pickle.dumps(rest)))
+            state.setTimeoutTimestamp(int(rest["_us"].min()) // 1000 + 1)
+        elif last is not None and last + window > passed:
+            state.update((last, None))
+            state.setTimeoutTimestamp((last + window) // 1000 + 1)
+        elif state.exists:
+            state.remove()
 
     return stamped.groupBy(*ids).applyInPandasWithState(
-        step, timed.schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+        step, timed.schema, "last bigint, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -222,4 +222,4 @@ def _(t):
     docs = t("document_states")
     people = docs.filter("document_category = 'practitioner'").select("document_id", "status", "match_status")
     others = docs.filter("document_category <> 'practitioner'").select("document_id", "status", F.get_json_object("metadata", "$.vendor_name").alias("vendor"))
-    return people.unionByName(others, allowMissingColumns=True)
+    return M.union_categories(people, others)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import safe_int
 from ..operators import triage as T
-from ..operators.dedup import dedup_within
+from ..operators.dedup import dedup_messages, dedup_within
 from ..operators.graph import name_variants
 from ..operators.merge import last_write_wins
 from ..operators.route import list_pages, pages_per_document
@@ -117,6 +117,17 @@ def _(t):
     return kept.select("event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
+@case("dedup_messages", """WITH RECURSIVE seen AS (SELECT DISTINCT event_type AS k, ts FROM events WHERE value >= 5),
+    kept AS (SELECT k, min(ts) AS ts FROM seen GROUP BY k
+      UNION ALL SELECT s.k, min(s.ts) FROM kept q JOIN seen s ON s.k = q.k AND s.ts >= q.ts + INTERVAL 5 MINUTE GROUP BY s.k)
+    SELECT e.event_id, e.event_type, e.user_id FROM events e JOIN (SELECT min(event_id) AS event_id FROM events JOIN kept ON event_type = k AND events.ts = kept.ts WHERE value >= 5 GROUP BY k, kept.ts) USING (event_id)
+    UNION ALL SELECT event_id, NULL, user_id FROM events WHERE NOT value >= 5""")
+def _(t):
+    """Whole messages; those of small value have lost their key."""
+    events = t("events").withColumn("event_type", F.when(F.col("value") >= 5, F.col("event_type"))).filter("value IS NOT NULL")
+    return dedup_messages(events, "event_type", "ts", "event_id").select("event_id", "event_type", "user_id")
+
+
 @case("list_pages", "SELECT page_id, page_num, page_type FROM bundle_pages WHERE document_id = '42' ORDER BY page_num", "bundle_pages")
 def _(t):
     return list_pages(t("bundle_pages"), "42").select("page_id", "page_num", "page_type")

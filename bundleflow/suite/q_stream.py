@@ -34,10 +34,19 @@ def _(t):
       UNION ALL SELECT s.u, s.k, min(s.ts) FROM kept q JOIN seen s ON s.u = q.u AND s.k = q.k AND s.ts >= q.ts + INTERVAL 5 MINUTE GROUP BY s.u, s.k)
     SELECT u AS user_id, k AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM kept""")
 def _(t):
+    """Events in no order over several files, one per micro-batch, then one message from the future to close the stream."""
     root = scratch_dir(t.spark, "stream_dedup")
-    events = J.stream_files(t.spark, f"{t.sf_dir}/events*.parquet").select("user_id", "event_type", "ts")
-    J.run_to_table(J.stream_dedup(events, ["user_id", "event_type"]), f"{root}/data", f"{root}/ck")
-    return t.spark.read.parquet(f"{root}/data").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    events = t("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    shuffled = events.repartition(6, F.xxhash64("user_id", "ts"))
+    shuffled.write.parquet(f"{root}/inbox")
+    far = events.agg(F.max("ts").alias("end")).selectExpr("cast(-1 AS bigint) AS user_id", "'close' AS event_type", "end + INTERVAL 2000 DAYS AS ts")
+    for closing in (False, True):
+        if closing:
+            far.write.mode("append").parquet(f"{root}/inbox")
+        arriving = J.stream_files(t.spark, f"{root}/inbox", files_per_trigger=1)
+        J.run_to_table(J.stream_dedup(arriving, ["user_id", "event_type"], lateness="1000 days"), f"{root}/data", f"{root}/ck")
+    kept = t.spark.read.schema(events.schema).parquet(f"{root}/data").filter("event_type <> 'close'")
+    return kept.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @case("stream_registry_match", f"WITH {EXACT} SELECT document_id, reference_data_id, match_status FROM exact", ("applicants", "person"))

@@ -112,10 +112,10 @@ VIEWS: dict[str, str] = {
     # every page carries a vector
     "page_vectors": """
         SELECT document_id, page_num, vec_id, label, embedding
-        FROM (SELECT document_id, page_num, (cast(document_id AS bigint) * 7 + page_num) % 500 AS vec FROM bundle_pages)
+        FROM (SELECT document_id, page_num, (cast(document_id AS bigint) * 7 + page_num) % (SELECT max(vec_id) + 1 FROM embeddings) AS vec FROM bundle_pages)
              JOIN embeddings ON vec = vec_id""",
     "person_queries": f"""
-        SELECT cast(c_custkey AS bigint) AS query_id, cast(c_custkey % 500 AS bigint) AS query_vec,
+        SELECT cast(c_custkey AS bigint) AS query_id, cast(c_custkey % (SELECT max(vec_id) + 1 FROM embeddings) AS bigint) AS query_vec,
                CASE c_custkey % 8 WHEN 6 THEN 'documents of ' || replace(c_name, '#', ' ') || {_TAIL}
                  WHEN 7 THEN 'all receipts, DOB ' || cast(day(d) AS string) || ' ' || substring('{_MONTHS}', 3 * month(d) - 2, 3) || ' ' || cast(year(d) AS string)
                  ELSE 'documents of ' || replace(c_name, '#', ' ') || {_TAIL} || ', DOB ' || cast(day(d) AS string) || ' ' || substring('{_MONTHS}', 3 * month(d) - 2, 3) || ' ' || cast(year(d) AS string) END AS query_text

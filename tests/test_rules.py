@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from bundleflow.functions import rulepacks
 from bundleflow.functions.rulepacks import BUNDLE_RULES, BUNDLE_TYPE_RULES, MIN_SCORE, PAGE_RULES, Rule, fired_rules, fold, needed_text, rules_from_table
 from bundleflow.operators import classify as K
 
@@ -91,3 +92,25 @@ def test_rules_from_table_keep_order_and_refuse_excess(spark):
     except ValueError:
         return
     raise AssertionError("too many rules accepted")
+
+
+def test_any_legal_pattern_of_a_table_fires(spark):
+    text = "GST no 5 नमस्ते a]cd"
+    df = spark.createDataFrame([(text,)], "raw string").select(rulepacks.fold(F.col("raw")).alias("t"))
+    for pattern in (r"\bGST\b", r"\p{IsDevanagari}+", r"\x67st", r"[\]ab]cd", r"gst no \d", r"(GST|pan)\s+NO"):
+        assert df.select(rulepacks.matches("t", pattern)).first()[0], pattern
+        bare = F.expr(f"rlike(t, {rulepacks._text(rulepacks.java_pattern(pattern))})")
+        assert df.select(bare).first()[0], pattern
+
+
+def test_prefilter_never_changes_the_answer(spark):
+    rng = random.Random(2)
+    pieces = [r"\bgst\b", "no", r"\s*", r"\d{2,}", "(pan|gst)?", "[a-c]+", r"\.", "x?", "|", "in", r"(?:ab|cd)", "₹"]
+    texts = ["".join(rng.choice(["gst", "no", " ", "12", "pan", "abc", ".", "x", "in", "ab", "₹", "\n"]) for _ in range(8)) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    for _ in range(40):
+        pattern = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))
+        if pattern.startswith("|") or pattern.endswith("|") or "||" in pattern:
+            continue
+        bare = F.expr(f"rlike(t, {rulepacks._text(rulepacks.java_pattern(pattern))})")
+        assert df.filter(rulepacks.matches("t", pattern) != bare).count() == 0, pattern

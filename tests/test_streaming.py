@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -9,14 +10,28 @@ from bundleflow.streaming import jobs as J
 T0 = datetime(2024, 1, 1)
 
 
-def test_repeats_inside_the_window_are_dropped_across_batches(spark, tmp_path):
-    schema = "id string, ts timestamp"
-    for minutes in (0, 3, 33):
-        spark.createDataFrame([("m", T0 + timedelta(minutes=minutes))], schema).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["id"])
+def brute(times):
+    kept = []
+    for t in sorted(times):
+        if not kept or t - kept[-1] >= timedelta(minutes=5):
+            kept.append(t)
+    return kept
+
+
+def test_arrival_order_and_batches_do_not_matter(spark, tmp_path):
+    rng = random.Random(1)
+    busy = [("m", T0 + timedelta(seconds=rng.randint(0, 5000)), i) for i in range(12000)]
+    rows = busy + [("n", T0 + timedelta(minutes=m), m) for m in (0, 3, 33, 36, 40)]
+    rng.shuffle(rows)
+    schema = "id string, ts timestamp, n int"
+    closing = [("close", T0 + timedelta(days=9), 0)]
+    for part in (rows[:3], rows[3:5000], rows[5000:], closing):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["id"], lateness="2 hours")
         J.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
-    kept = {r["ts"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert kept == {T0, T0 + timedelta(minutes=33)}
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()
+    for name in "mn":
+        assert sorted(r["ts"] for r in got if r["id"] == name) == brute([t for i, t, _ in rows if i == name])
 
 
 def test_sink_survives_redelivery(spark, tmp_path):
