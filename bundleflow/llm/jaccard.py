@@ -233,19 +233,20 @@ def _list_pairs(percent: int, once: bool):
     return pairs
 
 
-def _centre_pairs(percent: int):
-    """Members of a list with its centre, as far as they pass the filters."""
+def _fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the filters by size and counts per cell.  classes: (cls, n, cells)."""
+    both = pairs
+    for side in "ab":
+        both = both.join(classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("cells").alias(f"cells_{side}")), side)
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             size = len(frame)
-            rows = {c: np.concatenate([frame[c].to_numpy(), frame[f"centre_{c}"].to_numpy()]) for c in ("cls", "comp", "n", "place")}
-            rows["cells"] = np.frombuffer(b"".join([*frame["cells"], *frame["centre_cells"]]), np.uint16).reshape(-1, CELLS)
-            good = _fits(rows, np.arange(size), np.arange(size, 2 * size), percent)
-            a, b = rows["cls"][:size][good], rows["cls"][size:][good]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            rows = {"n": np.concatenate([frame["n_a"], frame["n_b"]]), "place": np.zeros(2 * size, np.int64), "comp": np.arange(2 * size)}
+            rows["cells"] = np.frombuffer(b"".join([*frame["cells_a"], *frame["cells_b"]]), np.uint16).reshape(-1, CELLS)
+            yield frame.loc[_fits(rows, np.arange(size), np.arange(size, 2 * size), percent), ["a", "b"]]
 
-    return pairs
+    return both.mapInPandas(check, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,11 +274,11 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain in practice, and it runs until
     nothing changes.
     """
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct()
+    one_way = links.select("a", "b")
     if labels is not None:
-        edges = edges.union(labels.filter("cls <> comp").select(F.col("cls").alias("a"), F.col("comp").alias("b")))
-        edges = edges.union(labels.filter("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))).distinct()
-    edges = cut(edges, "jaccard-links")
+        one_way = one_way.union(labels.filter("cls <> comp").select(F.col("cls").alias("a"), F.col("comp").alias("b")))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(one_way.select(F.inline(both)).distinct(), "jaccard-links")
     state = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "cls")
     while True:
         state = cut(state, "jaccard-labels")
@@ -327,55 +328,60 @@ def labelled(docs: DataFrame, text: str, id_col: str, shingle: int, percent: int
         found.filter("n > 0").groupBy(*key).agg(F.min(F.struct("doc", "prefix", "cells", "tokens", "places", "centre")).alias("r")).select(*key, F.col("r.doc").alias("cls"), "r.prefix", "r.cells", "r.tokens", "r.places", "r.centre"),
         "jaccard-classes",
     )
-    group = classes.groupBy("prefix", "n").agg(F.min("cls").alias("grp"))
-    members = classes.join(group, ["prefix", "n"])
-    lists = members.select("cls", "grp", "n", "centre", "cells", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-    lists = lists.select("cls", "grp", "n", "centre", "cells", F.col("t.tokens").alias("name"), F.col("t.places").alias("place"))
-    useful = lists.groupBy("name").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high")).filter("_low < _high").select("name")
-    lists = cut(lists.join(useful, "name"), "jaccard-lists")
-    # Only classes with a partner that passes the filters stay in the lists, and have their sets read.
-    dealt = _dealt(lists.withColumn("comp", F.col("cls")), BLOCK)
-    partners = repeats.by_name(dealt).mapInPandas(_list_pairs(percent, once=True), "a long, b long")
-    inside = members.filter("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
-    wanted = cut(partners.union(inside).select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "jaccard-wanted")
-    lists = cut(lists.join(wanted, lists["cls"] == wanted["doc"], "left_semi"), "jaccard-lists")
+    # Groups of equal prefix and size meet in the lists; a group of several classes passes the count filter unseen.
+    grouped = classes.groupBy("prefix", "n").agg(F.min(F.struct("cls", "cells", "tokens", "places")).alias("g"), F.count("*").alias("m"))
+    cells = F.when(F.col("m") == 1, F.col("g.cells")).otherwise(F.lit(bytearray(b"\xff" * 2 * CELLS)))
+    groups = cut(grouped.select("prefix", "n", "m", F.col("g.cls").alias("cls"), F.col("g.cls").alias("comp"), cells.alias("cells"), "g.tokens", "g.places"), "jaccard-groups")
+    partners = repeats.by_name(_dealt(_lists(groups, "cells"), BLOCK)).mapInPandas(_list_pairs(percent, once=True), "a long, b long")
+    met = partners.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("_met", F.lit(True))
+    wanted = groups.select("prefix", "n", "m", "cls").join(met, "cls", "left").filter("_met OR m > 1").select("prefix", "n", F.col("cls").alias("grp"))
+    members = cut(classes.join(wanted, ["prefix", "n"]).drop("high", "low", "prefix"), "jaccard-members")
 
     def token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, grams, begin in _groups(batches, shingle):
             yield pd.DataFrame({"doc": ids, "tokens": [grams[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]})
 
-    sets = cut(texts.join(wanted, "doc", "left_semi").mapInPandas(token_sets, "doc long, tokens binary").dropDuplicates(["doc"]), "jaccard-sets")
+    chosen = texts.join(members.select(F.col("cls").alias("doc")), "doc", "left_semi")
+    sets = cut(chosen.mapInPandas(token_sets, "doc long, tokens binary").dropDuplicates(["doc"]), "jaccard-sets")
+    filtered = members.select("cls", "n", "cells")
     labels = None
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))
     for turn in range(rounds):
-        state = _labelled(lists, labels).withColumn("band", band)
-        mixed = _mixed_lists(state)
-        ranked = mixed.groupBy("name", "band").agg(F.max(F.struct("centre", -F.col("cls"), "comp", "n", "place", "cells")).alias("c"))
+        state = _mixed_lists(_lists(_labelled(members, labels), "centre")).withColumn("band", band)
+        ranked = state.groupBy("name", "band").agg(F.max(F.struct("centre", (-F.col("cls")).alias("cls"), "comp", "n", "place")).alias("c"))
         centre = ranked.select(
-            "name", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), (-F.col("c.col2")).alias("centre_cls"),
-            *[F.col(f"c.{c}").alias(f"centre_{c}") for c in ("comp", "n", "place", "cells")],
+            "name", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), (-F.col("c.cls")).alias("centre_cls"),
+            *[F.col(f"c.{c}").alias(f"centre_{c}") for c in ("comp", "n", "place")],
         )
-        pairs = mixed.join(centre, ["name", "band"]).filter("comp <> centre_comp").mapInPandas(_centre_pairs(percent), "a long, b long")
+        fits = F.least(F.col("n") - F.col("place"), F.col("centre_n") - F.col("centre_place")) * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
+        near = state.join(centre, ["name", "band"]).filter("comp <> centre_comp").filter(fits)
+        pairs = near.select(F.least("cls", "centre_cls").alias("a"), F.greatest("cls", "centre_cls").alias("b"))
         if turn == 0:  # members of one group, with its first
-            pairs = pairs.union(inside)
-        labels = components(_verify(pairs.distinct(), sets, percent), labels)
-    rest = _dealt(_mixed_lists(_labelled(lists, labels)), BLOCK)
+            pairs = pairs.union(members.filter("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b")))
+        labels = components(_verify(_fitting(pairs.distinct(), filtered, percent), sets, percent), labels)
+    rest = _dealt(_mixed_lists(_lists(_labelled(members, labels), "cells")), BLOCK)
     last = repeats.by_name(rest).mapInPandas(_list_pairs(percent, once=False), "a long, b long").distinct()
     labels = components(_verify(last, sets, percent), labels)
     linked = classes.select(*key, "cls").join(labels, "cls", "left").select(*key, F.coalesce("comp", "cls").alias("comp"))
     return found.select("doc", *key).join(linked, key, "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return lists.withColumn("comp", F.col("cls"))
-    return lists.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        return members.withColumn("comp", F.col("cls"))
+    return members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _lists(members: DataFrame, *more: str) -> DataFrame:
+    """One row per token and member: (name, cls, comp, n, place) and more."""
+    rows = members.select("cls", "comp", "n", *more, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    return rows.select("cls", "comp", "n", *more, F.col("t.tokens").alias("name"), F.col("t.places").alias("place"))
 
 
-def _mixed_lists(state: DataFrame) -> DataFrame:
+def _mixed_lists(lists: DataFrame) -> DataFrame:
     """Rows of the lists that still hold more than one component."""
-    mixed = state.groupBy("name").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("name")
-    return state.join(mixed, "name")
+    mixed = lists.groupBy("name").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("name")
+    return lists.join(mixed, "name")
 
 
 def _dealt(rest: DataFrame, block: int) -> DataFrame:
@@ -383,8 +389,10 @@ def _dealt(rest: DataFrame, block: int) -> DataFrame:
 
     side -1: compare within, 0 and 1: compare the first side with the second.
     """
-    size = rest.groupBy("name").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks"))
-    rows = rest.join(size, "name").withColumn("_i", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
+    # Only long lists are named here, so few that Spark usually broadcasts them.
+    size = rest.groupBy("name").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_blocks")).filter("_blocks > 1")
+    rows = rest.join(cut(size, "jaccard-long-lists"), "name", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = rows.withColumn("_i", F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int"))
     cells = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),
         lambda j: F.struct(F.least("_i", j).alias("i"), F.greatest("_i", j).alias("j"), F.when(j == F.col("_i"), -1).when(F.col("_i") < j, 0).otherwise(1).alias("side")),
