@@ -17,6 +17,7 @@ BROADCAST_QUERIES = 4096  # up to here (and BROADCAST_BYTES) queries travel to e
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_SLICE = 4096  # beyond: queries and vectors meet in blocks of at most these sizes
 VECTOR_SLICE = 50_000
+TILE_BYTES = 32 * 1024 * 1024  # scores held at once, whatever the blocks
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -43,13 +44,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _block_hits(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
     """k best of one block of vectors for each query of one block, by one matrix product."""
-    scores = np.round(_unit(q) @ _unit(v).T, 6)
-    picks = [_best(row, ids, k) for row in scores]
+    unit, rows = _unit(v).T, max(1, TILE_BYTES // (8 * max(1, len(v))))
+    picks, best = [], []
+    for at in range(0, len(q), rows):  # a tile of the score matrix at a time
+        scores = np.round(_unit(q[at : at + rows]) @ unit, 6)
+        for row in scores:
+            picks.append(_best(row, ids, k))
+            best.append(row[picks[-1]])
     return pd.DataFrame(
         {
             "query_id": np.repeat(query_ids, [len(p) for p in picks]).astype("int64"),
             "vec_id": np.concatenate([ids[p] for p in picks]).astype("int64"),
-            "score": np.concatenate([row[p] for row, p in zip(scores, picks)]).astype("float64"),
+            "score": np.concatenate(best).astype("float64"),
         }
     )
 

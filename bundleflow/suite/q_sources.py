@@ -101,12 +101,14 @@ def _(t):
     return t.spark.read.parquet(f"{out}/data")
 
 
-@case("scan_blobs")
+@case("scan_blobs", "SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS content_id FROM documents")
 def _(t):
-    blobs = scan_blobs(t.spark, t.sf_dir, "*.parquet")
-    return blobs.select(
-        F.substring_index("path", "/", -1).alias("name"), "length", content_id(F.col("content")).alias("content_id")
-    )
+    """Every document text as an object of its own, listed and hashed."""
+    root = scratch_dir(t.spark, "scan_blobs")
+    t("documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    blobs = scan_blobs(t.spark, root, "part-*")
+    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+    return blobs.select(doc_id, "length", content_id(F.col("content")).alias("content_id"))
 
 
 def _existing_keys(t: Tables) -> DataFrame:
