@@ -108,3 +108,9 @@ def test_every_stage_against_brute_force(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and got.count() > 50
+
+
+def test_every_stage_on_no_documents(spark, folder):
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
