@@ -28,7 +28,7 @@ COUNTERS = 19  # 2^19 counters order the tokens, at any input size
 CELLS = 64  # tokens of a set counted by their last bits
 BLOCK = 2048  # members of a token's list compared at once
 UNNAMED = 1 << 40  # so many of the largest numbers stand for rows without an id
-ROUNDS = 2  # rounds against the centre of each list before the rest is compared
+ROUNDS = 1  # rounds against the centre of each list before the rest is compared
 NODE = "doc long, n long, high long, low long, prefix long, cells binary, tokens array<long>, places array<int>, centre float"
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -337,12 +337,19 @@ def labelled(docs: DataFrame, text: str, id_col: str, shingle: int, percent: int
     wanted = groups.select("prefix", "n", "m", "cls").join(met, "cls", "left").filter("_met OR m > 1").select("prefix", "n", F.col("cls").alias("grp"))
     members = cut(classes.join(wanted, ["prefix", "n"]).drop("high", "low", "prefix"), "jaccard-members")
 
+    # The wanted documents as a bit field of fixed size: texts are read where they lie, and a false hit is a set too many.
+    wanted_field = texts.sparkSession.sparkContext.broadcast(repeats.bit_field(members.select(F.xxhash64("cls").alias("name")), repeats.SCREEN_BITS))
+
     def token_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, grams, begin in _groups(batches, shingle):
+        def chosen() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[repeats.in_field(wanted_field.value, batch["hash"].to_numpy().view(np.uint64), repeats.SCREEN_BITS)]
+
+        for ids, grams, begin in _groups(chosen(), shingle):
             yield pd.DataFrame({"doc": ids, "tokens": [grams[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]})
 
-    chosen = texts.join(members.select(F.col("cls").alias("doc")), "doc", "left_semi")
-    sets = cut(chosen.mapInPandas(token_sets, "doc long, tokens binary").dropDuplicates(["doc"]), "jaccard-sets")
+    hashed = texts.select("doc", "text", F.xxhash64("doc").alias("hash"))
+    sets = cut(hashed.mapInPandas(token_sets, "doc long, tokens binary"), "jaccard-sets")
     filtered = members.select("cls", "n", "cells")
     labels = None
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))
