@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, toolcalls, warc, winnow
 from .common import read
-from .sql import LEAK_SQL, LICENSE_SQL, TOOL_SQL, WARC_SQL
+from .sql import ANCHOR_SQL, JACCARD_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, TOOL_SQL, WARC_SQL
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,12 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op7_warc_archives, op8_jaccard_join, op9_benchmark_decontamination, op10_tool_call_linking)}
-CHECKS = {"op10_tool_call_linking": TOOL_SQL, "op7_warc_archives": WARC_SQL, "op1_license_scans": LICENSE_SQL, "op9_benchmark_decontamination": LEAK_SQL}
+CHECKS = {
+    "op1_license_scans": LICENSE_SQL,
+    "op5_fixed_block_dedup": ANCHOR_SQL,
+    "op6_suffix_array_dedup": REPEAT_SQL,
+    "op7_warc_archives": WARC_SQL,
+    "op8_jaccard_join": JACCARD_SQL,
+    "op9_benchmark_decontamination": LEAK_SQL,
+    "op10_tool_call_linking": TOOL_SQL,
+}

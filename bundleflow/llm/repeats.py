@@ -191,6 +191,15 @@ def chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[bytes]]]:
         yield held
 
 
+def occurrences(grams: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """All grams, with repeats, that are one of the names."""
+    mask = np.uint64((1 << 18) - 1)
+    some = np.zeros(1 << 18, bool)
+    some[names & mask] = True
+    found = grams[some[grams & mask]]
+    return found[np.isin(found, names)]
+
+
 def _probe(names: np.ndarray, bits: int, shift: int) -> np.ndarray:
     return (names >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
 
@@ -243,13 +252,17 @@ class Screen(NamedTuple):
 
 
 def screen(texts: DataFrame, kind: Kind, hot: int = HOT) -> Screen:
-    """texts: (doc, text).  Names with two runs or more, and those with more than `hot`."""
+    """texts: (doc, text).  Names whose gram occurs twice or more, and those with more than `hot`.
+
+    Occurrences are counted, not runs: a text of short period is one run, and repeats in itself.
+    """
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, group in chunks(batch["doc"].tolist(), batch["text"].tolist()):
-                found = runs(kind.units(group), kind)
-                yield pd.DataFrame({"name": found.names[found.at].view(np.int64)})
+                units = kind.units(group)
+                found = runs(units, kind)
+                yield pd.DataFrame({"name": occurrences(units.grams, found.names[found.at]).view(np.int64)})
 
     counted = texts.mapInPandas(names, "name long").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
     counted = cut(counted, "repeat-names")

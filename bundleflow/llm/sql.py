@@ -92,3 +92,56 @@ UNION ALL
 SELECT conv_id, turn, NULL, call_id, NULL, 'orphan_result', '', 1, '{"id":"' || call_id || '","result":"' || content || '"}'
 FROM results WHERE NOT EXISTS (SELECT 1 FROM calls WHERE calls.conv_id = results.conv_id AND calls.call_id = results.call_id)
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _split(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+ANCHOR_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_split("coalesce(text, '')")} AS words FROM documents),
+windows AS (
+  SELECT r, doc_id, s, md5(array_to_string(words[s : s + 49], ' ')) AS h
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM docs WHERE len(words) >= 50)),
+lowest AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 50)) AS p FROM windows JOIN lowest USING (h) WHERE low < doc_id)),
+counts AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY p) AS kept
+  FROM (SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM docs) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""
+
+# Windows of bytes as hexadecimal text; removed starts closer than a window form one removed run.
+REPEAT_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, s, cast(doc_id AS hugeint) * 4294967296 + s AS place, md5(substr(h, cast(2 * s + 1 AS bigint), 200)) AS k
+  FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM docs WHERE length(h) >= 200)),
+lowest AS (SELECT k, min(place) AS low FROM windows GROUP BY k),
+starts AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 100, false) AS apart FROM windows JOIN lowest USING (k) WHERE low < place),
+numbered AS (SELECT r, s, count_if(apart) OVER (PARTITION BY r ORDER BY s) AS run FROM starts),
+runs AS (SELECT r, run, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY r, run),
+counts AS (SELECT r, cast(sum(b - a) AS bigint) AS n_removed, count(*) AS n_spans, max(b) AS last FROM runs GROUP BY r),
+before AS (SELECT r, a, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM runs),
+pieces AS (SELECT r, string_agg(substr(h, cast(2 * since + 1 AS bigint), cast(2 * (a - since) AS bigint)), '' ORDER BY a) AS kept FROM before JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, cast(2 * coalesce(last, 0) + 1 AS bigint)))) AS kept_sha256
+FROM docs LEFT JOIN counts USING (r) LEFT JOIN pieces USING (r)
+"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_split(_LOWER)} AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[s : s + 2], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS s FROM docs WHERE len(words) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM docs WHERE len(words) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+linked AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, y FROM reach JOIN linked ON x = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""

@@ -35,7 +35,7 @@ def corpus(seed, n=60, alphabet="abé \n"):
             a = rng.randint(0, 40)
             parts += [s[a:], text(rng.choice([0, 3, 80]))]
         docs.append((i, "".join(parts)))
-    docs += [(n, "x" * 700), (n + 1, "y" * 99 + "x" * 180), (n + 2, "ab" * 300), (n + 3, ""), (n + 4, docs[3][1]), (n + 5, docs[3][1])]
+    docs += [(n, "x" * 700), (n + 1, "y" * 99 + "x" * 180), (n + 2, "ab" * 300), (n + 40_000, "".join(chr(97 + k) for k in range(26)) * 5), (n + 40_001, text(60) + "0123456789 line again\n" * 6 + text(60)), (n + 3, ""), (n + 4, docs[3][1]), (n + 5, docs[3][1])]
     docs += [(n + 6 + i, "head %d " % i + shared[0] + " tail %d" % i) for i in range(40)]
     rng.shuffle(docs)
     return docs
