@@ -42,7 +42,8 @@ def shingle_sets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
     count = np.diff(begin)
     grams = words.copy()
     for k in range(1, shingle):
-        grams[: len(words) - k] = repeats.mixed(grams[: len(words) - k]) + words[k:]
+        whole = max(0, len(words) - k)
+        grams[:whole] = repeats.mixed(grams[:whole]) + words[k:]
     grams = repeats.mixed(grams)
     text = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(words)) - begin[text]

@@ -72,3 +72,12 @@ def test_one_document_of_each_group_stays(spark):
     want = brute(docs)
     assert got == sorted((i, 1) for i, (_, c) in want.items() if c == i)
     assert [r.text for r in jaccard.first_of_groups(df).collect() if r.doc_id is None] == ["all alone here"]
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4])
+def test_chunk_of_one_short_text(spark, words):
+    text = " ".join("abcd"[:words])
+    df = spark.createDataFrame([(1, text), (2, text), (3, text + "x")], "doc_id long, text string").repartitionByRange(3, "doc_id")
+    assert set(df.rdd.glom().map(len).collect()) == {1}
+    assert sorted(tuple(r) for r in jaccard.join(df, shingle=5).collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3)]
+    assert sorted(r.doc_id for r in jaccard.first_of_groups(df, shingle=5).collect()) == [1, 3]
