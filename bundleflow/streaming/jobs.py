@@ -74,11 +74,16 @@ def stream_dedup(
     neither the order of arrival nor the cut into micro-batches changes the outcome.  Until then
     it waits in the state of its id, which holds no more than ``lateness`` worth of messages and the
     time that last counted; an id is one group, so a very busy id is one task's work.  Messages
-    further behind the newest one than ``lateness`` are not taken in: set it to what the source may do.
-    The last messages of a stream wait for a later one, of any id, to move the watermark.
+    further behind the newest one than ``lateness`` count as new, unless within a window of the last
+    that counted as far as the state still knows it.  A message without a time cannot repeat
+    anything and stays.  The last messages of a stream wait for a later one, of any id, to move the watermark.
     """
-    timed = messages.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    stamped = timed.withColumn("_us", F.unix_micros(F.col(ts)))
+    typed = messages.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = typed.filter(F.col(ts).isNotNull()).withWatermark(ts, lateness)
+    # Spark drops late rows by the column that carries the watermark; here that is an empty one, so late rows arrive.
+    carrier = F.lit(None).cast("timestamp").alias("_carrier", metadata={"spark.watermarkDelayMs": 0})
+    plain = [F.timestamp_micros(F.unix_micros(ts)).alias(c) if c == ts else F.col(c) for c in typed.columns]
+    stamped = timed.select(*plain, F.unix_micros(ts).alias("_us"), carrier)
     window = window_seconds * 1_000_000
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -91,12 +96,13 @@ def stream_dedup(
         passed = state.getCurrentWatermarkMs() * 1000
         rest = pd.concat(waiting, ignore_index=True) if waiting else None
         if rest is not None and len(rest):
+            rest = rest.drop(columns="_carrier", errors="ignore")
             ready = rest[rest["_us"] <= passed].sort_values("_us", kind="stable")
             rest = rest[rest["_us"] > passed]
             keep = []
             for us in ready["_us"].tolist():
-                keep.append(last is None or us - last >= window)
-                last = us if keep[-1] else last
+                keep.append(last is None or abs(us - last) >= window)
+                last = (us if last is None else max(us, last)) if keep[-1] else last
             if any(keep):
                 yield ready.loc[keep].drop(columns="_us")
         if rest is not None and len(rest):
@@ -108,9 +114,10 @@ def stream_dedup(
         elif state.exists:
             state.remove()
 
-    return stamped.groupBy(*ids).applyInPandasWithState(
-        step, timed.schema, "last bigint, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
+    counted = stamped.groupBy(*ids).applyInPandasWithState(
+        step, typed.schema, "last bigint, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return counted.unionByName(typed.filter(F.col(ts).isNull()))
 
 
 def stream_registry_match(documents: DataFrame, registry: DataFrame) -> DataFrame:

@@ -34,6 +34,22 @@ def test_arrival_order_and_batches_do_not_matter(spark, tmp_path):
         assert sorted(r["ts"] for r in got if r["id"] == name) == brute([t for i, t, _ in rows if i == name])
 
 
+def test_late_and_timeless_messages_stay(spark, tmp_path):
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    schema = "id string, ts timestamp, n int"
+    parts = (
+        [("a", at(0), 1), ("busy", at(600), 2), ("x", None, 3), ("x", None, 4)],
+        [("move", at(601), 5)],
+        [("late", at(10), 6), ("late", at(12), 7), ("late", at(30), 8), ("busy", at(599), 9), ("busy", at(20), 10)],
+        [("close", T0 + timedelta(days=9), 0)],
+    )
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.run_to_table(J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["id"]), f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").filter("id <> 'close'").collect()
+    assert sorted(r["n"] for r in got) == [1, 3, 4, 5, 6, 8, 9, 10]
+
+
 def test_sink_survives_redelivery(spark, tmp_path):
     rows = spark.createDataFrame([("d:1", "d", 1, "queued"), ("d:1", "d", 1, "queued"), ("d:2", "d", 2, "pending")], "page_id string, document_id string, page_num int, ocr_status string")
     for _ in range(2):
