@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import anchors, bwt, cube, jaccard, licenses, quality, tiff, toolcalls, warc, winnow
-from .common import read
-from .sql import ANCHOR_SQL, JACCARD_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, TOOL_SQL, WARC_SQL
+from . import anchors, bpe, bwt, cube, jaccard, licenses, periods, quality, spelling, tiff, toolcalls, warc, winnow
+from .common import SPACES, read
+from .sql import ANCHOR_SQL, JACCARD_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, SPELLING_SQL, TOOL_SQL, WARC_SQL
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,51 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(messages, results, schemas)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op7_warc_archives, op8_jaccard_join, op9_benchmark_decontamination, op10_tool_call_linking)}
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = bpe.build(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.decode(bpe.encode(docs, lexicon), lexicon, "tokens")
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
+MISSPELT = 31  # one word in so many loses a letter
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read(spark, sf_dir, "documents"), spelling.misspelt(MISSPELT))
+    return spelling.group_variants(words)
+
+
+# A tenth of the documents is given a periodic end: from word a on, word i is word a + (i - a) mod p.
+PERIODIC_END = f"""
+SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+  THEN array_join(transform(sequence(0, n - 1), i -> get(words, if(i < a, i, a + (i - a) % p))), ' ') ELSE text END AS text
+FROM (SELECT *, 1 + cast(floor((n - a) / (3 + g % 8)) AS int) AS p FROM
+  (SELECT *, cast(g % n AS int) AS a FROM
+    (SELECT *, floor(h / 10) AS g, size(words) AS n FROM
+      (SELECT doc_id, text, h, if(h % 10 = 0, filter(split(coalesce(text, ''), r'[{SPACES}]+'), w -> w <> ''), array('')) AS words FROM
+        (SELECT doc_id, text, crc32(encode(cast(doc_id AS string), 'UTF-8')) AS h FROM {{docs}})))))
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql(PERIODIC_END, docs=read(spark, sf_dir, "documents"))
+    found = periods.find(planted).select("doc_id", "periods.*")
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return found.withColumn("first", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("first.s")).alias("start"), F.col("first.length").alias("length"), (-F.col("first.p")).alias("period"),
+        F.expr("(1000 * first.length) div -first.p").alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_quality_classifier, op3_tiff_media, op4_mix_sources, op5_fixed_block_dedup, op6_suffix_array_dedup, op7_warc_archives, op8_jaccard_join, op9_benchmark_decontamination, op10_tool_call_linking, op11_bpe_transducer, op12_spelling_variants, op13_periodic_runs)}
 CHECKS = {
     "op1_license_scans": LICENSE_SQL,
     "op5_fixed_block_dedup": ANCHOR_SQL,
@@ -90,4 +134,5 @@ CHECKS = {
     "op8_jaccard_join": JACCARD_SQL,
     "op9_benchmark_decontamination": LEAK_SQL,
     "op10_tool_call_linking": TOOL_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }

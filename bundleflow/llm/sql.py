@@ -145,3 +145,35 @@ linked AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, y FROM reach JOIN linked ON x = other)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
+
+# A checksum of `<id>:<run>` byte by byte; near words meet where one letter is left out of either or both.
+SPELLING_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+raw AS (SELECT run, n, hex(encode(coalesce(cast(doc_id AS varchar), '') || ':' || run)) AS h FROM runs WHERE length(run) >= 7),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2),
+    lambda i: (16 * (instr('0123456789ABCDEF', substr(h, cast(2 * i + 1 AS bigint), 1)) - 1) + instr('0123456789ABCDEF', substr(h, cast(2 * i + 2 AS bigint), 1)) - 1)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM raw, crc_table),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, cast(h % length(run) AS bigint)) || substr(run, cast(h % length(run) + 2 AS bigint)) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, cast(sum(n) AS bigint) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+named AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 10 * w.n THEN b.top END AS form_n,
+    (SELECT min(other) FROM near WHERE near.word = w.word AND near.other_n = b.top AND b.top >= 10 * w.n) AS form
+  FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS at FROM named
+  UNION ALL SELECT walk.word, named.form FROM walk JOIN named ON named.word = walk.at WHERE named.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN named ON named.word = walk.at WHERE named.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM named JOIN ends USING (word)
+"""
