@@ -94,17 +94,20 @@ def upsert(
     ranks: Mapping[str, Mapping[str, int]] | None = None,
     keep: Sequence[str] = (),
     seq: str | None = None,
+    created: Column | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Insert or update by unique key; ``seq`` orders changes of one key (see ``one_row_per_key``).
 
     ``overwrite``: every incoming non-key column replaces the old value, null included.
     ``forward_only``: null keeps the old value and columns in ``ranks`` never step back.
     ``created_at`` and columns in ``keep`` survive; ``updated_at`` moves on touched rows.
-    Columns the changes lack: kept on update, null on insert.
+    Columns the changes lack: kept on update, null on insert.  ``created`` is the creation time of
+    new rows if it is not the run's.  ``unique``: the changes are known to have one row per key.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    changes = one_row_per_key(changes.drop(*AUDIT), keys, seq)
+    changes = changes.drop(*AUDIT) if unique else one_row_per_key(changes.drop(*AUDIT), keys, seq)
     incoming = changes.columns
     t = target.withColumn("_in_t", F.lit(True)).alias("t")
     c = changes.select(*incoming, F.lit(True).alias("_in_c")).alias("c")
@@ -116,7 +119,7 @@ def upsert(
         if name in keys:
             return F.coalesce(old, new)
         if name == "created_at":
-            return F.coalesce(old, F.when(touched, _ts(run_ts)))
+            return F.coalesce(old, F.when(touched, _ts(run_ts) if created is None else created))
         if name == "updated_at":
             return touch_updated_at(touched, old, run_ts)
         if new is None:
@@ -134,19 +137,26 @@ def upsert(
     )
 
 
+DOCUMENT_RANKS = {"status": DOCUMENT_STATUS_RANK, "match_status": MATCH_STATUS_RANK}
+PAGE_RANKS = {"ocr_status": OCR_STATUS_RANK}
+
+
+def page_changes(changes: DataFrame) -> DataFrame:
+    """Checked page changes with their key."""
+    keyed = changes if "page_id" in changes.columns else changes.withColumn("page_id", page_id(F.col("document_id"), F.col("page_num")))
+    return enforce(keyed, partial=True)
+
+
 def upsert_documents(
     target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only", seq: str | None = None
 ) -> DataFrame:
-    checked = enforce(changes, partial=True)
-    ranks = {"status": DOCUMENT_STATUS_RANK, "match_status": MATCH_STATUS_RANK}
-    return upsert(target, checked, ["document_id"], run_ts, mode, ranks, seq=seq)
+    return upsert(target, enforce(changes, partial=True), ["document_id"], run_ts, mode, DOCUMENT_RANKS, seq=seq)
 
 
 def upsert_pages(
     target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "forward_only", seq: str | None = None
 ) -> DataFrame:
-    keyed = changes if "page_id" in changes.columns else changes.withColumn("page_id", page_id(F.col("document_id"), F.col("page_num")))
-    return upsert(target, enforce(keyed, partial=True), ["page_id"], run_ts, mode, {"ocr_status": OCR_STATUS_RANK}, seq=seq)
+    return upsert(target, page_changes(changes), ["page_id"], run_ts, mode, PAGE_RANKS, seq=seq)
 
 
 def bulk_upsert_pages(target: DataFrame, changes: DataFrame, run_ts: datetime | Column, mode: str = "overwrite") -> DataFrame:

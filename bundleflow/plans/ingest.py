@@ -15,6 +15,13 @@ from ..session import cut_lineage
 from ..operators.route import document_rows, document_states, explode_pages, route_pages
 
 
+class Changes(NamedTuple):
+    documents: DataFrame  # changes of a batch, by document_id
+    pages: DataFrame  # by document_id and page_num
+    messages: DataFrame
+    classified: DataFrame
+
+
 class Ingest(NamedTuple):
     documents: DataFrame  # documents table after the batch
     pages: DataFrame  # pages table after the batch
@@ -31,25 +38,20 @@ def latest_manifests(manifests: DataFrame) -> DataFrame:
     return picked.select("document_id", *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
-def ingest_manifests(
+def ingest_changes(
     manifests: DataFrame,
     cover_texts: DataFrame,
-    documents: DataFrame,
     pages: DataFrame,
-    run_ts: datetime | Column,
     mode: str = "forward_only",
     fallback: Callable[[DataFrame], DataFrame] | None = None,
     materialize: Callable[[DataFrame], DataFrame] | None = cut_lineage,
-) -> Ingest:
-    """Upsert, classify, route and final states for a batch.
+) -> Changes:
+    """Classify and route a batch: what it changes in the tables, and the messages it sends.
 
-    ``cover_texts``: (document_id, cover_text), the extracted text per bundle.  First and final
-    state of a row reach its table in one merge, so each table is shuffled once per batch.  In
-    ``forward_only`` mode a page already queued or done is neither reset nor sent again, so a
-    re-run of the same batch changes nothing.
-
-    All three outputs read the classification.  ``materialize`` stores it and hands back the
-    stored table, so it is computed once; None leaves it in the plan.
+    ``cover_texts``: (document_id, cover_text), the extracted text per bundle.  In ``forward_only``
+    mode a page that ``pages`` has queued or done already is not sent again.  All outputs read the
+    classification; ``materialize`` stores it and hands back the stored table, so it is computed
+    once, and None leaves it in the plan.
     """
     batch = latest_manifests(manifests)
     bundles = batch.select(
@@ -70,9 +72,28 @@ def ingest_manifests(
     if mode == "forward_only":
         advanced = pages.filter(F.col("ocr_status") != "pending").select("document_id", "page_num")
         messages = messages.join(advanced, ["document_id", "page_num"], "left_anti")
+    return Changes(doc_changes, routing.pages, messages, classified)
+
+
+def ingest_manifests(
+    manifests: DataFrame,
+    cover_texts: DataFrame,
+    documents: DataFrame,
+    pages: DataFrame,
+    run_ts: datetime | Column,
+    mode: str = "forward_only",
+    fallback: Callable[[DataFrame], DataFrame] | None = None,
+    materialize: Callable[[DataFrame], DataFrame] | None = cut_lineage,
+) -> Ingest:
+    """Upsert, classify, route and final states for a batch; see ``ingest_changes``.
+
+    First and final state of a row reach its table in one merge, so each table is shuffled once per
+    batch.  In ``forward_only`` mode a re-run of the same batch changes nothing.
+    """
+    found = ingest_changes(manifests, cover_texts, pages, mode, fallback, materialize)
     return Ingest(
-        upsert_documents(documents, doc_changes, run_ts, mode),
-        upsert_pages(pages, routing.pages, run_ts, mode),
-        messages,
-        classified,
+        upsert_documents(documents, found.documents, run_ts, mode),
+        upsert_pages(pages, found.pages, run_ts, mode),
+        found.messages,
+        found.classified,
     )

@@ -14,16 +14,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dedup import WINDOW_SECONDS
 from ..operators.match import match_registry_exact
-from ..operators.merge import upsert_pages
-from ..operators.validate import manifest_checks, quarantine
-from ..plans.ingest import ingest_manifests
+from ..operators.merge import DOCUMENT_RANKS, PAGE_RANKS, page_changes
+from ..operators.validate import enforce, manifest_checks, quarantine
+from ..plans.ingest import ingest_changes
 from ..schemas import DOCUMENTS, PAGES
+from ..sources.changelog import ChangeLog
 from ..sources.queue import page_work_queue
-from ..sources.tables import publish, read_latest
 
 LATENESS = "1 hour"  # how far behind the newest message a straggler may be
 
 
+def document_log(root: str) -> ChangeLog:
+    return ChangeLog(f"{root}/documents", DOCUMENTS, ("document_id",), ranks=DOCUMENT_RANKS)
+
+
+def page_log(root: str) -> ChangeLog:
+    return ChangeLog(f"{root}/pages", PAGES, ("page_id",), ranks=PAGE_RANKS)
+
+
 def stream_ingest(
     manifests: DataFrame,
     cover_texts: DataFrame,
@@ -33,17 +41,16 @@ def stream_ingest(
     fallback: Callable[[DataFrame], DataFrame] | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Ingest arriving manifests into the versioned tables under ``root``.
+    """Ingest arriving manifests into the change logs of documents and pages under ``root``.
 
-    Messages of a batch are written before its table versions: if that write fails, no page
-    becomes queued.  A repeated batch starts from the versions before it and overwrites its
-    own output, so re-delivery changes nothing.
+    A micro-batch appends its own rows; readers merge (``document_log(root).read``), and a separate
+    job compacts.  Messages of a batch are written before its changes: if that write fails, no page
+    becomes queued.  A repeated batch reads the tables before it and overwrites its own output, so
+    re-delivery changes nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        documents = read_latest(spark, f"{root}/documents", DOCUMENTS, before=batch_id)
-        pages = read_latest(spark, f"{root}/pages", PAGES, before=batch_id)
         accepted = batch
         if strict:
             accepted, refused = quarantine(batch, manifest_checks())
@@ -54,10 +61,11 @@ def stream_ingest(
             classified.write.mode("overwrite").parquet(path)
             return spark.read.schema(classified.schema).parquet(path)
 
-        result = ingest_manifests(accepted, cover_texts, documents, pages, run_ts, fallback=fallback, materialize=store)
-        page_work_queue(result.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
-        publish(result.documents, f"{root}/documents", batch_id)
-        publish(result.pages, f"{root}/pages", batch_id)
+        pages = page_log(root).read(spark, before=batch_id)
+        found = ingest_changes(accepted, cover_texts, pages, fallback=fallback, materialize=store)
+        page_work_queue(found.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
+        document_log(root).append(enforce(found.documents, partial=True), batch_id, run_ts)
+        page_log(root).append(page_changes(found.pages), batch_id, run_ts)
 
     writer = manifests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
     if available_now:
@@ -128,15 +136,14 @@ def stream_registry_match(documents: DataFrame, registry: DataFrame) -> DataFram
 def stream_idempotent_sink(
     pages: DataFrame, root: str, run_ts: datetime, available_now: bool = True
 ) -> StreamingQuery:
-    """Merge arriving page rows into a versioned table, tolerating repeats within and across batches."""
+    """Append arriving page rows to a change log, tolerating repeats within and across batches."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        current = read_latest(batch.sparkSession, f"{root}/pages", PAGES, before=batch_id)
         rest = [c for c in batch.columns if c != "page_id"]
         once = batch.groupBy("page_id").agg(F.max(F.struct(*rest)).alias("_r")).select(
             "page_id", *[F.col(f"_r.{c}").alias(c) for c in rest]
         )
-        publish(upsert_pages(current, once, run_ts), f"{root}/pages", batch_id)
+        page_log(root).append(page_changes(once), batch_id, run_ts)
 
     writer = pages.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
     if available_now:

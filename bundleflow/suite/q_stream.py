@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keys import page_id
-from ..schemas import DOCUMENTS, PAGES
 from ..session import scratch_dir
 from ..sources.manifests import stream_manifests, write_manifests
-from ..sources.tables import read_latest
 from ..streaming import jobs as J
 from .q_classify import INGESTED, table_summary
 from .q_joins import EXACT, registry
@@ -18,15 +16,15 @@ from .registry import case
 
 @case("stream_ingest", f"WITH {INGESTED}", "bundles")
 def _(t):
-    """Two arrivals of the same manifests, file by file: the second changes nothing."""
+    """Two arrivals of the same manifests, with a compaction between them: the second changes nothing."""
     root = scratch_dir(t.spark, "stream_ingest")
     texts = t("bundles").select("document_id", "cover_text")
     for _ in range(2):
         write_manifests(manifests(t), f"{root}/inbox")
         J.stream_ingest(stream_manifests(t.spark, f"{root}/inbox", multi_line=False), texts, f"{root}/tables", RUN_TS).awaitTermination()
-    return table_summary(
-        read_latest(t.spark, f"{root}/tables/documents", DOCUMENTS), read_latest(t.spark, f"{root}/tables/pages", PAGES)
-    )
+        J.document_log(f"{root}/tables").compact(t.spark)
+        J.page_log(f"{root}/tables").compact(t.spark, keep_last=0)
+    return table_summary(J.document_log(f"{root}/tables").read(t.spark), J.page_log(f"{root}/tables").read(t.spark))
 
 
 @case("stream_dedup", """WITH RECURSIVE seen AS (SELECT DISTINCT user_id AS u, event_type AS k, ts FROM events),
@@ -70,5 +68,5 @@ def _(t):
     for _ in range(2):
         raw.write.mode("append").parquet(f"{root}/inbox")
         J.stream_idempotent_sink(J.stream_files(t.spark, f"{root}/inbox"), f"{root}/tables", RUN_TS).awaitTermination()
-    table = read_latest(t.spark, f"{root}/tables/pages", PAGES)
+    table = J.page_log(f"{root}/tables").read(t.spark)
     return table.select("page_id", "ocr_status", F.col("page_num").isNotNull().alias("stored"))

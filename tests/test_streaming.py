@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from bundleflow.schemas import PAGES
-from bundleflow.sources.tables import read_latest, versions
+from bundleflow.operators.merge import PAGE_RANKS, upsert
+from bundleflow.sources.changelog import ChangeLog, committed
+from bundleflow.sources.tables import versions
 from bundleflow.streaming import jobs as J
 
 T0 = datetime(2024, 1, 1)
@@ -50,11 +52,82 @@ def test_late_and_timeless_messages_stay(spark, tmp_path):
     assert sorted(r["n"] for r in got) == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
-def test_sink_survives_redelivery(spark, tmp_path):
+def size_of(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_sink_survives_redelivery_and_compaction(spark, tmp_path):
     rows = spark.createDataFrame([("d:1", "d", 1, "queued"), ("d:1", "d", 1, "queued"), ("d:2", "d", 2, "pending")], "page_id string, document_id string, page_num int, ocr_status string")
-    for _ in range(2):
+    log = J.page_log(f"{tmp_path}/t")
+    for _ in range(3):
         rows.write.mode("append").parquet(f"{tmp_path}/in")
         J.stream_idempotent_sink(J.stream_files(spark, f"{tmp_path}/in"), f"{tmp_path}/t", T0).awaitTermination()
-    table = read_latest(spark, f"{tmp_path}/t/pages", PAGES)
-    assert table.count() == 2 and table.select(F.count_distinct("page_id")).first()[0] == 2
-    assert len(versions(spark, f"{tmp_path}/t/pages")) == 2
+        table = log.read(spark)
+        assert table.count() == 2 and table.select(F.count_distinct("page_id")).first()[0] == 2
+        log.compact(spark)
+    assert versions(spark, log.root) == [1] and committed(spark, f"{log.root}/changes", "batch") == [2]
+
+
+PAGE = "page_id string, document_id string, page_num int, ocr_status string, raw_text string"
+
+
+def random_batches(seed, n=6):
+    rng = random.Random(seed)
+    some = lambda *v: rng.choice([None, *v])
+    return [
+        [(f"d:{k}", "d", k, some("pending", "queued", "done", "failed"), some("a", "b", "c")) for k in rng.sample(range(12), rng.randint(1, 8))]
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed,mode", [(1, "forward_only"), (2, "forward_only"), (3, "overwrite")])
+def test_log_reads_as_merges_one_after_the_other(spark, tmp_path, seed, mode):
+    schema = spark.createDataFrame([], PAGE + ", created_at timestamp, updated_at timestamp").schema
+    log = ChangeLog(f"{tmp_path}/t", schema, ("page_id",), mode, PAGE_RANKS)
+    table = spark.createDataFrame([], schema)
+    show = lambda df: sorted(map(tuple, df.collect()))
+    before = []
+    for k, rows in enumerate(random_batches(seed)):
+        changes, at = spark.createDataFrame(rows, PAGE), T0 + timedelta(minutes=k)
+        before.append(show(table))
+        table = spark.createDataFrame(upsert(table, changes, ["page_id"], at, mode, PAGE_RANKS).collect(), schema)
+        log.append(changes, k, at)
+        if k % 2:
+            log.append(changes, k, at)  # delivered again
+            assert show(log.read(spark, before=k)) == before[k]
+        assert show(log.read(spark)) == show(table)
+        if k == 3:
+            (tmp_path / "t/version=3").mkdir()  # a compaction that died
+            (tmp_path / "t/version=3/part-0.parquet").write_text("half")
+            assert show(log.read(spark)) == show(table)
+        if k in (2, 4):
+            stale = list((tmp_path / "t/changes/batch=0").glob("*")) if k == 2 else []
+            kept = {p.name: p.read_bytes() for p in stale}
+            log.compact(spark)
+            if kept:  # died before it dropped what the base covers
+                (tmp_path / "t/changes/batch=0").mkdir()
+                for name, raw in kept.items():
+                    (tmp_path / "t/changes/batch=0" / name).write_bytes(raw)
+            assert show(log.read(spark)) == show(table) and show(log.read(spark, before=k)) == before[k]
+    assert log.compact(spark, keep_last=0) == 5 and show(log.read(spark)) == show(table)
+    assert [p.name for p in (tmp_path / "t").glob("version=*")] == ["version=5"] and not list((tmp_path / "t/changes").glob("batch=*"))
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    log = J.page_log(f"{tmp_path}")
+    many = spark.range(60_000).selectExpr("concat('d:', id) AS page_id", "'d' AS document_id", "cast(id AS int) AS page_num", "'queued' AS ocr_status", "sha2(cast(id AS string), 256) AS raw_text")
+    log.append(many, 0, T0)
+    log.compact(spark, keep_last=0)
+    base = size_of(tmp_path)
+    log.append(many.limit(20), 1, T0 + timedelta(minutes=1))
+    assert base > 2_000_000 and size_of(tmp_path) - base < base / 50
+    table = log.read(spark)
+    assert table.count() == 60_000 and table.filter("updated_at > created_at").count() == 20
+
+
+def test_log_refuses_partial_overwrites(spark, tmp_path):
+    schema = spark.createDataFrame([], PAGE).schema
+    with pytest.raises(ValueError, match="raw_text"):
+        ChangeLog(f"{tmp_path}", schema, ("page_id",), "overwrite").append(spark.createDataFrame([("a",)], "page_id string"), 0, T0)
+    assert ChangeLog(f"{tmp_path}", schema, ("page_id",)).read(spark).count() == 0
+    assert ChangeLog(f"{tmp_path}", schema, ("page_id",)).compact(spark) is None
