@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import AUDIT, MODES, one_row_per_key, rank_of, upsert
-from .tables import _fs, publish, read_latest, versions
+from .tables import _fs, drop, publish, read_latest, versions
 
 SEQ, AT, SINCE = "_batch", "_at", "_since"
 
@@ -114,10 +114,9 @@ class ChangeLog(NamedTuple):
             publish(self.read(spark, before=closed[-1] + 1), self.root, closed[-1])
             stored.append(closed[-1])
         if stored:
-            fs, _, make = _fs(spark, self.root)
             for v in stored[:-1]:
-                fs.delete(make(f"{self.root}/version={v}"), True)
+                drop(spark, f"{self.root}/version={v}")
             for b in batches:
                 if b <= stored[-1]:
-                    fs.delete(make(f"{self.root}/changes/batch={b}"), True)
+                    drop(spark, f"{self.root}/changes/batch={b}")
         return stored[-1] if stored else None

@@ -48,6 +48,17 @@ def publish(df: DataFrame, root: str, version: int, max_records_per_file: int |
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Mark a folder of several written parts as committed."""
+    fs, _, make = _fs(spark, path)
+    fs.create(make(f"{path}/_SUCCESS"), True).close()
+
+
 def blob_exists(keys: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Keys with a flag: already stored or not."""
     stored = existing.select(key).distinct().withColumn("_there", F.lit(True))

@@ -27,23 +27,31 @@ def _(t):
     return table_summary(J.document_log(f"{root}/tables").read(t.spark), J.page_log(f"{root}/tables").read(t.spark))
 
 
-@case("stream_dedup", """WITH RECURSIVE seen AS (SELECT DISTINCT user_id AS u, event_type AS k, ts FROM events),
-    kept AS (SELECT u, k, min(ts) AS ts FROM seen GROUP BY u, k
-      UNION ALL SELECT s.u, s.k, min(s.ts) FROM kept q JOIN seen s ON s.u = q.u AND s.k = q.k AND s.ts >= q.ts + INTERVAL 5 MINUTE GROUP BY s.u, s.k)
-    SELECT u AS user_id, k AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM kept""")
+# Events arrive in lots of ten days, up to 39 minutes after their time.  One in 50 comes twelve days late, one
+# of ten of those as the only message of its id, and one in 50 has no time.
+_ARRIVING = """SELECT CASE WHEN event_id % 500 = 7 THEN -event_id ELSE user_id END AS user_id, event_type,
+      CASE WHEN event_id % 50 = 8 THEN NULL ELSE ts END AS ts, coalesce(event_id % 50 = 7 AND ts < last - INTERVAL 2 DAYS, false) AS late,
+      floor((unix_timestamp(ts) + CASE WHEN event_id % 50 = 7 AND ts < last - INTERVAL 2 DAYS THEN 1036800 ELSE event_id % 40 * 60 END) / 864000) AS lot
+    FROM (SELECT event_id, user_id, event_type, cast(ts AS timestamp) AS ts, (SELECT cast(max(ts) AS timestamp) FROM {events}) AS last FROM {events})"""
+
+
+@case("stream_dedup", f"""WITH RECURSIVE arriving AS ({_ARRIVING.replace("{events}", "events").replace("unix_timestamp", "epoch").replace("DAYS", "DAY")}),
+    seen AS (SELECT DISTINCT user_id AS u, event_type AS k, CASE WHEN late THEN lot ELSE -1 END AS lot, ts FROM arriving WHERE ts IS NOT NULL),
+    kept AS (SELECT u, k, lot, min(ts) AS ts FROM seen GROUP BY u, k, lot
+      UNION ALL SELECT s.u, s.k, s.lot, min(s.ts) FROM kept q JOIN seen s ON s.u = q.u AND s.k = q.k AND s.lot = q.lot AND s.ts >= q.ts + INTERVAL 5 MINUTE GROUP BY s.u, s.k, s.lot)
+    SELECT u AS user_id, k AS event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM kept
+    UNION ALL SELECT user_id, event_type, NULL FROM arriving WHERE ts IS NULL""")
 def _(t):
-    """Events in no order over several files, one per micro-batch, then one message from the future to close the stream."""
+    """Lot after lot with the default lateness, then one message from the future to close the stream."""
     root = scratch_dir(t.spark, "stream_dedup")
-    events = t("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    shuffled = events.repartition(6, F.xxhash64("user_id", "ts"))
-    shuffled.write.parquet(f"{root}/inbox")
-    far = events.agg(F.max("ts").alias("end")).selectExpr("cast(-1 AS bigint) AS user_id", "'close' AS event_type", "end + INTERVAL 2000 DAYS AS ts")
-    for closing in (False, True):
-        if closing:
-            far.write.mode("append").parquet(f"{root}/inbox")
-        arriving = J.stream_files(t.spark, f"{root}/inbox", files_per_trigger=1)
-        J.run_to_table(J.stream_dedup(arriving, ["user_id", "event_type"], lateness="1000 days"), f"{root}/data", f"{root}/ck")
-    kept = t.spark.read.schema(events.schema).parquet(f"{root}/data").filter("event_type <> 'close'")
+    arriving = t.spark.sql(_ARRIVING, events=t("events"))
+    ends = arriving.agg(F.min("lot").alias("a"), F.max("lot").alias("b"), F.max("ts").alias("end")).first()
+    columns = ["user_id", "event_type", "ts"]
+    far = t.spark.sql("SELECT cast(-1 AS bigint) AS user_id, 'close' AS event_type, :end + INTERVAL 2000 DAYS AS ts", args={"end": ends.end})
+    for lot in [*range(int(ends.a), int(ends.b) + 1), None]:
+        (far if lot is None else arriving.filter(F.col("lot") == lot).select(*columns)).write.mode("append").parquet(f"{root}/inbox")
+        J.stream_dedup(J.stream_files(t.spark, f"{root}/inbox"), f"{root}/out", ["user_id", "event_type"]).awaitTermination()
+    kept = t.spark.read.schema(arriving.select(*columns).schema).parquet(f"{root}/out/data").select(*columns).filter("event_type <> 'close'")
     return kept.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 

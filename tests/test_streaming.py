@@ -29,9 +29,10 @@ def test_arrival_order_and_batches_do_not_matter(spark, tmp_path):
     closing = [("close", T0 + timedelta(days=9), 0)]
     for part in (rows[:3], rows[3:5000], rows[5000:], closing):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["id"], lateness="2 hours")
-        J.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
-    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()
+        J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), f"{tmp_path}/out", ["id"], lateness="2 hours").awaitTermination()
+        held = sum(1 for _ in (tmp_path / "out/state").glob("batch=*"))
+        assert held <= 2  # the state does not pile up
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out/data").collect()
     for name in "mn":
         assert sorted(r["ts"] for r in got if r["id"] == name) == brute([t for i, t, _ in rows if i == name])
 
@@ -47,11 +48,29 @@ def test_late_and_timeless_messages_stay(spark, tmp_path):
     )
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        J.run_to_table(J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["id"]), f"{tmp_path}/out", f"{tmp_path}/ck")
-    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").filter("id <> 'close'").collect()
+        J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in", files_per_trigger=1), f"{tmp_path}/out", ["id"]).awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out/data").filter("id <> 'close'").collect()
     assert sorted(r["n"] for r in got) == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
+def test_a_batch_delivered_again_decides_the_same(spark, tmp_path):
+    """The state of a batch that died before it was committed is not read."""
+    schema = "id string, ts timestamp, n int"
+    rng = random.Random(2)
+    rows = [("m", T0 + timedelta(seconds=60 * k + rng.randint(0, 50)), k) for k in range(300)] + [(None, T0, 1000)]
+    for part in (rows[:150], rows[150:], [("close", T0 + timedelta(days=9), 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in"), f"{tmp_path}/out", ["id"]).awaitTermination()
+        last = max((tmp_path / "out/_checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        (tmp_path / f"out/state/batch={last.name}/_SUCCESS").unlink()
+        last.unlink()
+        (tmp_path / f"out/_checkpoint/commits/.{last.name}.crc").unlink(missing_ok=True)
+        J.stream_dedup(J.stream_files(spark, f"{tmp_path}/in"), f"{tmp_path}/out", ["id"]).awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out/data").filter("id IS NULL OR id <> 'close'").collect()
+    assert sorted(r["ts"] for r in got if r["id"] == "m") == brute([t for i, t, _ in rows if i == "m"])
+    assert [r["n"] for r in got if r["id"] is None] == [1000]
+
+
 def size_of(path):
     return sum(f.stat().st_size for f in path.rglob("*.parquet"))
 
