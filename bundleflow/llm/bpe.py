@@ -30,13 +30,13 @@ from tokenizers import pre_tokenizers
 
 from bundleflow.session import scratch_dir
 
-from .common import free_name, text_of
+from .common import cut, free_name, text_of
 
 WORDS = 1 << 17  # words compiled at most, the most frequent ones
 LONGEST = 64  # bytes of a compiled word
-SHORT = 256  # bytes of a word merged in one list; longer ones are merged rank by rank in arrays
+SHORT = 256  # bytes of a word merged together with others; longer ones are merged rank by rank
 KNOWN = 1 << 16  # merged words that a worker remembers
-PIECE = 1 << 19  # characters of text handled at once
+PIECE = 1 << 18  # characters of text handled at once
 # Fixed value: how byte-level vocabularies split text into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(SPLIT)
@@ -86,34 +86,69 @@ def read_vocabulary(path: str) -> Vocabulary:
     )
 
 
+NO_MERGE = np.int32((1 << 31) - 1)
+
+
 class Merger:
-    """Exact merges of single words."""
+    """Exact merges of words."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.made = dict(zip(v.pairs.tolist(), zip(v.rank.tolist(), v.joined.tolist())))
         self.by_rank = np.argsort(v.rank)
 
-    def ids(self, word: bytes) -> list[int]:
-        if len(word) > SHORT:
-            return self._long(word)
-        ids, made = self.v.byte_id[np.frombuffer(word, np.uint8)].tolist(), self.made
-        ranks = [made.get(a << 32 | b) for a, b in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(ranks):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = made.get(ids[at - 1] << 32 | ids[at])
-            if at < len(ranks):
-                ranks[at] = made.get(ids[at] << 32 | ids[at + 1])
-
-    def _long(self, word: bytes) -> list[int]:
+    def many(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word.  Short words are merged together: in every round each makes its merge of lowest rank."""
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
+        for k, w in enumerate(words):
+            if not 0 < len(w) <= SHORT:
+                out[k] = self._long(w)
+        size = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
+        ids = self.v.byte_id[np.frombuffer(b"".join(words[k] for k in short), np.uint8)].astype(np.int64)
+        word = np.repeat(np.arange(len(short)), size)
+        rank, joined = np.full(len(ids), NO_MERGE), np.zeros(len(ids), np.int32)
+        self._look(ids, word, np.arange(len(ids)), rank, joined)
+        ready = []
+        while len(ids):
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            length = np.diff(np.append(begin, len(word)))
+            best = np.minimum.reduceat(rank, begin)
+            going = np.repeat(best < NO_MERGE, length)
+            ready.append((word[~going], ids[~going]))
+            hit = (rank == np.repeat(best, length)) & going
+            ids, word, rank, joined, hit = (x[going] for x in (ids, word, rank, joined, hit))
+            at = np.flatnonzero(hit)
+            if not len(at):
+                break
+            fresh = np.append(True, np.diff(at) > 1)  # of places that overlap, every other one from the left
+            first = np.flatnonzero(fresh)
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            ids[at] = joined[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            now = at - np.arange(len(at))  # where the merged ones are once their right halves are gone
+            ids, word, rank, joined = ids[keep], word[keep], rank[keep], joined[keep]
+            self._look(ids, word, now, rank, joined)
+            self._look(ids, word, now[now > 0] - 1, rank, joined)
+        word, ids = (np.concatenate([r[i] for r in ready]) if ready else np.zeros(0, np.int64) for i in (0, 1))
+        ids = ids[np.argsort(word, kind="stable")].astype(np.int32)
+        upto = np.append(0, np.cumsum(np.bincount(word, minlength=len(short)))).tolist()
+        for k, a, b in zip(short, upto, upto[1:]):
+            out[k] = ids[a:b]
+        return out
+
+    def _look(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray, rank: np.ndarray, joined: np.ndarray) -> None:
+        """Set rank and result of the pairs that begin at some places."""
+        rank[at] = NO_MERGE
+        at = at[at + 1 < len(ids)]
+        at = at[word[at] == word[at + 1]]
+        pair = ids[at] << 32 | ids[at + 1]
+        k = np.minimum(np.searchsorted(self.v.pairs, pair), len(self.v.pairs) - 1)
+        good = self.v.pairs[k] == pair
+        at, k = at[good], k[good]
+        rank[at], joined[at] = self.v.rank[k], self.v.joined[k]
+
+    def _long(self, word: bytes) -> np.ndarray:
         """All places of one rank at a time.  A merge only makes pairs of later ranks, as every token has one merge."""
         ids = self.v.byte_id[np.frombuffer(word, np.uint8)].astype(np.int64)
         n = len(ids)
@@ -155,7 +190,7 @@ class Merger:
             inner = after[at] < n
             before[after[at][inner]] = at[inner]
             look(np.unique(np.concatenate([at, before[at]])))
-        return ids[alive].tolist()
+        return ids[alive].astype(np.int32)
 
 
 class Automaton(NamedTuple):
@@ -271,9 +306,9 @@ def _laid_out(rows: list[tuple], number: np.ndarray, behind: list[int]) -> Autom
 
 
 # The file: a length, a JSON table of (part, field, type, offset, count), and the arrays, each on a multiple of 64.
-def pack(vocabulary: Vocabulary, automaton: Automaton, ids: list[list[int]]) -> bytes:
+def pack(vocabulary: Vocabulary, automaton: Automaton, ids: list[np.ndarray]) -> bytes:
     size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for row in ids for i in row), np.int32, int(size.sum()))
+    flat = np.concatenate([np.zeros(0, np.int32), *ids])
     arrays = {f"v.{f}": getattr(vocabulary, f) for f in Vocabulary._fields[:-1]} | {f"a.{f}": getattr(automaton, f) for f in Automaton._fields}
     arrays |= {"ids": flat, "ids_start": np.append(0, np.cumsum(size))}
     table, body, at = [], [], 0
@@ -296,23 +331,24 @@ class Coder:
         head = json.loads(mapped[8 : 8 + size].tobytes())
         first = -(-(8 + size) // 64) * 64
         a = {name: mapped[first + at : first + at + n * np.dtype(kind).itemsize].view(kind) for name, kind, at, n in head["arrays"]}
+        a = {name: np.asarray(x) for name, x in a.items()}  # plain arrays over the mapped file
         self.v = Vocabulary(*[a[f"v.{f}"] for f in Vocabulary._fields[:-1]], tuple(map(tuple, head["special"])))
         self.automaton = Automaton(*[a[f"a.{f}"] for f in Automaton._fields])
-        self.table, self.table_start = np.asarray(a["ids"]), a["ids_start"]
+        self.table, self.table_start = a["ids"], a["ids_start"]
         self.merger: Merger | None = None
         self.known: dict[bytes, np.ndarray] = {}
         self.special = dict(self.v.special)
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _merged(self, word: bytes) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            self.merger = self.merger or Merger(self.v)
-            found = np.array(self.merger.ids(word), np.int32)
-            if len(word) <= SHORT:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[word] = found
+    def _merged(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of distinct words; what is merged is remembered for a while."""
+        new = [w for w in words if w not in self.known]
+        self.merger = self.merger or Merger(self.v)
+        made = dict(zip(new, self.merger.many(new)))
+        found = [made[w] if w in made else self.known[w] for w in words]
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+        self.known.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -353,26 +389,19 @@ class Coder:
         number = self.automaton.numbers(np.frombuffer(joined, np.uint8), start, size)
         for k in np.flatnonzero(np.array(marks) >= 0).tolist():
             number[first[k]] = -1
-        extra: list[np.ndarray] = []
         at, n_ids = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         hit = number >= 0
         at[hit], n_ids[hit] = self.table_start[number[hit]], self.table_start[number[hit] + 1] - self.table_start[number[hit]]
-        end = len(self.table)
+        # Special tokens and distinct unseen words get ids behind the table's.
         special_at = {int(first[k]): marks[k] for k in range(len(parts)) if marks[k] >= 0}
-        seen: dict[bytes, tuple[int, int]] = {}
-        for j, s, e in zip((miss := np.flatnonzero(~hit)).tolist(), start[miss].tolist(), (start + size)[miss].tolist()):
-            if j in special_at:
-                place = (end, 1)
-                extra.append(np.array([special_at[j]], np.int32))
-                end += 1
-            else:
-                place = seen.get(word := joined[s:e])
-                if place is None:
-                    found = self._merged(word)
-                    place = seen[word] = (end, len(found))
-                    extra.append(found)
-                    end += len(found)
-            at[j], n_ids[j] = place
+        miss = [j for j in np.flatnonzero(~hit).tolist() if j not in special_at] if special_at else np.flatnonzero(~hit)
+        seen: dict[bytes, int] = {}
+        kind = [seen.setdefault(joined[s:e], len(seen)) for s, e in zip(start[miss].tolist(), (start + size)[miss].tolist())]
+        extra = [*self._merged(list(seen)), *[np.array([i], np.int32) for i in special_at.values()]]
+        length = np.fromiter(map(len, extra), np.int64, len(extra))
+        place = len(self.table) + np.cumsum(length) - length
+        at[miss], n_ids[miss] = place[kind], length[kind]
+        at[list(special_at)], n_ids[list(special_at)] = place[len(seen) :], 1
         table = np.concatenate([self.table, *extra]) if extra else self.table
         flat = table[np.repeat(at - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(n_ids.sum())]
         upto = np.append(0, np.cumsum(n_ids))
@@ -442,7 +471,7 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def frequent_words(docs: DataFrame, words: int = WORDS, text: str = "text") -> list[bytes]:
-    """The most frequent words over all whole texts, at most `words`; ties go by code point."""
+    """The most frequent words over all whole texts, at most `words`: all that occur as often as a bound."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -454,7 +483,17 @@ def frequent_words(docs: DataFrame, words: int = WORDS, text: str = "text") -> l
             yield pd.DataFrame({"word": pd.Series([w for w, _ in found], dtype=object), "n": [n for _, n in found]}, columns=["word", "n"]).astype({"n": "int64"})
 
     counted = docs.select(text_of(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counted = cut(counted, "word-counts")
+    # Sixteen classes to a doubling: their sizes tell from which number of occurrences on at most `words` words are left.
+    steps = F.floor(F.log2("n") * 16).cast("int")
+    sizes = {r.step: r.size for r in counted.groupBy(steps.alias("step")).agg(F.count("*").alias("size")).collect()}
+    bound, taken = None, 0
+    for step in sorted(sizes, reverse=True):
+        taken += sizes[step]
+        if taken > words:
+            break
+        bound = step
+    top = counted.filter(steps >= bound).select("word").collect() if bound is not None else []
     return sorted(w for r in top if len(w := r.word.encode()) <= LONGEST)
 
 
@@ -481,7 +520,7 @@ def build(docs: DataFrame, path: str, words: int = WORDS, text: str = "text") ->
     spark = docs.sparkSession
     vocabulary = read_vocabulary(path)
     merger, chosen = Merger(vocabulary), frequent_words(docs, words, text)
-    raw = pack(vocabulary, compile_words(chosen), [merger.ids(w) for w in chosen])
+    raw = pack(vocabulary, compile_words(chosen), merger.many(chosen))
     uri = scratch_dir(spark, "lexicon")
     store, place = fs.FileSystem.from_uri(uri)
     store.create_dir(place.rsplit("/", 1)[0], recursive=True)

@@ -12,7 +12,16 @@ SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 
 
+BATCH_BYTES = 4 << 20  # of rows handed to a Python worker at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python workers in batches of bounded size, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

@@ -58,7 +58,7 @@ def pieces(text: str) -> Iterator[str]:
 def count_words(docs: DataFrame, change: Callable[[object, str], str] | None = None, text: str = "text", id_col: str = "doc_id", shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
     """(word, n): runs of letters, A-Z lower-cased, with their number in all texts.
 
-    change(id, word) may replace a word of a document.
+    change(id, word) may replace a word of a document by one that is no longer.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,6 +69,8 @@ def count_words(docs: DataFrame, change: Callable[[object, str], str] | None = N
                     continue
                 for piece in pieces(body):
                     for raw, n in Counter(_WORD.findall(piece)).items():
+                        if len(raw) < shortest:
+                            continue
                         word = raw.translate(_LOWER)
                         word = change(i, word) if change else word
                         if len(word) >= shortest:
@@ -273,7 +275,7 @@ def _whole(batches: Iterator[pd.DataFrame], rows: int = 1 << 15) -> Iterator[pd.
 
 def near_words(words: DataFrame, hot: int = HOT) -> DataFrame:
     """(word, n, n_near, best_n, best) for every word: its near words and the most frequent of them."""
-    rows = class_rows(words)
+    rows = class_rows(cut(words, "spelling-words"))
     queries = rows.groupBy("class").agg(F.count("*").alias("_size"), F.count(F.when(F.col("shift") == 0, 1)).alias("_indexed"))
     crowded = queries.filter((F.col("_size") > hot) & (F.col("_indexed") > 0)).select("class", F.ceil(F.col("_size") / hot).cast("int").alias("_parts"))
     dealt = rows.join(_sized(cut(crowded, "crowded-classes")), "class", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
