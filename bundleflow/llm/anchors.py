@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .bwt import KEPT, apply_kept
-from .common import text_of
+from .common import text_of, tidy
 
 RESULT = "n_words long, n_removed long, kept string"
 
@@ -87,7 +87,7 @@ def _keep(window: int):
                         b += (high + s).tolist()
             yield pd.DataFrame({"doc": doc, "a": a, "b": b})
 
-    return kept
+    return tidy(kept)
 
 
 def _remove(raw: bytes, gone: np.ndarray) -> dict:
@@ -102,11 +102,12 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: i
     repeats: n_words, n_removed, kept (the words that stay, joined by one space).  Words are runs
     of non-space characters, unchanged.  A word goes when it is covered by `window` words that
     also start in a document with a smaller id; repeats inside one document stay.  Null text has
-    no words; texts shorter than the window lose none.  Rows without an id come last, as one
-    document; rows that share an id count as one document.  Empty tables stay empty.
+    no words; texts shorter than the window lose none.  Rows without an id come last, each
+    distinct text as a document of its own; rows that share an id, or have none and one text, count as
+    one document.  Empty tables stay empty.
     """
     kind = repeats.WORDS._replace(window=window)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)).alias("doc"), text_of(text).alias("text"))
+    texts = docs.select(repeats.numbered(text, id_col).alias("doc"), text_of(text).alias("text"))
     seen = repeats.screen(texts, kind, hot)
     kept = repeats.by_name(repeats.contexts(texts, kind, seen)).mapInPandas(_keep(window), KEPT)
     return apply_kept(docs, kept, kind, seen, text, id_col, _remove, RESULT)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import free_name, text_of
+from .common import free_name, text_of, tidy
 
 KEPT = "doc long, a int, b int"
 
@@ -128,7 +128,7 @@ def _keep(window: int):
                 b += (high + s).tolist()
             yield pd.DataFrame({"doc": doc, "a": a, "b": b})
 
-    return kept
+    return tidy(kept)
 
 
 def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 100, hot: int = repeats.HOT) -> DataFrame:
@@ -137,11 +137,11 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: i
     repeats: n_bytes, n_removed, n_spans, kept (binary: the bytes that stay).  A byte goes when it
     is covered by `window` bytes that also start earlier: in a smaller id, or before in the same
     text.  Null text counts as empty and loses nothing; texts shorter than the window keep all
-    bytes.  Rows without an id come last in the order, as one document; rows that share an id
-    count as one place, so equal rows both keep what they hold first.  Empty tables stay empty.
+    bytes.  Rows without an id come last in the order, each distinct text as a document of its own;
+    rows that share an id, or have none and one text, count as one place, so equal rows both keep what they hold first.  Empty tables stay empty.
     """
     kind = repeats.BYTES._replace(window=window)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)).alias("doc"), text_of(text).alias("text"))
+    texts = docs.select(repeats.numbered(text, id_col).alias("doc"), text_of(text).alias("text"))
     seen = repeats.screen(texts, kind, hot)
     kept = repeats.by_name(repeats.contexts(texts, kind, seen)).mapInPandas(_keep(window), KEPT)
     return apply_kept(docs, kept, kind, seen, text, id_col, _remove)
@@ -161,7 +161,7 @@ def apply_kept(docs: DataFrame, kept: DataFrame, kind: repeats.Kind, seen: repea
     spans = kept.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     spans = spans.select("doc", F.transform("spans", lambda s: s["a"]).alias("_a"), F.transform("spans", lambda s: s["b"]).alias("_b"))
     name, out = free_name(docs, "doc"), free_name(docs, "repeats")
-    keyed = docs.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)))
+    keyed = docs.withColumn(name, repeats.numbered(text, id_col))
     joined = keyed.join(spans.withColumnRenamed("doc", name), name, "left")
 
     @F.pandas_udf(result)

@@ -17,17 +17,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import cut, free_name, text_of
+from .common import cut, free_name, text_of, tidy
 
 SHINGLE = 3
 COUNTERS = 19  # 2^19 counters order the tokens, at any input size
 CELLS = 64  # tokens of a set counted by their last bits
 BLOCK = 2048  # members of a token's list compared at once
-UNNAMED = 1 << 40  # so many of the largest numbers stand for rows without an id
 ROUNDS = 1  # rounds against the centre of each list before the rest is compared
 NODE = "doc long, n long, high long, low long, prefix long, cells binary, tokens array<long>, places array<int>, centre float"
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -139,7 +138,7 @@ def nodes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
             ranked = _ranked(grams, begin, counters.value, percent)
             yield pd.DataFrame({"name": ranked.tokens[ranked.prefix].view(np.int64)})
 
-    shared = texts.mapInPandas(prefixes, "name long").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    shared = texts.mapInPandas(tidy(prefixes), "name long").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
     field = share(repeats.bit_field(shared, repeats.SCREEN_BITS))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +159,7 @@ def nodes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                 }
             )
 
-    return cut(texts.mapInPandas(rows, NODE), "jaccard-nodes")
+    return cut(texts.mapInPandas(tidy(rows), NODE), "jaccard-nodes")
 
 
 def needed(a, b, percent: int):
@@ -231,7 +230,7 @@ def _list_pairs(percent: int, once: bool):
             found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
             yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
-    return pairs
+    return tidy(pairs)
 
 
 def _fitting(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -305,24 +304,19 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: i
     tables stay empty.
     """
     named = labelled(docs, text, id_col, shingle, percent, rounds)
-    null_id = lambda c: F.when(F.col(c) <= repeats.NO_ID - UNNAMED, F.col(c))
+    null_id = lambda c: F.when(F.col(c) <= repeats.NO_ID - repeats.UNNAMED, F.col(c))
     return named.select(null_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null_id("comp").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = 90) -> DataFrame:
     """The documents, with their columns, whose number is their component's; of equal rows one."""
     kept = labelled(docs, text, id_col, shingle, percent).filter("doc = comp").select(F.col("doc").alias(key := free_name(docs, "_key"))).distinct()
-    return docs.withColumn(key, _number(text, id_col)).join(kept, key, "left_semi").dropDuplicates([key, text]).drop(key)
-
-
-def _number(text: str, id_col: str) -> Column:
-    unnamed = F.lit(repeats.NO_ID) - F.pmod(F.xxhash64(text_of(text)), F.lit(UNNAMED))
-    return F.coalesce(F.col(id_col).cast("long"), unnamed)
+    return docs.withColumn(key, repeats.numbered(text, id_col)).join(kept, key, "left_semi").dropDuplicates([key, text]).drop(key)
 
 
 def labelled(docs: DataFrame, text: str, id_col: str, shingle: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """(doc, n, comp) of every row; see join.  Rows without an id are numbered by their text."""
-    texts = docs.select(_number(text, id_col).alias("doc"), text_of(text).alias("text"))
+    texts = docs.select(repeats.numbered(text, id_col).alias("doc"), text_of(text).alias("text"))
     found = nodes(texts, shingle, percent)
     key = ["high", "low", "n"]
     classes = cut(
@@ -350,7 +344,7 @@ def labelled(docs: DataFrame, text: str, id_col: str, shingle: int, percent: int
             yield pd.DataFrame({"doc": ids, "tokens": [grams[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]})
 
     hashed = texts.select("doc", "text", F.xxhash64("doc").alias("hash"))
-    sets = cut(hashed.mapInPandas(token_sets, "doc long, tokens binary"), "jaccard-sets")
+    sets = cut(hashed.mapInPandas(tidy(token_sets), "doc long, tokens binary"), "jaccard-sets")
     filtered = members.select("cls", "n", "cells")
     labels = None
     band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import free_name, text_of
+from .common import free_name, release, text_of
 
 BUCKET_BITS = 17
 GRAMS = (3, 4)  # byte n-grams, over word borders
@@ -31,13 +31,39 @@ HELD_OUT = (4, 2)  # rows whose crc32(id) mod 4 is 2 are never learned from
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of several texts, and the text of each."""
+PIECE = 1 << 19  # bytes of a text whose features are held at once
+
+
+def pieces(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """A text cut behind spaces, and how many grams of each length may begin in a piece.
+
+    A piece carries the bytes that its last grams reach into.
+    """
+    low, reach = 0, max(GRAMS) - 1
+    while len(raw) - low > PIECE:
+        at = low + PIECE
+        while at < len(raw) and not raw[at - 1 : at].isspace():
+            at += 1
+        if at + reach >= len(raw):
+            break
+        yield raw[low : at + reach], at - low
+        low = at
+    yield raw[low:], len(raw) - low
+
+
+def features(texts: list[bytes], own: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of several texts, and the text of each.
+
+    own: of each text, the leading bytes in which a feature may begin.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     length = size + 1
     joined = b"\n".join(texts) + b"\n"
     begin = np.cumsum(length) - length
     first, _, words = repeats.word_hashes(joined)
+    if own is not None:
+        good = first < (begin + np.array(own))[np.searchsorted(begin, first, side="right") - 1]
+        first, words = first[good], words[good]
     shift = np.uint64(64 - BUCKET_BITS)
     buckets = [(words * _SALT) >> shift]
     owner = [np.searchsorted(begin, first, side="right") - 1]
@@ -48,6 +74,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for i in range(k):
             value = (value << np.uint64(8)) | raw[i : i + n]
         count = np.maximum(size - k + 1, 0)
+        if own is not None:
+            count = np.minimum(count, own)
         at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
         buckets.append(repeats.mixed(value[at] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> shift)
         owner.append(np.repeat(np.arange(len(texts)), count))
@@ -59,12 +87,30 @@ class Model(NamedTuple):
     bias: float
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        buckets, owner = features(texts)
-        total = np.bincount(owner, weights=self.folded[buckets], minlength=len(texts))
-        count = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        if sum(map(len, texts)) <= 2 * PIECE:
+            parts = [(slice(None), texts, None)]
+        else:
+            parts = ((slice(k, k + 1), [piece], [own]) for k, text in enumerate(texts) for piece, own in pieces(text))
+        for place, some, own in parts:
+            buckets, owner = features(some, own)
+            total[place] += np.bincount(owner, weights=self.folded[buckets], minlength=len(some))
+            count[place] += np.bincount(owner, minlength=len(some))
+        count = np.maximum(count, 1)
         return 1 / (1 + np.exp(-np.clip(total / count + self.bias, -500, 500)))
 
 
+def counted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their counts; a long text is taken in pieces."""
+    at, times = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for piece, own in pieces(raw):
+        buckets = features([piece], [own])[0]
+        both, place = np.unique(np.concatenate([at, buckets.astype(np.int32)]), return_inverse=True)
+        times = np.bincount(place[: len(at)], weights=times, minlength=len(both)).astype(np.int64) + np.bincount(place[len(at) :], minlength=len(both))
+        at = both
+    return at, times.astype(np.int32)
+
+
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1, dimension: int = DIMENSION, epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """rows: (label, distinct buckets, their counts)."""
     draws = np.random.default_rng(seed)
@@ -110,22 +156,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     found = known.join(texts.select("_id").distinct(), "_id", "left_semi").orderBy("_order", "_id").limit(sample)
     picked = texts.join(F.broadcast(found), "_id")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {}  # of rows that share an id the smallest text
         for batch in batches:
-            rows = []
             for i, order, y, text in zip(batch["_id"].tolist(), batch["_order"].tolist(), batch["_label"].tolist(), batch["_text"].tolist()):
-                at, times = np.unique(features([text.encode("utf-8", "surrogatepass")])[0], return_counts=True)
-                rows.append((order, i, y, at.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["o", "i", "label", "buckets", "times"])
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b for b in batches] or [pd.DataFrame(columns=["o", "i", "label", "buckets", "times"])])
-        rows = rows.drop_duplicates(["o", "i"]).sort_values(["o", "i"], kind="stable")
-        model = train([(y, np.frombuffer(a, np.int32), np.frombuffer(c, np.int32)) for y, a, c in zip(rows["label"], rows["buckets"], rows["times"])])
+                raw = text.encode("utf-8", "surrogatepass")
+                if (order, i) not in rows or raw < rows[order, i][1]:
+                    rows[order, i] = (y, raw)
+        sample = []
+        for place in sorted(rows):
+            y, raw = rows.pop(place)
+            sample.append((y, *counted(raw)))
+        model = train(sample)
+        del sample
+        release()
         yield pd.DataFrame({"folded": [model.folded.astype(np.float32).tobytes()], "bias": [model.bias]})
 
-    counted = picked.mapInPandas(count, "o long, i long, label int, buckets binary, times binary")
-    got = counted.repartition(1).mapInPandas(learn, "folded binary, bias double").collect()  # the sample's bound is this task's bound
+    # The sample's bound is this task's bound: it holds the texts once, and then their features.
+    got = picked.select("_id", "_order", "_label", "_text").repartition(1).mapInPandas(learn, "folded binary, bias double").collect()
     return Model(np.frombuffer(got[0].folded, np.float32).astype(np.float64), got[0].bias) if got else Model(np.zeros(1 << BUCKET_BITS), 0.0)
 
 
@@ -140,6 +188,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         parts = [share.value.score(group) for _, group in repeats.chunks([0] * len(texts), texts.tolist())]
+        release()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     name, value = free_name(docs, "quality"), free_name(docs, "_score")

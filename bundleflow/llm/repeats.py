@@ -16,10 +16,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_of, tidy
 
 CHUNK = 1 << 17  # bytes of text handled at once, or one longer text
 RUN = 128  # windows of one run at most
@@ -208,7 +208,7 @@ SHIFTS = (0, 18, 37)
 
 
 def in_field(field: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
-    found = np.ones(len(names), bool)
+    names, found = mixed(names), np.ones(len(names), bool)  # smallest hashes have few high bits: mix before probing
     for shift in SHIFTS:
         place = _probe(names, bits, shift)
         found &= (field[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
@@ -220,21 +220,28 @@ PART_BITS = 19
 
 def bit_field(names: DataFrame, bits: int) -> np.ndarray:
     """Bits set for all names, put together in parts by Spark; 2^bits bits reach the driver."""
-    places = F.array(*[F.shiftrightunsigned("name", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in SHIFTS])
     width = 1 << PART_BITS
-    spread = names.select(F.explode(places).alias("place")).select((F.col("place") / width).cast("int").alias("part"), (F.col("place") % width).cast("int").alias("place"))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = mixed(batch["name"].to_numpy().view(np.uint64))
+            place = np.unique(np.concatenate([_probe(some, bits, shift) for shift in SHIFTS]))
+            part, inside = place >> np.uint64(PART_BITS), (place & np.uint64(width - 1)).astype(np.uint32)
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            yield pd.DataFrame({"part": part[begin].astype(np.int32), "places": [x.tobytes() for x in np.split(inside, begin[1:])] if len(begin) else []})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, rows in batch.groupby("part"):
-                place = rows["place"].to_numpy().astype(np.uint64)
+            for part, raw in zip(batch["part"].tolist(), batch["places"]):
+                place = np.frombuffer(raw, np.uint32).astype(np.uint64)
                 field = parts.setdefault(part, np.zeros(width >> 6, np.uint64))
                 np.bitwise_or.at(field, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
         yield pd.DataFrame({"part": list(parts), "bits": [f.tobytes() for f in parts.values()]})
 
     field = np.zeros(max(1 << bits, width) >> 6, np.uint64)
-    for row in spread.repartition("part").mapInPandas(build, "part int, bits binary").collect():
+    dealt = names.select("name").mapInPandas(places, "part int, places binary").repartition("part")
+    for row in dealt.mapInPandas(build, "part int, bits binary").collect():
         low = row.part * (width >> 6)
         field[low : low + (width >> 6)] |= np.frombuffer(row.bits, np.uint64)
     return field
@@ -264,12 +271,21 @@ def screen(texts: DataFrame, kind: Kind, hot: int = HOT) -> Screen:
                 found = runs(units, kind)
                 yield pd.DataFrame({"name": occurrences(units.grams, found.names[found.at]).view(np.int64)})
 
-    counted = texts.mapInPandas(names, "name long").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = texts.mapInPandas(tidy(names), "name long").groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
     counted = cut(counted, "repeat-names")
     share = texts.sparkSession.sparkContext.broadcast
     return Screen(share(bit_field(counted, SCREEN_BITS)), share(bit_field(counted.filter(F.col("n") > hot), HOT_BITS)))
 
 
+UNNAMED = 1 << 40  # so many of the largest numbers stand for rows without an id
+
+
+def numbered(text: str, id_col: str) -> Column:
+    """The id; a row without one is numbered by its text, above all ids."""
+    unnamed = F.lit(NO_ID) - F.pmod(F.xxhash64(text_of(text)), F.lit(UNNAMED))
+    return F.coalesce(F.col(id_col).cast("long"), unnamed)
+
+
 def contexts(texts: DataFrame, kind: Kind, seen: Screen) -> DataFrame:
     """Rows of a name and a context: the smallest doc of a batch that has it, with its starts there.
 
@@ -314,7 +330,7 @@ def contexts(texts: DataFrame, kind: Kind, seen: Screen) -> DataFrame:
                         known[1].append(s)
             yield pd.DataFrame([(k, c, d, v, w) for (k, c, w), (d, v) in out.items()], columns=["name", "context", "doc", "starts", "loop"])
 
-    return texts.mapInPandas(rows, CONTEXT)
+    return texts.mapInPandas(tidy(rows), CONTEXT)
 
 
 def by_name(df: DataFrame) -> DataFrame:

@@ -57,3 +57,11 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id, r.repeats.n_removed) for r in anchors.dedup(df).collect()) == [(1, 0), (1, 0), (2, 80)]
     assert anchors.dedup(df.limit(0)).count() == 0
+
+
+def test_texts_without_an_id_are_judged_by_their_text(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(str(rng.randint(0, 99)) for _ in range(80)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (None, b), (None, b), (None, a), (None, "head " + a)], "doc_id long, text string")
+    got = sorted((r.text[:4], r.repeats.n_words, r.repeats.n_removed) for r in anchors.dedup(df).collect() if r.doc_id is None)
+    assert got == sorted([(a[:4], 80, 80), (b[:4], 80, 0), (b[:4], 80, 0), ("head", 81, 80)])

@@ -84,3 +84,11 @@ def test_common_prefixes(seed):
         a, b = key(order[i - 1]), key(order[i])
         same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert got[i] == (same if same < least else -1)
+
+
+def test_texts_without_an_id_are_judged_by_their_text(spark):
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (None, b), (None, b), (None, a), (None, "x" + a)], "doc_id long, text string")
+    got = sorted((r.text[:2], r.repeats.n_bytes, r.repeats.n_removed) for r in bwt.dedup(df).collect() if r.doc_id is None)
+    assert got == sorted([(a[:2], 300, 300), (b[:2], 300, 0), (b[:2], 300, 0), ("x" + a[0], 301, 300)])

@@ -53,3 +53,24 @@ def test_no_rows_and_no_labels(data):
     model = quality.fit(docs, labels.limit(0))
     assert {r.quality_.score for r in quality.classify(docs, model).collect()} == {0.5}
     assert quality.classify(docs.limit(0), model).count() == 0
+
+
+def test_pieces_of_a_long_text_give_its_features(monkeypatch):
+    monkeypatch.setattr(quality, "PIECE", 64)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 70, 500, 2000):
+        raw = bytes(rng.choice(list(b"abc \n\xc3\xa9"), n).astype(np.uint8))
+        whole = np.unique(quality.features([raw])[0], return_counts=True)
+        at, times = quality.counted(raw)
+        assert at.tolist() == whole[0].tolist() and times.tolist() == whole[1].tolist()
+        model = quality.Model(rng.normal(size=1 << quality.BUCKET_BITS), 0.1)
+        monkeypatch.setattr(quality, "PIECE", 1 << 30)
+        want = model.score([raw, b"short"])
+        monkeypatch.setattr(quality, "PIECE", 64)
+        assert np.allclose(model.score([raw, b"short"]), want)
+
+
+def test_a_very_long_text_is_scored(spark):
+    docs = spark.createDataFrame([(1, "word other " * 1_900_000), (2, "x" * 3_000_000), (3, None)], "doc_id long, text string")
+    model = quality.Model(np.zeros(1 << quality.BUCKET_BITS), 0.0)
+    assert [r.quality.score for r in quality.classify(docs, model).collect()] == [0.5] * 3
