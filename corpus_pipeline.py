@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundleflow.llm import bwt, cube, jaccard, quality, winnow
-from bundleflow.llm.common import cut, read
+from bundleflow.llm.common import cut, read, small_batches
 
 SHINGLE, PERCENT = 5, 80  # near duplicates: word shingles of five, Jaccard similarity of 0.8 and more
 
@@ -23,6 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id."""
+    small_batches(spark)
     return jaccard.first_of_groups(docs, shingle=SHINGLE, percent=PERCENT)
 
 
@@ -31,6 +32,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut inside a character leaves the replacement character.
     """
+    small_batches(spark)
     found = bwt.dedup(docs)
     left = F.expr(f"make_valid_utf8(cast(`{found.columns[-1]}`.kept AS string))")
     changed = F.col(found.columns[-1])["n_removed"] > 0
@@ -40,12 +42,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    small_batches(spark)
     judged = winnow.scan(docs, read(spark, sf_dir, "benchmark"))
     return judged.filter(F.col(judged.columns[-1])["n_hit"] == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes: the columns of cube.mix."""
+    small_batches(spark)
     return cube.mix(docs)
 
 
