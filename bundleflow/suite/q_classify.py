@@ -18,6 +18,7 @@ from ..functions.rulepacks import (
 from ..functions.plan import fence
 from ..operators import classify as K
 from ..operators import route as R
+from ..operators.rules import scores_by_table
 from ..operators.merge import empty_tables
 from ..plans.ingest import ingest_manifests
 from .q_sources import DECIDED, MANIFEST_PAGES, RUN_TS, classified, manifests
@@ -194,6 +195,22 @@ def _(t):
     return table_summary(again.documents, again.pages)
 
 
+# Two neighbouring words of every fiftieth document make a rule; one more rule has no literal.
+_PHRASE_RULES = r"""SELECT doc_id AS ord, 'lot ' || cast(doc_id % 7 AS string) AS category, w1 || ' +' || w2 AS pattern, 1.0 + doc_id % 3 AS weight
+    FROM (SELECT doc_id, {extract}(low, '([a-z]{4,}) ([a-z]{4,})', 1) AS w1, {extract}(low, '([a-z]{4,}) ([a-z]{4,})', 2) AS w2
+      FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE doc_id % 50 = 0)) WHERE w1 <> ''
+    UNION ALL SELECT -1, 'digits', '{nine}', 0.5"""
+
+
+@case("rules_table_join", "WITH rules AS (" + _PHRASE_RULES.replace("{extract}", "regexp_extract").replace("{nine}", r"\d{9,}") + """)
+    SELECT d.doc_id, category, cast(sum(weight) AS double) AS score, count(*) AS n_rules
+    FROM documents d JOIN rules ON regexp_matches(lower(d.text), pattern) GROUP BY 1, 2""")
+def _(t):
+    docs = t("documents").select("doc_id", "text")
+    rules = t.spark.sql(_PHRASE_RULES.replace("documents", "{documents}").replace("{4,}", "{{4,}}").replace("{extract}", "regexp_extract").replace("'([a-z]", "r'([a-z]").replace("'{nine}'", r"r'\d{{9,}}'"), documents=docs)
+    return scores_by_table(docs, "text", ["doc_id"], rules)
+
+
 @case("rule_packs_as_data", "SELECT doc_id, " + ", ".join(
     f"cast({' + '.join(f'CASE WHEN {hit(p, chr(108) + chr(111) + chr(119))} THEN {w} ELSE 0.0 END' for p, w in rules)} AS double) AS score_{c}"
     for c, rules in {"licence": ((r"\blicen[cs]e", 2.0), (r"\bcopyright\b", 1.0)), "secret": ((r"\b(token|secret|password)\b", 2.0), (r"\d{9,}", 0.5)),
