@@ -135,8 +135,8 @@ def test_split_rank_equals_row_number_on_a_hot_group(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == 6000
 
 
-@pytest.mark.parametrize("limit", [4096, 0])
-def test_topk_per_query_both_plans(spark, limit, monkeypatch):
+@pytest.mark.parametrize("centres", [1, 7, 64, 400])
+def test_topk_per_query_is_exact_for_any_cut(spark, centres, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_SLICE", 5)
     monkeypatch.setattr(vectors, "VECTOR_SLICE", 60)
     rng = np.random.default_rng(5)
@@ -145,7 +145,7 @@ def test_topk_per_query_both_plans(spark, limit, monkeypatch):
     q = np.round(rng.normal(size=(12, 8)), 1)
     vdf = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(4)
     qdf = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id bigint, query_vector array<float>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.vector_topk_per_query(vdf, qdf, 5, broadcast_queries=limit).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.vector_topk_per_query(vdf, qdf, 5, centres=centres).collect()}
     v32, q32 = v.astype("float32").astype("float64"), q.astype("float32").astype("float64")
     for i in range(12):
         with np.errstate(invalid="ignore"):
@@ -155,6 +155,25 @@ def test_topk_per_query_both_plans(spark, limit, monkeypatch):
     assert len(got) == 60
 
 
+def test_far_cells_are_not_scored(spark):
+    rng = np.random.default_rng(6)
+    heads = rng.normal(size=(40, 6))
+    v = heads[rng.integers(0, 40, 4000)] + 0.02 * rng.normal(size=(4000, 6))
+    vdf = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + [(9000, None), (9001, [0.0] * 6)], "vec_id bigint, embedding array<double>").repartition(4)
+    qdf = vdf.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    found = vectors.search(vdf, qdf, 10)
+    got = {}
+    for r in found.hits.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for i in range(0, 4000, 50):
+        s = np.round(unit @ unit[i], 6)
+        assert [x for _, x in sorted(got[i])] == sorted(range(4000), key=lambda x: (-s[x], x))[:10]
+    assert 9000 not in got and len(got) == 80
+    assert found.share_scored() < 0.2
+    assert vectors.vector_topk_per_query(vdf.limit(0), qdf).count() == 0 and vectors.vector_topk_per_query(vdf, qdf.limit(0)).count() == 0
+
+
 def test_retrieve_answers_repeated_questions_once_and_for_everyone(spark):
     queries = spark.createDataFrame(
         [(i, "documents of Ashish, DOB 26 Feb 1996") for i in range(40)] + [(90, "documents of Nobody, DOB 26 Feb 1996"), (91, "documents of Ashish"), (92, "all, dob 26 feb 1996")],
