@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST
 
+PIECE = 1 << 20  # bytes of an object read at once
+
 
 def scan_manifests(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
     """Manifests under a glob such as ``…/documents/*/manifest.json``.
@@ -30,11 +39,98 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
     manifests.write.mode("append").json(path)
 
 
+def write_manifest_documents(manifests: DataFrame, path: str, per_file: int = 64) -> None:
+    """Manifests as JSON documents over many lines, a file for each array of up to ``per_file`` of them.
+
+    ``per_file`` 1 writes a bare object per file, as a scanner leaves behind.
+    """
+
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shown = [json.dumps(json.loads(row), indent=1, ensure_ascii=False) for row in batch["row"]]
+            parts = [shown[k : k + per_file] for k in range(0, len(shown), per_file)]
+            yield pd.DataFrame({"value": pd.Series([p[0] if per_file == 1 else "[" + ",\n".join(p) + "]" for p in parts], dtype=object)})
+
+    rows = manifests.select(F.to_json(F.struct(*manifests.columns)).alias("row"))
+    rows.mapInPandas(documents, "value string").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+
+
+BLOB = "path string, length long"
+
+
+def blob_folders(spark: SparkSession, root: str, folders: int) -> DataFrame:
+    """(folder): the folders of a store whose objects are dealt over that many by hashed name."""
+    return spark.range(folders).select(F.concat(F.lit(f"{root.rstrip('/')}/"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("folder"))
+
+
+def write_blobs(objects: DataFrame, root: str, folders: int, name: str = "name", content: str = "content") -> DataFrame:
+    """Write each row as an object of its own, in tasks; returns (path, length), as lazy as any DataFrame.
+
+    An object written again by a retried task is the same object.  Null content is an empty object.
+    """
+    folder = F.lpad(F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(folders)).cast("string"), 5, "0")
+    placed = objects.select(F.concat(F.lit(f"{root.rstrip('/')}/"), folder, F.lit("/"), F.col(name).cast("string")).alias("path"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
+        for batch in batches:
+            for uri, raw in zip(batch["path"], batch["content"]):
+                store, path = fs.FileSystem.from_uri(uri)
+                parent = path.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(path) as out:
+                    out.write(raw)
+            yield pd.DataFrame({"path": batch["path"], "length": [len(raw) for raw in batch["content"]]})
+
+    return placed.mapInPandas(write, BLOB)
+
+
+def list_blobs(folders: DataFrame, name_glob: str = "*") -> DataFrame:
+    """(path, length) of the objects below each folder.
+
+    Folders, one per row, are listed inside tasks, so the driver never holds the names of the objects;
+    a folder that is not there has none.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["folder"]:
+                store, path = fs.FileSystem.from_uri(uri)
+                found = store.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
+                rows = [(uri + f.path[len(path) :], f.size) for f in found if f.type == fs.FileType.File and fnmatch(f.base_name, name_glob)]
+                yield pd.DataFrame(rows, columns=["path", "length"])
+
+    return folders.select("folder").distinct().repartition("folder").mapInPandas(listed, BLOB)
+
+
+def blob_digests(blobs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(path, length, content_id): SHA-256 of each object, read in ranges of ``piece`` bytes.
+
+    No object is ever whole in memory.  Objects are dealt over tasks one by one, whatever folder they are in.
+    """
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for uri, length in zip(batch["path"].tolist(), batch["length"].tolist()):
+                store, path = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_file(path) as file:
+                    for at in range(0, length, piece):
+                        digest.update(file.read_at(min(piece, length - at), at))
+                rows.append((uri, length, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "length", "content_id"])
+
+    return blobs.select("path", "length").repartition("path").mapInPandas(digests, BLOB + ", content_id string")
+
+
 def scan_blobs(spark: SparkSession, root: str, name_glob: str = "*", max_bytes: int | None = None) -> DataFrame:
     """Objects as (path, modificationTime, length, content).
 
-    ``content`` is read only where it is used.  ``max_bytes`` refuses larger objects instead
-    of letting one fill an executor.
+    For stores of few objects: the driver lists them (see ``list_blobs`` for others).  ``content`` is
+    read only where it is used.  ``max_bytes`` refuses larger objects instead of letting one fill an executor.
     """
     if max_bytes:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(max_bytes))

@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import content_id, page_id, page_key, surrogate_id
+from ..functions.keys import page_id, page_key, surrogate_id
 from ..operators.classify import classify_documents, flatten_result, with_qr
 from ..operators.merge import merge_nodes, upsert
 from ..operators.registry import clean_registry
 from ..operators.route import route_pages
 from ..schemas import REGISTRY
 from ..session import scratch_dir
-from ..sources.manifests import scan_blobs, scan_manifests, stream_manifests, write_manifests
+from ..sources.manifests import blob_digests, blob_folders, list_blobs, scan_manifests, stream_manifests, write_blobs, write_manifest_documents, write_manifests
 from ..sources.queue import page_work_queue, queue_envelope
 from ..sources.registry import registry_sink, scan_registry
 from ..sources.tables import blob_exists, put_if_absent
@@ -94,21 +94,22 @@ def _(t):
 
 @case("stream_manifests", _FLAT_SQL, "bundles")
 def _(t):
+    """JSON documents over many lines, arriving as a stream."""
     path = scratch_dir(t.spark, "manifests")
-    write_manifests(manifests(t), path)
+    write_manifest_documents(manifests(t), path)
     out = scratch_dir(t.spark, "arrived")
-    run_to_table(flat_manifest(stream_manifests(t.spark, path, multi_line=False)), f"{out}/data", f"{out}/ck")
+    run_to_table(flat_manifest(stream_manifests(t.spark, path)), f"{out}/data", f"{out}/ck")
     return t.spark.read.parquet(f"{out}/data")
 
 
-@case("scan_blobs", "SELECT doc_id, octet_length(encode(text)) + 1 AS length, sha256(text || chr(10)) AS content_id FROM documents")
+@case("scan_blobs", "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS length, sha256(coalesce(text, '')) AS content_id FROM documents")
 def _(t):
-    """Every document text as an object of its own, listed and hashed."""
+    """Every document text as an object of its own in one of 64 folders, listed and hashed in tasks."""
     root = scratch_dir(t.spark, "scan_blobs")
-    t("documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
-    blobs = scan_blobs(t.spark, root, "part-*")
-    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
-    return blobs.select(doc_id, "length", content_id(F.col("content")).alias("content_id"))
+    stored = write_blobs(t("documents").select(F.col("doc_id").alias("name"), F.col("text").alias("content")), root, 64)
+    stored.write.parquet(f"{root}-written")
+    found = blob_digests(list_blobs(blob_folders(t.spark, root, 64)))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("bigint").alias("doc_id"), "length", "content_id")
 
 
 def _existing_keys(t: Tables) -> DataFrame:
