@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from ..functions.keys import content_id
 WINDOW_SECONDS = 300
 # -------------------------------------------------------------------------------------
 CHUNK_SECONDS = 3600
+GROUP = 1024  # chunks whose maps are composed in one task
 BEGIN_OF_TIME, END_OF_TIME, NOTHING_KEPT = -(2**62), 2**62, -(2**61)
 
 
@@ -68,25 +70,86 @@ def _entry_maps(window: int, length: int):
     return run
 
 
-def _chain(window: int):
-    """Task helper over maps sorted by (k, chunk, upto): the earliest allowed time per chunk."""
+def _after(row: list[tuple], start: int, window: int) -> int:
+    """Earliest allowed time behind a chunk, or group of chunks, entered with this one."""
+    place = bisect_left(row, (start,))
+    if place == len(row) or row[place][1] == NOTHING_KEPT:
+        return start
+    return row[place][1] + window
+
+
+def _composed(first: list[tuple], then: list[tuple], window: int) -> list[tuple]:
+    """The entry map of two neighbours, ``first`` before ``then``; composition is associative."""
+    out: list[tuple] = []
+    low = BEGIN_OF_TIME - 1
+    for upto, leaves in first if first[-1][0] == END_OF_TIME else [*first, (END_OF_TIME, NOTHING_KEPT)]:
+        if leaves != NOTHING_KEPT:
+            pieces = [(upto, _after(then, leaves + window, window) - window)]
+        else:  # entries up to here reach the second neighbour as they are
+            last = next((left for u, left in then if u >= upto), NOTHING_KEPT)
+            pieces = [*[(u, left) for u, left in then if low < u < upto], (upto, last)]
+        for piece in pieces:
+            if out and out[-1][1] == piece[1]:
+                out.pop()
+            out.append(piece)
+        low = upto
+    return out
+
+
+def _maps(batches: Iterator[pd.DataFrame], keys: list[str], more: Sequence[str] = ()) -> Iterator[tuple]:
+    """(key values, other values of the first row, [(upto, leaves), ...]) of rows sorted by key and upto."""
+    key, rest, row = None, None, []
+    for batch in batches:
+        for values in batch[[*keys, *more, "upto", "leaves"]].itertuples(index=False, name=None):
+            if values[: len(keys)] != key:
+                if key is not None:
+                    yield key, rest, row
+                key, rest, row = values[: len(keys)], values[len(keys) : -2], []
+            row.append(values[-2:])
+    if key is not None:
+        yield key, rest, row
+
+
+def _group(window: int):
+    """Task helper over maps sorted by (k, node, chunk, upto): one entry map per (k, node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = chunk_now = None
-        start, settled = BEGIN_OF_TIME, True
-        for batch in batches:
-            out: list[tuple] = []
-            for k, chunk, upto, leaves in batch[["k", "chunk", "upto", "leaves"]].itertuples(index=False):
-                if k != key:
-                    key, chunk_now, start = k, None, BEGIN_OF_TIME
-                if chunk != chunk_now:
-                    chunk_now, settled = chunk, False
-                    out.append((k, chunk, start))
-                if not settled and upto >= start:
-                    settled = True
-                    if leaves != NOTHING_KEPT:
-                        start = leaves + window
-            yield pd.DataFrame(out, columns=["k", "chunk", "start"])
+        current, composed = None, []
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame([(*current, *piece) for piece in composed], columns=["k", "chunk", "upto", "leaves"])
+
+        for (k, node, _), _, row in _maps(batches, ["k", "node", "chunk"]):
+            if (k, node) == current:
+                composed = _composed(composed, row, window)
+                continue
+            if current is not None:
+                yield frame()
+            current = (k, node)
+            composed = _composed([(END_OF_TIME, NOTHING_KEPT)], row, window)
+        if current is not None:
+            yield frame()
+
+    return run
+
+
+def _chain(window: int, keys: list[str], known: bool):
+    """Task helper over maps sorted by (keys, chunk, upto): the earliest allowed time per chunk.
+
+    known: rows carry in ``start`` the time with which their key is entered.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start, out = None, BEGIN_OF_TIME, []
+        for values, rest, row in _maps(batches, [*keys, "chunk"], ["start"] if known else []):
+            if values[:-1] != key:
+                key, start = values[:-1], rest[0] if known else BEGIN_OF_TIME
+            out.append((values[0], values[-1], start))
+            start = _after(row, start, window)
+            if len(out) == 10_000:
+                yield pd.DataFrame(out, columns=["k", "chunk", "start"])
+                out = []
+        yield pd.DataFrame(out, columns=["k", "chunk", "start"])
 
     return run
 
@@ -110,16 +173,18 @@ def _keep(window: int):
 
 
 def dedup_within(
-    df: DataFrame, key: str, ts: str, window_seconds: int = WINDOW_SECONDS, chunk_seconds: int = CHUNK_SECONDS
+    df: DataFrame, key: str, ts: str, window_seconds: int = WINDOW_SECONDS, chunk_seconds: int = CHUNK_SECONDS, group: int = GROUP
 ) -> DataFrame:
     """(key, ts) that count: the first sighting, then each one at least a window after the last
     that counted.
 
     The rule is sequential per key, so a busy key is cut into time chunks.  (1) Each chunk
     reports, for every way it can be entered, the time of the last message it keeps; the entry
-    depends only on one window before the chunk, so these maps are small.  (2) Per key the maps
-    are chained in time order.  (3) Each chunk is walked once with its now known entry.  Exact
-    for any chunk length; tasks stream sorted rows and hold one window of one key at most.
+    depends only on one window before the chunk, so these maps are small.  (2) The maps of
+    ``group`` neighbouring chunks are composed to one, the groups of a key are chained in time
+    order, and each group hands its entry down to its chunks; no task sees all chunks of a key.
+    (3) Each chunk is walked once with its now known entry.  Exact for any chunk length and group;
+    tasks stream sorted rows and hold one window of one key, and one group's map, at most.
     Identical (key, ts) rows collapse before anything else.
     """
     if chunk_seconds < window_seconds:
@@ -135,9 +200,15 @@ def dedup_within(
         chunked.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "us")
         .mapInPandas(_entry_maps(window, length), f"k {key_type}, chunk bigint, upto bigint, leaves bigint")
     )
+    noded = maps.withColumn("node", F.floor(F.col("chunk") / F.lit(group)).cast("bigint")).repartition("k", "node").sortWithinPartitions("k", "node", "chunk", "upto")
+    tops = noded.mapInPandas(_group(window), f"k {key_type}, chunk bigint, upto bigint, leaves bigint")
+    entered = (
+        tops.repartition("k").sortWithinPartitions("k", "chunk", "upto")
+        .mapInPandas(_chain(window, ["k"], False), f"k {key_type}, chunk bigint, start bigint").withColumnRenamed("chunk", "node")
+    )
     starts = (
-        maps.repartition("k").sortWithinPartitions("k", "chunk", "upto")
-        .mapInPandas(_chain(window), f"k {key_type}, chunk bigint, start bigint")
+        noded.join(entered, ["k", "node"]).sortWithinPartitions("k", "node", "chunk", "upto")
+        .mapInPandas(_chain(window, ["k", "node"], True), f"k {key_type}, chunk bigint, start bigint")
     )
     kept = (
         chunked.join(starts, ["k", "chunk"]).repartition("k", "chunk").sortWithinPartitions("k", "chunk", "us")

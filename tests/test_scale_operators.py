@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -23,15 +24,15 @@ def greedy(times, window):
     return out
 
 
-@pytest.mark.parametrize("chunk", [300, 420, 3600, 10**6])
-def test_dedup_within_is_exact_for_any_chunk(spark, chunk):
+@pytest.mark.parametrize("chunk,group", [(300, 1), (300, 7), (420, 3), (3600, 1024), (10**6, 2)])
+def test_dedup_within_is_exact_for_any_chunk_and_group(spark, chunk, group):
     rng = random.Random(chunk)
     rows = [("hot", T0 + timedelta(seconds=rng.randint(0, 20000))) for _ in range(3000)]  # dense: one long chain
     rows += [(f"k{rng.randint(0, 40)}", T0 + timedelta(seconds=rng.randint(0, 90000), milliseconds=rng.choice([0, 1, 500]))) for _ in range(2000)]
     rows += [("edge", T0 + timedelta(seconds=s)) for s in (0, 299, 300, 599, 600, 601, 900)]
     got = defaultdict(list)
     df = spark.createDataFrame(rows, "k string, ts timestamp").repartition(5)
-    for r in dedup.dedup_within(df, "k", "ts", 300, chunk).collect():
+    for r in dedup.dedup_within(df, "k", "ts", 300, chunk, group).collect():
         got[r["k"]].append(r["ts"])
     by_key = defaultdict(list)
     for k, t in rows:
@@ -39,6 +40,28 @@ def test_dedup_within_is_exact_for_any_chunk(spark, chunk):
     assert {k: sorted(v) for k, v in got.items()} == {k: greedy(v, timedelta(seconds=300)) for k, v in by_key.items()}
 
 
+def test_entry_maps_compose_in_any_order():
+    rng = random.Random(4)
+    window = 10
+    for _ in range(300):
+        maps = []
+        for c in range(6):
+            times = sorted(rng.sample(range(20 * c, 20 * c + 20), rng.randint(1, 8)))
+            rows = pd.DataFrame({"k": 1, "chunk": c, "us": times})
+            maps.append([tuple(r) for r in pd.concat(dedup._entry_maps(window, 20)([rows]))[["upto", "leaves"]].to_numpy().tolist()])
+        left = maps[0]
+        for m in maps[1:]:
+            left = dedup._composed(left, m, window)
+        right = maps[-1]
+        for m in maps[-2::-1]:
+            right = dedup._composed(m, right, window)
+        for start in [dedup.BEGIN_OF_TIME, *range(0, 130, 3)]:
+            step = start
+            for m in maps:
+                step = dedup._after(m, step, window)
+            assert step == dedup._after(left, start, window) == dedup._after(right, start, window)
+
+
 def components(edges):
     parent = {}
 
