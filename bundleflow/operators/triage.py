@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import to_float
+from ..session import cut_lineage
 
 # --- Fixed values --------------------------------------------------------------------
 SCRIPTS = {"Latin": "latin", "Devanagari": "devanagari"}
@@ -150,15 +151,30 @@ def otsu_threshold(samples: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def median_in_band(df: DataFrame, group: str, value: str, band: float) -> DataFrame:
-    """Median of values within ±band per group; 0.0 when the group has none.
+    """Median of values within ±band per group, the mean of the middle two if even; 0.0 when the group has none.
 
-    Counted per distinct value first: the median state is a histogram, not the rows.
+    Distinct values are counted first and dealt by range, which cuts a large group over many
+    partitions.  Counts of the partitions tell which one holds the middle ranks, and only those are
+    numbered; no task sees all values of a group.
     """
     inside = F.when(F.abs(F.col(value)) <= band, F.col(value))
-    counted = df.groupBy(group, inside.alias("_v")).agg(F.count("*").alias("_n"))
-    return counted.groupBy(group).agg(
-        F.coalesce(F.percentile("_v", F.lit(0.5), F.col("_n")), F.lit(0.0)).alias("median")
-    )
+    counted = df.groupBy(F.col(group).alias("_g"), inside.alias("_v")).agg(F.count("*").alias("_n"))
+    placed = cut_lineage(counted.repartitionByRange(F.asc("_g"), F.asc("_v")).withColumn("_part", F.spark_partition_id()))
+    good = placed.filter("_v IS NOT NULL")
+    sizes = good.groupBy("_g", "_part").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_m").over(Window.partitionBy("_g"))
+    shifts = sizes.select(
+        F.col("_g").alias("_h"), F.col("_part").alias("_p"), "_m", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
+        F.floor((total - 1) / 2).alias("_low"), F.floor(total / 2).alias("_high"),
+    ).filter((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_m") > F.col("_low")))
+    middle = good.join(shifts, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_part") == F.col("_p")))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = middle.withColumn("_upto", upto)
+    taken = [((F.col("_upto") - F.col("_n") <= F.col(r)) & (F.col(r) < F.col("_upto"))).cast("int") for r in ("_low", "_high")]
+    found = numbered.select("_g", (F.col("_v") * (taken[0] + taken[1])).cast("double").alias("_x"))
+    both = found.unionByName(placed.select("_g", F.lit(0.0).alias("_x")))
+    return both.groupBy(F.col("_g").alias(group)).agg((F.sum("_x") / 2).alias("median"))
 
 
 def projection_sharpness(

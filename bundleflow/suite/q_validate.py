@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import to_int4
+from ..operators import postings as P
 from ..operators import validate as V
 from ..operators.classify import text_layer_too_short
 from ..operators.merge import update_fields
@@ -98,6 +99,14 @@ def _(t):
     return t("events").filter(V.json_contains(F.col("props"), "$.k", "69")).select("event_id")
 
 
+@case("json_postings", """SELECT q.event_id, count(e.event_id) AS n_rows
+    FROM events q LEFT JOIN events e ON json_extract_string(e.props, '$.k') = json_extract_string(q.props, '$.k') WHERE q.event_id % 50 = 0 GROUP BY 1""")
+def _(t):
+    """The properties of every fiftieth event are looked for in all events."""
+    events = t("events").select("event_id", "props")
+    return P.count_containing(events, events.filter("event_id % 50 = 0"), "props", "event_id")
+
+
 @case("json_array_contains", """SELECT document_id FROM document_states WHERE list_contains(cast(json_extract(metadata, '$.referenced_registration_nos') AS string[]), '100')
     UNION ALL SELECT document_id || '/v' FROM document_states WHERE json_extract_string(metadata, '$.vendor_name') = 'Vendor 5'""", "document_states")
 def _(t):
