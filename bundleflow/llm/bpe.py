@@ -32,15 +32,16 @@ from bundleflow.session import scratch_dir
 
 from .common import cut, free_name, text_of
 
-WORDS = 1 << 17  # words compiled at most, the most frequent ones
+WORDS = 1 << 19  # words compiled at most, the most frequent ones
 LONGEST = 64  # bytes of a compiled word
 SHORT = 256  # bytes of a word merged together with others; longer ones are merged rank by rank
-KNOWN = 1 << 16  # merged words that a worker remembers
+KNOWN = 1 << 18  # merged words that a worker remembers
 PIECE = 1 << 18  # characters of text handled at once
 # Fixed value: how byte-level vocabularies split text into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPLIT = regex.compile(SPLIT)
-_ASCII_SPLIT = re.compile(SPLIT.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII)
+_SPLIT = re.compile(  # for ASCII; see kinds
+    SPLIT.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII
+)
 _CUT = regex.compile(r"(?<=\S)\s")  # a word never goes on behind such a place
 
 
@@ -419,40 +420,48 @@ class Coder:
         return out
 
 
-_signs: list[np.ndarray] = []
+_kinds: list[np.ndarray] = []
 
 
-def signs() -> np.ndarray:
-    """Code points that newer tables call letters or digits, and the tokenizers library still signs."""
-    if not _signs:
+def kinds() -> np.ndarray:
+    """For every code point an ASCII sign that splits like it: ASCII stands for itself.
+
+    Code points that newer tables call letters or digits, and the tokenizers library still signs, are signs.
+    """
+    if not _kinds:
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        table = np.full(0x110000, ord("!"), np.uint8)
+        for pattern, sign in ((r"\p{L}", "a"), (r"\p{N}", "0"), (r"\s", "\t")):
+            table[np.frombuffer("".join(regex.findall(pattern, everything)).encode("utf-32-le"), np.uint32)] = ord(sign)
         splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
-        named = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
-        table = np.zeros(0x110000, bool)
-        for c in named:
+        for c in regex.findall(r"[\p{L}\p{N}]", everything):
             if unicodedata.category(c) == "Cn" and all(len(splitter.pre_tokenize_str(x + c)) > 1 for x in "a1"):
-                table[ord(c)] = True
-        _signs.append(table)
-    return _signs[0]
+                table[ord(c)] = ord("!")
+        table[:128] = np.arange(128)
+        _kinds.append(table)
+    return _kinds[0]
+
+
+def _sizes(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """Characters of each word of a text, and its code points unless it is ASCII."""
+    codes = None if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    words = _SPLIT.findall(text if codes is None else kinds()[codes].tobytes().decode("ascii"))
+    return np.fromiter(map(len, words), np.int64, len(words)), codes
 
 
 def split_words(text: str) -> list[str]:
-    """Words of a text in the vocabulary's sense, with stand-ins for code points that count as signs."""
+    """Words of a text in the vocabulary's sense."""
     if text.isascii():
-        return _ASCII_SPLIT.findall(text)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    new = signs()[codes]
-    if new.any():
-        text = np.where(new, np.uint32(0xE000), codes).tobytes().decode("utf-32-le", "surrogatepass")
-    return _SPLIT.findall(text)
+        return _SPLIT.findall(text)
+    end = np.cumsum(_sizes(text)[0]).tolist()
+    return [text[a:b] for a, b in zip([0, *end], end)]
 
 
 def word_sizes(text: str) -> np.ndarray:
     """Bytes of each word of a text."""
-    words = split_words(text)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    if text.isascii():
+    size, codes = _sizes(text)
+    if codes is None:
         return size
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     upto = np.append(0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)))
     end = np.cumsum(size)
     return upto[end] - upto[end - size]
