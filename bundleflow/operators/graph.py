@@ -11,6 +11,9 @@ from ..functions.keys import page_id
 from ..session import cut_lineage
 from .merge import merge_nodes
 from .validate import check_unique
+from .vectors import top_per_group
+
+HUB = 1000  # documents of an entity beyond which it is counted through sets of hubs
 
 NODE_KEYS = {
     "Document": ("document_id",),
@@ -137,6 +140,50 @@ def co_mentioned_with(mentions: DataFrame, document_id: str) -> DataFrame:
     return others.join(seed, ["type", "value"], "left_semi").groupBy("document_id").agg(F.count("*").alias("shared"))
 
 
+def co_mentioned_top(mentions: DataFrame, seeds: DataFrame, k: int = 10, hub: int = HUB) -> DataFrame:
+    """The k documents that share most entities with each seed: (document_id, partner, shared, rank).
+
+    mentions: (document_id, type, value), repeats allowed; seeds: (document_id).  ``shared`` counts
+    distinct entities; ties go to the smaller document.  Seeds that share nothing have no rows.
+
+    Entities of at most ``hub`` documents are walked one by one.  The others, the hubs, would list
+    a group's pairs; what counts there is only which hubs a document has, so documents are folded
+    into sets of hubs, sets are counted against sets, and of each set k + 1 documents can come
+    first.  A partner met through a rare entity adds what the two sets share.  The result does not
+    depend on ``hub``.
+    """
+    whole = mentions.filter("document_id IS NOT NULL AND type IS NOT NULL AND value IS NOT NULL").select("document_id", "type", "value").distinct()
+    degree = whole.groupBy("type", "value").agg(F.count("*").alias("_n"))
+    pairs = cut_lineage(whole.join(degree, ["type", "value"]))
+    asked = seeds.select("document_id").filter("document_id IS NOT NULL").distinct()
+
+    light = pairs.filter(F.col("_n") <= hub).drop("_n")
+    ours = light.join(asked, "document_id", "left_semi").withColumnRenamed("document_id", "_seed")
+    walked = ours.join(light, ["type", "value"]).filter("_seed <> document_id").groupBy("_seed", "document_id").agg(F.count("*").alias("_light"))
+
+    sets = pairs.filter(F.col("_n") > hub).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("_hubs"))
+    sets = cut_lineage(sets.withColumn("_set", F.sha2(F.to_json("_hubs"), 256)))
+    members = top_per_group(sets.select("_set", "document_id"), ["_set"], k + 1, [F.asc("document_id")])
+    members = members.select("_set", F.col("document_id").alias("partner"))
+    seed_sets = sets.join(asked, "document_id", "left_semi").select(F.col("document_id").alias("_seed"), F.col("_set").alias("_own"))
+
+    about = sets.groupBy("_set").agg(F.any_value("_hubs").alias("_hubs"), F.min("document_id").alias("_first"))
+    listed = about.select("_set", "_first", F.inline("_hubs"))
+    own = listed.join(seed_sets.select(F.col("_own").alias("_set")).distinct(), "_set", "left_semi").select(F.col("_set").alias("_own"), "type", "value")
+    shared = own.join(listed, ["type", "value"]).groupBy("_own", "_set").agg(F.count("*").alias("_heavy"), F.any_value("_first").alias("_first"))
+    shared = cut_lineage(shared)
+    near = top_per_group(shared, ["_own"], k + 1, [F.desc("_heavy"), F.asc("_first")]).select("_own", "_set", "_heavy")
+    near = top_per_group(near.join(members, "_set"), ["_own"], k + 1, [F.desc("_heavy"), F.asc("partner")]).select("_own", "partner", "_heavy")
+    by_hubs = seed_sets.join(near, "_own").filter("_seed <> partner").select("_seed", "partner", F.col("_heavy").alias("shared"))
+
+    theirs = sets.select("document_id", "_set")
+    both = walked.join(seed_sets, "_seed", "left").join(theirs, "document_id", "left").join(shared.drop("_first"), ["_own", "_set"], "left")
+    by_light = both.select("_seed", F.col("document_id").alias("partner"), (F.col("_light") + F.coalesce("_heavy", F.lit(0))).alias("shared"))
+    best = by_light.unionByName(by_hubs).groupBy("_seed", "partner").agg(F.max("shared").alias("shared"))
+    ranked = top_per_group(best, ["_seed"], k, [F.desc("shared"), F.asc("partner")])
+    return ranked.select(F.col("_seed").alias("document_id"), "partner", "shared", F.col("rank").cast("int").alias("rank"))
+
+
 def entity_clusters(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, cluster), the cluster named by its smallest node.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.cleaning import devanagari_digits
-from ..functions.plan import before_fan_out
+from ..functions.plan import before_fan_out, fence
 from .joins import left_join_spread_nulls
 
 DEFAULT_SCORE = 85.0  # ours: the accept threshold is left open by the design
@@ -57,6 +59,34 @@ def weighted_ratio(a: Column, b: Column) -> Column:
     return F.greatest(ratio(x, y), 0.95 * token_sort_similarity(x, y), factor * partial_ratio(x, y))
 
 
+def lcs_length(a: str, b: str) -> int:
+    """Letters of the longest common subsequence; the states of all places of ``a`` are bits of one number."""
+    places: dict[str, int] = {}
+    for i, letter in enumerate(a):
+        places[letter] = places.get(letter, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    open_ = full
+    for letter in b:
+        met = open_ & places.get(letter, 0)
+        open_ = ((open_ + met) | (open_ - met)) & full
+    return len(a) - open_.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """0–100: twice the longest common subsequence over both lengths; 100 for two empty texts.
+
+    Only insertions and deletions count, so a replaced letter costs two.  Runs in Arrow batches.
+    """
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    both = F.length(x) + F.length(y)
+    return F.when(both == 0, F.lit(100.0)).otherwise(100.0 * (1 - (both - 2 * _common(x, y)) / both))
+
+
 def registration_key(text: Column) -> Column:
     """Digits of a registration text as int; null when there are none or too many."""
     digits = F.regexp_replace(devanagari_digits(text), r"[^0-9]", "")
@@ -78,7 +108,7 @@ def _up_to(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFrame:
+def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: str = "edits") -> DataFrame:
     """Nearest right text for each left (block, text), if it scores at least ``score``.
 
     left: distinct (block, text).  right: (block, text, payload).  Either may have a column
@@ -86,6 +116,9 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFram
     absent means the longer of the two texts.  Result: (block, text, payload, edits, score), one
     row per left text with a partner; ties go to the smallest payload.
 
+    measure: ``edits`` (Levenshtein over the longer length) or ``indel`` (insertions and deletions
+    over both lengths, see indel_ratio; without weights).
+
     The score alone decides.  It bounds the edits k of a pair by the right text's length, so the
     right text is cut into k + 1 parts, of which one stands unchanged in any left text that near,
     shifted by no more than the edits around it.  Candidates come from an equi-join on (block,
@@ -94,13 +127,18 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFram
     """
     if not 0 < score <= 100:
         raise ValueError("score must be above 0 and at most 100")
+    indel = {"edits": False, "indel": True}[measure]
+    if indel and "weight" in {*left.columns, *right.columns}:
+        raise ValueError("indel edits are weighed against both lengths only")
     share = score / 100
+    # how many edits a letter of one text allows, and how much longer the other may be
+    per_letter, longer = (2 * (1 - share) / share, (2 - share) / share) if indel else ((1 - share) / share, 1 / share)
 
     def weighed(df: DataFrame) -> DataFrame:
         return df if "weight" in df.columns else df.withColumn("weight", F.lit(None).cast("int"))
 
     def allowed(n: Column) -> Column:
-        return F.when(F.col("weight").isNotNull(), _whole((1 - share) * F.col("weight"))).otherwise(_whole((1 - share) / share * n))
+        return F.when(F.col("weight").isNotNull(), _whole((1 - share) * F.col("weight"))).otherwise(_whole(per_letter * n))
 
     targets = weighed(right).filter(F.col("text").isNotNull()).groupBy("block", "text", "weight").agg(F.min("payload").alias("payload"))
     n, k, i, m = F.col("_n"), F.col("_k"), F.col("_i"), F.col("_m")
@@ -116,8 +154,8 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFram
     r_side = r_rows.select(key(part).alias("_key"), F.col("block").alias("_rblock"), F.col("text").alias("_rtext"), F.col("payload").alias("_rpayload"))
 
     fixed = _whole((1 - share) * F.col("weight"))
-    low = F.when(F.col("weight").isNotNull(), F.greatest(m - fixed, F.lit(0))).otherwise(F.ceil(share * m - 1e-9).cast("int"))
-    high = F.when(F.col("weight").isNotNull(), m + fixed).otherwise(_whole(m / share))
+    low = F.when(F.col("weight").isNotNull(), F.greatest(m - fixed, F.lit(0))).otherwise(F.ceil(m / longer - 1e-9).cast("int"))
+    high = F.when(F.col("weight").isNotNull(), m + fixed).otherwise(_whole(m * longer))
     l_rows = before_fan_out(weighed(left)).withColumn("_m", F.length("text")).withColumn("_n", F.explode(_up_to(low, high))).withColumn("_k", allowed(n))
     l_rows = l_rows.withColumn("_i", F.explode(F.when(k >= n, no_parts).otherwise(F.sequence(F.lit(0), k))))
     over = m - n
@@ -129,8 +167,13 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFram
 
     # size estimates do not see the fan-out, so broadcasting either side is ruled out
     pairs = l_side.join(r_side.hint("merge"), "_key").filter(F.col("block") == F.col("_rblock"))
-    edits = F.levenshtein(F.col("text"), F.col("_rtext"))
-    longest = F.coalesce(F.col("weight"), F.greatest(F.length("text"), F.length("_rtext")))
+    if indel:  # a pair met by several parts is measured once
+        pairs = pairs.select("block", "text", "weight", "_rtext", "_rpayload").distinct()
+        longest = F.length("text") + F.length("_rtext")
+        edits = longest - 2 * _common(F.col("text"), F.col("_rtext"))
+    else:
+        edits = F.levenshtein(F.col("text"), F.col("_rtext"))
+        longest = F.coalesce(F.col("weight"), F.greatest(F.length("text"), F.length("_rtext")))
     scored = pairs.select("block", "text", F.col("_rpayload").alias("payload"), edits.alias("edits"), longest.alias("_len"))
     value = F.when(F.col("_len") == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.col("edits") / F.col("_len")))
     scored = scored.withColumn("score", value).filter(F.col("score") >= score)
@@ -138,6 +181,71 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float) -> DataFram
     return best.select("block", "text", F.col("b.payload").alias("payload"), F.col("b.edits").alias("edits"), (-F.col("b.s")).alias("score"))
 
 
+PART = 8  # letters of a part that are looked up at most
+
+
+def best_partial_match(left: DataFrame, right: DataFrame, score: float) -> DataFrame:
+    """Nearest right text for each left (block, text) by partial_ratio, if it scores at least ``score``.
+
+    left: distinct (block, text).  right: (block, text, payload).  Result: (block, text, payload,
+    score), one row per left text with a partner; ties go to the smallest payload.  Null texts have
+    no partner; an empty text has only empty ones.
+
+    The score bounds the edits k between the shorter text and a stretch of the longer.  The shorter
+    one is cut into k + 1 parts, of which one stands unchanged in that stretch, so every pair at or
+    above the score meets in an equi-join of the parts' first letters with all stretches of so many
+    letters of the longer text, either side being the shorter one.
+    """
+    if not 0 < score <= 100:
+        raise ValueError("score must be above 0 and at most 100")
+    share = score / 100
+    n, i = F.length("text"), F.col("_i")
+
+    def parts(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_k", _whole((1 - share) * n)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.col("_k"), F.greatest(n - 1, F.lit(0))))))
+        start, size = _cuts(n, F.col("_k"), i)
+        cut = F.substring(F.col("text"), start + 1, F.least(size, F.lit(PART)))
+        return rows.withColumn("_part", F.when(F.col("_k") < n, cut).when(n == 0, F.lit("")).otherwise(F.substring(F.col("text"), i + 1, F.lit(1)))).drop("_k", "_i").distinct()
+
+    def stretches(df: DataFrame) -> DataFrame:
+        text = F.col("text")
+        of_size = F.transform(_up_to(F.lit(1), F.least(n, F.lit(PART))), lambda z: F.transform(_up_to(F.lit(1), n - z + 1), lambda at: F.substring(text, at, z)))
+        return df.withColumn("_part", F.explode(F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.flatten(of_size)))))
+
+    asked = before_fan_out(left.select("block", "text").filter("text IS NOT NULL AND block IS NOT NULL").distinct())
+    known = right.filter("text IS NOT NULL AND block IS NOT NULL").groupBy("block", "text").agg(F.min("payload").alias("payload"))
+    known = before_fan_out(known)
+
+    def met(ours: DataFrame, theirs: DataFrame, shorter: Column) -> DataFrame:
+        theirs = theirs.select(F.col("block").alias("_rblock"), F.col("text").alias("_rtext"), "payload", F.col("_part").alias("_rpart"))
+        same = (F.col("block") == F.col("_rblock")) & (F.col("_part") == F.col("_rpart"))
+        return ours.join(theirs.hint("merge"), same).filter(shorter).select("block", "text", "_rtext", "payload")
+
+    a, b = F.length("text"), F.length("_rtext")
+    pairs = met(parts(asked), stretches(known), a <= b).unionByName(met(stretches(asked), parts(known), a > b)).distinct()
+    scored = fence(pairs, score=partial_ratio(F.col("text"), F.col("_rtext"))).filter(F.col("score") >= score)
+    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("payload"))).alias("b"))
+    return best.select("block", "text", F.col("b.payload").alias("payload"), (-F.col("b.s")).alias("score"))
+
+
+def match_registry_names(documents: DataFrame, registry: DataFrame, measure: str, score: float = DEFAULT_SCORE) -> DataFrame:
+    """(name, dob) of the documents to the registry row of the same birth date with the nearest name.
+
+    measure: ``partial`` (partial_ratio), ``indel`` or ``edits`` (on word-sorted names all three).
+    Result: distinct (_name, dob, reference_data_id, score).
+    """
+    if measure not in ("partial", "indel", "edits"):
+        raise ValueError(f"no measure {measure}")
+
+    def keyed(df: DataFrame, name: str, *more: Column) -> DataFrame:
+        rows = df.select(F.date_format("dob", "yyyyMMdd").alias("block"), sorted_tokens(F.col(name)).alias("text"), *more)
+        return rows.filter("block IS NOT NULL AND text <> ''")
+
+    contexts, people = keyed(documents, "applicant_name_raw").distinct(), keyed(registry, "full_name", F.col("reference_data_id").alias("payload"))
+    found = best_partial_match(contexts, people, score) if measure == "partial" else best_edit_match(contexts, people, score, measure)
+    return found.select(F.col("text").alias("_name"), F.col("block").alias("dob"), F.col("payload").alias("reference_data_id"), "score")
+
+
 def match_registry_exact(documents: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``reference_data_id`` and ``match_status`` from the registration number.
 

@@ -98,6 +98,16 @@ def _(t):
     return G.co_mentioned_with(_entities(t), "42")
 
 
+@case("co_mentioned_top", f"""WITH {ENTITIES}, m AS (SELECT DISTINCT document_id, type, value FROM entities),
+    s AS (SELECT a.document_id, b.document_id AS partner, count(*) AS shared FROM m a JOIN m b ON a.type = b.type AND a.value = b.value AND a.document_id <> b.document_id
+      WHERE cast(a.document_id AS bigint) % 50 = 0 GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY document_id ORDER BY shared DESC, partner) AS integer) AS rank FROM s) WHERE rank <= 10""", "entity_texts")
+def _(t):
+    """Every fiftieth document asks for its nearest by shared entities."""
+    found = _entities(t)
+    return G.co_mentioned_top(found, found.filter(F.col("document_id").cast("long") % 50 == 0))
+
+
 @case("entity_clusters", f"""WITH RECURSIVE {ENTITIES},
     edges AS (SELECT DISTINCT 'd:' || document_id AS a, 'e:' || type || '/' || value AS b FROM entities),
     both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),

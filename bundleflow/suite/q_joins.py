@@ -90,6 +90,37 @@ def _(t):
     return M.match_registry(t.wide("applicants"), registry(t)).select("document_id", "reference_data_id", "match_status", "match_method")
 
 
+_NAMED = FUZZY[: FUZZY.index("    pairs AS (")].replace("open_docs", "applicants") + """    pairs AS (SELECT c.name, c.dob, p.registration_no, c.name AS a, p.name AS b FROM contexts c JOIN people p ON c.dob = p.dob AND p.name <> ''),"""
+_NEAREST = """best AS (SELECT name, dob, registration_no, score FROM (SELECT *, row_number() OVER (PARTITION BY name, dob ORDER BY score DESC, registration_no) AS rn
+        FROM scored WHERE score >= 85.0) WHERE rn = 1)
+    SELECT name, dob, registration_no AS reference_data_id, round(score, 6) AS score FROM best"""
+# bits of the places of a that are still open, letter by letter of b; names are below 60 letters
+_OPEN = """list_reduce(list_prepend((1::BIGINT << length(a)) - 1, list_transform(range(1, length(b) + 1), lambda j:
+      coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = b[j] THEN 1::BIGINT << (i - 1) ELSE 0 END)), 0)::BIGINT)),
+      lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(a)) - 1))"""
+
+
+def _by_name(t, measure: str):
+    found = M.match_registry_names(t.wide("applicants"), registry(t), measure)
+    return found.select(F.col("_name").alias("name"), "dob", "reference_data_id", F.round("score", 6).alias("score"))
+
+
+@case("match_registry_partial", f"""WITH {_NAMED}
+    sides AS (SELECT *, CASE WHEN length(a) > length(b) THEN b ELSE a END AS s, CASE WHEN length(a) > length(b) THEN a ELSE b END AS l FROM pairs),
+    scored AS (SELECT *, list_max(list_transform(range(1, length(l) - length(s) + 2), lambda i: 100.0 * (1 - cast(levenshtein(s, substring(l, i, length(s))) AS double) / length(s)))) AS score FROM sides),
+    {_NEAREST}""", ("applicants", "person"))
+def _(t):
+    return _by_name(t, "partial")
+
+
+@case("match_registry_indel", f"""WITH {_NAMED}
+    edited AS (SELECT *, length(a) + length(b) AS len, length(b) - length(a) + 2 * bit_count({_OPEN}) AS edits FROM pairs),
+    scored AS (SELECT *, 100.0 * (1 - cast(edits AS double) / len) AS score FROM edited),
+    {_NEAREST}""", ("applicants", "person"))
+def _(t):
+    return _by_name(t, "indel")
+
+
 @case("token_sort_similarity", f"""SELECT document_id, round(CASE WHEN greatest(length(x), length(y)) = 0 THEN 100.0
       ELSE 100.0 * (1 - cast(levenshtein(x, y) AS double) / greatest(length(x), length(y))) END, 6) AS similarity
     FROM (SELECT a.document_id, {_SORTED.format(c='a.applicant_name_raw')} AS x, {_SORTED.format(c='p.full_name')} AS y
