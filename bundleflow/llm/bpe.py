@@ -36,6 +36,7 @@ WORDS = 1 << 17  # words compiled at most, the most frequent ones
 LONGEST = 64  # bytes of a compiled word
 SHORT = 256  # bytes of a word merged together with others; longer ones are merged rank by rank
 KNOWN = 1 << 18  # merged words that a worker remembers
+KNOWN_BYTES = 1 << 25  # and their bytes
 PIECE = 1 << 18  # characters of text handled at once
 # Fixed value: how byte-level vocabularies split text into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,12 +99,15 @@ class Merger:
         self.by_rank = np.argsort(v.rank)
 
     def many(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word.  Short words are merged together: in every round each makes its merge of lowest rank."""
-        out: list = [None] * len(words)
+        """Ids of each word."""
+        ids, size = self.flat(words)
+        upto = np.append(0, np.cumsum(size)).tolist()
+        return [ids[a:b] for a, b in zip(upto, upto[1:])]
+
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the number of each word's.  Short words are merged together: in every round each makes its merge of lowest rank."""
         short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
-        for k, w in enumerate(words):
-            if not 0 < len(w) <= SHORT:
-                out[k] = self._long(w)
+        long = {k: self._long(w) for k, w in enumerate(words) if len(w) > SHORT}
         size = np.fromiter((len(words[k]) for k in short), np.int64, len(short))
         ids = self.v.byte_id[np.frombuffer(b"".join(words[k] for k in short), np.uint8)].astype(np.int64)
         word = np.repeat(np.arange(len(short)), size)
@@ -132,11 +136,9 @@ class Merger:
             self._look(ids, word, now, rank, joined)
             self._look(ids, word, now[now > 0] - 1, rank, joined)
         word, ids = (np.concatenate([r[i] for r in ready]) if ready else np.zeros(0, np.int64) for i in (0, 1))
-        ids = ids[np.argsort(word, kind="stable")].astype(np.int32)
-        upto = np.append(0, np.cumsum(np.bincount(word, minlength=len(short)))).tolist()
-        for k, a, b in zip(short, upto, upto[1:]):
-            out[k] = ids[a:b]
-        return out
+        word = np.concatenate([np.array(short, np.int64)[word], *[np.full(len(x), k) for k, x in long.items()]])
+        ids = np.concatenate([ids, *long.values()])[np.argsort(word, kind="stable")].astype(np.int32)
+        return ids, np.bincount(word, minlength=len(words))
 
     def _look(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray, rank: np.ndarray, joined: np.ndarray) -> None:
         """Set rank and result of the pairs that begin at some places."""
@@ -337,20 +339,27 @@ class Coder:
         self.automaton = Automaton(*[a[f"a.{f}"] for f in Automaton._fields])
         self.table, self.table_start = a["ids"], a["ids_start"]
         self.merger: Merger | None = None
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
         self.special = dict(self.v.special)
         self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _merged(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct words; what is merged is remembered for a while."""
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.more, self.more_start, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def _merged(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words in `more`; what is merged is remembered for a while."""
         new = [w for w in words if w not in self.known]
-        self.merger = self.merger or Merger(self.v)
-        made = dict(zip(new, self.merger.many(new)))
-        found = [made[w] if w in made else self.known[w] for w in words]
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
-        return found
+        if len(self.known) + len(new) > KNOWN or self.held + sum(map(len, new)) > KNOWN_BYTES:
+            self._forget()
+            new = words
+        if new:
+            self.merger = self.merger or Merger(self.v)
+            ids, size = self.merger.flat(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.more, self.held = np.append(self.more, ids), self.held + sum(map(len, new))
+            self.more_start = np.append(self.more_start, self.more_start[-1] + np.cumsum(size))
+        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -393,17 +402,16 @@ class Coder:
         at, n_ids = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         hit = number >= 0
         at[hit], n_ids[hit] = self.table_start[number[hit]], self.table_start[number[hit] + 1] - self.table_start[number[hit]]
-        # Special tokens and distinct unseen words get ids behind the table's.
+        # Ids of unseen words and of special tokens stand behind the table's.
         special_at = {int(first[k]): marks[k] for k in range(len(parts)) if marks[k] >= 0}
         miss = [j for j in np.flatnonzero(~hit).tolist() if j not in special_at] if special_at else np.flatnonzero(~hit)
         seen: dict[bytes, int] = {}
         kind = [seen.setdefault(joined[s:e], len(seen)) for s, e in zip(start[miss].tolist(), (start + size)[miss].tolist())]
-        extra = [*self._merged(list(seen)), *[np.array([i], np.int32) for i in special_at.values()]]
-        length = np.fromiter(map(len, extra), np.int64, len(extra))
-        place = len(self.table) + np.cumsum(length) - length
-        at[miss], n_ids[miss] = place[kind], length[kind]
-        at[list(special_at)], n_ids[list(special_at)] = place[len(seen) :], 1
-        table = np.concatenate([self.table, *extra]) if extra else self.table
+        number = self._merged(list(seen))[kind] if kind else np.zeros(0, np.int64)
+        begin, end = self.more_start[number], self.more_start[number + 1]
+        at[miss], n_ids[miss] = len(self.table) + begin, end - begin
+        at[list(special_at)], n_ids[list(special_at)] = len(self.table) + len(self.more) + np.arange(len(special_at)), 1
+        table = np.concatenate([self.table, self.more, np.array(list(special_at.values()), np.int32)])
         flat = table[np.repeat(at - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(n_ids.sum())]
         upto = np.append(0, np.cumsum(n_ids))
         return [flat[upto[f] : upto[f + c]] for f, c in zip(first.tolist(), count.tolist())]
