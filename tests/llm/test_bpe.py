@@ -49,19 +49,6 @@ def test_merges_are_exact(library, monkeypatch, short):
     assert merger.many([]) == [] and merger.many([b""])[0].tolist() == []
 
 
-@pytest.mark.parametrize("name,bound", [("KNOWN", 3), ("KNOWN_BYTES", 40), ("KNOWN", 1 << 18)])
-def test_forgetting_merged_words_changes_nothing(library, monkeypatch, tmp_path, name, bound):
-    monkeypatch.setattr(bpe, name, bound)
-    monkeypatch.setattr(bpe, "PIECE", 200)
-    vocabulary = bpe.read_vocabulary(PATH)
-    path = tmp_path / "lexicon"
-    path.write_bytes(bpe.pack(vocabulary, bpe.compile_words([b" the", b"the"]), bpe.Merger(vocabulary).many([b" the", b"the"])))
-    coder, bodies = bpe.Coder(str(path)), texts(8)
-    for low in range(0, len(bodies), 7):
-        some = bodies[low : low + 7]
-        assert [x.tolist() for x in coder.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
-
-
 def test_automaton_is_minimal_and_numbers_words():
     rng = random.Random(4)
     words = sorted({bytes(rng.choice(b"abc\xc3\xff\x00") for _ in range(rng.randint(1, 7))) for _ in range(3000)} | {b"walking", b"talking", b"walked", b"talked"})
