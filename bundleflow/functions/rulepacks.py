@@ -183,6 +183,30 @@ def needed_text(pattern: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+_NEIGHBOURS = re.compile(r"([a-z0-9₹]{4,}) \+?([a-z0-9₹]{4,})")
+
+
+def needed_neighbours(pattern: str) -> tuple[str, ...]:
+    """``<last four letters> <first four letters>`` of two neighbouring words (runs of letters, digits
+    and ₹), one per top-level alternative, of which at least one occurs in any match.
+
+    Empty when some alternative has no two literals of four letters with nothing but space between.
+    """
+    if not is_plain(pattern):
+        return ()
+    flat = _OPTIONAL_GROUP.sub("\0", pattern)
+    while "(" in flat and _OPTIONAL_GROUP.search(flat):
+        flat = _OPTIONAL_GROUP.sub("\0", flat)
+    found = []
+    for alternative in flat.split("|"):
+        plain = _ESCAPE.sub(lambda m: " " if m.group(0) in (r"\s", r"\s+") else "\0", alternative)
+        pair = _NEIGHBOURS.search(_MAYBE_ABSENT.sub("\0", plain))
+        if pair is None:
+            return ()
+        found.append(f"{pair.group(1)[-4:]} {pair.group(2)[:4]}")
+    return tuple(found)
+
+
 def _text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"

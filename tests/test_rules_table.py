@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bundleflow.functions.rulepacks import BUNDLE_RULES, PAGE_RULES, Rule, fired_rules, fold
+from bundleflow.functions.rulepacks import BUNDLE_RULES, PAGE_RULES, Rule, fired_rules, fold, needed_neighbours
 from bundleflow.operators import rules as R
 
 from test_rules import texts
@@ -52,3 +52,29 @@ def test_too_many_open_rules_are_refused(spark):
     with pytest.raises(ValueError, match="3 rules"):
         R.open_rules(rules, 3)
     assert len(R.open_rules(rules, 4)) == 4
+
+
+def test_neighbouring_words_are_keys(spark):
+    keys = {"theand +thble": "eand thbl", r"\babcde\s+fghij\b": "bcde fghi", "xyz|abcd +efgh": None, "abcd *efgh": None, "abcds? +efgh": None,
+            "abcd+ +efgh": None, r"abcd \+efgh": None, "abcd +efg?h": None, "abcd +e+fgh": None, "wxab +cdefg+": "wxab cdef"}
+    assert {p: (needed_neighbours(p) or (None,))[0] for p in keys} == keys
+    rng = random.Random(5)
+    text = lambda: rng.choice(["", " ", "é"]).join(rng.choice(["abab", "baba", " ", "  ", "\n", "-", "a", "b", "Ab"]) for _ in range(30))
+    rows = [(i % 90, text()) for i in range(120)]
+    rules = [Rule("x", f"{a}{gap}{b}", w) for a in ("abab", "baab", "bababa") for b in ("abab", "baba+", "abab?a") for gap in (" +", " ", r"\s+", " *") for w in (1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    want = fired_rules(df.withColumn("low", fold(F.col("text"))), "low", ["k"], rules)
+    assert want.count() > 500 and fired(R.rules_matched(df, "text", ["k"], table(spark, rules))) == fired(want)
+    want = want.groupBy("k", "category").agg(F.sum("weight"), F.count("*"))
+    assert fired(R.scores_by_table(df, "text", ["k"], table(spark, rules))) == fired(want)
+
+
+def test_candidates_of_common_words_stay_near_the_matches(spark):
+    """All rules share their words with all texts; only neighbours may make a candidate."""
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    rules = table(spark, [Rule("c", f"{a} +{b}", 1.0) for a in words for b in words])
+    rng = random.Random(7)
+    df = spark.createDataFrame([(k, " ".join(rng.sample(words, 20))) for k in range(200)], "k int, text string")
+    _, texts_ = R._digested(df, "text", ["k"])
+    assert R.literal_index(rules).count() == 0 and R.neighbour_index(rules).count() == 400
+    assert R.patterns_hit(texts_, rules).count() == 200 * 19
