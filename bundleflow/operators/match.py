@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql.types import IntegerType
 
 from ..functions.cleaning import devanagari_digits
 from ..functions.plan import before_fan_out, fence
+from ..session import cut_lineage
 from .joins import left_join_spread_nulls
 
 DEFAULT_SCORE = 85.0  # ours: the accept threshold is left open by the design
@@ -72,9 +74,36 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - open_.bit_count()
 
 
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs_length`` of many pairs at once; pairs with more than 62 letters or a zero letter one by one."""
+    out = np.zeros(len(a), dtype=np.int32)
+    plain = [i for i, (x, y) in enumerate(zip(a, b)) if len(x) <= 62 and len(y) <= 62 and "\0" not in x and "\0" not in y]
+    for i in set(range(len(a))) - set(plain):
+        out[i] = lcs_length(a[i], b[i])
+    size = max((max(len(a[i]), len(b[i])) for i in plain), default=0)
+    if not size:
+        return out
+    points = [np.array([t[i] for i in plain], dtype=f"U{size}").view(np.uint32).reshape(len(plain), size) for t in (a, b)]
+    letters = np.unique(np.concatenate(points))
+    x, y = (np.searchsorted(letters, p) for p in points)
+    rows, one = np.arange(len(plain)), np.uint64(1)
+    places = np.zeros((len(plain), len(letters)), dtype=np.uint64)
+    for i in range(size):
+        places[rows, x[:, i]] |= one << np.uint64(i)
+    if letters[0] == 0:  # padding is no letter
+        places[:, 0] = 0
+    full = (one << (points[0] != 0).sum(axis=1).astype(np.uint64)) - one
+    open_ = full.copy()
+    for j in range(size):
+        met = open_ & places[rows, y[:, j]]
+        open_ = ((open_ + met) | (open_ - met)) & full
+    out[plain] = np.bitwise_count(full) - np.bitwise_count(open_)
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(lcs_lengths(list(a), list(b)), dtype="int32")
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -124,23 +153,39 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: st
     shifted by no more than the edits around it.  Candidates come from an equi-join on (block,
     length, part number, part), and are then measured.  A text shorter than k + 1 letters can
     lose every part; it is keyed by its length alone.
+
+    Equal texts are settled first by a plain join.  What is left is asked at half the distance to
+    the score, with few and long parts, and only what finds nothing there at the score itself.
     """
     if not 0 < score <= 100:
         raise ValueError("score must be above 0 and at most 100")
     indel = {"edits": False, "indel": True}[measure]
     if indel and "weight" in {*left.columns, *right.columns}:
         raise ValueError("indel edits are weighed against both lengths only")
+    def weighed(df: DataFrame) -> DataFrame:
+        return df if "weight" in df.columns else df.withColumn("weight", F.lit(None).cast("int"))
+
+    targets = weighed(right).filter(F.col("text").isNotNull()).groupBy("block", "text", "weight").agg(F.min("payload").alias("payload"))
+    equal = targets.groupBy("block", "text").agg(F.min("payload").alias("payload"), F.lit(True).alias("_met"))
+    asked = cut_lineage(weighed(left).filter("block IS NOT NULL AND text IS NOT NULL").join(equal.hint("merge"), ["block", "text"], "left"))
+    found = asked.filter("_met").select("block", "text", "payload", F.lit(0).alias("edits"), F.lit(100.0).alias("score"))
+    rest = asked.filter("_met IS NULL").select("block", "text", "weight")
+    if score == 100:
+        return found
+    near = cut_lineage(_at_score(rest, targets, (score + 100) / 2, indel))
+    rest = rest.join(near.select("block", "text").hint("merge"), ["block", "text"], "left_anti")
+    return found.unionByName(near).unionByName(_at_score(rest, targets, score, indel))
+
+
+def _at_score(left: DataFrame, targets: DataFrame, score: float, indel: bool) -> DataFrame:
+    """``best_edit_match`` by parts: left (block, text, weight) and targets (block, text, weight, payload)."""
     share = score / 100
     # how many edits a letter of one text allows, and how much longer the other may be
     per_letter, longer = (2 * (1 - share) / share, (2 - share) / share) if indel else ((1 - share) / share, 1 / share)
 
-    def weighed(df: DataFrame) -> DataFrame:
-        return df if "weight" in df.columns else df.withColumn("weight", F.lit(None).cast("int"))
-
     def allowed(n: Column) -> Column:
         return F.when(F.col("weight").isNotNull(), _whole((1 - share) * F.col("weight"))).otherwise(_whole(per_letter * n))
 
-    targets = weighed(right).filter(F.col("text").isNotNull()).groupBy("block", "text", "weight").agg(F.min("payload").alias("payload"))
     n, k, i, m = F.col("_n"), F.col("_k"), F.col("_i"), F.col("_m")
     no_parts = F.array(F.lit(-1))
 
@@ -156,7 +201,9 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: st
     fixed = _whole((1 - share) * F.col("weight"))
     low = F.when(F.col("weight").isNotNull(), F.greatest(m - fixed, F.lit(0))).otherwise(F.ceil(m / longer - 1e-9).cast("int"))
     high = F.when(F.col("weight").isNotNull(), m + fixed).otherwise(_whole(m * longer))
-    l_rows = before_fan_out(weighed(left)).withColumn("_m", F.length("text")).withColumn("_n", F.explode(_up_to(low, high))).withColumn("_k", allowed(n))
+    lengths = targets.agg(F.collect_set(F.length("text")).alias("_lengths"))  # one row; lengths that no target has are not asked for
+    l_rows = before_fan_out(left).crossJoin(F.broadcast(lengths)).withColumn("_m", F.length("text"))
+    l_rows = l_rows.withColumn("_n", F.explode(F.filter("_lengths", lambda z: z.between(low, high)))).drop("_lengths").withColumn("_k", allowed(n))
     l_rows = l_rows.withColumn("_i", F.explode(F.when(k >= n, no_parts).otherwise(F.sequence(F.lit(0), k))))
     over = m - n
     first = F.greatest(start + F.greatest(-i, over - (k - i)), F.lit(0))
@@ -167,8 +214,11 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: st
 
     # size estimates do not see the fan-out, so broadcasting either side is ruled out
     pairs = l_side.join(r_side.hint("merge"), "_key").filter(F.col("block") == F.col("_rblock"))
-    if indel:  # a pair met by several parts is measured once
-        pairs = pairs.select("block", "text", "weight", "_rtext", "_rpayload").distinct()
+    if indel:
+        # replacing is allowed to Levenshtein, so it never counts more; a pair met by several parts is
+        # measured again, which is cheaper than bringing equal pairs together
+        both = F.length("text") + F.length("_rtext")
+        pairs = fence(pairs, _edits=F.levenshtein("text", "_rtext")).filter(F.col("_edits") <= _whole((1 - share) * both))
         longest = F.length("text") + F.length("_rtext")
         edits = longest - 2 * _common(F.col("text"), F.col("_rtext"))
     else:

@@ -110,3 +110,30 @@ def test_unknown_measures_are_refused(spark):
         M.best_edit_match(rows, rows, 85.0, "other")
     with pytest.raises(ValueError):
         M.match_registry_names(rows, rows, "other")
+
+
+def test_common_letters_of_many_pairs():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcé\0") if rng.random() < 0.02 else rng.choice("abc") for _ in range(rng.choice([0, 1, 5, 30, 62, 63, 80])))
+    pairs = [(word(), word()) for _ in range(400)] + [("", ""), ("a", ""), ("", "a")]
+    a, b = [list(side) for side in zip(*pairs)]
+    assert list(M.lcs_lengths(a, b)) == [M.lcs_length(x, y) for x, y in pairs]
+    assert list(M.lcs_lengths([], [])) == []
+
+
+def test_lookups_stay_few_for_equal_and_near_names(spark):
+    """Long names of one length: equal ones are not cut into parts, and no other length is asked for."""
+    people = spark.createDataFrame([("d", f"{i * 7919:09d} some longer name of it", i) for i in range(300)], "block string, text string, payload int")
+    asked = people.select("block", "text").union(people.filter("payload % 10 = 0").selectExpr("block", "replace(text, 'some', 's0me') AS text"))
+    for measure in ("edits", "indel"):
+        got = {r.text: (r.payload, r.edits) for r in M.best_edit_match(asked, people, 85.0, measure).collect()}
+        assert len(got) == 330 and all(got[r.text] == (r.payload, 0) for r in people.collect())
+        assert got["000000000 s0me longer name of it"] == (0, {"edits": 1, "indel": 2}[measure])
+    calls = []
+    plain = M._at_score
+    try:
+        M._at_score = lambda left, *more: calls.append(left.count()) or plain(left, *more)
+        M.best_edit_match(asked, people, 85.0, "indel").count()
+    finally:
+        M._at_score = plain
+    assert calls == [30, 0]
