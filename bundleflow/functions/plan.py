@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def fence(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times, computed once per row.
+
+    Branches of a condition are kept out of common subexpressions, so each mention there would be
+    computed again.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy row work on a few-file table as many tasks as the session has slots.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import to_float
+from ..functions.plan import once
 from ..session import cut_lineage
 
 # --- Fixed values --------------------------------------------------------------------
@@ -48,22 +49,29 @@ def map_script(name: Column) -> Column:
 
 def detect_script(text: Column) -> Column:
     """latin, devanagari, mixed or unknown, from the share of letters."""
-    latin = F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", ""))
-    deva = F.length(F.regexp_replace(text, r"[^\p{IsDevanagari}]", ""))
-    share = F.when(latin + deva > 0, latin / (latin + deva))
-    return (
-        F.when(share.isNull(), "unknown")
-        .when((share >= MIXED_SHARE) & (share <= 1 - MIXED_SHARE), "mixed")
-        .when(share > 0.5, "latin")
-        .otherwise("devanagari")
-    )
+
+    def script(n: Column) -> Column:
+        share = n["latin"] / (n["latin"] + n["deva"])
+        return (
+            F.when(n["latin"].isNull() | (n["latin"] + n["deva"] == 0), "unknown")
+            .when((share >= MIXED_SHARE) & (share <= 1 - MIXED_SHARE), "mixed")
+            .when(share > 0.5, "latin")
+            .otherwise("devanagari")
+        )
+
+    def letters(t: Column) -> Column:
+        return F.struct(F.length(F.regexp_replace(t, r"[^\p{IsLatin}]+", "")).alias("latin"), F.length(F.regexp_replace(t, r"[^\p{IsDevanagari}]+", "")).alias("deva"))
+
+    return once(once(text, letters), script)
 
 
 def language_of_page(text: Column, hint: Column) -> Column:
     """Language from script; the hint decides where script alone cannot."""
-    script = detect_script(text)
-    guess = F.when(script == "latin", "eng").when(script == "mixed", "mixed").when(script == "devanagari", "dev")
-    return F.coalesce(hint, guess, F.lit("unknown"))
+
+    def guess(script: Column) -> Column:
+        return F.when(script == "latin", "eng").when(script == "mixed", "mixed").when(script == "devanagari", "dev")
+
+    return F.coalesce(hint, once(detect_script(text), guess), F.lit("unknown"))
 
 
 def normalize_rotation(degrees: Column, width: Column, height: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bundleflow.operators import classify as K
 from bundleflow.operators.merge import empty_tables
 from bundleflow.operators.route import document_rows, route_pages
+from bundleflow.operators.triage import detect_script, language_of_page
 from bundleflow.operators.validate import check_manifest, manifest_checks, quarantine
 from bundleflow.plans.ingest import ingest_manifests
 from bundleflow.schemas import MANIFEST
@@ -176,3 +177,14 @@ def test_message_failure_leaves_tables_alone(spark, tmp_path):
     with pytest.raises(Exception):
         stream_ingest(stream_manifests(spark, f"{tmp_path}/in", multi_line=False), texts, str(root), T1).awaitTermination()
     assert versions(spark, f"{root}/pages") == []
+
+
+def test_letters_of_a_page_are_counted_once(spark):
+    rows = [("plain text",), ("कखग घ",), ("ab कख",), ("aaaa ककक aaaaaaa",), ("12 34",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    shown = df.select("t", language_of_page(F.upper("t"), F.when(F.col("t") == "", "mar")).alias("l"), detect_script(F.col("t")).alias("s"))
+    assert [(r.l, r.s) for r in shown.collect()] == [
+        ("eng", "latin"), ("dev", "devanagari"), ("mixed", "mixed"), ("mixed", "mixed"), ("unknown", "unknown"), ("mar", "unknown"), ("unknown", "unknown"),
+    ]
+    plan = df.select(language_of_page(F.upper("t"), F.lit(None).cast("string")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("IsLatin") == 1 and plan.count("upper(") == 1
