@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plan import fence
@@ -235,10 +235,15 @@ def filtered_candidates(vectors: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def cosine_search(
-    vectors: DataFrame, query: Sequence[float], candidates: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id"
+    vectors: DataFrame, query: Sequence[float], candidates: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id", row_id: Column | None = None
 ) -> DataFrame:
-    """Payload filter, then the k nearest."""
-    return vector_topk(filtered_candidates(vectors, candidates), query, k, id_col)
+    """Payload filter, then the k nearest.
+
+    An id that is computed comes as ``row_id``, to be added as ``id_col`` after the filter: Spark moves
+    the filter below the joins that bring in the vectors only if no computed column lies between.
+    """
+    found = filtered_candidates(vectors, candidates)
+    return vector_topk(found if row_id is None else found.withColumn(id_col, row_id), query, k, id_col)
 
 
 def payload_snippet(pages: DataFrame, entity_types: DataFrame, length: int = 200, text: str = "raw_text") -> DataFrame:

@@ -154,8 +154,8 @@ def _(t):
       FROM page_vectors a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE a.document_id IN (SELECT document_id FROM bundles WHERE document_category = 'letter'))
     ORDER BY score DESC, page_id LIMIT 10""", ("page_vectors", "bundles"))
 def _(t):
-    points = t("page_vectors").select(F.concat_ws(":", "document_id", "page_num").alias("page_id"), "document_id", "embedding")
-    return V.cosine_search(points, _first_vector(t), t("bundles").filter("document_category = 'letter'"), id_col="page_id")
+    letters = t("bundles").filter("document_category = 'letter'")
+    return V.cosine_search(t("page_vectors"), _first_vector(t), letters, id_col="page_id", row_id=F.concat_ws(":", "document_id", "page_num"))
 
 
 PARSED = r"""parsed AS (SELECT query_id, query_vec, nullif(lower(regexp_extract(query_text, '(?i)\bdocuments\s+of\s+(.+?)\s*(?:,|$)', 1)), '') AS name,

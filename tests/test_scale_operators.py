@@ -253,3 +253,13 @@ def test_strict_detector_raises(spark):
     assert got == {"a": "typed", "b": "unknown"}
     with pytest.raises(Exception, match="cannot read"):
         triage.detect_content_type(df, detector, ["x"], strict=True).collect()
+
+
+def test_cosine_search_filters_before_vectors_are_joined(spark):
+    pages = spark.createDataFrame([(str(i % 20), i, i % 5) for i in range(100)], "document_id string, page_num int, v int")
+    stored = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "v int, embedding array<double>")
+    wanted = spark.createDataFrame([("3",), ("4",)], "document_id string")
+    found = vectors.cosine_search(pages.join(stored, "v"), [1.0, 4.0], wanted, 3, "page_id", F.concat_ws(":", "document_id", "page_num"))
+    assert [r.page_id for r in found.collect()] == ["4:24", "4:4", "4:44"]  # ties by the computed id
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") > plan.index("Join Inner")
