@@ -169,7 +169,9 @@ def _(t):
           FROM page_vectors v JOIN bundle_pages p ON v.document_id = p.document_id AND v.page_num = p.page_num WHERE p.rf <> 'R') b
     ON a.page_id = b.page_id""", "page_vectors")
 def _(t):
-    points = t("page_vectors").join(t("bundle_pages").select("document_id", "page_num", "page_id", "ls", "rf"), ["document_id", "page_num"])
+    """The flags join on the key of the merge, so vectors are shuffled once, for both sides of it."""
+    vectors = t("page_vectors").select(page_id(F.col("document_id"), F.col("page_num")).alias("page_id"), "label", "embedding")
+    points = vectors.join(t("bundle_pages").select("page_id", "ls", "rf"), "page_id")
     stored = points.filter("ls = 'F'").select(
         "page_id", F.col("label").cast("bigint").alias("label"), "embedding",
         F.lit(OLD_TS).alias("created_at"), F.lit(OLD_TS).alias("updated_at"),

@@ -158,3 +158,16 @@ def test_repeated_keys_never_multiply_rows(spark):
     new = spark.createDataFrame([("k", "x"), ("k", "x"), ("l", "y")], "key string, body string")
     table, outcome = put_if_absent(new, new.limit(0), "key")
     assert table.count() == 2 and sorted(map(tuple, outcome.collect())) == [("k", False), ("k", True), ("l", True)]
+
+
+def test_vector_sink_shuffles_vectors_once(spark, data_dir):
+    from bundleflow.suite.all import CASES, Tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        physical = CASES["vector_sink"].build(Tables(spark, data_dir))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    merged = [line.strip(" :+-") for line in physical.split("FullOuter")[1].splitlines()]
+    assert not any(line.startswith("Exchange") for line in merged[1:4])  # both sides lie by the key already
