@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..schemas import MANIFEST
 
 PIECE = 1 << 20  # bytes of an object read at once
+FILE_CHARS = 4 << 20  # JSON documents that one file holds together
 
 
 def scan_manifests(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
@@ -39,16 +40,31 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
     manifests.write.mode("append").json(path)
 
 
-def write_manifest_documents(manifests: DataFrame, path: str, per_file: int = 64) -> None:
-    """Manifests as JSON documents over many lines, a file for each array of up to ``per_file`` of them.
+def _arrays(documents: list[str], per_file: int | None, file_chars: int) -> Iterator[list[str]]:
+    """Documents in order, cut before one that would pass ``file_chars``, or after ``per_file`` of them."""
+    part, size = [], 0
+    for document in documents:
+        if part and (len(part) == per_file or size + len(document) > file_chars):
+            yield part
+            part, size = [], 0
+        part.append(document)
+        size += len(document)
+    if part:
+        yield part
 
-    ``per_file`` 1 writes a bare object per file, as a scanner leaves behind.
+
+def write_manifest_documents(manifests: DataFrame, path: str, per_file: int | None = None, file_chars: int = FILE_CHARS) -> None:
+    """Manifests as JSON documents over many lines, a file for each array of up to ``file_chars`` characters of them.
+
+    A stream of files tells the driver of each file, by a task of its own, so files are cut by size
+    and not by a small count.  ``per_file`` sets a count besides; 1 writes a bare object per file, as a
+    scanner leaves behind.
     """
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             shown = [json.dumps(json.loads(row), indent=1, ensure_ascii=False) for row in batch["row"]]
-            parts = [shown[k : k + per_file] for k in range(0, len(shown), per_file)]
+            parts = list(_arrays(shown, per_file, file_chars))
             yield pd.DataFrame({"value": pd.Series([p[0] if per_file == 1 else "[" + ",\n".join(p) + "]" for p in parts], dtype=object)})
 
     rows = manifests.select(F.to_json(F.struct(*manifests.columns)).alias("row"))

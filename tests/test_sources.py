@@ -38,3 +38,13 @@ def test_blobs_are_listed_and_hashed_in_tasks(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.length, r.content_id) for r in M.blob_digests(listed, piece=100).collect()}
     assert got == {n: (len(b or b""), hashlib.sha256(b or b"").hexdigest()) for n, b in bodies.items()}
     assert M.list_blobs(folders.limit(0)).count() == 0
+
+
+def test_documents_are_cut_into_files_by_size(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("document_id"), F.lit("other").alias("document_category")).coalesce(1)
+    M.write_manifest_documents(rows, f"{tmp_path}/whole")
+    M.write_manifest_documents(rows, f"{tmp_path}/cut", file_chars=2000)
+    assert len(list((tmp_path / "whole").glob("*.txt"))) == 1
+    files = [f.read_text() for f in (tmp_path / "cut").glob("*.txt")]
+    assert len(files) > 5 and all(len(f) <= 2200 for f in files)
+    assert {r.document_id for r in M.scan_manifests(spark, f"{tmp_path}/cut").collect()} == {str(i) for i in range(300)}
