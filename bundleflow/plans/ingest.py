@@ -29,13 +29,20 @@ class Ingest(NamedTuple):
     classified: DataFrame  # one classification row per bundle
 
 
+# What tables and messages take from a manifest and its pages; digests and sizes are not shuffled.
+_TAKEN = ("document_category", "qr_content", "original_s3_key", "s3_key_original", "pages")
+_TAKEN_PAGE = ("page_num", "s3_key", "page_type", "language_hint")
+
+
 def latest_manifests(manifests: DataFrame) -> DataFrame:
-    """One manifest per document: a re-delivered one counts once, the newest wins."""
+    """One manifest per document, cut to what is ingested: a re-delivered one counts once, the newest wins."""
     rest = [c for c in manifests.columns if c != "document_id"]
-    # A hash settles equal times; rows with equal hashes are the same manifest.
+    # A hash of the whole row settles equal times; rows with equal hashes are the same manifest.
     order = F.struct(F.coalesce(F.col("preprocessed_at"), F.lit("1970-01-01").cast("timestamp")), F.xxhash64(*rest))
-    picked = manifests.groupBy("document_id").agg(F.max_by(F.struct(*rest), order).alias("_m"))
-    return picked.select("document_id", *[F.col(f"_m.{c}").alias(c) for c in rest])
+    pages = F.transform("pages", lambda p: F.struct(*[p[c].alias(c) for c in _TAKEN_PAGE])).alias("pages")
+    taken = F.struct(*[pages if c == "pages" else F.col(c) for c in _TAKEN])
+    picked = manifests.select("document_id", taken.alias("_m"), order.alias("_o")).groupBy("document_id").agg(F.max_by("_m", "_o").alias("_m"))
+    return picked.select("document_id", *[F.col(f"_m.{c}").alias(c) for c in _TAKEN])
 
 
 def ingest_changes(
@@ -45,15 +52,19 @@ def ingest_changes(
     mode: str = "forward_only",
     fallback: Callable[[DataFrame], DataFrame] | None = None,
     materialize: Callable[[DataFrame], DataFrame] | None = cut_lineage,
+    store_batch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Changes:
     """Classify and route a batch: what it changes in the tables, and the messages it sends.
 
     ``cover_texts``: (document_id, cover_text), the extracted text per bundle.  In ``forward_only``
     mode a page that ``pages`` has queued or done already is not sent again.  All outputs read the
     classification; ``materialize`` stores it and hands back the stored table, so it is computed
-    once, and None leaves it in the plan.
+    once, and None leaves it in the plan.  ``store_batch`` does the same for the batch itself, of which
+    each output would else read and shuffle the manifests again.
     """
     batch = latest_manifests(manifests)
+    if store_batch is not None:
+        batch = store_batch(batch)
     bundles = batch.select(
         "document_id", F.coalesce("document_category", F.lit("other")).alias("document_category"), "qr_content"
     )

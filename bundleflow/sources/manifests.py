@@ -37,7 +37,8 @@ def stream_manifests(spark: SparkSession, glob: str, multi_line: bool = True, fi
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
-    manifests.write.mode("append").json(path)
+    """JSON lines, packed: half of a manifest is hexadecimal digests and repeated names.  A file per task, so none need be split."""
+    manifests.write.mode("append").option("compression", "gzip").json(path)
 
 
 def _arrays(documents: list[str], per_file: int | None, file_chars: int) -> Iterator[list[str]]:

@@ -56,16 +56,20 @@ def stream_ingest(
             accepted, refused = quarantine(batch, manifest_checks())
             refused.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
 
-        def store(classified: DataFrame) -> DataFrame:
-            path = f"{root}/classified/batch={batch_id}"
-            classified.write.mode("overwrite").parquet(path)
-            return spark.read.schema(classified.schema).parquet(path)
+        def store(part: str) -> Callable[[DataFrame], DataFrame]:
+            def stored(rows: DataFrame) -> DataFrame:
+                path = f"{root}/{part}/batch={batch_id}"
+                rows.write.mode("overwrite").parquet(path)
+                return spark.read.schema(rows.schema).parquet(path)
+
+            return stored
 
         pages = page_log(root).read(spark, before=batch_id)
-        found = ingest_changes(accepted, cover_texts, pages, fallback=fallback, materialize=store)
+        found = ingest_changes(accepted, cover_texts, pages, fallback=fallback, materialize=store("classified"), store_batch=store("latest"))
         page_work_queue(found.messages).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
         document_log(root).append(enforce(found.documents, partial=True), batch_id, run_ts)
         page_log(root).append(page_changes(found.pages), batch_id, run_ts)
+        drop(spark, f"{root}/latest/batch={batch_id}")
 
     writer = manifests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/_checkpoint")
     if available_now:

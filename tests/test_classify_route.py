@@ -188,3 +188,24 @@ def test_letters_of_a_page_are_counted_once(spark):
     ]
     plan = df.select(language_of_page(F.upper("t"), F.lit(None).cast("string")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("IsLatin") == 1 and plan.count("upper(") == 1
+
+
+def test_streamed_manifests_are_cut_and_read_once(spark, tmp_path):
+    from bundleflow.plans.ingest import ingest_changes, latest_manifests
+
+    sent = manifests(spark, bundle("p", "practitioner"), bundle("q", "letter"))
+    assert "sha256" not in latest_manifests(sent).schema.simpleString()
+    kept = []
+
+    def store(batch):
+        batch.write.parquet(f"{tmp_path}/batch")
+        kept.append(spark.read.schema(batch.schema).parquet(f"{tmp_path}/batch"))
+        return kept[-1]
+
+    sent.write.json(f"{tmp_path}/in")
+    arrived = spark.read.schema(MANIFEST).json(f"{tmp_path}/in")
+    texts = spark.createDataFrame([], "document_id string, cover_text string")
+    found = ingest_changes(arrived, texts, empty_tables(spark)[2], store_batch=store)
+    assert kept[0].count() == 2 and found.pages.count() == 4
+    for part in (found.documents, found.pages, found.messages):  # all read the stored batch
+        assert "FileScan json" not in part._jdf.queryExecution().executedPlan().toString()
