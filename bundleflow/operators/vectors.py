@@ -18,6 +18,7 @@ DEFAULT_K = 10  # ours: the number of hits is left open by the design
 CENTRES = 256  # cells that vectors are cut into; their centres, a sample of so many rows, travel to every task
 QUERY_SLICE = 4096  # queries and vectors of a cell meet in blocks of at most about these sizes
 VECTOR_SLICE = 50_000
+ASKED_ROWS = 16_384  # query vectors that one frame repeats for the cells they ask
 MARGIN = 1e-6  # scores are rounded to six places; bounds are taken that much wider
 TILE_BYTES = 32 * 1024 * 1024  # scores held at once, whatever the blocks
 
@@ -137,7 +138,7 @@ class Cells(NamedTuple):
                 rows, unit = _rows_of(batch, "q")
                 order, _, before = cut.ordered(unit)
                 row, at = np.nonzero((before < k) & (cut.size[order] > 0))
-                yield _asked(rows, row, order[row, at])
+                yield from _asked(rows, row, order[row, at])
 
         return queries.mapInPandas(run, _ASKED)
 
@@ -154,7 +155,7 @@ class Cells(NamedTuple):
                 order, bound, before = cut.ordered(unit)
                 kth = rows["kth"].to_numpy(dtype="float64", na_value=np.nan)[:, None]
                 row, at = np.nonzero((before >= k) & (cut.size[order] > 0) & ~(bound < kth))
-                yield _asked(rows, row, order[row, at])
+                yield from _asked(rows, row, order[row, at])
 
         return queries.mapInPandas(run, _ASKED)
 
@@ -179,8 +180,12 @@ class Cells(NamedTuple):
 _ASKED = "query_id bigint, q array<double>, cell int"
 
 
-def _asked(rows: pd.DataFrame, row: np.ndarray, cell: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": rows["query_id"].to_numpy()[row], "q": rows["q"].to_numpy()[row], "cell": cell.astype("int32")})
+def _asked(rows: pd.DataFrame, row: np.ndarray, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row for each query and cell, in bounded frames: a batch of queries can ask every cell, each time with its vector."""
+    ids, q = rows["query_id"].to_numpy(), rows["q"].to_numpy()
+    for at in range(0, len(row), ASKED_ROWS):
+        part = row[at : at + ASKED_ROWS]
+        yield pd.DataFrame({"query_id": ids[part], "q": q[part], "cell": cell[at : at + ASKED_ROWS].astype("int32")})
 
 
 class Search(NamedTuple):

@@ -263,3 +263,12 @@ def test_cosine_search_filters_before_vectors_are_joined(spark):
     assert [r.page_id for r in found.collect()] == ["4:24", "4:4", "4:44"]  # ties by the computed id
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftSemi") > plan.index("Join Inner")
+
+
+def test_asked_cells_come_in_bounded_frames():
+    rows = pd.DataFrame({"query_id": np.arange(200), "q": [np.ones(2)] * 200})
+    row, cell = np.nonzero(np.ones((200, 256), bool))
+    frames = list(vectors._asked(rows, row, cell))
+    assert max(map(len, frames)) <= vectors.ASKED_ROWS and len(frames) > 1
+    whole = pd.concat(frames)
+    assert (whole["query_id"].to_numpy() == row).all() and (whole["cell"].to_numpy() == cell).all()
