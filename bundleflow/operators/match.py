@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.cleaning import devanagari_digits
-from ..functions.plan import before_fan_out, fence
+from ..functions.plan import before_fan_out, fence, once
 from ..session import cut_lineage
 from .joins import left_join_spread_nulls
 
@@ -137,6 +137,49 @@ def _up_to(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
+WHOLE = 4_000_000  # pairs of a block up to which it is compared whole
+
+
+def _large_blocks(left: DataFrame, right: DataFrame) -> DataFrame | None:
+    """Blocks of more than ``WHOLE`` pairs; each has thousands of rows, so they are few.  None if there are none."""
+    sizes = left.groupBy("block").agg(F.count("*").alias("_a")).join(right.groupBy("block").agg(F.count("*").alias("_b")), "block")
+    large = cut_lineage(sizes.filter(F.col("_a").cast("double") * F.col("_b") > WHOLE).select("block"))
+    return None if large.isEmpty() else large
+
+
+KINDS, LEVELS = 37, 3  # kinds of letters, and how many of a kind are told apart: 111 of 128 bits
+
+
+@F.pandas_udf(StructType([StructField("bits0", LongType()), StructField("bits1", LongType())]))
+def _letter_bits(texts: pd.Series) -> pd.DataFrame:
+    """Bit (kind, level) is set if a text has more than ``level`` letters of the kind."""
+    kinds = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32) % KINDS
+    rows = np.repeat(np.arange(len(texts)), texts.str.len().to_numpy(dtype=np.int64))
+    counts = np.bincount(rows * KINDS + kinds, minlength=len(texts) * KINDS).reshape(-1, KINDS)
+    bits = np.zeros((len(texts), 128), dtype=np.uint8)
+    bits[:, : KINDS * LEVELS] = (counts[:, :, None] > np.arange(LEVELS)).reshape(len(texts), -1)
+    return pd.DataFrame(np.packbits(bits, axis=1).view(np.int64), columns=["bits0", "bits1"])
+
+
+def _signed(df: DataFrame) -> DataFrame:
+    """Rows with the bits of their letters, dealt out by block."""
+    signed = before_fan_out(df).withColumn("_bits", _letter_bits("text"))
+    signed = signed.select(*df.columns, F.col("_bits.bits0").alias("_bits0"), F.col("_bits.bits1").alias("_bits1"))
+    return signed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").withColumn("_length", F.length("text"))
+
+
+def _lacking(a: str, b: str) -> Column:
+    """Letters of text a that b has not, at least: no fewer edits lead from a to b, or to a stretch of b."""
+    return sum((F.bit_count(F.col(f"{a}_bits{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}_bits{i}")))) for i in (0, 1)), F.lit(0))
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
+    """Pairs of one block that are ``near``, a bound on columns of the left and, behind ``_r``, of the right."""
+    theirs = _signed(right)
+    theirs = theirs.select(*[F.col(c).alias(c if c == "block" else f"_r{c}") for c in theirs.columns])
+    return _signed(left).join(theirs.hint("merge"), "block").filter(near)
+
+
 def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: str = "edits") -> DataFrame:
     """Nearest right text for each left (block, text), if it scores at least ``score``.
 
@@ -148,14 +191,15 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: st
     measure: ``edits`` (Levenshtein over the longer length) or ``indel`` (insertions and deletions
     over both lengths, see indel_ratio; without weights).
 
-    The score alone decides.  It bounds the edits k of a pair by the right text's length, so the
-    right text is cut into k + 1 parts, of which one stands unchanged in any left text that near,
-    shifted by no more than the edits around it.  Candidates come from an equi-join on (block,
-    length, part number, part), and are then measured.  A text shorter than k + 1 letters can
-    lose every part; it is keyed by its length alone.
+    The score alone decides.  It bounds the edits k of a pair.  A block of at most ``WHOLE`` pairs is
+    compared whole: bits of the letters of both texts rule most pairs out before edits are counted.
+    In a larger one the right text is cut into k + 1 parts, of which one stands unchanged in any
+    left text that near, shifted by no more than the edits around it.  Candidates come from an
+    equi-join on (block, length, part number, part), and are then measured.  A text shorter than
+    k + 1 letters can lose every part; it is keyed by its length alone.
 
     Equal texts are settled first by a plain join.  What is left is asked at half the distance to
-    the score, with few and long parts, and only what finds nothing there at the score itself.
+    the score, and only what finds nothing there at the score itself.
     """
     if not 0 < score <= 100:
         raise ValueError("score must be above 0 and at most 100")
@@ -172,13 +216,41 @@ def best_edit_match(left: DataFrame, right: DataFrame, score: float, measure: st
     rest = asked.filter("_met IS NULL").select("block", "text", "weight")
     if score == 100:
         return found
-    near = cut_lineage(_at_score(rest, targets, (score + 100) / 2, indel))
+    large = _large_blocks(rest, targets)
+    near = cut_lineage(_at_score(rest, targets, (score + 100) / 2, indel, large))
     rest = rest.join(near.select("block", "text").hint("merge"), ["block", "text"], "left_anti")
-    return found.unionByName(near).unionByName(_at_score(rest, targets, score, indel))
+    return found.unionByName(near).unionByName(_at_score(rest, targets, score, indel, large))
 
 
-def _at_score(left: DataFrame, targets: DataFrame, score: float, indel: bool) -> DataFrame:
-    """``best_edit_match`` by parts: left (block, text, weight) and targets (block, text, weight, payload)."""
+def _at_score(left: DataFrame, targets: DataFrame, score: float, indel: bool, large: DataFrame | None) -> DataFrame:
+    """``best_edit_match`` of what has no equal: left (block, text, weight) and targets (block, text, weight, payload)."""
+    share = score / 100
+    n, m = F.length("text"), F.length("_rtext")
+    longest = n + m if indel else F.coalesce(F.col("weight"), F.greatest(n, m))
+    most = _whole((1 - share) * longest)
+    apart = _lacking("", "_r") + _lacking("_r", "") if indel else F.greatest(_lacking("", "_r"), _lacking("_r", ""))
+    sizes = F.col("_length") + F.col("_r_length") if indel else F.coalesce(F.col("weight"), F.greatest("_length", "_r_length"))
+    bound = _whole((1 - share) * sizes)
+    columns = ["block", "text", "weight", "_rtext", "_rpayload"]
+
+    small = [df if large is None else df.join(F.broadcast(large), "block", "left_anti") for df in (left, targets)]
+    pairs = _in_blocks(*small, (F.abs(F.col("_length") - F.col("_r_length")) <= bound) & (apart <= bound)).select(*columns)
+    if large is not None:
+        pairs = pairs.unionByName(_by_parts(*[df.join(F.broadcast(large), "block", "left_semi") for df in (left, targets)], score, indel).select(*columns))
+    # beyond the most allowed edits the count is -1
+    pairs = fence(pairs, _edits=F.call_function("levenshtein", F.col("text"), F.col("_rtext"), most)).filter("_edits >= 0")
+    # replacing is allowed to Levenshtein, so it never counts more; a pair met by several parts is
+    # measured again, which is cheaper than bringing equal pairs together
+    edits = longest - 2 * _common(F.col("text"), F.col("_rtext")) if indel else F.col("_edits")
+    scored = pairs.select("block", "text", F.col("_rpayload").alias("payload"), edits.alias("edits"), longest.alias("_len"))
+    value = F.when(F.col("_len") == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.col("edits") / F.col("_len")))
+    scored = scored.withColumn("score", value).filter(F.col("score") >= score)
+    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("payload"), F.col("edits"))).alias("b"))
+    return best.select("block", "text", F.col("b.payload").alias("payload"), F.col("b.edits").alias("edits"), (-F.col("b.s")).alias("score"))
+
+
+def _by_parts(left: DataFrame, targets: DataFrame, score: float, indel: bool) -> DataFrame:
+    """Pairs that share a part: (block, text, weight, _rtext, _rpayload), some more than once."""
     share = score / 100
     # how many edits a letter of one text allows, and how much longer the other may be
     per_letter, longer = (2 * (1 - share) / share, (2 - share) / share) if indel else ((1 - share) / share, 1 / share)
@@ -213,27 +285,32 @@ def _at_score(left: DataFrame, targets: DataFrame, score: float, indel: bool) ->
     l_side = l_rows.select("block", "text", "weight", key(part).alias("_key"))
 
     # size estimates do not see the fan-out, so broadcasting either side is ruled out
-    pairs = l_side.join(r_side.hint("merge"), "_key").filter(F.col("block") == F.col("_rblock"))
-    if indel:
-        # replacing is allowed to Levenshtein, so it never counts more; a pair met by several parts is
-        # measured again, which is cheaper than bringing equal pairs together
-        both = F.length("text") + F.length("_rtext")
-        pairs = fence(pairs, _edits=F.levenshtein("text", "_rtext")).filter(F.col("_edits") <= _whole((1 - share) * both))
-        longest = F.length("text") + F.length("_rtext")
-        edits = longest - 2 * _common(F.col("text"), F.col("_rtext"))
-    else:
-        edits = F.levenshtein(F.col("text"), F.col("_rtext"))
-        longest = F.coalesce(F.col("weight"), F.greatest(F.length("text"), F.length("_rtext")))
-    scored = pairs.select("block", "text", F.col("_rpayload").alias("payload"), edits.alias("edits"), longest.alias("_len"))
-    value = F.when(F.col("_len") == 0, F.lit(100.0)).otherwise(100.0 * (1 - F.col("edits") / F.col("_len")))
-    scored = scored.withColumn("score", value).filter(F.col("score") >= score)
-    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("payload"), F.col("edits"))).alias("b"))
-    return best.select("block", "text", F.col("b.payload").alias("payload"), F.col("b.edits").alias("edits"), (-F.col("b.s")).alias("score"))
+    return l_side.join(r_side.hint("merge"), "_key").filter(F.col("block") == F.col("_rblock"))
 
 
 PART = 8  # letters of a part that are looked up at most
 
 
+def _partial_score(a: Column, b: Column, share: float) -> Column:
+    """``partial_ratio`` where it is at least 100 * share, else something below."""
+    swap = F.length(a) > F.length(b)
+    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    size = F.length(short)
+
+    def best(s: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(1), F.length(s["long"]) - s["size"] + 1), lambda i: F.substring(s["long"], i, s["size"]))
+        edits = F.transform(stretches, lambda t: F.call_function("levenshtein", s["short"], t, s["most"]))
+        return F.array_min(F.filter(edits, lambda e: e >= 0))
+
+    most = _whole((1 - share) * size)
+    texts = F.struct(short.alias("short"), long.alias("long"), size.alias("size"), most.alias("most"))
+    # what lies beside the stretch adds no more edits than it has letters
+    around = F.call_function("levenshtein", short, long, most + F.length(long) - size)
+    few = F.length(long) - size <= 3  # stretches that are sooner compared than ruled out
+    edits = F.when(F.contains(long, short), 0).when(few, once(texts, best)).when(around >= 0, once(texts, best))
+    return F.when((size == 0) & (F.length(long) == 0), F.lit(100.0)).when(size == 0, F.lit(0.0)).otherwise(F.coalesce(100.0 * (1 - edits / size), F.lit(0.0)))
+
+
 def best_partial_match(left: DataFrame, right: DataFrame, score: float) -> DataFrame:
     """Nearest right text for each left (block, text) by partial_ratio, if it scores at least ``score``.
 
@@ -241,14 +318,35 @@ def best_partial_match(left: DataFrame, right: DataFrame, score: float) -> DataF
     score), one row per left text with a partner; ties go to the smallest payload.  Null texts have
     no partner; an empty text has only empty ones.
 
-    The score bounds the edits k between the shorter text and a stretch of the longer.  The shorter
-    one is cut into k + 1 parts, of which one stands unchanged in that stretch, so every pair at or
-    above the score meets in an equi-join of the parts' first letters with all stretches of so many
-    letters of the longer text, either side being the shorter one.
+    The score bounds the edits k between the shorter text and a stretch of the longer.  A block of at
+    most ``WHOLE`` pairs is compared whole: bits of the letters of both texts rule most pairs out.
+    In a larger one the shorter text is cut into k + 1 parts, of which one stands unchanged in that
+    stretch, so every pair at or above the score meets in an equi-join of the parts' first letters
+    with all stretches of so many letters of the longer text, either side being the shorter one.
+    A text that has an equal one scores 100 and looks only for others that do.
     """
     if not 0 < score <= 100:
         raise ValueError("score must be above 0 and at most 100")
+    known = right.filter("text IS NOT NULL AND block IS NOT NULL").groupBy("block", "text").agg(F.min("payload").alias("payload"))
+    known = cut_lineage(known)
+    asked = left.select("block", "text").filter("text IS NOT NULL AND block IS NOT NULL").distinct()
+    asked = cut_lineage(asked.join(known.select("block", "text", F.lit(True).alias("_met")).hint("merge"), ["block", "text"], "left"))
+    large = _large_blocks(asked, known)
     share = score / 100
+    lacking = F.when(F.col("_length") <= F.col("_r_length"), _lacking("", "_r")).otherwise(_lacking("_r", ""))
+    bound = F.when(F.col("_met"), 0).otherwise(_whole((1 - share) * F.least("_length", "_r_length")))
+    columns = ["block", "text", "_rtext", "_rpayload"]
+    small = [df if large is None else df.join(F.broadcast(large), "block", "left_anti") for df in (asked, known)]
+    pairs = _in_blocks(*small, lacking <= bound).select(*columns)
+    if large is not None:
+        pairs = pairs.unionByName(_partial_by_parts(*[df.join(F.broadcast(large), "block", "left_semi") for df in (asked, known)], share).select(*columns))
+    scored = fence(pairs, score=_partial_score(F.col("text"), F.col("_rtext"), share)).filter(F.col("score") >= score)
+    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_rpayload"))).alias("b"))
+    return best.select("block", "text", F.col("b._rpayload").alias("payload"), (-F.col("b.s")).alias("score"))
+
+
+def _partial_by_parts(asked: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs that share the first letters of a part: distinct (block, text, _rtext, _rpayload)."""
     n, i = F.length("text"), F.col("_i")
 
     def parts(df: DataFrame) -> DataFrame:
@@ -262,20 +360,14 @@ def best_partial_match(left: DataFrame, right: DataFrame, score: float) -> DataF
         of_size = F.transform(_up_to(F.lit(1), F.least(n, F.lit(PART))), lambda z: F.transform(_up_to(F.lit(1), n - z + 1), lambda at: F.substring(text, at, z)))
         return df.withColumn("_part", F.explode(F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.flatten(of_size)))))
 
-    asked = before_fan_out(left.select("block", "text").filter("text IS NOT NULL AND block IS NOT NULL").distinct())
-    known = right.filter("text IS NOT NULL AND block IS NOT NULL").groupBy("block", "text").agg(F.min("payload").alias("payload"))
-    known = before_fan_out(known)
-
     def met(ours: DataFrame, theirs: DataFrame, shorter: Column) -> DataFrame:
-        theirs = theirs.select(F.col("block").alias("_rblock"), F.col("text").alias("_rtext"), "payload", F.col("_part").alias("_rpart"))
+        theirs = theirs.select(F.col("block").alias("_rblock"), F.col("text").alias("_rtext"), F.col("payload").alias("_rpayload"), F.col("_part").alias("_rpart"))
         same = (F.col("block") == F.col("_rblock")) & (F.col("_part") == F.col("_rpart"))
-        return ours.join(theirs.hint("merge"), same).filter(shorter).select("block", "text", "_rtext", "payload")
+        return ours.join(theirs.hint("merge"), same).filter(shorter).select("block", "text", "_rtext", "_rpayload")
 
+    ours, theirs = before_fan_out(asked.select("block", "text")), before_fan_out(known)
     a, b = F.length("text"), F.length("_rtext")
-    pairs = met(parts(asked), stretches(known), a <= b).unionByName(met(stretches(asked), parts(known), a > b)).distinct()
-    scored = fence(pairs, score=partial_ratio(F.col("text"), F.col("_rtext"))).filter(F.col("score") >= score)
-    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("payload"))).alias("b"))
-    return best.select("block", "text", F.col("b.payload").alias("payload"), (-F.col("b.s")).alias("score"))
+    return met(parts(ours), stretches(theirs), a <= b).unionByName(met(stretches(ours), parts(theirs), a > b)).distinct()
 
 
 def match_registry_names(documents: DataFrame, registry: DataFrame, measure: str, score: float = DEFAULT_SCORE) -> DataFrame:

@@ -137,3 +137,42 @@ def test_lookups_stay_few_for_equal_and_near_names(spark):
     finally:
         M._at_score = plain
     assert calls == [30, 0]
+
+
+@pytest.mark.parametrize("measure", ["partial", "edits", "indel"])
+def test_blocks_compared_whole_or_by_parts(spark, monkeypatch, measure):
+    """Blocks with one common beginning, compared whole and cut into parts: the same partners as brute force."""
+    random.seed(5)
+    names = [f"{i:09d} customer" + " venkatasubramaniam" * (i % 3 == 0) for i in range(0, 600, 15)]
+    people = [("d", n, i) for i, n in enumerate(names)] + [("e", "क ख ग घ ङ च छ ज", 7), ("e", "", 8)]
+    asked = {("d", n.replace("customer", random.choice(["customer", "cust0mer", "kustomr", "clistonner"]))) for n in names} | {("e", "क ख ग घ ङ ज छ ज"), ("e", "")}
+    theirs = spark.createDataFrame(people, "block string, text string, payload int")
+    ours = spark.createDataFrame(sorted(asked), "block string, text string")
+
+    def score(a: str, b: str) -> float:
+        if not a or not b:
+            return 100.0 * (a == b)
+        s, l = sorted((a, b), key=len)
+        if measure == "partial":
+            return max(100.0 * (1 - edits(s, l[i : i + len(s)]) / len(s)) for i in range(len(l) - len(s) + 1))
+        if measure == "indel":
+            return 100.0 * (1 - (len(a) + len(b) - 2 * M.lcs_length(a, b)) / (len(a) + len(b)))
+        return 100.0 * (1 - edits(a, b) / len(l))
+
+    def edits(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for block, text in asked:
+        best = min(((-score(text, t), p) for b, t, p in people if b == block), default=(0, None))
+        if best[0] <= -85:
+            want[block, text] = (best[1], round(-best[0], 9))
+    for most in (M.WHOLE, 0):
+        monkeypatch.setattr(M, "WHOLE", most)
+        found = M.best_partial_match(ours, theirs, 85.0) if measure == "partial" else M.best_edit_match(ours, theirs, 85.0, measure)
+        assert {(r.block, r.text): (r.payload, round(r.score, 9)) for r in found.collect()} == want
