@@ -17,6 +17,7 @@ WINDOW_SECONDS = 300
 # -------------------------------------------------------------------------------------
 CHUNK_SECONDS = 3600
 GROUP = 1024  # chunks whose maps are composed in one task
+FRAME = 10_000  # rows a task hands on at a time
 BEGIN_OF_TIME, END_OF_TIME, NOTHING_KEPT = -(2**62), 2**62, -(2**61)
 
 
@@ -114,21 +115,20 @@ def _group(window: int):
     """Task helper over maps sorted by (k, node, chunk, upto): one entry map per (k, node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, composed = None, []
-
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame([(*current, *piece) for piece in composed], columns=["k", "chunk", "upto", "leaves"])
-
+        columns = ["k", "chunk", "upto", "leaves"]
+        current, composed, out = None, [], []
         for (k, node, _), _, row in _maps(batches, ["k", "node", "chunk"]):
             if (k, node) == current:
                 composed = _composed(composed, row, window)
                 continue
-            if current is not None:
-                yield frame()
+            out.extend((*current, *piece) for piece in composed)
+            if len(out) >= FRAME:  # a frame for each key would cost more than its rows
+                yield pd.DataFrame(out, columns=columns)
+                out = []
             current = (k, node)
             composed = _composed([(END_OF_TIME, NOTHING_KEPT)], row, window)
-        if current is not None:
-            yield frame()
+        out.extend((*current, *piece) for piece in composed)
+        yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -146,7 +146,7 @@ def _chain(window: int, keys: list[str], known: bool):
                 key, start = values[:-1], rest[0] if known else BEGIN_OF_TIME
             out.append((values[0], values[-1], start))
             start = _after(row, start, window)
-            if len(out) == 10_000:
+            if len(out) == FRAME:
                 yield pd.DataFrame(out, columns=["k", "chunk", "start"])
                 out = []
         yield pd.DataFrame(out, columns=["k", "chunk", "start"])

@@ -40,6 +40,16 @@ def test_dedup_within_is_exact_for_any_chunk_and_group(spark, chunk, group):
     assert {k: sorted(v) for k, v in got.items()} == {k: greedy(v, timedelta(seconds=300)) for k, v in by_key.items()}
 
 
+def test_composed_maps_of_many_keys_leave_in_few_frames():
+    """A frame for each key costs a thousand times its rows."""
+    rows = pd.DataFrame({"k": range(5000), "node": 0, "chunk": 3, "upto": dedup.END_OF_TIME, "leaves": range(5000)})
+    frames = list(dedup._group(300)(iter([rows[:1500], rows[1500:]])))
+    assert len(frames) <= 2
+    got = pd.concat(frames)
+    assert got["k"].tolist() == got["leaves"].tolist() == list(range(5000)) and set(got["upto"]) == {dedup.END_OF_TIME}
+    assert sum(len(f) for f in dedup._group(300)(iter([]))) == 0
+
+
 def test_entry_maps_compose_in_any_order():
     rng = random.Random(4)
     window = 10
