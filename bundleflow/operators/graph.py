@@ -184,28 +184,60 @@ def co_mentioned_top(mentions: DataFrame, seeds: DataFrame, k: int = 10, hub: in
     return ranked.select(F.col("_seed").alias("document_id"), "partner", "shared", F.col("rank").cast("int").alias("rank"))
 
 
+CONTRACTIONS = 3  # rounds that shrink the graph before the stars; they change the work, never the result
+
+
 def entity_clusters(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, cluster), the cluster named by its smallest node.
 
-    Alternating large-star and small-star contractions: every round relinks each node to the
-    smallest neighbour it has seen, so path lengths shrink geometrically and the edge count
-    never grows.  A hub is reduced to its minimum map-side, and the join back to its edges is
-    one AQE can split.  Each round is checkpointed: lineage stays short and a lost executor
-    costs one round.  It ends at the fixed point.
+    Edges are read once.  First the graph is contracted: each node goes over to the neighbour, or
+    itself, that comes first in an order drawn for the round, and those that meet become one node
+    under the smallest of their names.  On what is left, large-star and small-star alternate: every
+    round relinks each node to the smallest neighbour it has seen, so path lengths shrink
+    geometrically and the edge count never grows; it ends at the fixed point.  A hub is reduced to
+    its minimum map-side, and the join back to its edges is one AQE can split.  Each round is
+    checkpointed: lineage stays short and a lost executor costs one round.
     """
+    u, v = F.col("u"), F.col("v")
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).distinct()
-
-    links = cut_lineage(_oriented(both))
+    links = cut_lineage(both.select(F.when(u < v, v).otherwise(u).alias("u"), F.when(u < v, u).otherwise(v).alias("v")).distinct())
+    alone = links.select(F.lit(None).cast(links.schema["u"].dataType).alias("node")).filter("u IS NULL OR v IS NULL").distinct()
+    links = links.select(F.coalesce("u", "v").alias("u"), F.coalesce("v", "u").alias("v")).filter("u IS NOT NULL")
+
+    rounds: list[DataFrame] = []
+    for level in range(CONTRACTIONS):
+        rounds.append(cut_lineage(_renamed(links, level)))
+        links = cut_lineage(_contracted(links, rounds[-1]))
     signature = _signature(links)
-    while True:
+    while signature[0]:
         links = cut_lineage(_small_star(_large_star(links)))
         after = _signature(links)
         if after == signature:
             break
         signature = after
-    root = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_root"))
-    return nodes.join(root, "node", "left").select("node", F.coalesce("_root", "node").alias("cluster"))
+    found = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("cluster"))
+    for names in reversed(rounds):
+        found = names.join(found.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("cluster", "name").alias("cluster"))
+    return found.unionByName(alone.withColumn("cluster", F.col("node")))
+
+
+def _renamed(links: DataFrame, level: int) -> DataFrame:
+    """(node, name) for every node of the links: the smallest node among those that go over to the same one."""
+
+    def placed(node: str):
+        return F.struct(F.xxhash64(F.lit(level), node).alias("place"), F.col(node).alias("node"))
+
+    ends = links.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))))
+    first = ends.groupBy("node").agg(F.min(placed("other")).alias("_first"))
+    moves = first.select("node", F.least("_first", placed("node"))["node"].alias("_to"))
+    return moves.join(moves.groupBy("_to").agg(F.min("node").alias("name")), "_to").select("node", "name")
+
+
+def _contracted(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct links between the new names, loops dropped."""
+    ours, theirs = (names.select(F.col("node").alias(c), F.col("name").alias(f"_{c}")) for c in ("u", "v"))
+    moved = links.filter(F.col("u") != F.col("v")).join(ours, "u").select("_u", "v").distinct().join(theirs, "v")
+    return _oriented(moved.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
 
 
 def _oriented(df: DataFrame) -> DataFrame:

@@ -282,3 +282,32 @@ def test_asked_cells_come_in_bounded_frames():
     assert max(map(len, frames)) <= vectors.ASKED_ROWS and len(frames) > 1
     whole = pd.concat(frames)
     assert (whole["query_id"].to_numpy() == row).all() and (whole["cell"].to_numpy() == cell).all()
+
+
+def test_clusters_read_their_edges_once_and_keep_lone_and_null_ends(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rng = random.Random(11)
+    edges = [(f"n{rng.randint(0, 300)}", f"n{rng.randint(0, 300)}") for _ in range(200)]
+    edges += [(f"p{i:03}", f"p{i + 1:03}") for i in range(99)] + [("hub", f"s{i}") for i in range(200)]
+    edges += [("self", "self"), ("half", None), (None, "other")]
+    df = spark.createDataFrame(edges, "a string, b string").select(counted("a").alias("a"), "b")
+    got = [(r["node"], r["cluster"]) for r in graph.entity_clusters(df).collect()]
+    parent = {x: x for e in edges for x in e if x is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    assert sorted(got, key=str) == sorted([*((x, root(x)) for x in parent), (None, None)], key=str)
+    assert read.value == len(edges)
