@@ -162,7 +162,8 @@ def co_mentioned_top(mentions: DataFrame, seeds: DataFrame, k: int = 10, hub: in
     walked = ours.join(light, ["type", "value"]).filter("_seed <> document_id").groupBy("_seed", "document_id").agg(F.count("*").alias("_light"))
 
     sets = pairs.filter(F.col("_n") > hub).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("type", "value"))).alias("_hubs"))
-    sets = cut_lineage(sets.withColumn("_set", F.sha2(F.to_json("_hubs"), 256)))
+    # half a digest as bytes: pairs carry the names of two sets through their shuffles
+    sets = cut_lineage(sets.withColumn("_set", F.unhex(F.substring(F.sha2(F.to_json("_hubs"), 256), 1, 32))))
     members = top_per_group(sets.select("_set", "document_id"), ["_set"], k + 1, [F.asc("document_id")])
     members = members.select("_set", F.col("document_id").alias("partner"))
     seed_sets = sets.join(asked, "document_id", "left_semi").select(F.col("document_id").alias("_seed"), F.col("_set").alias("_own"))
