@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.cleaning import devanagari_digits
 from ..functions.plan import before_fan_out, fence, once
 from ..session import cut_lineage
 from .joins import left_join_spread_nulls
+from .partial import letter_bits, nearest
 
 DEFAULT_SCORE = 85.0  # ours: the accept threshold is left open by the design
 DATE_LENGTH = 8
@@ -138,27 +139,24 @@ def _up_to(low: Column, high: Column) -> Column:
 
 
 WHOLE = 4_000_000  # pairs of a block up to which it is compared whole
+ROWS = 100_000  # texts of a block that one task holds at most
 
 
-def _large_blocks(left: DataFrame, right: DataFrame) -> DataFrame | None:
-    """Blocks of more than ``WHOLE`` pairs; each has thousands of rows, so they are few.  None if there are none."""
-    sizes = left.groupBy("block").agg(F.count("*").alias("_a")).join(right.groupBy("block").agg(F.count("*").alias("_b")), "block")
-    large = cut_lineage(sizes.filter(F.col("_a").cast("double") * F.col("_b") > WHOLE).select("block"))
+def _large_blocks(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFrame | None:
+    """Blocks of more than ``WHOLE`` pairs or ``rows`` texts; each has thousands of rows, so they are few.  None if there are none."""
+    sizes = left.groupBy("block").agg(F.count("*").alias("_a")).join(right.groupBy("block").agg(F.count("*").alias("_b")), "block", "inner" if rows is None else "full")
+    over = F.col("_a").cast("double") * F.col("_b") > WHOLE
+    if rows is not None:  # also of blocks that only one side has
+        over = F.coalesce(over, F.lit(False)) | (F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0)) > rows)
+    large = cut_lineage(sizes.filter(over).select("block"))
     return None if large.isEmpty() else large
 
 
-KINDS, LEVELS = 37, 3  # kinds of letters, and how many of a kind are told apart: 111 of 128 bits
-
-
 @F.pandas_udf(StructType([StructField("bits0", LongType()), StructField("bits1", LongType())]))
 def _letter_bits(texts: pd.Series) -> pd.DataFrame:
-    """Bit (kind, level) is set if a text has more than ``level`` letters of the kind."""
-    kinds = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32) % KINDS
-    rows = np.repeat(np.arange(len(texts)), texts.str.len().to_numpy(dtype=np.int64))
-    counts = np.bincount(rows * KINDS + kinds, minlength=len(texts) * KINDS).reshape(-1, KINDS)
-    bits = np.zeros((len(texts), 128), dtype=np.uint8)
-    bits[:, : KINDS * LEVELS] = (counts[:, :, None] > np.arange(LEVELS)).reshape(len(texts), -1)
-    return pd.DataFrame(np.packbits(bits, axis=1).view(np.int64), columns=["bits0", "bits1"])
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    bits = letter_bits(points, texts.str.len().to_numpy(dtype=np.int64))
+    return pd.DataFrame(bits.view(np.int64), columns=["bits0", "bits1"])
 
 
 def _signed(df: DataFrame) -> DataFrame:
@@ -319,7 +317,9 @@ def best_partial_match(left: DataFrame, right: DataFrame, score: float) -> DataF
     no partner; an empty text has only empty ones.
 
     The score bounds the edits k between the shorter text and a stretch of the longer.  A block of at
-    most ``WHOLE`` pairs is compared whole: bits of the letters of both texts rule most pairs out.
+    most ``WHOLE`` pairs and ``ROWS`` texts is compared whole, in its task (``nearest``): bits of the letters
+    of both texts tell how many edits a pair needs at least, and edits are counted for the most
+    promising pairs first, until no other pair of the text can win.
     In a larger one the shorter text is cut into k + 1 parts, of which one stands unchanged in that
     stretch, so every pair at or above the score meets in an equi-join of the parts' first letters
     with all stretches of so many letters of the longer text, either side being the shorter one.
@@ -329,20 +329,21 @@ def best_partial_match(left: DataFrame, right: DataFrame, score: float) -> DataF
         raise ValueError("score must be above 0 and at most 100")
     known = right.filter("text IS NOT NULL AND block IS NOT NULL").groupBy("block", "text").agg(F.min("payload").alias("payload"))
     known = cut_lineage(known)
-    asked = left.select("block", "text").filter("text IS NOT NULL AND block IS NOT NULL").distinct()
-    asked = cut_lineage(asked.join(known.select("block", "text", F.lit(True).alias("_met")).hint("merge"), ["block", "text"], "left"))
-    large = _large_blocks(asked, known)
-    share = score / 100
-    lacking = F.when(F.col("_length") <= F.col("_r_length"), _lacking("", "_r")).otherwise(_lacking("_r", ""))
-    bound = F.when(F.col("_met"), 0).otherwise(_whole((1 - share) * F.least("_length", "_r_length")))
-    columns = ["block", "text", "_rtext", "_rpayload"]
+    asked = cut_lineage(left.select("block", "text").filter("text IS NOT NULL AND block IS NOT NULL").distinct())
+    large = _large_blocks(asked, known, ROWS)
     small = [df if large is None else df.join(F.broadcast(large), "block", "left_anti") for df in (asked, known)]
-    pairs = _in_blocks(*small, lacking <= bound).select(*columns)
-    if large is not None:
-        pairs = pairs.unionByName(_partial_by_parts(*[df.join(F.broadcast(large), "block", "left_semi") for df in (asked, known)], share).select(*columns))
+    none = F.lit(None).cast(known.schema["payload"].dataType).alias("payload")
+    rows = small[0].select("block", "text", none, F.lit(False).alias("known")).unionByName(small[1].withColumn("known", F.lit(True)))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "payload")
+    result = StructType([known.schema["block"], known.schema["text"], known.schema["payload"], StructField("score", DoubleType())])
+    best = rows.mapInArrow(lambda batches: nearest(batches, score), result)
+    if large is None:
+        return best
+    share = score / 100
+    pairs = _partial_by_parts(*[df.join(F.broadcast(large), "block", "left_semi") for df in (asked, known)], share)
     scored = fence(pairs, score=_partial_score(F.col("text"), F.col("_rtext"), share)).filter(F.col("score") >= score)
-    best = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_rpayload"))).alias("b"))
-    return best.select("block", "text", F.col("b._rpayload").alias("payload"), (-F.col("b.s")).alias("score"))
+    parted = scored.groupBy("block", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_rpayload"))).alias("b"))
+    return best.unionByName(parted.select("block", "text", F.col("b._rpayload").alias("payload"), (-F.col("b.s")).alias("score")))
 
 
 def _partial_by_parts(asked: DataFrame, known: DataFrame, share: float) -> DataFrame:
